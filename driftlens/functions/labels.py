@@ -60,8 +60,8 @@ def _string_parts(raw: Column):
     is_list = s.rlike(LIST_LABEL_PATTERN)
     is_scalar = s.rlike(SCALAR_LABEL_PATTERN)
     is_empty_list = s.rlike(EMPTY_LIST_PATTERN)
-    list_head = F.try_cast(F.regexp_extract(s, LIST_LABEL_PATTERN, 1), "int")
-    scalar = F.try_cast(s, "int")
+    list_head = F.regexp_extract(s, LIST_LABEL_PATTERN, 1).try_cast("int")
+    scalar = s.try_cast("int")
     outcome = (F.when(raw.isNull(), "missing")
                .when(s == "", "blank")
                .when(is_empty_list, "empty_list")

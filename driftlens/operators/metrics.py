@@ -61,7 +61,7 @@ def per_label_counts(df: DataFrame, gold: str = "gold", pred: str = "pred_label"
     One shuffle: each row contributes a gold-side and a pred-side record,
     summed per label with map-side partial aggregation (so a dominant label
     costs one partial row per task, not one task of its own)."""
-    g, p = F.col(gold).cast("int"), F.col(pred).cast("int")
+    g, p = F.col(gold), F.col(pred)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     tp = g.eqNullSafe(p).cast("long")
     sides = F.array(

@@ -168,3 +168,117 @@ def q_confusion_norm(spark, sf_dir):
 @register("confidence_hist")
 def q_confidence_hist(spark, sf_dir):
     return r6(S.confidence_histogram(views.scored(spark, sf_dir)))
+
+
+# ---- cleaning ---------------------------------------------------------------------------
+
+from ..constants import PAGE_SIZE  # noqa: E402
+from ..operators import clean as C  # noqa: E402
+from ..sources import lookup as L  # noqa: E402
+from ..sources.paging import assemble_pages  # noqa: E402
+from ..sources.union import union_datasets  # noqa: E402
+from . import derived as D  # noqa: E402
+
+
+@register("compose_title_text")
+def q_compose_title_text(spark, sf_dir):
+    items = D.conversation_items(spark, sf_dir)
+    return C.compose_text(items, "title", "body", " ").select("conv_id", "text")
+
+
+@register("compose_title_body")
+def q_compose_title_body(spark, sf_dir):
+    items = D.conversation_items(spark, sf_dir)
+    return C.compose_text(items, "title", "body", "\n\n").select("conv_id", "text")
+
+
+@register("drop_empty_text")
+def q_drop_empty_text(spark, sf_dir):
+    items = C.compose_text(D.conversation_items(spark, sf_dir), "title", "body", "\n\n")
+    return C.drop_empty_text(items).select("conv_id", "text")
+
+
+@register("json_key_absent")
+def q_json_key_absent(spark, sf_dir):
+    out = L.issue_scan(D.issue_json(spark, sf_dir), state=None, per_page=None)
+    return out.select("id", "number", "text", "state", "comments", "user")
+
+
+@register("json_nested")
+def q_json_nested(spark, sf_dir):
+    js = D.issue_json(spark, sf_dir)
+    p = C.project_json(js, "json", L.ISSUE_DDL)
+    return p.select("id", F.col("user.login").alias("user"))
+
+
+@register("json_project")
+def q_json_project(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", ["event_id", "props"])
+    return C.project_json(ev, "props", "k long, q string", keep=("event_id",))
+
+
+@register("first_label")
+def q_first_label(spark, sf_dir):
+    return C.with_first_label(D.label_strings(spark, sf_dir), "labels", "label")
+
+
+@register("label_parse_report")
+def q_label_parse_report(spark, sf_dir):
+    return C.label_parse_report(D.label_strings(spark, sf_dir), "labels")
+
+
+@register("label_precedence")
+def q_label_precedence(spark, sf_dir):
+    derived = C.prepare_label(D.label_strings(spark, sf_dir)).select(
+        F.lit("labels").alias("src"), "doc_id", "label")
+    given = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).withColumnRenamed("quality", "label")
+    given = C.prepare_label(given).select(F.lit("label").alias("src"), "doc_id", "label")
+    return derived.unionByName(given)
+
+
+@register("na_tokens")
+def q_na_tokens(spark, sf_dir):
+    return C.recognise_na(D.na_texts(spark, sf_dir), ["text"]).select("doc_id", "text")
+
+
+@register("fill_text")
+def q_fill_text(spark, sf_dir):
+    df = C.recognise_na(D.na_texts(spark, sf_dir), ["text"])
+    return C.fill_missing_text(df).select("doc_id", "text")
+
+
+@register("drop_missing")
+def q_drop_missing(spark, sf_dir):
+    df = C.recognise_na(D.na_texts(spark, sf_dir), ["text"])
+    return C.drop_missing(df, ["text", "label"]).select("doc_id", "text", "label")
+
+
+# ---- ingest -----------------------------------------------------------------------------
+
+@register("page_assembly")
+def q_page_assembly(spark, sf_dir):
+    rows = D.document_pages(spark, sf_dir, PAGE_SIZE)
+    return assemble_pages(rows, PAGE_SIZE).select("row_index", "doc_id", "page", "pos",
+                                                  "lang", "source", "text")
+
+
+@register("ranked_lookup")
+def q_ranked_lookup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]) \
+        .withColumnRenamed("doc_id", "id")
+    out = L.ranked_lookup(D.ranked_ids(spark, sf_dir), docs, "id", ("list_no", "pos"),
+                          title=None)
+    return out.select("list_no", "pos", "id", "source", "text")
+
+
+@register("dataset_union")
+def q_dataset_union(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]) \
+        .withColumnRenamed("doc_id", "id")
+    conv = (read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+            .filter(F.col("turn") == 0).select(F.col("conv_id").alias("id"), "role", "text"))
+    bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"]) \
+        .withColumnRenamed("item_id", "id")
+    u = union_datasets({"indomain": docs, "ood_a": conv, "ood_b": bench})
+    return u.select("dataset", "id", "lang", "role",
+                    F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"))

@@ -185,3 +185,166 @@ FROM conf
 """,
     "confidence_hist": HIST_SQL.format(scored=SCORED_CTE.strip()),
 }
+
+
+# ---- cleaning and ingest ----------------------------------------------------------------
+
+from ..constants import (EMPTY_LIST_PATTERN, LIST_LABEL_PATTERN,  # noqa: E402
+                         SCALAR_LABEL_PATTERN, WHITESPACE_CODEPOINTS)
+
+WS = "(" + " || ".join(f"chr({c})" for c in WHITESPACE_CODEPOINTS) + ")"
+
+
+def _strip(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+CONV_ITEMS_CTE = """
+items AS (
+  SELECT t.conv_id, t.text AS title, b.text AS body
+  FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) t
+  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) b USING (conv_id))
+"""
+
+LABEL_STRINGS_CTE = """
+ls AS (
+  SELECT doc_id,
+    CASE doc_id % 9
+      WHEN 0 THEN '[' || CAST(doc_id % 28 AS VARCHAR) || ']'
+      WHEN 1 THEN '[' || CAST(doc_id % 28 AS VARCHAR) || ', ' || CAST((doc_id + 3) % 28 AS VARCHAR) || ']'
+      WHEN 2 THEN chr(9) || CAST(doc_id % 28 AS VARCHAR) || chr(10)
+      WHEN 3 THEN ''
+      WHEN 4 THEN NULL
+      WHEN 5 THEN '[]'
+      WHEN 6 THEN '[ ' || CAST(doc_id % 28 AS VARCHAR) || ' ,' || CAST(doc_id % 5 AS VARCHAR) || ',]'
+      WHEN 7 THEN '[' || CAST(doc_id % 28 AS VARCHAR) || ','
+      ELSE CAST(doc_id % 28 AS VARCHAR) || '.5'
+    END AS labels
+  FROM documents),
+lp AS (
+  SELECT doc_id, labels, STRIP AS s FROM ls),
+lo AS (
+  SELECT doc_id, labels, s,
+    CASE WHEN labels IS NULL THEN 'missing'
+         WHEN s = '' THEN 'blank'
+         WHEN regexp_full_match(s, EMPTY) THEN 'empty_list'
+         WHEN regexp_full_match(s, LIST) AND TRY_CAST(regexp_extract(s, LIST, 1) AS INTEGER) IS NOT NULL THEN 'list'
+         WHEN regexp_full_match(s, SCALAR) AND TRY_CAST(s AS INTEGER) IS NOT NULL THEN 'scalar'
+         ELSE 'fallback' END AS outcome
+  FROM lp),
+lab AS (
+  SELECT doc_id, labels, outcome,
+    CAST(CASE outcome
+      WHEN 'list' THEN TRY_CAST(regexp_extract(s, LIST, 1) AS INTEGER)
+      WHEN 'scalar' THEN TRY_CAST(s AS INTEGER)
+      WHEN 'fallback' THEN
+        CASE WHEN regexp_full_match(s, '[+-]?[0-9]+[.][0-9]*') THEN CAST(trunc(CAST(s AS DOUBLE)) AS INTEGER)
+             ELSE 0 END
+      ELSE 0 END AS INTEGER) AS label
+  FROM lo)
+""".replace("STRIP", _strip("labels")).replace("EMPTY", _q(EMPTY_LIST_PATTERN)) \
+   .replace("LIST", _q(LIST_LABEL_PATTERN)).replace("SCALAR", _q(SCALAR_LABEL_PATTERN))
+
+NA_TEXT_CTE = """
+nt AS (
+  SELECT doc_id, lang AS label,
+    CASE doc_id % 11
+      WHEN 0 THEN NULL WHEN 1 THEN 'NA' WHEN 2 THEN 'null' WHEN 3 THEN 'None' WHEN 4 THEN 'none'
+      WHEN 5 THEN ' ' WHEN 6 THEN '' WHEN 7 THEN 'nan' WHEN 8 THEN 'n/a' ELSE text END AS text
+  FROM documents),
+na AS (
+  SELECT doc_id, label,
+    CASE WHEN text IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan',
+                       '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None',
+                       'n/a', 'nan', 'null') THEN NULL ELSE text END AS text
+  FROM nt)
+"""
+
+ISSUE_CTE = """
+iss AS (
+  SELECT doc_id,
+    '{"id": ' || CAST(doc_id AS VARCHAR) || ', "number": ' || CAST(doc_id + 1 AS VARCHAR)
+    || ', "title": "' || source || '", "body": "' || lang || '", "state": "'
+    || (CASE WHEN n_chars % 2 = 0 THEN 'open' ELSE 'closed' END) || '", "comments": '
+    || CAST(n_chars % 50 AS VARCHAR)
+    || (CASE WHEN doc_id % 11 = 0 THEN ', "user": null' WHEN doc_id % 13 = 0 THEN ''
+             ELSE ', "user": {"login": "' || source || '"}' END)
+    || (CASE WHEN doc_id % 7 = 0 THEN ', "pull_request": null'
+             WHEN doc_id % 5 = 0 THEN ', "pull_request": {"url": "pr/' || CAST(doc_id AS VARCHAR) || '"}'
+             ELSE '' END)
+    || '}' AS j
+  FROM documents)
+"""
+
+ORACLE.update({
+    "compose_title_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, "
+        + _strip("coalesce(title, '') || ' ' || coalesce(body, '')") + " AS text FROM items",
+    "compose_title_body": _w(CONV_ITEMS_CTE) + "SELECT conv_id, "
+        + _strip("coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '')") + " AS text FROM items",
+    "drop_empty_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, text FROM (SELECT conv_id, "
+        + _strip("coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '')")
+        + " AS text FROM items) WHERE text <> ''",
+    "json_key_absent": _w(ISSUE_CTE) + """
+SELECT id, number, text, state, comments, "user" FROM (
+  SELECT CAST(json_extract(j, '$.id') AS BIGINT) AS id,
+         CAST(json_extract(j, '$.number') AS BIGINT) AS number,
+         """ + _strip("coalesce(json_extract_string(j, '$.title'), '') || chr(10) || chr(10) || "
+                      "coalesce(json_extract_string(j, '$.body'), '')") + """ AS text,
+         json_extract_string(j, '$.state') AS state,
+         CAST(json_extract(j, '$.comments') AS BIGINT) AS comments,
+         json_extract_string(j, '$.user.login') AS "user"
+  FROM iss WHERE NOT list_contains(json_keys(j), 'pull_request'))
+WHERE text <> ''
+""",
+    "json_nested": _w(ISSUE_CTE)
+        + "SELECT CAST(json_extract(j, '$.id') AS BIGINT) AS id, "
+          "json_extract_string(j, '$.user.login') AS \"user\" FROM iss",
+    "json_project": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, "
+                    "json_extract_string(props, '$.q') AS q FROM events",
+    "first_label": _w(LABEL_STRINGS_CTE) + "SELECT doc_id, labels, label FROM lab",
+    "label_parse_report": _w(LABEL_STRINGS_CTE)
+        + "SELECT outcome, CAST(count(*) AS BIGINT) AS n, "
+          "CAST(sum(CAST(label = 0 AS BIGINT)) AS BIGINT) AS n_default FROM lab GROUP BY outcome",
+    "label_precedence": _w(LABEL_STRINGS_CTE)
+        + "SELECT 'labels' AS src, doc_id, label FROM lab UNION ALL "
+          "SELECT 'label' AS src, doc_id, CAST(quality AS INTEGER) AS label FROM labels",
+    "na_tokens": _w(NA_TEXT_CTE) + "SELECT doc_id, text FROM na",
+    "fill_text": _w(NA_TEXT_CTE) + "SELECT doc_id, coalesce(text, '') AS text FROM na",
+    "drop_missing": _w(NA_TEXT_CTE)
+        + "SELECT doc_id, text, label FROM na WHERE text IS NOT NULL AND label IS NOT NULL",
+    "page_assembly": """
+WITH r AS (
+  SELECT doc_id, lang, source, text, CAST(floor(doc_id / 100) AS BIGINT) AS page,
+         CAST(row_number() OVER (PARTITION BY floor(doc_id / 100) ORDER BY doc_id) - 1 AS BIGINT) AS pos
+  FROM documents),
+sz AS (SELECT page, count(*) AS n FROM r WHERE page >= 0 GROUP BY page),
+od AS (SELECT page, n, row_number() OVER (ORDER BY page) - 1 AS k FROM sz),
+ok AS (SELECT page, n, k,
+              coalesce(bool_and(n = 100 AND page = k) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS prev_ok
+       FROM od)
+SELECT CAST(r.page * 100 + r.pos AS BIGINT) AS row_index, r.doc_id, r.page, r.pos, r.lang, r.source, r.text
+FROM r JOIN ok USING (page) WHERE ok.prev_ok AND ok.page = ok.k
+""",
+    "ranked_lookup": """
+WITH ids AS (
+  SELECT 0 AS list_no, doc_id AS pos, doc_id AS id FROM labels
+  UNION ALL SELECT 1, doc_id, doc_id FROM labels WHERE toxic = 1
+  UNION ALL SELECT 2, CAST(0 AS BIGINT), CAST(-1 AS BIGINT))
+SELECT list_no, pos, id, source, text FROM (
+  SELECT i.list_no, i.pos, i.id, d.source, """ + _strip("' ' || coalesce(d.text, '')") + """ AS text
+  FROM ids i JOIN documents d ON d.doc_id = i.id)
+WHERE text <> ''
+""",
+    "dataset_union": """
+SELECT 'indomain' AS dataset, doc_id AS id, lang, CAST(NULL AS VARCHAR) AS role,
+       CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents
+UNION ALL
+SELECT 'ood_a', conv_id, NULL, role, CAST(length(coalesce(text, '')) AS BIGINT) FROM conversations WHERE turn = 0
+UNION ALL
+SELECT 'ood_b', item_id, NULL, NULL, CAST(length(coalesce(text, '')) AS BIGINT) FROM benchmark
+""",
+})

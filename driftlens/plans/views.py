@@ -46,7 +46,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_of_source(source) -> F.Column:
-    n = F.try_cast(F.regexp_extract(source, r"^src([0-9]+)$", 1), "int")
+    n = F.regexp_extract(source, r"^src([0-9]+)$", 1).try_cast("int")
     return (F.when(n < 10, F.lit(DATASETS[0]))
             .when(n < 15, F.lit(DATASETS[1]))
             .otherwise(F.lit(DATASETS[2])))
