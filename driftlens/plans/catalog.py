@@ -282,3 +282,103 @@ def q_dataset_union(spark, sf_dir):
     u = union_datasets({"indomain": docs, "ood_a": conv, "ood_b": bench})
     return u.select("dataset", "id", "lang", "role",
                     F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"))
+
+
+# ---- classification ----------------------------------------------------------------------
+
+from ..operators import label_index as LI  # noqa: E402
+from ..operators import mllib as ML  # noqa: E402
+from ..operators import naive_bayes as NB  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+from ..operators import tokens as TK  # noqa: E402
+
+
+def _training_rows(spark, sf_dir):
+    t = views.texts(spark, sf_dir).filter(F.col("dataset") == "indomain")
+    return C.drop_missing(t, ["text", "gold"])
+
+
+def _split(spark, sf_dir):
+    return SP.stratified_split(_training_rows(spark, sf_dir), "gold", "row_id")
+
+
+def _nb_model(spark, sf_dir):
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    return NB.fit_nb(train, LI.class_list(train, "gold"), "gold", "text")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("row_id", "gold", "split")
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf_dir):
+    return SP.split_sizes(_split(spark, sf_dir), "gold")
+
+
+@register("label_index")
+def q_label_index(spark, sf_dir):
+    return LI.label_index(_training_rows(spark, sf_dir), "gold").select("label", "label_idx", "n")
+
+
+@register("token_window")
+def q_token_window(spark, sf_dir):
+    w = TK.token_windows(views.texts(spark, sf_dir))
+    return w.select("row_id", "dataset", "n_tokens", "n_kept", "truncated",
+                    F.array_join("tokens", " ").alias("window"))
+
+
+@register("truncation_report")
+def q_truncation_report(spark, sf_dir):
+    return r6(TK.truncation_report(TK.token_windows(views.texts(spark, sf_dir))))
+
+
+@register("nb_model")
+def q_nb_model(spark, sf_dir):
+    return r6(_nb_model(spark, sf_dir).long_table("label"))
+
+
+def _nb_scored(spark, sf_dir, docs=None):
+    model = _nb_model(spark, sf_dir)
+    docs = docs if docs is not None else views.texts(spark, sf_dir)
+    return NB.score_nb(model, docs, keep=("dataset", "gold"))
+
+
+@register("nb_predict")
+def q_nb_predict(spark, sf_dir):
+    return r6(_nb_scored(spark, sf_dir)
+              .select("row_id", "dataset", "gold", "pred_label", "pred_confidence"))
+
+
+def evaluate(pred: DataFrame, gold: str = "gold", label: str = "pred_label") -> DataFrame:
+    """Accuracy and macro-F1 of one prediction set, from one per-label table."""
+    per = M.per_label_counts(pred, gold, label)
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"),
+                                 (F.col("support") + F.col("predicted")).cast("double")), F.lit(0.0))
+    return per.agg(F.sum("support").cast("long").alias("n"),
+                   (F.sum("tp") / F.sum("support")).cast("double").alias("accuracy"),
+                   F.avg(f1).alias("f1_macro"))
+
+
+@register("eval_metrics")
+def q_eval_metrics(spark, sf_dir):
+    val = _split(spark, sf_dir).filter(F.col("split") == "val")
+    return r6(evaluate(_nb_scored(spark, sf_dir, val)))
+
+
+@register("domain_shift")
+def q_domain_shift(spark, sf_dir):
+    s = _nb_scored(spark, sf_dir)
+    c = F.col("gold").eqNullSafe(F.col("pred_label")).cast("long")
+    return r6(s.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(c).alias("n_correct"),
+        F.avg(c.cast("double")).alias("accuracy"),
+        F.avg("pred_confidence").alias("mean_confidence")))
+
+
+@register("lr_fit")
+def q_lr_fit(spark, sf_dir):
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    model = ML.fit_lr(train, "gold", "text")
+    return r6(ML.score_lr(model, views.texts(spark, sf_dir), keep=("row_id", "dataset", "gold")))

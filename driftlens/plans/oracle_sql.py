@@ -348,3 +348,115 @@ UNION ALL
 SELECT 'ood_b', item_id, NULL, NULL, CAST(length(coalesce(text, '')) AS BIGINT) FROM benchmark
 """,
 })
+
+
+# ---- classification ---------------------------------------------------------------------
+
+from ..constants import TOKEN_PATTERN  # noqa: E402
+
+TOK = "regexp_extract_all(lower(coalesce(text, '')), " + _q(TOKEN_PATTERN) + ")"
+
+TEXTS_CTE = """
+texts AS (
+  SELECT doc_id AS row_id, text, lang AS gold,
+    CASE WHEN TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) < 10 THEN 'indomain'
+         WHEN TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) < 15 THEN 'ood_a'
+         ELSE 'ood_b' END AS dataset
+  FROM documents)
+"""
+
+SPLIT_CTE = """
+ind AS (SELECT * FROM texts WHERE dataset = 'indomain' AND text IS NOT NULL AND gold IS NOT NULL),
+cc AS (SELECT gold, count(*) AS n_c FROM ind GROUP BY gold),
+tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n_c)) AS BIGINT) AS nval FROM cc),
+qb AS (SELECT cc.gold, cc.n_c, tot.nval,
+              (CAST(tot.nval AS HUGEINT) * cc.n_c) // tot.n AS base,
+              (CAST(tot.nval AS HUGEINT) * cc.n_c) % tot.n AS rem
+       FROM cc, tot),
+qq AS (SELECT gold, n_c,
+              base + CASE WHEN row_number() OVER (ORDER BY rem DESC, gold) <= nval - sum(base) OVER ()
+                          THEN 1 ELSE 0 END AS q
+       FROM qb),
+ranked AS (
+  SELECT i.*, row_number() OVER (
+      PARTITION BY i.gold
+      ORDER BY CAST('0x' || substr(md5('42:' || CAST(i.row_id AS VARCHAR)), 1, 15) AS BIGINT), i.row_id) AS rk
+  FROM ind i),
+split AS (
+  SELECT r.row_id, r.text, r.gold, r.dataset, CASE WHEN r.rk <= qq.q THEN 'val' ELSE 'train' END AS split
+  FROM ranked r JOIN qq USING (gold)),
+train AS (SELECT * FROM split WHERE split = 'train')
+"""
+
+MODEL_CTE = """
+ttok AS (SELECT gold, unnest(TOK) AS token FROM train),
+cls AS (SELECT DISTINCT gold FROM train),
+vc AS (SELECT token, gold, count(*) AS n FROM ttok GROUP BY token, gold),
+voc AS (SELECT DISTINCT token FROM ttok),
+vs AS (SELECT count(*) AS v FROM voc),
+tt AS (SELECT c.gold, coalesce(sum(vc.n), 0) AS total FROM cls c LEFT JOIN vc USING (gold) GROUP BY c.gold),
+model AS (
+  SELECT voc.token, tt.gold AS label,
+         ln((coalesce(vc.n, 0) + 1.0) / (tt.total + 1.0 * vs.v)) AS log_prob
+  FROM voc CROSS JOIN tt CROSS JOIN vs
+  LEFT JOIN vc ON vc.token = voc.token AND vc.gold = tt.gold)
+""".replace("TOK", TOK)
+
+PREDICT_CTE = """
+prior AS (SELECT gold AS label, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM train)) AS lp
+          FROM train GROUP BY gold),
+dtok AS (SELECT row_id, unnest(TOK) AS token FROM docs),
+dsum AS (SELECT d.row_id, m.label, sum(m.log_prob) AS s
+         FROM dtok d JOIN model m ON m.token = d.token GROUP BY d.row_id, m.label),
+lg AS (SELECT t.row_id, t.dataset, t.gold, p.label, p.lp + coalesce(dsum.s, 0.0) AS logit
+       FROM docs t CROSS JOIN prior p
+       LEFT JOIN dsum ON dsum.row_id = t.row_id AND dsum.label = p.label),
+mx AS (SELECT *, max(logit) OVER (PARTITION BY row_id) AS m,
+              row_number() OVER (PARTITION BY row_id ORDER BY logit DESC, label) AS rn
+       FROM lg),
+pred AS (SELECT row_id, dataset, gold, max(CASE WHEN rn = 1 THEN label END) AS pred_label,
+                1.0 / sum(exp(logit - m)) AS pred_confidence
+         FROM mx GROUP BY row_id, dataset, gold)
+""".replace("TOK", TOK)
+
+ORACLE.update({
+    "stratified_split": _w(TEXTS_CTE, SPLIT_CTE) + "SELECT row_id, gold, split FROM split",
+    "split_sizes": _w(TEXTS_CTE, SPLIT_CTE)
+        + "SELECT split, gold, CAST(count(*) AS BIGINT) AS n FROM split GROUP BY split, gold",
+    "label_index": _w(TEXTS_CTE) + """
+SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx, n FROM (
+  SELECT gold AS label, CAST(count(*) AS BIGINT) AS n FROM texts
+  WHERE dataset = 'indomain' AND text IS NOT NULL AND gold IS NOT NULL GROUP BY gold)
+""",
+    "token_window": _w(TEXTS_CTE, f"tw AS (SELECT row_id, dataset, {TOK} AS toks FROM texts)") + """
+SELECT row_id, dataset, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(toks[1:128]) AS INTEGER) AS n_kept,
+       len(toks) > 128 AS truncated,
+       array_to_string(list_concat(toks[1:128],
+                                   list_transform(range(128 - len(toks[1:128])), lambda x: '[PAD]')), ' ') AS window
+FROM tw
+""",
+    "truncation_report": _w(TEXTS_CTE, f"tw AS (SELECT dataset, len({TOK}) AS n FROM texts)") + """
+SELECT dataset, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(n > 128 AS BIGINT)) AS BIGINT) AS n_truncated,
+       CAST(sum(n) AS BIGINT) AS tokens_total, CAST(sum(least(n, 128)) AS BIGINT) AS tokens_kept,
+       round(avg(CAST(n > 128 AS DOUBLE)), 6) AS share_truncated
+FROM tw GROUP BY dataset
+""",
+    "nb_model": _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE)
+        + "SELECT token, label, round(log_prob, 6) AS log_prob FROM model",
+    "nb_predict": _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE, "docs AS (SELECT * FROM texts)", PREDICT_CTE)
+        + "SELECT row_id, dataset, gold, pred_label, round(pred_confidence, 6) AS pred_confidence FROM pred",
+    "eval_metrics": _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE,
+                       "docs AS (SELECT row_id, text, gold, dataset FROM split WHERE split = 'val')",
+                       PREDICT_CTE, PER_LABEL_CTE.format(src="pred")) + """
+SELECT CAST(sum(support) AS BIGINT) AS n, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
+       round(avg(coalesce(2.0 * tp / nullif(CAST(support + predicted AS DOUBLE), 0), 0.0)), 6) AS f1_macro
+FROM per_label
+""",
+    "domain_shift": _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE, "docs AS (SELECT * FROM texts)", PREDICT_CTE) + """
+SELECT dataset, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CAST(gold IS NOT DISTINCT FROM pred_label AS BIGINT)) AS BIGINT) AS n_correct,
+       round(avg(CAST(gold IS NOT DISTINCT FROM pred_label AS DOUBLE)), 6) AS accuracy,
+       round(avg(pred_confidence), 6) AS mean_confidence
+FROM pred GROUP BY dataset
+""",
+})
