@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from ..constants import TOKEN_PATTERN
 
 
-def lr_pipeline(label: str = "gold", text: str = "text", num_features: int = 1 << 18,
-                max_iter: int = 30, reg: float = 0.0) -> Pipeline:
+def lr_pipeline(label: str = "gold", text: str = "text", num_features: int = 1 << 16,
+                max_iter: int = 20, reg: float = 1e-3) -> Pipeline:
     return Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
+        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
                        toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
@@ -34,9 +33,12 @@ def fit_lr(train: DataFrame, label: str = "gold", text: str = "text", **kw) -> P
 
 def score_lr(model: PipelineModel, docs: DataFrame, text: str = "text", keep=(),
              label_col: str = "pred_label", conf_col: str = "pred_confidence") -> DataFrame:
+    # The label indexer is a training-time stage: scored rows may carry
+    # labels never seen in training (or none), so only the feature and
+    # classifier stages run here.
     indexer = model.stages[0]
     src = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    pred = model.transform(src)
+    pred = PipelineModel(stages=model.stages[1:]).transform(src)
     back = IndexToString(inputCol="prediction", outputCol=label_col, labels=indexer.labels)
     out = back.transform(pred)
     return out.select(*keep, label_col,

@@ -9,7 +9,7 @@ Score: each document's tokens are joined to the model on ``token`` (left
 join: out-of-vocabulary tokens add nothing) and summed per document, one
 sum per class column, so a (document, token) row meets the model once
 instead of once per class. Class priors and totals are one-row aggregates
-used as scalar subqueries. When the vocabulary is small AQE turns the
+are one-row aggregates. When the vocabulary is small AQE turns the
 token join into a broadcast at run time from the measured size; when it is
 large the join stays sort-merge and AQE splits the partitions of hot
 tokens (skew join).
@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 from ..constants import NB_ALPHA
 from ..functions.scores import argmax, softmax
+from ..checks import broadcast_if_bounded
+from ..session import cut_lineage
+
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 from .tokens import tokenize
 
 
@@ -31,7 +35,8 @@ from .tokens import tokenize
 class NBModel:
     classes: list            # label values, in column order
     table: DataFrame         # token, lp_0 .. lp_{C-1}
-    log_prior: DataFrame     # one row: log_prior array<double>
+    log_prior: list          # one log prior per class, in column order
+    materialized: bool = False
 
     def lp_cols(self):
         return [f"lp_{i}" for i in range(len(self.classes))]
@@ -44,7 +49,7 @@ class NBModel:
 
 
 def fit_nb(train: DataFrame, classes: list, label: str = "gold", text: str = "text",
-           alpha: float = NB_ALPHA) -> NBModel:
+           alpha: float = NB_ALPHA, materialize: bool = True) -> NBModel:
     toks = train.select(F.col(label).alias("_y"), F.explode(tokenize(text)).alias("token"))
     counts = (toks.groupBy("token").pivot("_y", list(classes)).agg(F.count(F.lit(1)))
                   .fillna(0, subset=[str(c) for c in classes]))
@@ -58,11 +63,17 @@ def fit_nb(train: DataFrame, classes: list, label: str = "gold", text: str = "te
                 (F.element_at(stats.getField("tot"), i + 1).cast("double") + F.lit(alpha) * vocab))
            .alias(f"lp_{i}") for i, c in enumerate(cnt_cols)]
     table = counts.select("token", *lps)
+    if materialize:
+        # Fitting is a job of its own: the model is written to the shared
+        # checkpoint folder, so scoring plans read a small materialised
+        # table (its size known to the planner) instead of re-running the
+        # fit, and survive executor loss without recomputing it.
+        table = cut_lineage(table)
     n_docs = F.count(F.lit(1))
-    prior = train.agg(F.array(*[
+    prior_row = train.agg(F.array(*[
         F.ln(F.sum((F.col(label) == F.lit(c)).cast("double")) / n_docs) for c in classes
-    ]).alias("log_prior"))
-    return NBModel(list(classes), table, prior)
+    ]).alias("log_prior")).first()
+    return NBModel(list(classes), table, list(prior_row["log_prior"]), materialize)
 
 
 def score_nb(model: NBModel, docs: DataFrame, text: str = "text", id_col: str = "row_id",
@@ -71,11 +82,17 @@ def score_nb(model: NBModel, docs: DataFrame, text: str = "text", id_col: str =
     class, its probability, and the per-class log scores."""
     keys = [id_col, *keep]
     toks = docs.select(*keys, F.explode_outer(tokenize(text)).alias("token"))
-    joined = toks.join(model.table, "token", "left")
+    table = model.table
+    if model.materialized:
+        # The model is on disk, so checking its row count is cheap. Under
+        # the bound the join is a map-side broadcast and no token row is
+        # shuffled; above it, sort-merge on token with AQE skew splitting.
+        row_bytes = 8 * len(model.classes) + 48
+        table = broadcast_if_bounded(table, max(1, MAX_BROADCAST_BYTES // row_bytes))
+    joined = toks.join(table, "token", "left")
     sums = joined.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
                                        for c in model.lp_cols()])
-    prior = model.log_prior.select("log_prior").scalar()
-    logits = F.array(*[F.element_at(prior, i + 1) + F.col(c) for i, c in enumerate(model.lp_cols())])
+    logits = F.array(*[F.lit(float(p)) + F.col(c) for p, c in zip(model.log_prior, model.lp_cols())])
     classes = F.array(*[F.lit(c) for c in model.classes])
     out = sums.select(*keys, logits.alias("logits"))
     return out.select(*keys, "logits",

@@ -7,9 +7,8 @@ md5 hash of the row id, and the first ``quota`` rows are validation.
 
 Skew: a class may hold a large share of all rows, so rows are never ranked
 per class. Instead a per-class histogram over the top hash bits (partially
-aggregated) locates the bucket holding each class's cut point; rows below
-it are validation, above it training, and only the rows in that one
-boundary bucket per class are ranked.
+aggregated) locates the bucket holding each class's cut point, and only the
+rows of that one boundary bucket per class are ranked to find the exact cut.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..checks import broadcast_if_bounded
 from ..constants import SEED, VAL_FRACTION
+from ..session import cut_lineage
 
 HASH_BITS = 60
 BUCKET_BITS = 16
@@ -61,34 +61,44 @@ def class_quotas(counts: DataFrame, label: str, frac: float = VAL_FRACTION,
 def stratified_split(df: DataFrame, label: str = "gold", id_col: str = "row_id",
                      frac: float = VAL_FRACTION, seed: int = SEED, out: str = "split",
                      allow_singletons: bool = False) -> DataFrame:
-    """All input columns plus ``split`` in {'train', 'val'}."""
+    """All input columns plus ``split`` in {'train', 'val'}.
+
+    Passes: (1) a histogram of (class, hash bucket) over the id and label
+    columns only; (2) the rows of each class's boundary bucket (about
+    ``n_c / 65536`` of them) are ranked to give the class's exact cut
+    ``(hash, id)``; (3) one pass over the full rows compares each row with
+    its class's cut. The per-class tables are written to the checkpoint
+    folder and broadcast only after their row count is checked."""
     shift = HASH_BITS - BUCKET_BITS
-    rows = (df.withColumn("_h", split_hash(id_col, seed))
+    keys = (df.select(label, id_col)
+              .withColumn("_h", split_hash(id_col, seed))
               .withColumn("_b", F.shiftright(F.col("_h"), shift)))
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    hist = keys.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = hist.groupBy(label).agg(F.sum("cnt").alias("n_c"))
     quotas = class_quotas(counts, label, frac, allow_singletons)
-
-    hist = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("cnt"))
     cum = F.sum("cnt").over(Window.partitionBy(label).orderBy("_b")
                             .rowsBetween(Window.unboundedPreceding, 0))
-    hist = hist.withColumn("cum", cum).join(quotas, label)
     before = F.col("cum") - F.col("cnt")
-    boundary = (hist.filter((before < F.col("q")) & (F.col("cum") >= F.col("q")))
-                    .select(label, F.col("_b").alias("_bb"), (F.col("q") - before).alias("_need")))
-    cls = (quotas.join(boundary, label, "left")
-                 .select(label, F.coalesce("_bb", F.lit(-1)).alias("_bb"),
-                         F.coalesce("_need", F.lit(0)).alias("_need")))
-    # One row per class; broadcast only when that is proven small.
-    tagged = rows.join(broadcast_if_bounded(cls, MAX_CLASSES), label)
-    clear = (tagged.filter(F.col("_b") != F.col("_bb"))
-                   .withColumn(out, F.when(F.col("_b") < F.col("_bb"), F.lit("val"))
-                                     .otherwise(F.lit("train"))))
-    w = Window.partitionBy(label, "_b").orderBy("_h", id_col)
-    edge = (tagged.filter(F.col("_b") == F.col("_bb"))
-                  .withColumn(out, F.when(F.row_number().over(w) <= F.col("_need"), F.lit("val"))
-                                    .otherwise(F.lit("train"))))
-    cols = df.columns + [out]
-    return clear.select(*cols).unionByName(edge.select(*cols))
+    boundary = (hist.withColumn("cum", cum).join(quotas, label)
+                    .filter((before < F.col("q")) & (F.col("cum") >= F.col("q")))
+                    .select(label, "_b", (F.col("q") - before).alias("_need")))
+    boundary = broadcast_if_bounded(cut_lineage(boundary), MAX_CLASSES)
+
+    # Rank only the boundary bucket of each class; its need-th row is the cut.
+    w = Window.partitionBy(label).orderBy("_h", id_col)
+    cuts = (keys.join(boundary, [label, "_b"])
+                .withColumn("_rk", F.row_number().over(w))
+                .filter(F.col("_rk") == F.col("_need"))
+                .select(label, F.col("_h").alias("_ch"), F.col(id_col).alias("_cid")))
+    cuts = broadcast_if_bounded(cut_lineage(cuts), MAX_CLASSES)
+
+    h = split_hash(id_col, seed)
+    is_val = F.coalesce((h < F.col("_ch")) |
+                        ((h == F.col("_ch")) & (F.col(id_col) <= F.col("_cid"))), F.lit(False))
+    # Left join: a class with a zero quota has no cut and is all training.
+    return (df.join(cuts, label, "left")
+              .withColumn(out, F.when(is_val, F.lit("val")).otherwise(F.lit("train")))
+              .select(*df.columns, out))
 
 
 def split_sizes(split: DataFrame, label: str = "gold", col: str = "split") -> DataFrame:

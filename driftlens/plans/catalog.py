@@ -290,6 +290,7 @@ from ..operators import label_index as LI  # noqa: E402
 from ..operators import mllib as ML  # noqa: E402
 from ..operators import naive_bayes as NB  # noqa: E402
 from ..operators import split as SP  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 from ..operators import tokens as TK  # noqa: E402
 
 
@@ -302,8 +303,15 @@ def _split(spark, sf_dir):
     return SP.stratified_split(_training_rows(spark, sf_dir), "gold", "row_id")
 
 
-def _nb_model(spark, sf_dir):
-    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+def _materialized_split(spark, sf_dir):
+    """The split is read by several jobs (class list, fit, priors,
+    evaluation): write it once to the checkpoint folder."""
+    return cut_lineage(_split(spark, sf_dir))
+
+
+def _nb_model(spark, sf_dir, split=None):
+    sp = split if split is not None else _materialized_split(spark, sf_dir)
+    train = sp.filter(F.col("split") == "train")
     return NB.fit_nb(train, LI.class_list(train, "gold"), "gold", "text")
 
 
@@ -339,8 +347,8 @@ def q_nb_model(spark, sf_dir):
     return r6(_nb_model(spark, sf_dir).long_table("label"))
 
 
-def _nb_scored(spark, sf_dir, docs=None):
-    model = _nb_model(spark, sf_dir)
+def _nb_scored(spark, sf_dir, docs=None, split=None):
+    model = _nb_model(spark, sf_dir, split)
     docs = docs if docs is not None else views.texts(spark, sf_dir)
     return NB.score_nb(model, docs, keep=("dataset", "gold"))
 
@@ -363,8 +371,9 @@ def evaluate(pred: DataFrame, gold: str = "gold", label: str = "pred_label") ->
 
 @register("eval_metrics")
 def q_eval_metrics(spark, sf_dir):
-    val = _split(spark, sf_dir).filter(F.col("split") == "val")
-    return r6(evaluate(_nb_scored(spark, sf_dir, val)))
+    sp = _materialized_split(spark, sf_dir)
+    val = sp.filter(F.col("split") == "val")
+    return r6(evaluate(_nb_scored(spark, sf_dir, val, split=sp)))
 
 
 @register("domain_shift")
@@ -379,6 +388,6 @@ def q_domain_shift(spark, sf_dir):
 
 @register("lr_fit")
 def q_lr_fit(spark, sf_dir):
-    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    train = _materialized_split(spark, sf_dir).filter(F.col("split") == "train")
     model = ML.fit_lr(train, "gold", "text")
     return r6(ML.score_lr(model, views.texts(spark, sf_dir), keep=("row_id", "dataset", "gold")))
