@@ -14,7 +14,7 @@ from ..constants import TOKEN_PATTERN
 
 
 def lr_pipeline(label: str = "gold", text: str = "text", num_features: int = 1 << 16,
-                max_iter: int = 20, reg: float = 1e-3) -> Pipeline:
+                max_iter: int = 10, reg: float = 1e-3) -> Pipeline:
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
@@ -28,6 +28,11 @@ def lr_pipeline(label: str = "gold", text: str = "text", num_features: int = 1 <
 
 def fit_lr(train: DataFrame, label: str = "gold", text: str = "text", **kw) -> PipelineModel:
     src = train.select(label, F.coalesce(F.col(text), F.lit("")).alias(text))
+    # Every optimiser iteration is a pass over the training rows: spread
+    # them over at least one partition per core (a no-op on large inputs).
+    par = train.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < par:
+        src = src.repartition(par)
     return lr_pipeline(label, text, **kw).fit(src)
 
 

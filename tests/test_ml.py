@@ -1,0 +1,125 @@
+"""Split, token windows, Naive Bayes (against a numpy brute force), MLlib."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from driftlens.constants import MAX_TOKENS
+from driftlens.operators import label_index as LI
+from driftlens.operators import mllib as ML
+from driftlens.operators import naive_bayes as NB
+from driftlens.operators import split as SP
+from driftlens.operators import tokens as TK
+from driftlens.plans import views
+from tests.conftest import SF_SMALL
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return views.texts(spark, SF_SMALL).cache()
+
+
+def test_split_exact_sizes_and_disjoint(spark):
+    sizes = {"a": 37, "b": 11, "c": 2, "d": 150}
+    rows = [(j, k) for j, k in enumerate(k for k, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "row_id long, gold string")
+    out = SP.stratified_split(df, "gold", "row_id").collect()
+    assert len(out) == len(rows) and len({r.row_id for r in out}) == len(rows)
+    n = len(rows)
+    n_val = math.ceil(0.2 * n)
+    val = Counter(r.gold for r in out if r.split == "val")
+    assert sum(val.values()) == n_val
+    for k, c in sizes.items():
+        assert abs(val[k] - 0.2 * c) < 1.0 + 1e-9
+    # same split under another partitioning
+    again = SP.stratified_split(df.repartition(7), "gold", "row_id").collect()
+    assert {(r.row_id, r.split) for r in again} == {(r.row_id, r.split) for r in out}
+
+
+def test_split_is_prefix_of_hash_order(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(500)], "row_id long, gold string")
+    out = SP.stratified_split(df, "gold", "row_id")
+    h = out.withColumn("h", SP.split_hash("row_id")).collect()
+    order = sorted(h, key=lambda r: (r.h, r.row_id))
+    assert [r.split for r in order] == ["val"] * 100 + ["train"] * 400
+
+
+def test_split_rejects_singletons(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "row_id long, gold string")
+    with pytest.raises(Exception, match="fewer than 2"):
+        SP.stratified_split(df, "gold", "row_id").collect()
+    out = SP.stratified_split(df, "gold", "row_id", allow_singletons=True).collect()
+    assert [r.split for r in out if r.gold == "b"] == ["train"]
+
+
+def test_token_windows(spark):
+    text = " ".join(f"W{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text), (2, "Héllo, wörld! 42"), (3, None), (4, "")], "id long, text string")
+    w = {r.id: r for r in TK.token_windows(df).collect()}
+    assert w[1].n_tokens == 200 and w[1].truncated and w[1].n_kept == MAX_TOKENS
+    assert w[1].tokens[:2] == ["w0", "w1"] and len(w[1].tokens) == MAX_TOKENS
+    assert w[2].tokens[:3] == ["héllo", "wörld", "42"] and w[2].tokens[3] == "[PAD]"
+    assert sum(w[2].mask) == 3 and not w[2].truncated
+    assert w[3].n_tokens == 0 and len(w[3].tokens) == MAX_TOKENS
+    rep = TK.truncation_report(TK.token_windows(df.withColumn("dataset", F.lit("d")))).first()
+    assert rep.n_rows == 4 and rep.n_truncated == 1 and rep.tokens_total == 203
+
+
+def test_label_index_dense(spark):
+    df = spark.createDataFrame([(3,), (27,), (3,), (0,)], "gold int")
+    got = [(r.label, r.label_idx, r.n) for r in LI.label_index(df).orderBy("label").collect()]
+    assert got == [(0, 0, 1), (3, 1, 2), (27, 2, 1)]
+
+
+def _brute_force_nb(train, docs, classes, alpha=1.0):
+    tok = regex.compile(r"[\p{L}\p{N}]+")
+    counts = {c: Counter() for c in classes}
+    ndocs = Counter()
+    for y, t in train:
+        ndocs[y] += 1
+        counts[y].update(tok.findall((t or "").lower()))
+    vocab = set().union(*counts.values())
+    tot = {c: sum(counts[c].values()) for c in classes}
+    out = []
+    for t in docs:
+        toks = [w for w in tok.findall((t or "").lower()) if w in vocab]
+        logits = np.array([math.log(ndocs[c] / len(train)) +
+                           sum(math.log((counts[c][w] + alpha) / (tot[c] + alpha * len(vocab))) for w in toks)
+                           for c in classes])
+        p = np.exp(logits - logits.max())
+        out.append((classes[int(np.argmax(logits))], float(p.max() / p.sum())))
+    return out
+
+
+def test_naive_bayes_matches_brute_force(spark, texts):
+    sp = SP.stratified_split(texts.filter("dataset = 'indomain'"), "gold", "row_id")
+    train = sp.filter("split = 'train'")
+    classes = LI.class_list(train, "gold")
+    model = NB.fit_nb(train, classes)
+    docs = texts.orderBy("row_id").collect()
+    scored = {r.row_id: r for r in NB.score_nb(model, texts).collect()}
+    expect = _brute_force_nb([(r.gold, r.text) for r in train.collect()], [d.text for d in docs], classes)
+    for d, (lab, conf) in zip(docs, expect):
+        assert scored[d.row_id].pred_label == lab
+        assert math.isclose(scored[d.row_id].pred_confidence, conf, rel_tol=1e-9, abs_tol=1e-12)
+    # empty and missing texts are scored by the priors alone
+    extra = spark.createDataFrame([(-1, None), (-2, "")], "row_id long, text string")
+    pri = NB.score_nb(model, extra).collect()
+    assert len(pri) == 2 and {r.pred_label for r in pri} == {classes[int(np.argmax(model.log_prior))]}
+
+
+def test_lr_pipeline_fits_and_scores(spark, texts, tmp_dir):
+    sp = SP.stratified_split(texts.filter("dataset = 'indomain'"), "gold", "row_id")
+    model = ML.fit_lr(sp.filter("split = 'train'"), max_iter=5)
+    ML.save_model(model, tmp_dir + "/lr")
+    again = ML.load_model(tmp_dir + "/lr")
+    out = ML.score_lr(again, texts, keep=("row_id", "gold"))
+    rows = out.collect()
+    assert len(rows) == texts.count()
+    assert all(0.0 < r.pred_confidence <= 1.0 for r in rows)
+    acc = sum(r.gold == r.pred_label for r in rows) / len(rows)
+    assert acc > 0.5
