@@ -26,7 +26,7 @@ def label_stats(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
     """Support and accuracy per gold label, largest support first (ties by
     label id). Partial aggregation keeps a dominant label cheap."""
     c = F.col(gold).eqNullSafe(F.col(pred)).cast("int")
-    return (df.groupBy(F.col(gold).cast("int").alias(label_name))
+    return (df.groupBy(F.col(gold).alias(label_name))
               .agg(F.count(F.lit(1)).alias("support"), F.avg(c).alias("accuracy"))
               .orderBy(F.desc("support"), F.asc(label_name)))
 

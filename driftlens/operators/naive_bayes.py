@@ -17,6 +17,7 @@ tokens (skew join).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ from ..checks import broadcast_if_bounded
 from ..session import cut_lineage
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+MAX_CLASSES = 100_000
 from .tokens import tokenize
 
 
@@ -48,8 +50,27 @@ class NBModel:
         return self.table.select("token", F.inline(rows))
 
 
-def fit_nb(train: DataFrame, classes: list, label: str = "gold", text: str = "text",
+def class_doc_counts(train: DataFrame, label: str = "gold",
+                     max_classes: int = MAX_CLASSES) -> dict:
+    """Documents per class. Only this label-level table reaches the driver,
+    after checking it has at most ``max_classes`` rows."""
+    rows = (train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+                 .limit(max_classes + 1).collect())
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {label!r}")
+    return {r[0]: r[1] for r in rows}
+
+
+def fit_nb(train: DataFrame, classes: list | None = None, label: str = "gold", text: str = "text",
            alpha: float = NB_ALPHA, materialize: bool = True) -> NBModel:
+    """Fit on ``train``; ``classes`` fixes the class order (default: sorted
+    labels of ``train``). A class without training documents gets probability 0
+    (log prior -inf)."""
+    docs_per_class = class_doc_counts(train, label)
+    classes = sorted(docs_per_class) if classes is None else list(classes)
+    n_docs = sum(docs_per_class.values())
+    log_prior = [math.log(docs_per_class[c] / n_docs) if docs_per_class.get(c) else float("-inf")
+                 for c in classes]
     toks = train.select(F.col(label).alias("_y"), F.explode(tokenize(text)).alias("token"))
     counts = (toks.groupBy("token").pivot("_y", list(classes)).agg(F.count(F.lit(1)))
                   .fillna(0, subset=[str(c) for c in classes]))
@@ -69,11 +90,7 @@ def fit_nb(train: DataFrame, classes: list, label: str = "gold", text: str = "te
         # table (its size known to the planner) instead of re-running the
         # fit, and survive executor loss without recomputing it.
         table = cut_lineage(table)
-    n_docs = F.count(F.lit(1))
-    prior_row = train.agg(F.array(*[
-        F.ln(F.sum((F.col(label) == F.lit(c)).cast("double")) / n_docs) for c in classes
-    ]).alias("log_prior")).first()
-    return NBModel(list(classes), table, list(prior_row["log_prior"]), materialize)
+    return NBModel(list(classes), table, log_prior, materialize)
 
 
 def score_nb(model: NBModel, docs: DataFrame, text: str = "text", id_col: str = "row_id",
@@ -98,3 +115,20 @@ def score_nb(model: NBModel, docs: DataFrame, text: str = "text", id_col: str =
     return out.select(*keys, "logits",
                       F.element_at(classes, argmax("logits") + 1).alias(label_col),
                       F.array_max(softmax("logits")).alias(conf_col))
+
+
+def save_nb(model: NBModel, path: str) -> None:
+    """Model directory: ``table`` (parquet, one row per token) and ``meta``
+    (one row: classes as strings with their type, log priors)."""
+    spark = model.table.sparkSession
+    model.table.write.mode("overwrite").parquet(f"{path}/table")
+    kind = "int" if all(isinstance(c, int) for c in model.classes) else "string"
+    meta = spark.createDataFrame([([str(c) for c in model.classes], kind, model.log_prior)],
+                                 "classes array<string>, kind string, log_prior array<double>")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_nb(spark, path: str) -> NBModel:
+    m = spark.read.parquet(f"{path}/meta").first()
+    classes = [int(c) for c in m.classes] if m.kind == "int" else list(m.classes)
+    return NBModel(classes, spark.read.parquet(f"{path}/table"), list(m.log_prior), True)

@@ -15,7 +15,7 @@ from ..constants import DATASETS, HIST_BINS
 def label_distribution(df: DataFrame, label: str = "pred_label", by: str = "dataset") -> DataFrame:
     """Share of each label within each dataset (nulls excluded), by label."""
     counts = (df.filter(F.col(label).isNotNull())
-                .groupBy(F.col(by).alias("dataset"), F.col(label).cast("int").alias("label"))
+                .groupBy(F.col(by).alias("dataset"), F.col(label).alias("label"))
                 .agg(F.count(F.lit(1)).alias("n")))
     total = F.sum("n").over(Window.partitionBy("dataset"))
     return (counts.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), total),
@@ -104,7 +104,7 @@ def confusion_topk(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred_
     from .metrics import topk_labels
     top = topk_labels(df, k, col=gold).select("label", "rank")
     top_b = F.broadcast(top)
-    kept = (df.select(F.col(gold).cast("int").alias("gold"), F.col(pred).cast("int").alias("pred"))
+    kept = (df.select(F.col(gold).alias("gold"), F.col(pred).alias("pred"))
               .join(top_b.select(F.col("label").alias("gold")), "gold", "left_semi")
               .join(top_b.select(F.col("label").alias("pred")), "pred", "left_semi"))
     counts = kept.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))

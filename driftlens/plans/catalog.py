@@ -290,7 +290,6 @@ from ..operators import label_index as LI  # noqa: E402
 from ..operators import mllib as ML  # noqa: E402
 from ..operators import naive_bayes as NB  # noqa: E402
 from ..operators import split as SP  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
 from ..operators import tokens as TK  # noqa: E402
 
 
@@ -304,15 +303,17 @@ def _split(spark, sf_dir):
 
 
 def _materialized_split(spark, sf_dir):
-    """The split is read by several jobs (class list, fit, priors,
-    evaluation): write it once to the checkpoint folder."""
-    return cut_lineage(_split(spark, sf_dir))
+    """The split as read by several jobs (class list, fit, priors,
+    evaluation). Its per-class cut table is already on disk, so re-reading
+    the split is one scan with a map-side broadcast join and no shuffle;
+    copying the whole split (text included) would cost more at scale."""
+    return _split(spark, sf_dir)
 
 
 def _nb_model(spark, sf_dir, split=None):
     sp = split if split is not None else _materialized_split(spark, sf_dir)
     train = sp.filter(F.col("split") == "train")
-    return NB.fit_nb(train, LI.class_list(train, "gold"), "gold", "text")
+    return NB.fit_nb(train, None, "gold", "text")
 
 
 @register("stratified_split")
@@ -391,3 +392,21 @@ def q_lr_fit(spark, sf_dir):
     train = _materialized_split(spark, sf_dir).filter(F.col("split") == "train")
     model = ML.fit_lr(train, "gold", "text")
     return r6(ML.score_lr(model, views.texts(spark, sf_dir), keep=("row_id", "dataset", "gold")))
+
+
+# ---- external model scored in batches ----------------------------------------------------
+
+from ..operators import external as EX  # noqa: E402
+
+
+@register("batch_score")
+def q_batch_score(spark, sf_dir):
+    """The scored view's predictions recomputed through the batched
+    external-model path; must equal ``score_softmax``."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    src = emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("gold"),
+                     views.dataset_of_row(F.col("vec_id")).alias("dataset"),
+                     F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    out = EX.score_external(src, "x", EX.leading_logits_model(views.N_LOGITS, views.LOGIT_SCALE),
+                            [64])
+    return r6(out.select("row_id", "gold", "dataset", "pred_label", "pred_confidence"))

@@ -460,3 +460,5 @@ SELECT dataset, CAST(count(*) AS BIGINT) AS n,
 FROM pred GROUP BY dataset
 """,
 })
+
+ORACLE["batch_score"] = ORACLE["score_softmax"]

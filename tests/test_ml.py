@@ -100,6 +100,7 @@ def test_naive_bayes_matches_brute_force(spark, texts):
     train = sp.filter("split = 'train'")
     classes = LI.class_list(train, "gold")
     model = NB.fit_nb(train, classes)
+    assert model.classes == classes
     docs = texts.orderBy("row_id").collect()
     scored = {r.row_id: r for r in NB.score_nb(model, texts).collect()}
     expect = _brute_force_nb([(r.gold, r.text) for r in train.collect()], [d.text for d in docs], classes)
