@@ -86,18 +86,25 @@ def macro_f1(df: DataFrame, gold: str = "gold", pred: str = "pred_label") -> Dat
 def gold_pred_join(gold: DataFrame, pred: DataFrame, key: str = "row_id") -> DataFrame:
     """Row-aligned join of gold rows and prediction rows on an explicit key.
 
-    Alignment is asserted lazily inside the same job: a full outer join on
-    the key flags unmatched rows, and a count per key (computed over the
-    join's own hash partitioning, so no extra shuffle) flags duplicates.
-    Either raises at execution instead of silently dropping rows."""
-    g = gold.withColumn("_g", F.lit(True))
-    p = pred.withColumn("_p", F.lit(True))
-    j = g.join(p, on=key, how="full_outer")
-    dup = F.count(F.lit(1)).over(Window.partitionBy(key))
-    checked = j.withColumn(
-        "_ok",
-        F.when(F.col("_g").isNull() | F.col("_p").isNull(),
-               F.raise_error(F.lit("gold and prediction rows are not aligned on the key")))
-         .when(dup > 1, F.raise_error(F.lit("duplicate key in gold or prediction rows")))
-         .otherwise(F.lit(True)))
-    return checked.filter(F.col("_ok")).drop("_g", "_p", "_ok")
+    Alignment is 1:1 by contract, so the join is done as one aggregation:
+    both sides are stacked and grouped by the key (a single shuffle), each
+    group taking its side's values. The same pass checks the contract: a
+    key seen on one side only, or twice on a side, raises at execution
+    instead of silently dropping or duplicating rows."""
+    gcols = [c for c in gold.columns if c != key]
+    pcols = [c for c in pred.columns if c != key]
+    clash = set(gcols) & set(pcols)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    g = gold.withColumn("_g", F.lit(1))
+    p = pred.withColumn("_p", F.lit(1))
+    both = g.unionByName(p, allowMissingColumns=True)
+    agg = both.groupBy(key).agg(
+        F.sum("_g").alias("_ng"), F.sum("_p").alias("_np"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in gcols + pcols])
+    ok = (F.when(F.coalesce("_ng", F.lit(0)) * F.coalesce("_np", F.lit(0)) == 0,
+                 F.raise_error(F.lit("gold and prediction rows are not aligned on the key")))
+           .when((F.col("_ng") > 1) | (F.col("_np") > 1),
+                 F.raise_error(F.lit("duplicate key in gold or prediction rows")))
+           .otherwise(F.lit(True)))
+    return agg.filter(ok).select(key, *gcols, *pcols)

@@ -100,21 +100,23 @@ def confusion_topk(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred_
     """Dense k x k confusion counts over the k most frequent gold labels.
 
     A row counts only when both its gold and its predicted label are in the
-    top-k set (two semi-joins against a broadcast of at most k rows)."""
+    top-k set. The set (at most k labels, by ``limit k``) is computed once
+    and enters the plan as a scalar subquery holding a k-element array:
+    membership is ``array_contains`` on each row, with no join at all."""
     from .metrics import topk_labels
-    top = topk_labels(df, k, col=gold).select("label", "rank")
-    top_b = F.broadcast(top)
+    top = topk_labels(df, k, col=gold)
+    labels = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))),
+                                 lambda s: s.getField("label")).alias("t")).scalar()
     kept = (df.select(F.col(gold).alias("gold"), F.col(pred).alias("pred"))
-              .join(top_b.select(F.col("label").alias("gold")), "gold", "left_semi")
-              .join(top_b.select(F.col("label").alias("pred")), "pred", "left_semi"))
+              .filter(F.array_contains(labels, F.col("gold")) & F.array_contains(labels, F.col("pred"))))
     counts = kept.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-    # The k x k grid: pair ranks (i, j) generated by range, then mapped to
-    # labels by two equi-joins with the k-row table.
+    # The k x k grid of rank pairs, generated and mapped through the array.
     spark = df.sparkSession
     grid = (spark.range(k * k)
                  .select((F.col("id") / k).cast("int").alias("gi"), (F.col("id") % k).cast("int").alias("pj"))
-                 .join(top_b.select(F.col("rank").alias("gi"), F.col("label").alias("gold")), "gi")
-                 .join(top_b.select(F.col("rank").alias("pj"), F.col("label").alias("pred")), "pj"))
+                 .select("gi", "pj", F.try_element_at(labels, F.col("gi") + 1).alias("gold"),
+                         F.try_element_at(labels, F.col("pj") + 1).alias("pred"))
+                 .filter(F.col("gold").isNotNull() & F.col("pred").isNotNull()))
     return (grid.join(counts, ["gold", "pred"], "left")
                 .select("gold", "pred", "gi", "pj", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 

@@ -7,7 +7,7 @@ table is used; the derivation only chooses which *shape* a row takes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
@@ -84,13 +84,12 @@ def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str, page_size: int) -> DataFrame:
-    """Documents as landed pages: page ``doc_id div page_size``, position by
-    ``doc_id`` within the page (a window over one page, at most
-    ``page_size`` rows)."""
+    """Documents as landed pages: ``doc_id`` is the row's offset in the
+    source, so it sits on page ``doc_id div page_size`` at position
+    ``doc_id mod page_size`` (no window, no shuffle)."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    page = F.floor(F.col("doc_id") / F.lit(page_size)).cast("long")
-    w = Window.partitionBy("page").orderBy("doc_id")
-    return d.withColumn("page", page).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    return d.select("*", F.floor(F.col("doc_id") / F.lit(page_size)).cast("long").alias("page"),
+                    F.pmod(F.col("doc_id"), F.lit(page_size)).cast("long").alias("pos"))
 
 
 def ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,7 +319,7 @@ WHERE text <> ''
     "page_assembly": """
 WITH r AS (
   SELECT doc_id, lang, source, text, CAST(floor(doc_id / 100) AS BIGINT) AS page,
-         CAST(row_number() OVER (PARTITION BY floor(doc_id / 100) ORDER BY doc_id) - 1 AS BIGINT) AS pos
+         CAST(doc_id % 100 AS BIGINT) AS pos
   FROM documents),
 sz AS (SELECT page, count(*) AS n FROM r WHERE page >= 0 GROUP BY page),
 od AS (SELECT page, n, row_number() OVER (ORDER BY page) - 1 AS k FROM sz),

@@ -47,12 +47,19 @@ def assemble_pages(rows: DataFrame, page_size: int, limit: int | None = None,
     """
     sizes = (rows.filter(F.col(page_col) >= start_page)
                  .groupBy(F.col(page_col).alias("p")).agg(F.count(F.lit(1)).alias("n")))
-    gaps = (sizes.select((F.col("p") + 1).alias("p"))
-                 .join(sizes.select("p"), "p", "left_anti"))
-    first_short = sizes.filter(F.col("n") < page_size).agg(F.min("p")).scalar()
-    first_gap = gaps.agg(F.min("p")).scalar()
-    has_start = sizes.filter(F.col("p") == start_page).agg(F.count(F.lit(1)) > 0).scalar()
-    last_page = F.when(has_start, F.least(F.coalesce(first_short, first_gap - 1), first_gap - 1))
+    # Page-level table joined with its successor (an equi-join on page
+    # number), then one global aggregate: first short page, first page
+    # whose successor is missing, and whether the first page exists.
+    nxt = sizes.select((F.col("p") - 1).alias("p"), F.lit(True).alias("has_next"))
+    bounds = (sizes.join(nxt, "p", "left")
+                   .agg(F.struct(
+                       F.min(F.when(F.col("n") < page_size, F.col("p"))).alias("short"),
+                       F.min(F.when(F.col("has_next").isNull(), F.col("p"))).alias("last_present"),
+                       F.max((F.col("p") == start_page).cast("int")).alias("has_start")))
+                   .scalar())
+    last_page = F.when(bounds.getField("has_start") == 1,
+                       F.least(F.coalesce(bounds.getField("short"), bounds.getField("last_present")),
+                               bounds.getField("last_present")))
     idx = (F.col(page_col) - start_page) * F.lit(page_size) + F.col(pos_col)
     kept = (rows.filter((F.col(page_col) >= start_page) & (F.col(page_col) <= last_page))
                 .withColumn("row_index", idx.cast("long")))
