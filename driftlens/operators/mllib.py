@@ -3,6 +3,7 @@ logistic regression, with the label indexed and mapped back."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
@@ -33,7 +34,14 @@ def fit_lr(train: DataFrame, label: str = "gold", text: str = "text", **kw) -> P
     par = train.sparkSession.sparkContext.defaultParallelism
     if src.rdd.getNumPartitions() < par:
         src = src.repartition(par)
-    return lr_pipeline(label, text, **kw).fit(src)
+    # Three estimators read the training rows (label indexer, IDF, the
+    # optimiser); keep them for the duration of the fit. MEMORY_AND_DISK:
+    # a lost executor only means recomputing its blocks.
+    src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return lr_pipeline(label, text, **kw).fit(src)
+    finally:
+        src.unpersist()
 
 
 def score_lr(model: PipelineModel, docs: DataFrame, text: str = "text", keep=(),

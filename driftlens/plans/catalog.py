@@ -271,6 +271,24 @@ def q_ranked_lookup(spark, sf_dir):
     return out.select("list_no", "pos", "id", "source", "text")
 
 
+@register("json_envelope")
+def q_json_envelope(spark, sf_dir):
+    """Envelope pages -> rows -> in-order assembly, over every document."""
+    from ..sources.paging import unwrap_envelope
+    env = D.document_envelopes(spark, sf_dir, PAGE_SIZE)
+    rows = unwrap_envelope(env, "value", "id long, text string, lang string", keep=("page",))
+    return assemble_pages(rows, PAGE_SIZE).select("row_index", "page", "pos", "id", "lang", "text")
+
+
+@register("issue_scan")
+def q_issue_scan(spark, sf_dir):
+    """Issue arrays -> objects -> open issues without a pull_request key."""
+    arrays = D.issue_arrays(spark, sf_dir, 50)
+    objs = arrays.select("page", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "json"))
+    out = L.issue_scan(objs, state="open", per_page=None, order_cols=("page", "pos"))
+    return out.select("page", "pos", "id", "number", "text", "comments", "user")
+
+
 @register("dataset_union")
 def q_dataset_union(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]) \

@@ -103,3 +103,27 @@ def ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = spark.range(1).select(F.lit(2).alias("list_no"), F.lit(0).cast("long").alias("pos"),
                                     F.lit(-1).cast("long").alias("id"))
     return first.unionByName(again).unionByName(missing)
+
+
+def document_envelopes(spark: SparkSession, sf_dir: str, page_size: int) -> DataFrame:
+    """Documents landed as paged JSON envelopes ``{"rows": [{"row": {...}}]}``,
+    one per page of ``page_size`` consecutive ids (a group bounded by the
+    page size), rows in id order."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    page = F.floor(F.col("doc_id") / F.lit(page_size)).cast("long")
+    rows = F.array_sort(F.collect_list(F.struct(
+        F.col("doc_id").alias("k"), F.struct(F.col("doc_id").alias("id"), "text", "lang").alias("row"))))
+    env = d.groupBy(page.alias("page")).agg(rows.alias("r"))
+    return env.select("page", F.to_json(F.struct(
+        F.transform("r", lambda x: F.struct(x.getField("row").alias("row"))).alias("rows"))).alias("value"))
+
+
+def issue_arrays(spark: SparkSession, sf_dir: str, per_page: int) -> DataFrame:
+    """The issue objects of ``issue_json`` landed as JSON arrays of
+    ``per_page`` objects (groups bounded by ``per_page``)."""
+    js = issue_json(spark, sf_dir)
+    page = F.floor(F.col("pos") / F.lit(per_page)).cast("long")
+    arr = F.array_sort(F.collect_list(F.struct("pos", "json")))
+    return (js.groupBy(page.alias("page")).agg(arr.alias("a"))
+              .select("page", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x.getField("json")), ", "),
+                                       F.lit("]")).alias("value")))

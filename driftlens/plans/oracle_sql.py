@@ -462,3 +462,23 @@ FROM pred GROUP BY dataset
 })
 
 ORACLE["batch_score"] = ORACLE["score_softmax"]
+
+ORACLE["json_envelope"] = """
+SELECT CAST(doc_id AS BIGINT) AS row_index, CAST(floor(doc_id / 100) AS BIGINT) AS page,
+       CAST(doc_id % 100 AS BIGINT) AS pos, doc_id AS id, lang, text
+FROM documents
+"""
+
+ORACLE["issue_scan"] = _w(ISSUE_CTE) + """
+SELECT page, pos, id, number, text, comments, "user" FROM (
+  SELECT CAST(floor(doc_id / 50) AS BIGINT) AS page, CAST(doc_id % 50 AS INTEGER) AS pos,
+         CAST(json_extract(j, '$.id') AS BIGINT) AS id,
+         CAST(json_extract(j, '$.number') AS BIGINT) AS number,
+         """ + _strip("coalesce(json_extract_string(j, '$.title'), '') || chr(10) || chr(10) || "
+                      "coalesce(json_extract_string(j, '$.body'), '')") + """ AS text,
+         CAST(json_extract(j, '$.comments') AS BIGINT) AS comments,
+         json_extract_string(j, '$.user.login') AS "user"
+  FROM iss
+  WHERE json_extract_string(j, '$.state') = 'open' AND NOT list_contains(json_keys(j), 'pull_request'))
+WHERE text <> ''
+"""

@@ -27,7 +27,7 @@ def unwrap_envelope(df: DataFrame, json_col: str, row_ddl: str, keep=()) -> Data
     env = F.from_json(F.col(json_col), f"rows array<struct<row: struct<{row_ddl}>>>")
     rows = env.getField("rows")
     return (df.select(*keep, F.posexplode(rows).alias("pos", "_r"))
-              .select(*keep, "pos", "_r.row.*"))
+              .select(*keep, F.col("pos").cast("long").alias("pos"), "_r.row.*"))
 
 
 def assemble_pages(rows: DataFrame, page_size: int, limit: int | None = None,
