@@ -1,8 +1,8 @@
 """Multinomial Naive Bayes as relational jobs.
 
 Fit: token counts per class, laid out as one row per vocabulary token with
-one count column per class (a pivot with partial aggregation; hot tokens
-cost one partial row per task). Laplace smoothing gives
+one count column per class (conditional sums with partial aggregation; hot
+tokens cost one partial row per task). Laplace smoothing gives
 ``log P(token | class) = ln((n + alpha) / (total_class + alpha * |V|))``.
 
 Score: each document's tokens are joined to the model on ``token`` (left
@@ -72,9 +72,11 @@ def fit_nb(train: DataFrame, classes: list | None = None, label: str = "gold", t
     log_prior = [math.log(docs_per_class[c] / n_docs) if docs_per_class.get(c) else float("-inf")
                  for c in classes]
     toks = train.select(F.col(label).alias("_y"), F.explode(tokenize(text)).alias("token"))
-    counts = (toks.groupBy("token").pivot("_y", list(classes)).agg(F.count(F.lit(1)))
-                  .fillna(0, subset=[str(c) for c in classes]))
-    cnt_cols = [F.col(f"`{c}`") for c in classes]
+    # One row per token, one count column per class: conditional sums in a
+    # single partially-aggregated groupBy (one shuffle on token).
+    counts = toks.groupBy("token").agg(*[
+        F.sum((F.col("_y") == F.lit(c)).cast("long")).alias(f"n_{i}") for i, c in enumerate(classes)])
+    cnt_cols = [F.col(f"n_{i}") for i in range(len(classes))]
     # One scalar subquery (a one-row global aggregate over the count table):
     # vocabulary size and the token total of every class.
     stats = counts.agg(F.struct(F.count(F.lit(1)).alias("v"),
