@@ -62,5 +62,5 @@ def texts_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"], spread=True)
     return texts_from_documents(docs)

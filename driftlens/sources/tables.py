@@ -15,6 +15,32 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None,
+               spread: bool = False) -> DataFrame:
+    """Scan with an explicit column list.
+
+    ``spread``: for CPU-heavy row work (regex tokenisation over whole
+    texts), guarantee at least one partition per core. A file with few row
+    groups is read by few tasks however many splits it has; then the rows
+    are redistributed round-robin. On large inputs the scan already has
+    more partitions than cores and this is a no-op."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if spread:
+        par = spark.sparkContext.defaultParallelism
+        if _effective_partitions(spark, sf_dir, name, df) < par:
+            df = df.repartition(par)
+    return df
+
+
+def _effective_partitions(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> int:
+    """Partitions that actually read rows: at most the parquet row groups."""
+    n = df.rdd.getNumPartitions()
+    try:
+        import pyarrow.parquet as pq
+        path = table_path(sf_dir, name)
+        if os.path.isfile(path):
+            n = min(n, pq.ParquetFile(path).metadata.num_row_groups)
+    except Exception:  # noqa: BLE001 - footer unavailable: trust the split count
+        pass
+    return n
