@@ -14,53 +14,90 @@ def correct_flag(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
     return df.withColumn(out, F.col(gold).eqNullSafe(F.col(pred)).cast("int"))
 
 
-def overall_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred_label") -> DataFrame:
+def _keys(by) -> list:
+    return [by] if isinstance(by, str) else list(by or [])
+
+
+def overall_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
+                     by=None) -> DataFrame:
+    """Accuracy over all rows, or per group of ``by`` (one partially
+    aggregated groupBy; a dominant group costs one partial row per task)."""
     c = F.col(gold).eqNullSafe(F.col(pred)).cast("int")
-    return df.agg(F.count(F.lit(1)).alias("n_total"),
-                  F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n_correct"),
-                  F.avg(c).alias("accuracy"))
+    return df.groupBy(*_keys(by)).agg(
+        F.count(F.lit(1)).alias("n_total"),
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n_correct"),
+        F.avg(c).alias("accuracy"))
 
 
 def label_stats(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
-                label_name: str = "label_id") -> DataFrame:
-    """Support and accuracy per gold label, largest support first (ties by
-    label id). Partial aggregation keeps a dominant label cheap."""
+                label_name: str = "label_id", by=None) -> DataFrame:
+    """Support and accuracy per gold label (per group of ``by``), largest
+    support first (ties by label id). Partial aggregation keeps a dominant
+    label cheap."""
+    keys = _keys(by)
     c = F.col(gold).eqNullSafe(F.col(pred)).cast("int")
-    return (df.groupBy(F.col(gold).alias(label_name))
+    return (df.groupBy(*keys, F.col(gold).alias(label_name))
               .agg(F.count(F.lit(1)).alias("support"), F.avg(c).alias("accuracy"))
-              .orderBy(F.desc("support"), F.asc(label_name)))
+              .orderBy(*keys, F.desc("support"), F.asc(label_name)))
 
 
-def top_n(stats: DataFrame, n: int, by: str = "support", label_name: str = "label_id") -> DataFrame:
-    """First ``n`` rows by ``by`` desc, label asc (a TakeOrderedAndProject)."""
-    return stats.orderBy(F.desc(by), F.asc(label_name)).limit(n)
+def top_n(stats: DataFrame, n: int, by: str = "support", label_name: str = "label_id",
+          group=None) -> DataFrame:
+    """First ``n`` rows by ``by`` desc, label asc (a TakeOrderedAndProject);
+    with ``group``, the first ``n`` of each group. ``stats`` is a label-level
+    table, so the per-group window ranks at most (groups x labels) rows."""
+    keys = _keys(group)
+    if not keys:
+        return stats.orderBy(F.desc(by), F.asc(label_name)).limit(n)
+    w = Window.partitionBy(*keys).orderBy(F.desc(by), F.asc(label_name))
+    return stats.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def value_counts(df: DataFrame, col: str, by=None, name: str = "label") -> DataFrame:
-    keys = list(by or [])
+    keys = _keys(by)
     return (df.filter(F.col(col).isNotNull())
               .groupBy(*keys, F.col(col).alias(name)).agg(F.count(F.lit(1)).alias("n")))
 
 
-def num_labels(df: DataFrame, col: str = "gold") -> DataFrame:
-    return df.agg(F.countDistinct(col).alias("num_labels"))
+def num_labels(df: DataFrame, col: str = "gold", by=None) -> DataFrame:
+    return df.groupBy(*_keys(by)).agg(F.countDistinct(col).alias("num_labels"))
+
+
+def rank_top(counts: DataFrame, k: int, by=None, name: str = "label") -> DataFrame:
+    """Keep the ``k`` largest ``n`` of each group (ties by label) with their
+    0-based rank. ``counts`` is a label-level table: the window ranks at
+    most (groups x labels) rows, never row-level data. A NULL label ranks
+    after every other and is dropped after ranking, so the filter stays
+    above the window and does not change the plan below it."""
+    keys = _keys(by)
+    order = [F.col(name).isNull(), F.desc("n"), F.asc(name)]
+    if not keys:
+        top = counts.orderBy(*order).limit(k)
+        # ``top`` holds at most k rows, so this unpartitioned window is tiny.
+        w = Window.orderBy(*order)
+        return (top.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+                   .filter(F.col(name).isNotNull()))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return (counts.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+                  .filter((F.col("rank") < k) & F.col(name).isNotNull()))
 
 
-def topk_labels(df: DataFrame, k: int, col: str = "gold", name: str = "label") -> DataFrame:
-    """The ``k`` most frequent labels with their 0-based rank (ties by label)."""
-    counts = value_counts(df, col, name=name)
-    top = counts.orderBy(F.desc("n"), F.asc(name)).limit(k)
-    # ``top`` holds at most k rows, so this unpartitioned window is tiny.
-    w = Window.orderBy(F.desc("n"), F.asc(name))
-    return top.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+def topk_labels(df: DataFrame, k: int, col: str = "gold", name: str = "label",
+                by=None) -> DataFrame:
+    """The ``k`` most frequent labels (per group of ``by``) with their
+    0-based rank (ties by label)."""
+    return rank_top(value_counts(df, col, by=by, name=name), k, by=by, name=name)
 
 
-def per_label_counts(df: DataFrame, gold: str = "gold", pred: str = "pred_label") -> DataFrame:
-    """Per label: gold support, true positives and predicted count.
+def per_label_counts(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
+                     by=None) -> DataFrame:
+    """Per label (per group of ``by``): gold support, true positives and
+    predicted count.
 
     One shuffle: each row contributes a gold-side and a pred-side record,
     summed per label with map-side partial aggregation (so a dominant label
     costs one partial row per task, not one task of its own)."""
+    keys = _keys(by)
     g, p = F.col(gold), F.col(pred)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     tp = g.eqNullSafe(p).cast("long")
@@ -68,18 +105,18 @@ def per_label_counts(df: DataFrame, gold: str = "gold", pred: str = "pred_label"
         F.struct(g.alias("label"), one.alias("s"), tp.alias("tp"), zero.alias("q")),
         F.struct(p.alias("label"), zero.alias("s"), zero.alias("tp"), one.alias("q")),
     )
-    return (df.select(F.inline(sides)).filter(F.col("label").isNotNull())
-              .groupBy("label").agg(F.sum("s").alias("support"), F.sum("tp").alias("tp"),
-                                    F.sum("q").alias("predicted")))
+    return (df.select(*keys, F.inline(sides)).filter(F.col("label").isNotNull())
+              .groupBy(*keys, "label").agg(F.sum("s").alias("support"), F.sum("tp").alias("tp"),
+                                           F.sum("q").alias("predicted")))
 
 
-def macro_f1(df: DataFrame, gold: str = "gold", pred: str = "pred_label") -> DataFrame:
-    """Unweighted mean F1 over the union of gold and predicted labels; a label
-    with no true positive scores 0."""
+def macro_f1(df: DataFrame, gold: str = "gold", pred: str = "pred_label", by=None) -> DataFrame:
+    """Unweighted mean F1 over the union of gold and predicted labels (per
+    group of ``by``); a label with no true positive scores 0."""
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"),
                                  (F.col("support") + F.col("predicted")).cast("double")),
                     F.lit(0.0))
-    return per_label_counts(df, gold, pred).agg(
+    return per_label_counts(df, gold, pred, by).groupBy(*_keys(by)).agg(
         F.avg(f1).alias("f1_macro"), F.count(F.lit(1)).cast("long").alias("n_labels"))
 
 

@@ -96,35 +96,54 @@ def distribution_corr(dense: DataFrame, datasets=DATASETS) -> DataFrame:
     return aggs.select(F.inline(rows))
 
 
-def confusion_topk(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred_label") -> DataFrame:
-    """Dense k x k confusion counts over the k most frequent gold labels.
+def confusion_topk(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred_label",
+                   by=None) -> DataFrame:
+    """Dense k x k confusion counts over the k most frequent gold labels
+    (per group of ``by``).
 
     A row counts only when both its gold and its predicted label are in the
-    top-k set. The set (at most k labels, by ``limit k``) is computed once
-    and enters the plan as a scalar subquery holding a k-element array:
-    membership is ``array_contains`` on each row, with no join at all."""
-    from .metrics import topk_labels
-    top = topk_labels(df, k, col=gold)
-    labels = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))),
-                                 lambda s: s.getField("label")).alias("t")).scalar()
-    kept = (df.select(F.col(gold).alias("gold"), F.col(pred).alias("pred"))
-              .filter(F.array_contains(labels, F.col("gold")) & F.array_contains(labels, F.col("pred"))))
-    counts = kept.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-    # The k x k grid of rank pairs, generated and mapped through the array.
-    spark = df.sparkSession
-    grid = (spark.range(k * k)
-                 .select((F.col("id") / k).cast("int").alias("gi"), (F.col("id") % k).cast("int").alias("pj"))
-                 .select("gi", "pj", F.try_element_at(labels, F.col("gi") + 1).alias("gold"),
-                         F.try_element_at(labels, F.col("pj") + 1).alias("pred"))
-                 .filter(F.col("gold").isNotNull() & F.col("pred").isNotNull()))
-    return (grid.join(counts, ["gold", "pred"], "left")
-                .select("gold", "pred", "gi", "pj", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-
-
-def confusion_normalise(conf: DataFrame) -> DataFrame:
+    top-k set. One pass over the rows: a partially aggregated count per
+    (group, gold, pred) pair, a label-level table. The gold supports, the
+    top-k ranking and the filter all run on that table. Each group's top-k
+    set becomes a rank-ordered array of at most k labels, and the dense grid
+    is generated from it with ``sequence`` (k*k cells per group, the size of
+    the report itself) and matched to the pair counts by an equi-join."""
+    from .metrics import _keys, rank_top
+    keys = _keys(by)
+    pairs = (df.groupBy(*keys, F.col(gold).alias("gold"), F.col(pred).alias("pred"))
+               .agg(F.count(F.lit(1)).alias("n")))
+    # NULL gold labels are dropped by ``rank_top`` after ranking; a filter
+    # here would be pushed below the pair aggregate into this branch only.
+    support = pairs.groupBy(*keys, F.col("gold").alias("label")).agg(F.sum("n").alias("n"))
+    top = rank_top(support, k, by=keys)
+    sets = top.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))),
+                    lambda x: x.getField("label")).alias("_t"))
+    m = F.size("_t")
+    cell = F.explode(F.sequence(F.lit(0), m * m - 1)).alias("_c")
+    # An empty input still yields one (empty) set when there is no group key.
+    grid = (sets.filter(m > 0).select(*keys, "_t", cell)
+                .select(*keys, (F.col("_c") / m).cast("int").alias("gi"),
+                        (F.col("_c") % m).cast("int").alias("pj"), "_t")
+                .select(*keys, "gi", "pj", F.element_at("_t", F.col("gi") + 1).alias("gold"),
+                        F.element_at("_t", F.col("pj") + 1).alias("pred")))
+    # Null-safe keys (grid keys are never null): a plain equi-join would
+    # infer not-null filters into the pair branch only, which makes it differ
+    # from the branch feeding the ranking and defeats exchange reuse (the
+    # rows would be scanned and aggregated twice).
+    on = [*keys, "gold", "pred"]
+    cnt = pairs.select(*[F.col(c).alias(f"_r_{c}") for c in on], F.col("n").alias("_n"))
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return (grid.join(cnt, cond, "left")
+                .select(*keys, "gold", "pred", "gi", "pj",
+                        F.coalesce("_n", F.lit(0)).cast("long").alias("n")))
+
+
+def confusion_normalise(conf: DataFrame, by=None) -> DataFrame:
     """Each gold row divided by its sum within the top-k block; a zero row
     stays zero."""
-    row_sum = F.sum("n").over(Window.partitionBy("gold"))
+    from .metrics import _keys
+    row_sum = F.sum("n").over(Window.partitionBy(*_keys(by), "gold"))
     return conf.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), row_sum),
                                            F.lit(0.0)))
 

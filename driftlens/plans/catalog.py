@@ -49,51 +49,57 @@ def register(key: str):
     return deco
 
 
-def _indomain(spark, sf_dir):
-    return views.scored(spark, sf_dir).filter(F.col("dataset") == "indomain")
+# The evaluation reports run over every scored row, one report per dataset
+# (the in-domain report is the rows with dataset = 'indomain').
+BY = ["dataset"]
 
 
-# ---- evaluation over the in-domain predictions -------------------------------------
+def _scored(spark, sf_dir):
+    return views.scored(spark, sf_dir)
+
+
+# ---- evaluation over the predictions, per dataset --------------------------------------
 
 @register("label_stats")
 def q_label_stats(spark, sf_dir):
-    return r6(M.label_stats(_indomain(spark, sf_dir)))
+    return r6(M.label_stats(_scored(spark, sf_dir), by=BY))
 
 
 @register("label_stats_top10")
 def q_label_stats_top10(spark, sf_dir):
-    return r6(M.top_n(M.label_stats(_indomain(spark, sf_dir)), PREVIEW_ROWS))
+    return r6(M.top_n(M.label_stats(_scored(spark, sf_dir), by=BY), PREVIEW_ROWS, group=BY))
 
 
 @register("top_label_stats")
 def q_top_label_stats(spark, sf_dir):
-    stats = M.label_stats(_indomain(spark, sf_dir), label_name="gold_label")
-    return r6(M.top_n(stats, TOP_STATS, label_name="gold_label"))
+    stats = M.label_stats(_scored(spark, sf_dir), label_name="gold_label", by=BY)
+    return r6(M.top_n(stats, TOP_STATS, label_name="gold_label", group=BY))
 
 
 @register("topk_labels")
 def q_topk_labels(spark, sf_dir):
-    return M.topk_labels(_indomain(spark, sf_dir), TOP_K, col="gold")
+    return M.topk_labels(_scored(spark, sf_dir), TOP_K, col="gold", by=BY)
 
 
 @register("overall_accuracy")
 def q_overall_accuracy(spark, sf_dir):
-    return r6(M.overall_accuracy(_indomain(spark, sf_dir)))
+    return r6(M.overall_accuracy(_scored(spark, sf_dir), by=BY))
 
 
 @register("correct_flag")
 def q_correct_flag(spark, sf_dir):
-    return M.correct_flag(_indomain(spark, sf_dir)).select("row_id", "gold", "pred_label", "correct")
+    return M.correct_flag(_scored(spark, sf_dir)).select("row_id", "dataset", "gold", "pred_label",
+                                                          "correct")
 
 
 @register("num_labels")
 def q_num_labels(spark, sf_dir):
-    return M.num_labels(_indomain(spark, sf_dir), "gold")
+    return M.num_labels(_scored(spark, sf_dir), "gold", by=BY)
 
 
 @register("macro_f1")
 def q_macro_f1(spark, sf_dir):
-    return r6(M.macro_f1(_indomain(spark, sf_dir)))
+    return r6(M.macro_f1(_scored(spark, sf_dir), by=BY))
 
 
 @register("argmax")
@@ -156,13 +162,14 @@ def q_dist_corr(spark, sf_dir):
 
 @register("confusion_topk")
 def q_confusion_topk(spark, sf_dir):
-    return S.confusion_topk(_indomain(spark, sf_dir), CONFUSION_K).select("gold", "pred", "n")
+    return S.confusion_topk(_scored(spark, sf_dir), CONFUSION_K, by=BY).select(
+        "dataset", "gold", "pred", "n")
 
 
 @register("confusion_norm")
 def q_confusion_norm(spark, sf_dir):
-    conf = S.confusion_topk(_indomain(spark, sf_dir), CONFUSION_K)
-    return r6(S.confusion_normalise(conf).select("gold", "pred", "n", "p"))
+    conf = S.confusion_topk(_scored(spark, sf_dir), CONFUSION_K, by=BY)
+    return r6(S.confusion_normalise(conf, by=BY).select("dataset", "gold", "pred", "n", "p"))
 
 
 @register("confidence_hist")

@@ -18,24 +18,24 @@ scored AS (
   SELECT row_id, gold, dataset,
          CAST(list_position(logits, m) - 1 AS INTEGER) AS pred_label,
          list_max(list_transform(e, lambda x: x / list_sum(e))) AS pred_confidence
-  FROM s_2),
-indomain AS (SELECT * FROM scored WHERE dataset = 'indomain')
+  FROM s_2)
 """
 
 LABEL_STATS_SQL = """
-SELECT gold AS label_id, CAST(count(*) AS BIGINT) AS support,
+SELECT dataset, gold AS label_id, CAST(count(*) AS BIGINT) AS support,
        round(avg(CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER)), 6) AS accuracy
-FROM indomain GROUP BY gold
+FROM scored GROUP BY dataset, gold
 """
 
 PER_LABEL_CTE = """
 sides AS (
-  SELECT gold AS label, 1 AS s, CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER) AS tp, 0 AS q FROM {src}
+  SELECT dataset, gold AS label, 1 AS s,
+         CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER) AS tp, 0 AS q FROM {src}
   UNION ALL
-  SELECT pred_label AS label, 0 AS s, 0 AS tp, 1 AS q FROM {src}),
+  SELECT dataset, pred_label AS label, 0 AS s, 0 AS tp, 1 AS q FROM {src}),
 per_label AS (
-  SELECT label, sum(s) AS support, sum(tp) AS tp, sum(q) AS predicted
-  FROM sides WHERE label IS NOT NULL GROUP BY label)
+  SELECT dataset, label, sum(s) AS support, sum(tp) AS tp, sum(q) AS predicted
+  FROM sides WHERE label IS NOT NULL GROUP BY dataset, label)
 """
 
 DIST_CTE = """
@@ -63,16 +63,19 @@ dense_p AS (
 """
 
 CONF_CTE = """
-gc AS (SELECT gold AS label, count(*) AS n FROM indomain WHERE gold IS NOT NULL GROUP BY gold),
-top AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS rnk
-        FROM gc ORDER BY n DESC, label LIMIT {k}),
-kept AS (SELECT gold, pred_label AS pred FROM indomain
-         WHERE gold IN (SELECT label FROM top) AND pred_label IN (SELECT label FROM top)),
-cnt AS (SELECT gold, pred, count(*) AS n FROM kept GROUP BY gold, pred),
+gc AS (SELECT dataset, gold AS label, count(*) AS n FROM scored WHERE gold IS NOT NULL
+       GROUP BY dataset, gold),
+ranked AS (SELECT dataset, label,
+                  row_number() OVER (PARTITION BY dataset ORDER BY n DESC, label) - 1 AS rnk FROM gc),
+top AS (SELECT dataset, label FROM ranked WHERE rnk < {k}),
+kept AS (SELECT s.dataset, s.gold, s.pred_label AS pred FROM scored s
+         JOIN top tg ON tg.dataset = s.dataset AND tg.label = s.gold
+         JOIN top tp ON tp.dataset = s.dataset AND tp.label = s.pred_label),
+cnt AS (SELECT dataset, gold, pred, count(*) AS n FROM kept GROUP BY dataset, gold, pred),
 conf AS (
-  SELECT a.label AS gold, b.label AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
-  FROM top a JOIN top b ON TRUE
-  LEFT JOIN cnt ON cnt.gold = a.label AND cnt.pred = b.label)
+  SELECT a.dataset, a.label AS gold, b.label AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+  FROM top a JOIN top b ON a.dataset = b.dataset
+  LEFT JOIN cnt ON cnt.dataset = a.dataset AND cnt.gold = a.label AND cnt.pred = b.label)
 """
 
 HIST_SQL = """
@@ -108,32 +111,41 @@ def _w(*ctes: str) -> str:
 
 ORACLE: dict[str, str] = {
     "label_stats": _w(SCORED_CTE) + LABEL_STATS_SQL,
-    "label_stats_top10": _w(SCORED_CTE, f"st AS ({LABEL_STATS_SQL})")
-        + "SELECT * FROM st ORDER BY support DESC, label_id LIMIT 10",
-    "top_label_stats": _w(SCORED_CTE, f"st AS ({LABEL_STATS_SQL})")
-        + "SELECT label_id AS gold_label, support, accuracy FROM st "
-          "ORDER BY support DESC, label_id LIMIT 6",
+    "label_stats_top10": _w(SCORED_CTE, f"st AS ({LABEL_STATS_SQL})") + """
+SELECT dataset, label_id, support, accuracy FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY support DESC, label_id) AS rn FROM st) t
+WHERE rn <= 10
+""",
+    "top_label_stats": _w(SCORED_CTE, f"st AS ({LABEL_STATS_SQL})") + """
+SELECT dataset, label_id AS gold_label, support, accuracy FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY support DESC, label_id) AS rn FROM st) t
+WHERE rn <= 6
+""",
     "topk_labels": _w(SCORED_CTE) + """
-SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS rank
-FROM (SELECT gold AS label, CAST(count(*) AS BIGINT) AS n FROM indomain
-      WHERE gold IS NOT NULL GROUP BY gold ORDER BY n DESC, label LIMIT 10) t
+SELECT dataset, label, n, CAST(rnk AS INTEGER) AS rank FROM (
+  SELECT dataset, label, n, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, label) - 1 AS rnk
+  FROM (SELECT dataset, gold AS label, CAST(count(*) AS BIGINT) AS n FROM scored
+        WHERE gold IS NOT NULL GROUP BY dataset, gold) c) t
+WHERE rnk < 10
 """,
     "overall_accuracy": _w(SCORED_CTE) + """
-SELECT CAST(count(*) AS BIGINT) AS n_total,
+SELECT dataset, CAST(count(*) AS BIGINT) AS n_total,
        CAST(coalesce(sum(CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER)), 0) AS BIGINT) AS n_correct,
        round(avg(CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER)), 6) AS accuracy
-FROM indomain
+FROM scored GROUP BY dataset
 """,
     "correct_flag": _w(SCORED_CTE) + """
-SELECT row_id, gold, pred_label, CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER) AS correct
-FROM indomain
+SELECT row_id, dataset, gold, pred_label,
+       CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER) AS correct
+FROM scored
 """,
     "num_labels": _w(SCORED_CTE)
-        + "SELECT CAST(count(DISTINCT gold) AS BIGINT) AS num_labels FROM indomain",
-    "macro_f1": _w(SCORED_CTE, PER_LABEL_CTE.format(src="indomain")) + """
-SELECT round(avg(coalesce(2.0 * tp / nullif(CAST(support + predicted AS DOUBLE), 0), 0.0)), 6) AS f1_macro,
+        + "SELECT dataset, CAST(count(DISTINCT gold) AS BIGINT) AS num_labels FROM scored GROUP BY dataset",
+    "macro_f1": _w(SCORED_CTE, PER_LABEL_CTE.format(src="scored")) + """
+SELECT dataset,
+       round(avg(coalesce(2.0 * tp / nullif(CAST(support + predicted AS DOUBLE), 0), 0.0)), 6) AS f1_macro,
        CAST(count(*) AS BIGINT) AS n_labels
-FROM per_label
+FROM per_label GROUP BY dataset
 """,
     "argmax": _w(SCORED_CTE) + "SELECT row_id, pred_label FROM scored",
     "score_softmax": _w(SCORED_CTE)
@@ -177,10 +189,10 @@ SELECT a.dataset AS ds_a, b.dataset AS ds_b, round(corr(a.pv, b.pv), 6) AS corr
 FROM gp a JOIN gp b ON a.label = b.label
 GROUP BY a.dataset, b.dataset
 """,
-    "confusion_topk": _w(SCORED_CTE, CONF_CTE.format(k=5)) + "SELECT gold, pred, n FROM conf",
+    "confusion_topk": _w(SCORED_CTE, CONF_CTE.format(k=5)) + "SELECT dataset, gold, pred, n FROM conf",
     "confusion_norm": _w(SCORED_CTE, CONF_CTE.format(k=5)) + """
-SELECT gold, pred, n,
-       round(coalesce(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY gold), 0), 0.0), 6) AS p
+SELECT dataset, gold, pred, n,
+       round(coalesce(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY dataset, gold), 0), 0.0), 6) AS p
 FROM conf
 """,
     "confidence_hist": HIST_SQL.format(scored=SCORED_CTE.strip()),

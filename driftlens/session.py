@@ -41,13 +41,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) is
-    a folder set: ``fallback`` if given, else a fresh temporary folder."""
+    The cluster's setting always wins. Only when it is unset is a folder
+    set: ``fallback`` if given, else (local master only, as in tests) a
+    fresh temporary folder. On a cluster a machine-local folder would not
+    survive the loss of the executor that wrote it, so an unset folder is
+    an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get(CHECKPOINT_CONF, None)
+    if not conf and not fallback and not sc.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or an "
+                           "object store) before cutting lineage on a cluster")
     path = conf or fallback or tempfile.mkdtemp(prefix="driftlens-ckpt-")
     if not conf and not fallback:
         os.makedirs(path, exist_ok=True)

@@ -159,3 +159,51 @@ def test_invariance_under_repartitioning(spark, scored, parts):
     assert sorted(tuple(r) for r in M.label_stats(re).collect()) == base
     a = sorted(tuple(r) for r in S.confusion_topk(scored, 5).collect())
     assert sorted(tuple(r) for r in S.confusion_topk(re, 5).collect()) == a
+
+
+def test_grouped_reports_equal_per_group_runs(spark, scored):
+    """Each ``by``-grouped report equals the ungrouped operator run on that
+    group's rows alone (NULL gold and predicted labels included)."""
+    extra = spark.createDataFrame(
+        [(10_000, None, "ood_a", 3), (10_001, 3, "ood_a", None), (10_002, None, "ood_b", None)],
+        "row_id long, gold int, dataset string, pred_label int")
+    df = scored.select("row_id", "gold", "dataset", "pred_label").unionByName(extra)
+    by = ["dataset"]
+    datasets = [r.dataset for r in df.select("dataset").distinct().collect()]
+
+    def grouped(rep, cols):
+        return sorted(tuple(r[c] for c in cols) for r in rep.collect())
+
+    def per_group(fn, cols):
+        out = []
+        for d in datasets:
+            out += [(d, *[r[c] for c in cols]) for r in fn(df.filter(F.col("dataset") == d)).collect()]
+        return sorted(out)
+
+    conf_cols = ["gold", "pred", "n"]
+    assert grouped(S.confusion_topk(df, 3, by=by), ["dataset", *conf_cols]) == \
+        per_group(lambda x: S.confusion_topk(x, 3), conf_cols)
+    norm_cols = ["gold", "pred", "p"]
+    assert grouped(S.confusion_normalise(S.confusion_topk(df, 3, by=by), by=by),
+                   ["dataset", *norm_cols]) == \
+        per_group(lambda x: S.confusion_normalise(S.confusion_topk(x, 3)), norm_cols)
+    top_cols = ["label", "n", "rank"]
+    assert grouped(M.topk_labels(df, 4, by=by), ["dataset", *top_cols]) == \
+        per_group(lambda x: M.topk_labels(x, 4), top_cols)
+    st_cols = ["label_id", "support", "accuracy"]
+    assert grouped(M.top_n(M.label_stats(df, by=by), 5, group=by), ["dataset", *st_cols]) == \
+        per_group(lambda x: M.top_n(M.label_stats(x), 5), st_cols)
+    f1_cols = ["f1_macro", "n_labels"]
+    assert grouped(M.macro_f1(df, by=by), ["dataset", *f1_cols]) == \
+        per_group(lambda x: M.macro_f1(x), f1_cols)
+    acc_cols = ["n_total", "n_correct", "accuracy"]
+    assert grouped(M.overall_accuracy(df, by=by), ["dataset", *acc_cols]) == \
+        per_group(lambda x: M.overall_accuracy(x), acc_cols)
+
+
+def test_topk_null_label_ranks_last(spark):
+    df = spark.createDataFrame([(None, 1)] * 5 + [(1, 1)] * 2 + [(2, 2)], "gold int, pred_label int")
+    top = [(r.label, r.rank) for r in M.topk_labels(df, 2).collect()]
+    assert top == [(1, 0), (2, 1)]
+    conf = {(r.gold, r.pred): r.n for r in S.confusion_topk(df, 2).collect()}
+    assert conf == {(1, 1): 2, (1, 2): 0, (2, 1): 0, (2, 2): 1}
