@@ -190,19 +190,19 @@ from . import derived as D  # noqa: E402
 @register("compose_title_text")
 def q_compose_title_text(spark, sf_dir):
     items = D.conversation_items(spark, sf_dir)
-    return C.compose_text(items, "title", "body", " ").select("conv_id", "text")
+    return C.compose_text(items, "title", "body", " ").select("conv_id", "turn", "text")
 
 
 @register("compose_title_body")
 def q_compose_title_body(spark, sf_dir):
     items = D.conversation_items(spark, sf_dir)
-    return C.compose_text(items, "title", "body", "\n\n").select("conv_id", "text")
+    return C.compose_text(items, "title", "body", "\n\n").select("conv_id", "turn", "text")
 
 
 @register("drop_empty_text")
 def q_drop_empty_text(spark, sf_dir):
     items = C.compose_text(D.conversation_items(spark, sf_dir), "title", "body", "\n\n")
-    return C.drop_empty_text(items).select("conv_id", "text")
+    return C.drop_empty_text(items).select("conv_id", "turn", "text")
 
 
 @register("json_key_absent")
@@ -301,11 +301,11 @@ def q_dataset_union(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]) \
         .withColumnRenamed("doc_id", "id")
     conv = (read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-            .filter(F.col("turn") == 0).select(F.col("conv_id").alias("id"), "role", "text"))
+            .select(F.col("conv_id").alias("id"), "turn", "role", "text"))
     bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"]) \
         .withColumnRenamed("item_id", "id")
     u = union_datasets({"indomain": docs, "ood_a": conv, "ood_b": bench})
-    return u.select("dataset", "id", "lang", "role",
+    return u.select("dataset", "id", "turn", "lang", "role",
                     F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"))
 
 

@@ -18,11 +18,15 @@ def _m(c: str, k: int):
 
 
 def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn 0 of each conversation as the title, turn 1 (if any) as the body."""
+    """One item per conversation turn: the turn's text is the title and the
+    next turn's text (if any) the body. The pairing is an equi-join on
+    ``(conv_id, turn)``, so rows are hash-partitioned on both columns and a
+    very long conversation is spread over many tasks (a window per
+    conversation would put it in one)."""
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
-    title = conv.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("title"))
-    body = conv.filter(F.col("turn") == 1).select("conv_id", F.col("text").alias("body"))
-    return title.join(body, "conv_id", "left")
+    title = conv.select("conv_id", "turn", F.col("text").alias("title"))
+    body = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
+    return title.join(body, ["conv_id", "turn"], "left")
 
 
 def label_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

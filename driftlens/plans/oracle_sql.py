@@ -217,9 +217,9 @@ def _q(s: str) -> str:
 
 CONV_ITEMS_CTE = """
 items AS (
-  SELECT t.conv_id, t.text AS title, b.text AS body
-  FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) t
-  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) b USING (conv_id))
+  SELECT t.conv_id, t.turn, t.text AS title, b.text AS body
+  FROM conversations t
+  LEFT JOIN conversations b ON b.conv_id = t.conv_id AND b.turn = t.turn + 1)
 """
 
 LABEL_STRINGS_CTE = """
@@ -293,11 +293,11 @@ iss AS (
 """
 
 ORACLE.update({
-    "compose_title_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, "
+    "compose_title_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, turn, "
         + _strip("coalesce(title, '') || ' ' || coalesce(body, '')") + " AS text FROM items",
-    "compose_title_body": _w(CONV_ITEMS_CTE) + "SELECT conv_id, "
+    "compose_title_body": _w(CONV_ITEMS_CTE) + "SELECT conv_id, turn, "
         + _strip("coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '')") + " AS text FROM items",
-    "drop_empty_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, text FROM (SELECT conv_id, "
+    "drop_empty_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, "
         + _strip("coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '')")
         + " AS text FROM items) WHERE text <> ''",
     "json_key_absent": _w(ISSUE_CTE) + """
@@ -352,12 +352,12 @@ SELECT list_no, pos, id, source, text FROM (
 WHERE text <> ''
 """,
     "dataset_union": """
-SELECT 'indomain' AS dataset, doc_id AS id, lang, CAST(NULL AS VARCHAR) AS role,
-       CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents
+SELECT 'indomain' AS dataset, doc_id AS id, CAST(NULL AS BIGINT) AS turn, lang,
+       CAST(NULL AS VARCHAR) AS role, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents
 UNION ALL
-SELECT 'ood_a', conv_id, NULL, role, CAST(length(coalesce(text, '')) AS BIGINT) FROM conversations WHERE turn = 0
+SELECT 'ood_a', conv_id, turn, NULL, role, CAST(length(coalesce(text, '')) AS BIGINT) FROM conversations
 UNION ALL
-SELECT 'ood_b', item_id, NULL, NULL, CAST(length(coalesce(text, '')) AS BIGINT) FROM benchmark
+SELECT 'ood_b', item_id, NULL, NULL, NULL, CAST(length(coalesce(text, '')) AS BIGINT) FROM benchmark
 """,
 })
 
