@@ -67,8 +67,11 @@ def stratified_split(df: DataFrame, label: str = "gold", id_col: str = "row_id",
     columns only; (2) the rows of each class's boundary bucket (about
     ``n_c / 65536`` of them) are ranked to give the class's exact cut
     ``(hash, id)``; (3) one pass over the full rows compares each row with
-    its class's cut. The per-class tables are written to the checkpoint
-    folder and broadcast only after their row count is checked."""
+    its class's cut. (1) and (2) are one job: the boundary table (one row
+    per class) stays inside the plan, where AQE turns its join into a
+    broadcast from the measured size. The cut table is written to the
+    checkpoint folder and broadcast into (3) only after its row count is
+    checked."""
     shift = HASH_BITS - BUCKET_BITS
     keys = (df.select(label, id_col)
               .withColumn("_h", split_hash(id_col, seed))
@@ -82,7 +85,6 @@ def stratified_split(df: DataFrame, label: str = "gold", id_col: str = "row_id",
     boundary = (hist.withColumn("cum", cum).join(quotas, label)
                     .filter((before < F.col("q")) & (F.col("cum") >= F.col("q")))
                     .select(label, "_b", (F.col("q") - before).alias("_need")))
-    boundary = broadcast_if_bounded(cut_lineage(boundary), MAX_CLASSES)
 
     # Rank only the boundary bucket of each class; its need-th row is the cut.
     w = Window.partitionBy(label).orderBy("_h", id_col)

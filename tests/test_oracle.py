@@ -57,5 +57,5 @@ def test_query_matches_oracle(spark, duck, key):
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
-    assert df.columns == ["label_id", "support", "accuracy"]
+    assert df.columns == ["dataset", "label_id", "support", "accuracy"]
     assert df.count() > 0
