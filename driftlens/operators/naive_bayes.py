@@ -8,11 +8,12 @@ tokens cost one partial row per task). Laplace smoothing gives
 Score: each document's tokens are joined to the model on ``token`` (left
 join: out-of-vocabulary tokens add nothing) and summed per document, one
 sum per class column, so a (document, token) row meets the model once
-instead of once per class. Class priors and totals are one-row aggregates
-are one-row aggregates. When the vocabulary is small AQE turns the
-token join into a broadcast at run time from the measured size; when it is
-large the join stays sort-merge and AQE splits the partitions of hot
-tokens (skew join).
+instead of once per class. Class priors and totals are one-row aggregates.
+The fitted model is materialised in the checkpoint folder, so its row count
+is checked cheaply (a limit probe): under ``MAX_BROADCAST_BYTES`` the token
+join is a map-side broadcast and no token row is shuffled; above it the
+join stays sort-merge on token and AQE's skew join splits the partitions
+of hot tokens (the left, token-row side of the outer join).
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from ..functions.scores import argmax, softmax
 from ..checks import broadcast_if_bounded
 from ..session import cut_lineage
 
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-MAX_CLASSES = 100_000
 from .tokens import tokenize
 
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# The model has one column per class (count and log-probability), so the
+# class count sets the width of every generated aggregate. Wider label
+# spaces belong to the MLlib classifier (``operators/mllib``).
+MAX_CLASSES = 1_024
+
 
 @dataclass
 class NBModel:
@@ -57,7 +62,8 @@ def class_doc_counts(train: DataFrame, label: str = "gold",
     rows = (train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
                  .limit(max_classes + 1).collect())
     if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label!r}")
+        raise ValueError(f"more than {max_classes} classes in {label!r}: the Naive Bayes "
+                         "model keeps one column per class; use the MLlib classifier")
     return {r[0]: r[1] for r in rows}
 
 

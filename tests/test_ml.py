@@ -48,6 +48,44 @@ def test_split_is_prefix_of_hash_order(spark):
     assert [r.split for r in order] == ["val"] * 100 + ["train"] * 400
 
 
+def _brute_force_split(rows, frac=0.2, seed=42):
+    """Exact split by definition: largest-remainder quotas (ties by label),
+    then the first ``quota`` rows of each class in (md5 hash, id) order."""
+    import hashlib
+    by_class = {}
+    for rid, lab in rows:
+        by_class.setdefault(lab, []).append(rid)
+    n = len(rows)
+    n_val = math.ceil(frac * n)
+    base = {c: n_val * len(ids) // n for c, ids in by_class.items()}
+    rem = {c: n_val * len(ids) % n for c, ids in by_class.items()}
+    left = n_val - sum(base.values())
+    for c in sorted(by_class, key=lambda c: (-rem[c], c))[:left]:
+        base[c] += 1
+
+    def h(rid):
+        return int(hashlib.md5(f"{seed}:{rid}".encode()).hexdigest()[:15], 16)
+    val = set()
+    for c, ids in by_class.items():
+        val |= set(sorted(ids, key=lambda r: (h(r), r))[:base[c]])
+    return val
+
+
+def test_split_skewed_class_matches_brute_force(spark):
+    """One class holds two thirds of the rows (and spans every hash
+    bucket); the split must still be exact, class by class."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 != 0, F.lit("hot"))
+         .otherwise(F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("gold"))
+    rows = [(r.row_id, r.gold) for r in df.collect()]
+    out = SP.stratified_split(df.repartition(5), "gold", "row_id")
+    got = {r.row_id for r in out.filter(F.col("split") == "val").collect()}
+    assert got == _brute_force_split(rows)
+    assert out.count() == n
+
+
 def test_split_rejects_singletons(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "row_id long, gold string")
     with pytest.raises(Exception, match="fewer than 2"):
