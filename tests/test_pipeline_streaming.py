@@ -17,8 +17,11 @@ def test_pipeline_runs_all_stages(spark, tmp_dir):
     assert list(done) == list(pipeline.STAGES)
     pred = spark.read.parquet(os.path.join(out, "predictions"))
     assert pred.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
-    stats = spark.read.parquet(os.path.join(out, "analysis/label_stats")).collect()
-    assert sum(r.support for r in stats) == pred.filter("dataset = 'indomain'").count()
+    stats = spark.read.parquet(os.path.join(out, "analysis/label_stats"))
+    support = {r.dataset: r.n for r in stats.groupBy("dataset").agg(F.sum("support").alias("n")).collect()}
+    assert support == {r.dataset: r["count"] for r in pred.groupBy("dataset").count().collect()}
+    conf = spark.read.parquet(os.path.join(out, "report/confusion"))
+    assert {r.dataset for r in conf.select("dataset").distinct().collect()} == set(support)
     corr = spark.read.parquet(os.path.join(out, "report/correlation")).collect()
     assert len(corr) == 9
     hist = spark.read.parquet(os.path.join(out, "report/confidence_hist"))
