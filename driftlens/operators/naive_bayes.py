@@ -83,21 +83,28 @@ def fit_nb(train: DataFrame, classes: list | None = None, label: str = "gold", t
     counts = toks.groupBy("token").agg(*[
         F.sum((F.col("_y") == F.lit(c)).cast("long")).alias(f"n_{i}") for i, c in enumerate(classes)])
     cnt_cols = [F.col(f"n_{i}") for i in range(len(classes))]
-    # One scalar subquery (a one-row global aggregate over the count table):
-    # vocabulary size and the token total of every class.
-    stats = counts.agg(F.struct(F.count(F.lit(1)).alias("v"),
-                                F.array(*[F.sum(c) for c in cnt_cols]).alias("tot"))).scalar()
-    vocab = stats.getField("v")
+    one_row = [F.count(F.lit(1)).alias("v"), F.array(*[F.sum(c) for c in cnt_cols]).alias("tot")]
+    if materialize:
+        # Fitting is a job of its own: the count table is written to the
+        # shared checkpoint folder in one pass over the training tokens,
+        # then its one-row statistics (vocabulary size, token total per
+        # class: at most MAX_CLASSES + 1 numbers) are read from the written
+        # table. The log-probabilities are a projection over the
+        # materialised counts, so scoring plans neither re-run the fit nor
+        # lose it with an executor.
+        counts = cut_lineage(counts)
+        st = counts.agg(*one_row).first()
+        vocab = F.lit(int(st["v"]))
+        totals = [F.lit(int(t or 0)) for t in (st["tot"] or [0] * len(classes))]
+    else:
+        # Lazy form: the statistics enter the plan as one scalar subquery.
+        stats = counts.agg(F.struct(*one_row)).scalar()
+        vocab = stats.getField("v")
+        totals = [F.element_at(stats.getField("tot"), i + 1) for i in range(len(classes))]
     lps = [F.ln((c.cast("double") + F.lit(alpha)) /
-                (F.element_at(stats.getField("tot"), i + 1).cast("double") + F.lit(alpha) * vocab))
-           .alias(f"lp_{i}") for i, c in enumerate(cnt_cols)]
+                (tot.cast("double") + F.lit(alpha) * vocab)).alias(f"lp_{i}")
+           for i, (c, tot) in enumerate(zip(cnt_cols, totals))]
     table = counts.select("token", *lps)
-    if materialize:
-        # Fitting is a job of its own: the model is written to the shared
-        # checkpoint folder, so scoring plans read a small materialised
-        # table (its size known to the planner) instead of re-running the
-        # fit, and survive executor loss without recomputing it.
-        table = cut_lineage(table)
     return NBModel(list(classes), table, log_prior, materialize)
 
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checks import broadcast_if_bounded
 from ..constants import SEED, VAL_FRACTION
 from ..session import cut_lineage
 
@@ -64,14 +63,15 @@ def stratified_split(df: DataFrame, label: str = "gold", id_col: str = "row_id",
     """All input columns plus ``split`` in {'train', 'val'}.
 
     Passes: (1) a histogram of (class, hash bucket) over the id and label
-    columns only; (2) the rows of each class's boundary bucket (about
+    columns only, reduced to each class's boundary bucket (one row per
+    class); (2) the rows of each class's boundary bucket (about
     ``n_c / 65536`` of them) are ranked to give the class's exact cut
     ``(hash, id)``; (3) one pass over the full rows compares each row with
-    its class's cut. (1) and (2) are one job: the boundary table (one row
-    per class) stays inside the plan, where AQE turns its join into a
-    broadcast from the measured size. The cut table is written to the
-    checkpoint folder and broadcast into (3) only after its row count is
-    checked."""
+    its class's cut. The boundary table is written to the checkpoint folder
+    and broadcast into (2) only after its row count is checked, so the
+    row-level keys are never shuffled, whatever the optimiser estimates for
+    an aggregated table. The cut table has at most one row per boundary row,
+    so the same check bounds it; it is written too and broadcast into (3)."""
     shift = HASH_BITS - BUCKET_BITS
     keys = (df.select(label, id_col)
               .withColumn("_h", split_hash(id_col, seed))
@@ -85,14 +85,20 @@ def stratified_split(df: DataFrame, label: str = "gold", id_col: str = "row_id",
     boundary = (hist.withColumn("cum", cum).join(quotas, label)
                     .filter((before < F.col("q")) & (F.col("cum") >= F.col("q")))
                     .select(label, "_b", (F.col("q") - before).alias("_need")))
+    boundary = cut_lineage(boundary)
+    # One probe decides both broadcasts (above the bound: sort-merge joins).
+    small = boundary.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+
+    def bcast(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if small else t
 
     # Rank only the boundary bucket of each class; its need-th row is the cut.
     w = Window.partitionBy(label).orderBy("_h", id_col)
-    cuts = (keys.join(boundary, [label, "_b"])
+    cuts = (keys.join(bcast(boundary), [label, "_b"])
                 .withColumn("_rk", F.row_number().over(w))
                 .filter(F.col("_rk") == F.col("_need"))
                 .select(label, F.col("_h").alias("_ch"), F.col(id_col).alias("_cid")))
-    cuts = broadcast_if_bounded(cut_lineage(cuts), MAX_CLASSES)
+    cuts = bcast(cut_lineage(cuts))
 
     h = split_hash(id_col, seed)
     is_val = F.coalesce((h < F.col("_ch")) |
