@@ -51,7 +51,13 @@ def _python_first_label(text: str | None, default: int) -> int:
 def fallback_udf(default: int = 0):
     @F.pandas_udf(IntegerType())
     def _first_label_fallback(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _python_first_label(v, default)).astype("int32")
+        # Most cells arrive NULL (the JVM regexes parsed them): fill those
+        # in one vectorised step and call Python only for the rest.
+        out = pd.Series(default, index=s.index, dtype="int32")
+        todo = s.notna()
+        if todo.any():
+            out[todo] = s[todo].map(lambda v: _python_first_label(v, default)).astype("int32")
+        return out
     return _first_label_fallback
 
 
