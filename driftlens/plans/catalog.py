@@ -296,6 +296,25 @@ def q_issue_scan(spark, sf_dir):
     return out.select("page", "pos", "id", "number", "text", "comments", "user")
 
 
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """Every document (in the NA-token shapes) exported as CSV into the
+    shared checkpoint folder, then scanned back with an explicit schema,
+    the column contract and NA-token recognition. Real texts carry quotes,
+    commas, blank lines and carriage returns, so this checks that the
+    round trip is lossless apart from the NA tokens."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as FS
+    path = os.path.join(ensure_checkpoint_dir(spark), "csv_roundtrip", uuid.uuid4().hex)
+    FS.write_csv(D.na_texts(spark, sf_dir), path)
+    back = FS.read_csv(spark, path, "doc_id long, text string, label string",
+                       required=["doc_id", "text", "label"])
+    return back.select("doc_id", "text", "label")
+
+
 @register("dataset_union")
 def q_dataset_union(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]) \

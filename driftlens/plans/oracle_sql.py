@@ -325,6 +325,7 @@ WHERE text <> ''
         + "SELECT 'labels' AS src, doc_id, label FROM lab UNION ALL "
           "SELECT 'label' AS src, doc_id, CAST(quality AS INTEGER) AS label FROM labels",
     "na_tokens": _w(NA_TEXT_CTE) + "SELECT doc_id, text FROM na",
+    "csv_roundtrip": _w(NA_TEXT_CTE) + "SELECT doc_id, text, label FROM na",
     "fill_text": _w(NA_TEXT_CTE) + "SELECT doc_id, coalesce(text, '') AS text FROM na",
     "drop_missing": _w(NA_TEXT_CTE)
         + "SELECT doc_id, text, label FROM na WHERE text IS NOT NULL AND label IS NOT NULL",

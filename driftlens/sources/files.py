@@ -33,9 +33,12 @@ def _stringify(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV export: header, quoted with doubled quotes, overwrite."""
+    """CSV export: header, quoted with doubled quotes, overwrite. Cell text
+    is written as is: Spark's writer trims surrounding whitespace unless
+    told not to, which would turn ``" "`` into an empty (then missing) cell."""
     (_stringify(df).write.mode("overwrite")
         .option("header", True).option("quote", '"').option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path))
 
 

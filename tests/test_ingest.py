@@ -114,7 +114,7 @@ def test_csv_roundtrip_and_contract(spark, tmp_dir):
     assert got[1] == ('say "hi", ok', "[1,2]")
     assert got[2][0] == "line1\n\nline3" and got[3][0] == "back\\slash"
     assert got[4][0] is None and got[5][0] is None and got[6][0] is None and got[7][0] is None
-    assert got[8][0] == "none" and got[10][0] is None
+    assert got[8][0] == "none" and got[9][0] == " " and got[10][0] is None
     with pytest.raises(ColumnContractError, match="available columns"):
         FS.read_csv(spark, path, "id long, text string, labels string", required=["pred_label"])
 
