@@ -62,5 +62,6 @@ def texts_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"], spread=True)
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"],
+                      spread="doc_id")
     return texts_from_documents(docs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -16,20 +17,22 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None,
-               spread: bool = False) -> DataFrame:
+               spread: str | None = None) -> DataFrame:
     """Scan with an explicit column list.
 
-    ``spread``: for CPU-heavy row work (regex tokenisation over whole
-    texts), guarantee at least one partition per core. A file with few row
-    groups is read by few tasks however many splits it has; then the rows
-    are redistributed round-robin. On large inputs the scan already has
-    more partitions than cores and this is a no-op."""
+    ``spread``: a key column (e.g. a unique id). For CPU-heavy row work
+    (regex tokenisation over whole texts), guarantee at least one partition
+    per core. A file with few row groups is read by few tasks however many
+    splits it has; then the rows are hash-partitioned on the key. Hashing a
+    key is deterministic, so a retried task gets the same rows without the
+    sort of whole rows a round-robin repartition needs. On large inputs the
+    scan already has more partitions than cores and this is a no-op."""
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
     if spread:
         par = spark.sparkContext.defaultParallelism
         if _effective_partitions(spark, sf_dir, name, df) < par:
-            df = df.repartition(par)
+            df = df.repartition(par, F.col(spread))
     return df
 
 
