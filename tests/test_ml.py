@@ -162,3 +162,49 @@ def test_lr_pipeline_fits_and_scores(spark, texts, tmp_dir):
     assert all(0.0 < r.pred_confidence <= 1.0 for r in rows)
     acc = sum(r.gold == r.pred_label for r in rows) / len(rows)
     assert acc > 0.5
+
+
+def _plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nb_scoring_beyond_the_broadcast_bound(spark, texts, monkeypatch):
+    """Above the size bound the model is not broadcast (the token join stays
+    sort-merge) and the scores are the same."""
+    sp = SP.stratified_split(texts.filter("dataset = 'indomain'"), "gold", "row_id")
+    model = NB.fit_nb(sp.filter("split = 'train'"), None)
+    small = NB.score_nb(model, texts)
+    assert "BroadcastHashJoin" in _plan_text(small)
+    expect = {r.row_id: (r.pred_label, r.pred_confidence) for r in small.collect()}
+    monkeypatch.setattr(NB, "MAX_BROADCAST_BYTES", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = NB.score_nb(model, texts)
+        got = {r.row_id: (r.pred_label, r.pred_confidence) for r in big.collect()}
+        assert "SortMergeJoin" in _plan_text(big)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got.keys() == expect.keys()
+    for k, (lab, conf) in expect.items():
+        assert got[k][0] == lab and math.isclose(got[k][1], conf, rel_tol=1e-9)
+
+
+def test_split_beyond_the_class_bound(spark, monkeypatch):
+    """With the per-class tables above the broadcast bound the split takes
+    sort-merge joins and stays identical."""
+    df = spark.range(3000).select(F.col("id").alias("row_id"),
+                                  (F.col("id") % 5).cast("string").alias("gold"))
+    expect = {(r.row_id, r.split) for r in SP.stratified_split(df, "gold", "row_id").collect()}
+    monkeypatch.setattr(SP, "MAX_CLASSES", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SP.stratified_split(df, "gold", "row_id")
+        got = {(r.row_id, r.split) for r in out.collect()}
+        assert "BroadcastHashJoin" not in _plan_text(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == expect
