@@ -50,8 +50,14 @@ def assemble_pages(rows: DataFrame, page_size: int, limit: int | None = None,
     # Page-level table joined with its successor (an equi-join on page
     # number), then one global aggregate: first short page, first page
     # whose successor is missing, and whether the first page exists.
-    nxt = sizes.select((F.col("p") - 1).alias("p"), F.lit(True).alias("has_next"))
-    bounds = (sizes.join(nxt, "p", "left")
+    # Both sides must stay the same page aggregate, so that the rows are
+    # read once and the second side reuses the exchange: ``has_next`` reads
+    # ``n`` (a constant would let the optimiser prune the count from one
+    # side), and the join is null-safe (an equi-join would infer different
+    # not-null filters for ``p`` and ``p - 1`` and push them into the scans).
+    # ``p`` is never NULL: the ``>= start_page`` filter drops NULL pages.
+    nxt = sizes.select((F.col("p") - 1).alias("_np"), (F.col("n") > 0).alias("has_next"))
+    bounds = (sizes.join(nxt, F.col("p").eqNullSafe(F.col("_np")), "left")
                    .agg(F.struct(
                        F.min(F.when(F.col("n") < page_size, F.col("p"))).alias("short"),
                        F.min(F.when(F.col("has_next").isNull(), F.col("p"))).alias("last_present"),
