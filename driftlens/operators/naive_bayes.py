@@ -5,15 +5,15 @@ one count column per class (conditional sums with partial aggregation; hot
 tokens cost one partial row per task). Laplace smoothing gives
 ``log P(token | class) = ln((n + alpha) / (total_class + alpha * |V|))``.
 
-Score: each document's tokens are joined to the model on ``token`` (left
-join: out-of-vocabulary tokens add nothing) and summed per document, one
-sum per class column, so a (document, token) row meets the model once
-instead of once per class. Class priors and totals are one-row aggregates.
-The fitted model is materialised in the checkpoint folder, so its row count
-is checked cheaply (a limit probe): under ``MAX_BROADCAST_BYTES`` the token
-join is a map-side broadcast and no token row is shuffled; above it the
-join stays sort-merge on token and AQE's skew join splits the partitions
-of hot tokens (the left, token-row side of the outer join).
+Score: each document's tokens are joined to the model on ``token``
+(out-of-vocabulary tokens add nothing) and summed per document, one sum per
+class column, so a (document, token) row meets the model once instead of
+once per class. Class priors and totals are one-row aggregates. The fitted
+model is materialised in the checkpoint folder, so its row count is checked
+cheaply (a limit probe): under ``MAX_BROADCAST_BYTES`` the token join is a
+map-side broadcast and no token row is shuffled. Above it the model is split
+at a training-count threshold: hot tokens stay a map-side broadcast, and
+only the long tail of rare tokens goes through a sort-merge join.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from ..constants import NB_ALPHA
 from ..functions.scores import argmax, softmax
-from ..checks import broadcast_if_bounded
 from ..session import cut_lineage
 
 from .tokens import tokenize
@@ -41,7 +40,7 @@ MAX_CLASSES = 1_024
 @dataclass
 class NBModel:
     classes: list            # label values, in column order
-    table: DataFrame         # token, lp_0 .. lp_{C-1}
+    table: DataFrame         # token, lp_0 .. lp_{C-1}, n_total
     log_prior: list          # one log prior per class, in column order
     materialized: bool = False
 
@@ -104,27 +103,72 @@ def fit_nb(train: DataFrame, classes: list | None = None, label: str = "gold", t
     lps = [F.ln((c.cast("double") + F.lit(alpha)) /
                 (tot.cast("double") + F.lit(alpha) * vocab)).alias(f"lp_{i}")
            for i, (c, tot) in enumerate(zip(cnt_cols, totals))]
-    table = counts.select("token", *lps)
+    # ``n_total``: the token's count over all classes, used by scoring to
+    # split hot tokens (broadcast) from the long tail (sort-merge).
+    n_total = sum(cnt_cols[1:], cnt_cols[0]).alias("n_total")
+    table = counts.select("token", *lps, n_total)
     return NBModel(list(classes), table, log_prior, materialize)
 
 
+def hot_threshold(table: DataFrame, max_rows: int, col: str = "n_total") -> int | None:
+    """Smallest power of two ``t`` such that at most ``max_rows`` tokens have
+    ``col >= t`` (None when even the most frequent bucket is too large).
+
+    Computed from a histogram over log2 buckets of the training count: at
+    most 64 rows reach the driver, whatever the vocabulary size."""
+    b = F.floor(F.log2(F.col(col).cast("double"))).cast("int")
+    hist = table.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+    kept, thr = 0, None
+    for r in sorted(hist, key=lambda r: -r["b"]):
+        if kept + r["k"] > max_rows:
+            break
+        kept += r["k"]
+        thr = 2 ** int(r["b"])
+    return thr
+
+
 def score_nb(model: NBModel, docs: DataFrame, text: str = "text", id_col: str = "row_id",
              keep=(), label_col: str = "pred_label", conf_col: str = "pred_confidence") -> DataFrame:
     """One row per input document (also empty ones) with the predicted
-    class, its probability, and the per-class log scores."""
+    class, its probability, and the per-class log scores.
+
+    The model is on disk, so checking its row count is cheap. Under the
+    bound the whole model is broadcast: the token join is map-side and no
+    token row is shuffled. Above it the model is split by training count:
+    the hot tokens (a threshold chosen so that they fit the bound) are
+    still joined map-side, and only the rows of the long tail of rare
+    tokens are shuffled to a sort-merge join. Token frequencies are heavily
+    skewed, so this keeps most token rows out of the shuffle (at the price
+    of tokenising the text twice, once per branch), and it also takes the
+    hottest tokens out of the sort-merge join."""
     keys = [id_col, *keep]
-    toks = docs.select(*keys, F.explode_outer(tokenize(text)).alias("token"))
+    lp = model.lp_cols()
     table = model.table
-    if model.materialized:
-        # The model is on disk, so checking its row count is cheap. Under
-        # the bound the join is a map-side broadcast and no token row is
-        # shuffled; above it, sort-merge on token with AQE skew splitting.
-        row_bytes = 8 * len(model.classes) + 48
-        table = broadcast_if_bounded(table, max(1, MAX_BROADCAST_BYTES // row_bytes))
-    joined = toks.join(table, "token", "left")
-    sums = joined.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
-                                       for c in model.lp_cols()])
-    logits = F.array(*[F.lit(float(p)) + F.col(c) for p, c in zip(model.log_prior, model.lp_cols())])
+    bound = max(1, MAX_BROADCAST_BYTES // (8 * len(model.classes) + 48))
+    fits = model.materialized and table.limit(bound + 1).count() <= bound
+    if fits or not model.materialized or "n_total" not in table.columns:
+        toks = docs.select(*keys, F.explode_outer(tokenize(text)).alias("token"))
+        side = F.broadcast(table.select("token", *lp)) if fits else table.select("token", *lp)
+        joined = toks.join(side, "token", "left").select(*keys, *lp)
+    else:
+        toks = docs.select(*keys, F.explode(tokenize(text)).alias("token"))
+        # One zero row per document keeps empty and out-of-vocabulary texts.
+        base = docs.select(*keys, *[F.lit(0.0).alias(c) for c in lp])
+        thr = hot_threshold(table, bound)
+        if thr is None:
+            cold_toks, cold = toks, table
+            parts = [base]
+        else:
+            hot = F.broadcast(table.filter(F.col("n_total") >= thr).select("token", *lp))
+            parts = [base, toks.join(hot, "token").select(*keys, *lp)]
+            cold_toks = toks.join(hot.select("token"), "token", "left_anti")
+            cold = table.filter(F.col("n_total") < thr)
+        parts.append(cold_toks.join(cold.select("token", *lp), "token").select(*keys, *lp))
+        joined = parts[0]
+        for p in parts[1:]:
+            joined = joined.unionByName(p)
+    sums = joined.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in lp])
+    logits = F.array(*[F.lit(float(p)) + F.col(c) for p, c in zip(model.log_prior, lp)])
     classes = F.array(*[F.lit(c) for c in model.classes])
     out = sums.select(*keys, logits.alias("logits"))
     return out.select(*keys, "logits",

@@ -208,3 +208,33 @@ def test_split_beyond_the_class_bound(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert got == expect
+
+
+def test_nb_hybrid_scoring_splits_hot_and_rare_tokens(spark, texts, monkeypatch):
+    """Model above the bound: hot tokens are broadcast, rare ones go through
+    a sort-merge join, and the scores equal the all-broadcast ones."""
+    sp = SP.stratified_split(texts.filter("dataset = 'indomain'"), "gold", "row_id")
+    model = NB.fit_nb(sp.filter("split = 'train'"), None)
+    n_tokens = model.table.count()
+    expect = {r.row_id: (r.pred_label, r.pred_confidence) for r in NB.score_nb(model, texts).collect()}
+    row_bytes = 8 * len(model.classes) + 48
+    monkeypatch.setattr(NB, "MAX_BROADCAST_BYTES", row_bytes * (n_tokens // 20))
+    thr = NB.hot_threshold(model.table, n_tokens // 20)
+    hot = model.table.filter(F.col("n_total") >= thr).count()
+    assert 0 < hot <= n_tokens // 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = NB.score_nb(model, texts)
+        got = {r.row_id: (r.pred_label, r.pred_confidence) for r in out.collect()}
+        plan = _plan_text(out)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got.keys() == expect.keys()
+    for k, (lab, conf) in expect.items():
+        assert got[k][0] == lab and math.isclose(got[k][1], conf, rel_tol=1e-9)
+    # empty and missing texts still get one row, scored by the priors alone
+    extra = spark.createDataFrame([(-1, None), (-2, "")], "row_id long, text string")
+    assert NB.score_nb(model, extra).count() == 2
