@@ -117,7 +117,10 @@ def hot_threshold(table: DataFrame, max_rows: int, col: str = "n_total") -> int
     Computed from a histogram over log2 buckets of the training count: at
     most 64 rows reach the driver, whatever the vocabulary size."""
     b = F.floor(F.log2(F.col(col).cast("double"))).cast("int")
-    hist = table.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+    # A zero count (a token seen only under labels outside ``classes``) has
+    # no bucket; such tokens stay below any threshold, in the tail.
+    hist = (table.filter(F.col(col) > 0).groupBy(b.alias("b"))
+                 .agg(F.count(F.lit(1)).alias("k")).collect())
     kept, thr = 0, None
     for r in sorted(hist, key=lambda r: -r["b"]):
         if kept + r["k"] > max_rows:

@@ -238,3 +238,10 @@ def test_nb_hybrid_scoring_splits_hot_and_rare_tokens(spark, texts, monkeypatch)
     # empty and missing texts still get one row, scored by the priors alone
     extra = spark.createDataFrame([(-1, None), (-2, "")], "row_id long, text string")
     assert NB.score_nb(model, extra).count() == 2
+
+
+def test_hot_threshold_buckets(spark):
+    t = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 5), ("e", 9)],
+                              "token string, n_total long")
+    # counts 9 | 5 | 1, 1 fall in log2 buckets 3 | 2 | 0; a zero count has none
+    assert [NB.hot_threshold(t, m) for m in (0, 1, 2, 3, 4, 10)] == [None, 8, 4, 4, 1, 1]
