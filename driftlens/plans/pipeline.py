@@ -42,8 +42,10 @@ def train(spark: SparkSession, out_dir: str) -> None:
     ind = C.drop_missing(texts.filter(F.col("dataset") == DATASETS[0]), ["text", "gold"])
     split = SP.stratified_split(ind, "gold", "row_id")
     write_parquet(split.select("row_id", "gold", "split"), _p(out_dir, "split"))
-    sp = spark.read.parquet(_p(out_dir, "split"))
-    train_rows = ind.join(sp.filter(F.col("split") == "train").select("row_id"), "row_id", "left_semi")
+    # The split already carries the text: its per-class cut table is on
+    # disk, so re-reading it is one scan with a broadcast join. Joining the
+    # written ids back to the texts would shuffle every training text.
+    train_rows = split.filter(F.col("split") == "train")
     write_parquet(LI.label_index(ind, "gold"), _p(out_dir, "label_index"))
     NB.save_nb(NB.fit_nb(train_rows, None, "gold", "text"), _p(out_dir, "model"))
 
