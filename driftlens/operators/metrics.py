@@ -14,7 +14,8 @@ def correct_flag(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
     return df.withColumn(out, F.col(gold).eqNullSafe(F.col(pred)).cast("int"))
 
 
-def _keys(by) -> list:
+def group_keys(by) -> list:
+    """Grouping columns of a ``by`` argument: None, one name, or a list."""
     return [by] if isinstance(by, str) else list(by or [])
 
 
@@ -23,7 +24,7 @@ def overall_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred_label"
     """Accuracy over all rows, or per group of ``by`` (one partially
     aggregated groupBy; a dominant group costs one partial row per task)."""
     c = F.col(gold).eqNullSafe(F.col(pred)).cast("int")
-    return df.groupBy(*_keys(by)).agg(
+    return df.groupBy(*group_keys(by)).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n_correct"),
         F.avg(c).alias("accuracy"))
@@ -34,7 +35,7 @@ def label_stats(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
     """Support and accuracy per gold label (per group of ``by``), largest
     support first (ties by label id). Partial aggregation keeps a dominant
     label cheap."""
-    keys = _keys(by)
+    keys = group_keys(by)
     c = F.col(gold).eqNullSafe(F.col(pred)).cast("int")
     return (df.groupBy(*keys, F.col(gold).alias(label_name))
               .agg(F.count(F.lit(1)).alias("support"), F.avg(c).alias("accuracy"))
@@ -46,7 +47,7 @@ def top_n(stats: DataFrame, n: int, by: str = "support", label_name: str = "labe
     """First ``n`` rows by ``by`` desc, label asc (a TakeOrderedAndProject);
     with ``group``, the first ``n`` of each group. ``stats`` is a label-level
     table, so the per-group window ranks at most (groups x labels) rows."""
-    keys = _keys(group)
+    keys = group_keys(group)
     if not keys:
         return stats.orderBy(F.desc(by), F.asc(label_name)).limit(n)
     w = Window.partitionBy(*keys).orderBy(F.desc(by), F.asc(label_name))
@@ -54,13 +55,13 @@ def top_n(stats: DataFrame, n: int, by: str = "support", label_name: str = "labe
 
 
 def value_counts(df: DataFrame, col: str, by=None, name: str = "label") -> DataFrame:
-    keys = _keys(by)
+    keys = group_keys(by)
     return (df.filter(F.col(col).isNotNull())
               .groupBy(*keys, F.col(col).alias(name)).agg(F.count(F.lit(1)).alias("n")))
 
 
 def num_labels(df: DataFrame, col: str = "gold", by=None) -> DataFrame:
-    return df.groupBy(*_keys(by)).agg(F.countDistinct(col).alias("num_labels"))
+    return df.groupBy(*group_keys(by)).agg(F.countDistinct(col).alias("num_labels"))
 
 
 def rank_top(counts: DataFrame, k: int, by=None, name: str = "label") -> DataFrame:
@@ -69,7 +70,7 @@ def rank_top(counts: DataFrame, k: int, by=None, name: str = "label") -> DataFra
     most (groups x labels) rows, never row-level data. A NULL label ranks
     after every other and is dropped after ranking, so the filter stays
     above the window and does not change the plan below it."""
-    keys = _keys(by)
+    keys = group_keys(by)
     order = [F.col(name).isNull(), F.desc("n"), F.asc(name)]
     if not keys:
         top = counts.orderBy(*order).limit(k)
@@ -97,7 +98,7 @@ def per_label_counts(df: DataFrame, gold: str = "gold", pred: str = "pred_label"
     One shuffle: each row contributes a gold-side and a pred-side record,
     summed per label with map-side partial aggregation (so a dominant label
     costs one partial row per task, not one task of its own)."""
-    keys = _keys(by)
+    keys = group_keys(by)
     g, p = F.col(gold), F.col(pred)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     tp = g.eqNullSafe(p).cast("long")
@@ -116,7 +117,7 @@ def macro_f1(df: DataFrame, gold: str = "gold", pred: str = "pred_label", by=Non
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"),
                                  (F.col("support") + F.col("predicted")).cast("double")),
                     F.lit(0.0))
-    return per_label_counts(df, gold, pred, by).groupBy(*_keys(by)).agg(
+    return per_label_counts(df, gold, pred, by).groupBy(*group_keys(by)).agg(
         F.avg(f1).alias("f1_macro"), F.count(F.lit(1)).cast("long").alias("n_labels"))
 
 

@@ -108,8 +108,8 @@ def confusion_topk(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred_
     set becomes a rank-ordered array of at most k labels, and the dense grid
     is generated from it with ``sequence`` (k*k cells per group, the size of
     the report itself) and matched to the pair counts by an equi-join."""
-    from .metrics import _keys, rank_top
-    keys = _keys(by)
+    from .metrics import group_keys, rank_top
+    keys = group_keys(by)
     pairs = (df.groupBy(*keys, F.col(gold).alias("gold"), F.col(pred).alias("pred"))
                .agg(F.count(F.lit(1)).alias("n")))
     # NULL gold labels are dropped by ``rank_top`` after ranking; a filter
@@ -142,8 +142,8 @@ def confusion_topk(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred_
 def confusion_normalise(conf: DataFrame, by=None) -> DataFrame:
     """Each gold row divided by its sum within the top-k block; a zero row
     stays zero."""
-    from .metrics import _keys
-    row_sum = F.sum("n").over(Window.partitionBy(*_keys(by), "gold"))
+    from .metrics import group_keys
+    row_sum = F.sum("n").over(Window.partitionBy(*group_keys(by), "gold"))
     return conf.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), row_sum),
                                            F.lit(0.0)))
 
