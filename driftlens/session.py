@@ -8,14 +8,34 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Target size of one shuffle partition: large enough to amortise task
+# overhead, small enough to sort and aggregate in executor memory without
+# heavy spilling.
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def shuffle_partitions_for(shuffle_bytes: int, partition_bytes: int = PARTITION_BYTES,
+                           floor: int = 200) -> int:
+    """Initial shuffle partitions for a job whose largest shuffle moves
+    ``shuffle_bytes``.
+
+    AQE only merges small post-shuffle partitions (and splits skewed join
+    partitions); it never splits an oversized aggregate partition. So the
+    initial count must fit the largest shuffle, and AQE coalesces it down
+    for the smaller ones. The row-level shuffles here move keys, partial
+    per-document sums or the rare-token tail, not texts, so they are a small
+    share of the input: 5 TB of shuffle gives 20,480 partitions."""
+    return max(floor, -(-int(shuffle_bytes) // int(partition_bytes)))
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "driftlens", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "driftlens", extra: dict | None = None,
+                  shuffle_bytes: int | None = None) -> SparkSession:
     """A session tuned for the library: AQE on (coalescing, skew-join split),
     UI off, UTC, Arrow for pandas transfer. On a cluster, pass ``master=None``
     and let spark-submit decide; shuffle partitions then come from the cluster
-    config and AQE coalesces them at run time."""
+    config, or from ``shuffle_bytes`` (see ``shuffle_partitions_for``), and AQE
+    coalesces them at run time towards ``PARTITION_BYTES``."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
@@ -28,6 +48,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if shuffle_partitions is None and shuffle_bytes:
+        shuffle_partitions = shuffle_partitions_for(shuffle_bytes)
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(PARTITION_BYTES)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

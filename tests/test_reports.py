@@ -207,3 +207,10 @@ def test_topk_null_label_ranks_last(spark):
     assert top == [(1, 0), (2, 1)]
     conf = {(r.gold, r.pred): r.n for r in S.confusion_topk(df, 2).collect()}
     assert conf == {(1, 1): 2, (1, 2): 0, (2, 1): 0, (2, 2): 1}
+
+
+def test_shuffle_partition_sizing():
+    from driftlens.session import PARTITION_BYTES, shuffle_partitions_for
+    assert shuffle_partitions_for(0) == 200
+    assert shuffle_partitions_for(5 * 2 ** 40) == 5 * 2 ** 40 // PARTITION_BYTES
+    assert shuffle_partitions_for(PARTITION_BYTES * 1000 + 1) == 1001
