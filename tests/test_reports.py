@@ -159,6 +159,13 @@ def test_invariance_under_repartitioning(spark, scored, parts):
     assert sorted(tuple(r) for r in M.label_stats(re).collect()) == base
     a = sorted(tuple(r) for r in S.confusion_topk(scored, 5).collect())
     assert sorted(tuple(r) for r in S.confusion_topk(re, 5).collect()) == a
+    # the per-dataset forms used by the registered queries
+    by = ["dataset"]
+    for rep in (lambda d: M.top_n(M.label_stats(d, by=by), 3, group=by),
+                lambda d: M.topk_labels(d, 4, by=by),
+                lambda d: S.confusion_normalise(S.confusion_topk(d, 3, by=by), by=by)):
+        assert sorted(tuple(r) for r in rep(re).collect()) == \
+            sorted(tuple(r) for r in rep(scored).collect())
 
 
 def test_grouped_reports_equal_per_group_runs(spark, scored):
