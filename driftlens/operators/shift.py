@@ -26,7 +26,10 @@ def label_distribution(df: DataFrame, label: str = "pred_label", by: str = "data
 def wide_distribution(dist: DataFrame, datasets=DATASETS, value: str = "p") -> DataFrame:
     """One row per label, one column per dataset, 0 where a dataset lacks the
     label: the three-way full outer join on label, done as one pivot."""
-    w = dist.groupBy("label").pivot("dataset", list(datasets)).agg(F.first(value))
+    # One value per (label, dataset) cell, so ``max`` equals ``first``; unlike
+    # ``first`` it is order-insensitive, which lets the optimiser drop the
+    # label sort of ``dist`` (and its range exchange) below this aggregate.
+    w = dist.groupBy("label").pivot("dataset", list(datasets)).agg(F.max(value))
     return w.fillna(0.0, subset=list(datasets)).orderBy("label")
 
 
@@ -87,7 +90,7 @@ def distribution_corr(dense: DataFrame, datasets=DATASETS) -> DataFrame:
     w = Window.partitionBy("dataset")
     varying = F.max("p").over(w) > F.min("p").over(w)
     guarded_long = dense.withColumn("pv", F.when(varying, F.col("p")))
-    wide = guarded_long.groupBy("label").pivot("dataset", ds).agg(F.first("pv"))
+    wide = guarded_long.groupBy("label").pivot("dataset", ds).agg(F.max("pv"))
     guarded = wide.select(*[F.col(d).alias(f"_v_{i}") for i, d in enumerate(ds)])
     pairs = [(i, j) for i in range(len(ds)) for j in range(len(ds))]
     aggs = guarded.agg(*[F.corr(f"_v_{i}", f"_v_{j}").alias(f"_c_{i}_{j}") for i, j in pairs])
