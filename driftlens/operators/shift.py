@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from ..constants import DATASETS, HIST_BINS
 
 
-def label_distribution(df: DataFrame, label: str = "pred_label", by: str = "dataset") -> DataFrame:
-    """Share of each label within each dataset (nulls excluded), by label."""
+def label_distribution(df: DataFrame, label: str = "pred_label", by: str = "dataset",
+                       sort: bool = True) -> DataFrame:
+    """Share of each label within each dataset (nulls excluded), by label.
+
+    ``sort=False`` when the distribution feeds another aggregate: the
+    optimiser keeps a sort under a floating-point ``sum`` (its result
+    depends on the order of addition), so the sort and its range exchange
+    would run for nothing."""
     counts = (df.filter(F.col(label).isNotNull())
                 .groupBy(F.col(by).alias("dataset"), F.col(label).alias("label"))
                 .agg(F.count(F.lit(1)).alias("n")))
     total = F.sum("n").over(Window.partitionBy("dataset"))
-    return (counts.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), total),
-                                               F.lit(0.0)))
-                  .orderBy("dataset", "label"))
+    out = counts.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), total),
+                                            F.lit(0.0)))
+    return out.orderBy("dataset", "label") if sort else out
 
 
 def wide_distribution(dist: DataFrame, datasets=DATASETS, value: str = "p") -> DataFrame:

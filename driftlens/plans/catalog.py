@@ -135,12 +135,12 @@ def q_label_distribution(spark, sf_dir):
 
 @register("dist_outer_join")
 def q_dist_outer_join(spark, sf_dir):
-    return r6(S.wide_distribution(S.label_distribution(views.scored(spark, sf_dir))))
+    return r6(S.wide_distribution(S.label_distribution(views.scored(spark, sf_dir), sort=False)))
 
 
 @register("label_groups")
 def q_label_groups(spark, sf_dir):
-    dist = S.label_distribution(views.scored(spark, sf_dir))
+    dist = S.label_distribution(views.scored(spark, sf_dir), sort=False)
     return r6(S.label_groups(dist, keep=GROUP_LABELS))
 
 

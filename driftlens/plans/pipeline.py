@@ -79,7 +79,7 @@ def report(spark: SparkSession, out_dir: str, top_k: int = TOP_K) -> None:
     pred = spark.read.parquet(_p(out_dir, "predictions"))
     idx = spark.read.parquet(_p(out_dir, "label_index"))
     n_labels = idx.count()                         # label-level table
-    dist = S.label_distribution(pred)
+    dist = S.label_distribution(pred, sort=False)
     write_parquet(S.wide_distribution(dist), _p(out_dir, "report/distribution"))
     conf = S.confusion_topk(pred, top_k, by=["dataset"])
     write_parquet(S.confusion_normalise(conf, by=["dataset"]), _p(out_dir, "report/confusion"))
