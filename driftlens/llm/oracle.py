@@ -28,6 +28,30 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.component_id, d.do
        d.doc_id = coalesce(low.component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id"""
 
+OP2 = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m,
+         unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ')
+                 for i in range(1, len(w) - least(10, len(w)) + 2)]) AS g
+  FROM b WHERE len(w) > 0),
+gram AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT DISTINCT m FROM win))),
+hit AS (SELECT doc_id, i, win.m AS m, item_id FROM gram JOIN win ON gram.m = win.m AND gram.g = win.g),
+place AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY 1),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
 ORACLE = {
+    "op2_benchmark_decontamination": OP2,
     "op8_minhash_near_dedup": OP8,
 }

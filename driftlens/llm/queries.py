@@ -6,7 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import superminhash
+from . import line_templates, positional_index, superminhash, toxicity
+
+
+def held_out() -> F.Column:
+    """Rows that no fit may learn from: crc32 of the id as text, modulo 4, is 2."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = positional_index.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    model = toxicity.fit(docs, labels.where(~held_out()))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted", "evidence_ids", "evidence_cosines")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    left = line_templates.drop_recurring_lines(docs)
+    return left.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +44,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
