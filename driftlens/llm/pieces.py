@@ -29,7 +29,7 @@ from . import words as W
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-KEPT_UNITS = 400_000   # encoded units kept by a task; beyond, it starts anew
+KEPT_UNITS = 1_000_000   # encoded units kept by a task; beyond, it starts anew
 PAIR_SLOTS = 1 << 21   # table of pair verdicts; emptied when half full
 CHUNK_BYTES = 4 << 20
 _BATCH = 1 << 20       # lattice cells at once
@@ -126,6 +126,10 @@ class Encoder:
 
     def __init__(self, vocabulary: dict):
         self.__dict__.update(vocabulary)
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.in_use = np.zeros(0x110000, bool)
+        self.in_use[self.used] = True
         self.power = W.powers(_P, self.longest * 2 + 2)
         self.verdicts = Verdicts()
         self.reset()
@@ -136,9 +140,13 @@ class Encoder:
 
     def lookup(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Piece of a substring hash, -1 if there is none."""
-        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        out = np.full(h.shape, -1, np.int64)
+        may = np.nonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])  # most substrings are no piece
+        some = h[may]
+        i = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
         p = self.ids[i]
-        return np.where((self.keys[i] == h) & (self.size[p] == size), p, -1)
+        out[may] = np.where((self.keys[i] == some) & (self.size[p] == size[may]), p, -1)
+        return out
 
     def merge(self, cps: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Number of symbols left, and the first one's length, after merging every row's
@@ -273,8 +281,7 @@ class Encoder:
         if not n:
             return np.zeros(len(off), np.int64), np.zeros(0, np.int32)
         mark = cp == MARK
-        i = np.minimum(np.searchsorted(self.used, cp), len(self.used) - 1)
-        alone = self.used[i] != cp
+        alone = ~self.in_use[cp]
         head = mark.copy()
         head[1:] &= ~mark[:-1]
         head |= alone

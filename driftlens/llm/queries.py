@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import line_templates, positional_index, superminhash, toxicity
+from . import line_templates, pieces, positional_index, superminhash, toxicity
 
 
 def held_out() -> F.Column:
@@ -38,6 +38,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    both = pieces.decode(pieces.encode(docs))
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(chr(pieces.MARK)), F.lit(" "))
+    return both.select("doc_id", "n_pieces", F.xxhash64("piece_ids").alias("ids_xxh64"),
+                       F.length("decoded").cast("long").alias("n_chars"),
+                       (F.col("decoded") == plain).alias("round_trip"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return superminhash.near_duplicates(docs)
@@ -47,5 +56,6 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
