@@ -28,6 +28,19 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.component_id, d.do
        d.doc_id = coalesce(low.component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id"""
 
+OP1 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x for x in embedding if x <> 0]) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+         WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+{_REACH},
+n AS (SELECT a AS node, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(low.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.node = e.vec_id LEFT JOIN low ON low.node = e.vec_id"""
+
 OP2 = f"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -52,6 +65,7 @@ SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM w LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
 ORACLE = {
+    "op1_embedding_near_dedup": OP1,
     "op2_benchmark_decontamination": OP2,
     "op8_minhash_near_dedup": OP8,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import line_templates, pieces, positional_index, superminhash, toxicity
+from . import language, lattice, line_templates, pieces, positional_index, superminhash, toxicity
 
 
 def held_out() -> F.Column:
@@ -14,6 +14,10 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     found = positional_index.contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -31,6 +35,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", "predicted", "evidence_ids", "evidence_cosines")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    model = language.fit(docs.where(~held_out()))
+    return language.predict(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     left = line_templates.drop_recurring_lines(docs)
@@ -53,8 +64,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
