@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, lattice, line_templates, pieces, positional_index, superminhash, toxicity
+from . import language, lattice, line_templates, pieces, positional_index, superminhash, toxicity, url_rules
 
 
 def held_out() -> F.Column:
@@ -63,6 +63,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(docs)
 
 
+URL_RULES = [
+    url_rules.Rule("org", "/", "allow"), url_rules.Rule("example.org", "/es/", "block"),
+    url_rules.Rule("example.org", "/en/1", "block"), url_rules.Rule("com", "/fr/", "allow"),
+    url_rules.Rule("com", "/de/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    return url_rules.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]), bad, URL_RULES)
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -71,4 +83,5 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
