@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, lattice, line_templates, pieces, positional_index, superminhash, toxicity, url_rules
+from . import language, lattice, licenses, line_templates, main_text, pieces, positional_index, superminhash, toxicity, url_rules
 
 
 def held_out() -> F.Column:
@@ -58,11 +58,20 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("decoded") == plain).alias("round_trip"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return superminhash.near_duplicates(docs)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), "licenses", "scores", "span_starts", "span_ends")
+
+
 URL_RULES = [
     url_rules.Rule("org", "/", "allow"), url_rules.Rule("example.org", "/es/", "block"),
     url_rules.Rule("example.org", "/en/1", "block"), url_rules.Rule("com", "/fr/", "allow"),
@@ -82,6 +91,8 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_html_extraction": op7_html_extraction,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
 }
