@@ -39,12 +39,26 @@ NB_ALPHA = 1.0
 # Word tokens: maximal runs of Unicode letters or digits after lower-casing.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
-# Whole-string fast path of the first-label parser (a prefix match would
-# wrongly accept "[1,2" or "[2,a]"). Anything else goes to the fallback.
+# Literals of a label cell (whole-string patterns: a prefix match would wrongly accept
+# "[1,2" or "[2,a]").
 _SP = r"[ \t\f\r\n]*"
-_INT = r"[+-]?(?:0|[1-9][0-9]*)"
+_DIGITS = r"[0-9](?:_?[0-9])*"
+_INT = r"[+-]?(?:[1-9](?:_?[0-9])*|0(?:_?0)*)"
+_DECIMAL = (r"[+-]?(?:(?:" + _DIGITS + r")\.(?:" + _DIGITS + r")?(?:[eE][+-]?" + _DIGITS + r")?"
+            r"|\." + _DIGITS + r"(?:[eE][+-]?" + _DIGITS + r")?|" + _DIGITS + r"[eE][+-]?" + _DIGITS + ")")
+_RADIX = r"[+-]?0[xXoObB](?:_?[0-9a-fA-F])+"
+_QUOTED = r"(?:'[^'\\\n]*'|\"[^\"\\\n]*\")"
+_ATOM = "(?:" + "|".join((_RADIX, _DECIMAL, _INT, "True", "False", "None", _QUOTED)) + ")"
+_NESTED = (r"(?:[\[(]" + _SP + "(?:" + _ATOM + _SP + "(?:," + _SP + _ATOM + _SP + ")*,?" + _SP + r")?[\])])")
+_ITEM = "(?:" + _ATOM + "|" + _NESTED + ")"
 LIST_LABEL_PATTERN = (
-    r"^\[" + _SP + "(" + _INT + ")" + _SP + "(?:," + _SP + _INT + _SP + ")*,?" + _SP + r"\]$"
+    r"^\[" + _SP + "(" + _ITEM + ")" + _SP + "(?:," + _SP + _ITEM + _SP + ")*,?" + _SP + r"\]$"
 )
 EMPTY_LIST_PATTERN = r"^\[" + _SP + r"\]$"
-SCALAR_LABEL_PATTERN = r"^[+-]?[0-9]+$"
+SCALAR_LABEL_PATTERN = r"^[+-]?[0-9](?:_?[0-9])*$"
+ATOM_PATTERN = "^" + _ATOM + "$"
+DECIMAL_PATTERN = "^" + _DECIMAL + "$"
+RADIX_PATTERN = r"^([+-]?)0([xXoObB])((?:[0-9a-fA-F])+)$"
+QUOTED_INTEGER_PATTERN = r"^(?:'\s*[+-]?[0-9](?:_?[0-9])*\s*'|\"\s*[+-]?[0-9](?:_?[0-9])*\s*\")$"
+# A comment after a cell without quotes, or after its last quote.
+COMMENT_PATTERN = r"(?<=[^#'\"])" + _SP + r"#[^'\"\n]*$"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..checks import ColumnContractError
 from ..constants import NA_TOKENS
 from ..functions import jsonx
-from ..functions.labels import first_label, parse_outcome
+from ..functions.labels import first_label, outcome_of, with_parse_steps
 from ..functions.text import compose, fill_text, na_to_null
 
 
@@ -35,18 +36,18 @@ def recognise_na(df: DataFrame, cols, tokens=NA_TOKENS) -> DataFrame:
     return df.withColumns({c: na_to_null(c, tokens) for c in cols})
 
 
-def drop_with_key(df: DataFrame, json_col: str, key: str) -> DataFrame:
-    """Drop objects that have ``key``, whatever its value (JSON null too)."""
-    return df.filter(~jsonx.has_key(json_col, key))
-
-
 def project_json(df: DataFrame, json_col: str, ddl: str, keep=()) -> DataFrame:
     return df.select(*keep, jsonx.project(json_col, ddl).alias("_j")).select(*keep, "_j.*")
 
 
 def with_first_label(df: DataFrame, src: str = "labels", out: str = "label",
-                     default: int = 0) -> DataFrame:
-    return df.withColumn(out, first_label(src, df.schema[src].dataType, default))
+                     default: int | None = 0) -> DataFrame:
+    """First label of ``src`` as ``out``; ``default`` where there is none."""
+    kind = df.schema[src].dataType
+    if not isinstance(kind, StringType):
+        return df.withColumn(out, first_label(src, kind, default))
+    steps = with_parse_steps(df, src)
+    return steps.withColumn(out, F.coalesce("_value", F.lit(default).cast("int"))).drop("_cell", "_atom", "_value")
 
 
 def prepare_label(df: DataFrame, out: str = "label", default: int = 0) -> DataFrame:
@@ -60,10 +61,11 @@ def prepare_label(df: DataFrame, out: str = "label", default: int = 0) -> DataFr
         f"no label column: expected one of ['label', 'labels']; available columns: {df.columns}")
 
 
-def label_parse_report(df: DataFrame, src: str = "labels", default: int = 0) -> DataFrame:
-    """Rows per parse outcome, with how many ended on the default label."""
-    lab = first_label(src, df.schema[src].dataType, default)
-    return (df.select(parse_outcome(src).alias("outcome"), lab.alias("label"))
-              .groupBy("outcome")
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.sum((F.col("label") == default).cast("long")).alias("n_default")))
+def label_parse_report(df: DataFrame, src: str = "labels") -> DataFrame:
+    """Rows per parse outcome, with how many had no label of their own (missing, blank,
+    empty or unparseable cells; a genuine label 0 is not one of them)."""
+    steps = with_parse_steps(df.select(F.col(src).cast("string").alias("_raw")), "_raw")
+    return (steps.select(outcome_of(F.col("_raw"), F.col("_cell"), F.col("_value")).alias("outcome"), "_value")
+                 .groupBy("outcome")
+                 .agg(F.count(F.lit(1)).alias("n"),
+                      F.sum(F.col("_value").isNull().cast("long")).alias("n_default")))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from driftlens.functions.labels import _python_first_label, first_label, parse_outcome
+from driftlens.functions.labels import first_label, parse_outcome
 from driftlens.operators.clean import label_parse_report, prepare_label
 from driftlens.checks import ColumnContractError
 
@@ -20,11 +20,6 @@ GOLDEN = [
 ]
 
 
-@pytest.mark.parametrize("text,expected", GOLDEN)
-def test_python_contract(text, expected):
-    assert _python_first_label(text, 0) == expected
-
-
 def test_spark_expression_matches_contract(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "i int, labels string")
     got = {r.i: r.label for r in df.select("i", first_label("labels", StringType()).alias("label")).collect()}
@@ -45,14 +40,28 @@ def test_default_label_option(spark):
     df = spark.createDataFrame([("[]",), ("x",), ("[4]",)], "labels string")
     out = [r.l for r in df.select(first_label("labels", StringType(), default=-1).alias("l")).collect()]
     assert out == [-1, -1, 4]
+    out = [r.l for r in df.select(first_label("labels", StringType(), default=None).alias("l")).collect()]
+    assert out == [None, None, 4]
+
+
+def test_bad_native_element_gives_default(spark):
+    df = spark.createDataFrame([(["a"],), (["7"],), (["99999999999"],)], "labels array<string>")
+    got = [r.l for r in df.select(first_label("labels", df.schema["labels"].dataType).alias("l")).collect()]
+    assert got == [0, 7, 0]
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([("[]",), ("x",)], "labels string")
+    plan = df.select(first_label("labels", StringType()))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_parse_report_counts(spark):
-    df = spark.createDataFrame([("[1]",), ("2",), ("",), (None,), ("[]",), ("5.5",), ("[0]",)],
+    df = spark.createDataFrame([("[1]",), ("2",), ("",), (None,), ("[]",), ("5.5",), ("[0]",), ("x",)],
                                "labels string")
     rep = {r.outcome: (r.n, r.n_default) for r in label_parse_report(df).collect()}
-    assert rep == {"list": (2, 1), "scalar": (1, 0), "blank": (1, 1), "missing": (1, 1),
-                   "empty_list": (1, 1), "fallback": (1, 0)}
+    assert rep == {"list": (2, 0), "scalar": (2, 0), "blank": (1, 1), "missing": (1, 1),
+                   "empty_list": (1, 1), "fallback": (1, 1)}
     assert sorted(r[0] for r in df.select(parse_outcome("labels")).distinct().collect()) == sorted(rep)
 
 
