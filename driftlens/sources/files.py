@@ -1,11 +1,10 @@
-"""CSV edge (export/import with a column contract), parquet sinks, model
-persistence and load row counts."""
+"""CSV edge (export/import with a column contract) and parquet sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from ..checks import require_columns
 from ..constants import NA_TOKENS
@@ -42,21 +41,29 @@ def write_csv(df: DataFrame, path: str) -> None:
         .csv(path))
 
 
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, required=(),
              na_tokens=NA_TOKENS) -> DataFrame:
-    """CSV scan with an explicit schema (never inferred), multi-line quoted
-    fields, NA-token recognition on string columns and a column contract."""
-    df = (spark.read.schema(schema)
-               .option("header", True).option("multiLine", True)
-               .option("quote", '"').option("escape", '"')
-               .csv(path))
-    require_columns(df, required, where=path)
-    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    if na_tokens:
+    """CSV scan by the names in the header: the columns of ``schema`` in its order,
+    whatever their order in the files; columns that ``schema`` lacks are not returned.
+
+    A column of ``required`` that the header lacks raises, another one is NULL. Every
+    file must have the same header. A cell that does not fit its type, or a row of
+    another length, fails the job. Multi-line quoted fields; exact NA tokens of string
+    columns become NULL."""
+    wanted = StructType.fromDDL(schema)
+    header = spark.read.options(**_CSV).csv(path).columns
+    require_columns(spark.createDataFrame([], StructType([StructField(c, StringType()) for c in header])),
+                    required, where=path)
+    kinds = {f.name: f.dataType for f in wanted.fields}
+    found = StructType([StructField(c, kinds.get(c, StringType())) for c in header])
+    # columnNameOfCorruptRecord is not read: a bad row must fail, not be kept
+    df = spark.read.schema(found).options(**_CSV, mode="FAILFAST", enforceSchema=False).csv(path)
+    df = df.select(*[F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+                     for f in wanted.fields])
+    strings = [f.name for f in wanted.fields if isinstance(f.dataType, StringType)]
+    if na_tokens and strings:
         df = df.withColumns({c: na_to_null(c, na_tokens) for c in strings})
     return df
-
-
-def row_count_report(df: DataFrame, by=None) -> DataFrame:
-    keys = list(by or [])
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -21,11 +21,11 @@ def ranked_lookup(ids: DataFrame, items: DataFrame, id_col: str = "id",
     Duplicated ids yield the item once per listing; ids without an item
     (a null lookup) and items whose composed text is empty are skipped. The
     list's order columns are carried so the result can be ordered the same
-    way. The first-``limit`` cut is a distributed top-N on the order
-    columns, not a sort of the whole list."""
+    way. The last of them is the 0-based place in the list, so the cut at
+    ``limit`` is a filter on it."""
     order = list(order_cols)
     if limit is not None:
-        ids = ids.orderBy(*order).limit(limit)
+        ids = ids.filter(F.col(order[-1]) < limit)
     ttl = F.col(title) if title and title in items.columns else F.lit(None).cast("string")
     found = items.withColumn("_text", compose(ttl, F.col(text), sep))
     joined = ids.select(*order, id_col).join(found, id_col, "inner")
@@ -33,32 +33,40 @@ def ranked_lookup(ids: DataFrame, items: DataFrame, id_col: str = "id",
                   .drop(text).withColumnRenamed("_text", text))
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A landed JSON array file -> one row per element, kept as raw JSON
-    text (so key presence, including null-valued keys, stays observable)."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "json"))
+_STRICT = {"mode": "FAILFAST"}
 
 
-ISSUE_DDL = ("id long, number long, title string, body string, state string, "
-             "comments long, user struct<login: string>, html_url string")
+def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON array files, one row (``file``, ``value``) per file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
-def issue_scan(objs: DataFrame, json_col: str = "json", state: str | None = "open",
-               per_page: int | None = 50, order_cols=("pos",)) -> DataFrame:
-    """Issue objects -> issue rows.
+def issue_lists(lists: DataFrame, list_col: str = "value", keep=(), state: str | None = "open",
+                per_page: int | None = 50) -> DataFrame:
+    """The objects of each JSON array as raw text (``json``, so that a key with a null
+    value stays observable) with their place ``pos``.
 
-    Order of operations follows the source: the state filter and the
-    per-page cap apply first (server side in the original), then objects
-    carrying a ``pull_request`` key are dropped (so fewer than ``per_page``
-    rows may remain), then title and body are composed and empty texts
-    dropped. ``user.login`` is NULL when ``user`` is null or absent."""
-    parsed = objs.withColumn("_j", F.from_json(F.col(json_col), ISSUE_DDL))
+    As the source does it per response: the state filter, then the cap of ``per_page``
+    objects of each list. An array that does not parse fails the job."""
+    objs = F.transform(F.from_json(list_col, "array<string>", _STRICT),
+                       lambda x, i: F.struct(i.alias("pos"), x.alias("json")))
     if state is not None:
-        parsed = parsed.filter(F.col("_j.state") == state)
+        objs = F.filter(objs, lambda x: F.from_json(x["json"], "state string", _STRICT)["state"] == state)
     if per_page is not None:
-        parsed = parsed.orderBy(*order_cols).limit(per_page)
-    kept = parsed.filter(~has_key(json_col, "pull_request"))
+        objs = F.slice(objs, 1, per_page)
+    return lists.select(*keep, F.inline(objs))
+
+
+ISSUE_DDL = ("id long, number long, title string, body string, state string, "
+             "comments long, user struct<login: string>, html_url string")
+
+
+def issue_scan(objs: DataFrame, json_col: str = "json", order_cols=("pos",)) -> DataFrame:
+    """Issue objects -> issue rows: objects with a ``pull_request`` key are dropped,
+    title and body are composed, and empty texts dropped. ``user.login`` is NULL when
+    ``user`` is null or absent; an object that does not parse fails the job."""
+    kept = (objs.filter(~has_key(json_col, "pull_request"))
+                .withColumn("_j", F.from_json(F.col(json_col), ISSUE_DDL, _STRICT)))
     out = kept.select(
         *order_cols,
         F.col("_j.id").alias("id"), F.col("_j.number").alias("number"),

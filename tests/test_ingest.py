@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlens.checks import ColumnContractError
 from driftlens.sources import files as FS
-from driftlens.sources.lookup import ISSUE_DDL, issue_scan, ranked_lookup, read_json_array
+from driftlens.sources.lookup import issue_lists, issue_scan, ranked_lookup, read_json_arrays
 from driftlens.sources.paging import assemble_pages, read_landed_pages
 from driftlens.sources.union import union_datasets
 
@@ -90,15 +90,48 @@ def test_issue_scan(spark, tmp_dir):
     path = os.path.join(tmp_dir, "issues.json")
     with open(path, "w") as f:
         json.dump(issues, f)
-    objs = read_json_array(spark, path)
-    out = {r.id: r for r in issue_scan(objs).collect()}
-    assert sorted(out) == [1, 4, 7]
+    with open(os.path.join(tmp_dir, "more.json"), "w") as f:
+        json.dump([dict(issues[0], id=10 + i) for i in range(4)], f)
+    lists = read_json_arrays(spark, os.path.join(tmp_dir, "*.json"))
+    out = {r.id: r for r in issue_scan(issue_lists(lists)).collect()}
+    assert sorted(out) == [1, 4, 7, 10, 11, 12, 13]
     assert out[1].text == "Bug\n\nIt\n\nbreaks" and out[1].user == "ann"
     assert out[4].user is None and out[4].text == "No user"
     assert out[7].user is None
-    # the cap applies before the pull-request filter: 3 kept open rows -> 1 left
-    capped = issue_scan(objs, per_page=3)
-    assert [r.id for r in capped.collect()] == [1]
+    # the cap applies per list and before the pull-request filter
+    capped = issue_scan(issue_lists(lists, per_page=3))
+    assert sorted(r.id for r in capped.collect()) == [1, 10, 11, 12]
+    bad = spark.createDataFrame([('[{"id": 1, "state": "open"}',)], "value string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        issue_scan(issue_lists(bad)).collect()
+
+
+def test_damaged_page_fails(spark, tmp_dir):
+    d = _land(tmp_dir, [10, 10, 10])
+    with open(os.path.join(d, "page-00001.json"), "a") as f:
+        f.write("x")
+    with open(os.path.join(d, "page-00002.json"), "w") as f:
+        f.write('{"rows": [{"row": {"text": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        assemble_pages(read_landed_pages(spark, d, ROW_DDL), 10).collect()
+
+
+def test_page_file_without_number_fails(spark, tmp_dir):
+    d = _land(tmp_dir, [10])
+    os.rename(os.path.join(d, "page-00000.json"), os.path.join(d, "page.json"))
+    with pytest.raises(Exception, match="no page number"):
+        assemble_pages(read_landed_pages(spark, d, ROW_DDL), 10).collect()
+
+
+def test_feeds_and_row_offset(spark):
+    rows = [("a", p, i) for p in range(3) for i in range(10)] + [("b", 0, i) for i in range(10)]
+    rows += [("b", 1, i) for i in range(4)] + [("b", 2, i) for i in range(10)] + [("c", 1, 0)]
+    df = spark.createDataFrame(rows, "feed string, page long, pos long")
+    got = {}
+    for r in assemble_pages(df, 10, offset=5, limit=12, feed_cols=["feed"]).collect():
+        got.setdefault(r.feed, []).append(r.row_index)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": list(range(5, 17)), "b": list(range(5, 14))}
+    assert assemble_pages(df.filter("feed = 'a'"), 10, offset=25).count() == 5
 
 
 def test_csv_roundtrip_and_contract(spark, tmp_dir):
@@ -119,6 +152,37 @@ def test_csv_roundtrip_and_contract(spark, tmp_dir):
         FS.read_csv(spark, path, "id long, text string, labels string", required=["pred_label"])
 
 
+def _csv(tmp, name, text):
+    path = os.path.join(tmp, name)
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_columns_are_mapped_by_name(spark, tmp_dir):
+    path = _csv(tmp_dir, "a.csv", "labels,body,text,extra\n[27],b,hello,1\n")
+    got = FS.read_csv(spark, path, "text string, labels string, note string", required=["text"])
+    assert got.columns == ["text", "labels", "note"]
+    assert tuple(got.first()) == ("hello", "[27]", None)
+    with pytest.raises(ColumnContractError, match="body"):
+        FS.read_csv(spark, _csv(tmp_dir, "b.csv", "labels,body\n[27],hello\n"), "text string, labels string", required=["text"])
+
+
+@pytest.mark.parametrize("text", ["id,text\nabc,x\n", "id,text\n1,x,2\n", "id,text\n1\n"])
+def test_csv_bad_rows_fail(spark, tmp_dir, text):
+    with pytest.raises(Exception, match="(?i)malformed|failfast|parse"):
+        FS.read_csv(spark, _csv(tmp_dir, "c.csv", text), "id long, text string").collect()
+
+
+def test_csv_files_with_other_headers_fail(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    _csv(d, "1.csv", "id,text\n1,x\n")
+    _csv(d, "2.csv", "text,id\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        FS.read_csv(spark, d, "id long, text string").collect()
+
+
 def test_union_datasets_missing_columns(spark):
     a = spark.createDataFrame([(1, "x", "en")], "id long, text string, lang string")
     b = spark.createDataFrame([(2, "y", "user")], "id long, text string, role string")
