@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,11 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     join is left to the planner (sort-merge, or AQE's runtime broadcast)."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def one_of(col: str, names) -> Column:
+    """``col`` itself, failing the job on a value that is not among ``names``: a report
+    over a fixed list must not lose the rows of another name."""
+    c = F.col(col)
+    return F.when(c.isin(list(names)), c).otherwise(F.raise_error(F.concat(
+        F.lit(f"{col} outside {list(names)}: "), F.coalesce(c.cast("string"), F.lit("NULL")))))

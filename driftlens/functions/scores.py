@@ -26,7 +26,10 @@ def argmax(values) -> Column:
 
 
 def max_prob(logits) -> Column:
-    return F.array_max(softmax(logits))
+    """Largest softmax probability: ``1 / sum(exp(x - max))``, without the probabilities."""
+    z = _col(logits)
+    m = F.array_max(z)
+    return F.lit(1.0) / F.aggregate(z, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m))
 
 
 def with_prediction(df, logits: str = "logits", label_col: str = "pred_label",

@@ -31,15 +31,15 @@ def overall_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred_label"
 
 
 def label_stats(df: DataFrame, gold: str = "gold", pred: str = "pred_label",
-                label_name: str = "label_id", by=None) -> DataFrame:
+                label_name: str = "label_id", by=None, sort: bool = True) -> DataFrame:
     """Support and accuracy per gold label (per group of ``by``), largest
     support first (ties by label id). Partial aggregation keeps a dominant
-    label cheap."""
+    label cheap. ``sort=False`` where the table feeds another operator."""
     keys = group_keys(by)
     c = F.col(gold).eqNullSafe(F.col(pred)).cast("int")
-    return (df.groupBy(*keys, F.col(gold).alias(label_name))
-              .agg(F.count(F.lit(1)).alias("support"), F.avg(c).alias("accuracy"))
-              .orderBy(*keys, F.desc("support"), F.asc(label_name)))
+    out = (df.groupBy(*keys, F.col(gold).alias(label_name))
+             .agg(F.count(F.lit(1)).alias("support"), F.avg(c).alias("accuracy")))
+    return out.orderBy(*keys, F.desc("support"), F.asc(label_name)) if sort else out
 
 
 def top_n(stats: DataFrame, n: int, by: str = "support", label_name: str = "label_id",
@@ -146,3 +146,13 @@ def gold_pred_join(gold: DataFrame, pred: DataFrame, key: str = "row_id") -> Dat
                  F.raise_error(F.lit("duplicate key in gold or prediction rows")))
            .otherwise(F.lit(True)))
     return agg.filter(ok).select(key, *gcols, *pcols)
+
+
+def evaluate(pred: DataFrame, gold: str = "gold", label: str = "pred_label") -> DataFrame:
+    """Accuracy and macro-F1 of one prediction set, from one per-label table."""
+    per = per_label_counts(pred, gold, label)
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"),
+                                 (F.col("support") + F.col("predicted")).cast("double")), F.lit(0.0))
+    return per.agg(F.sum("support").cast("long").alias("n"),
+                   (F.sum("tp") / F.sum("support")).cast("double").alias("accuracy"),
+                   F.avg(f1).alias("f1_macro"))

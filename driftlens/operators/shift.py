@@ -2,14 +2,16 @@
 dense label vectors and their correlation, top-k confusion, confidence
 histograms. Row-level work is always a partially-aggregated groupBy; what
 follows runs on label-level tables whose size is bounded by the label
-domain or by ``k``."""
+domain or by ``k``. Reports over a list of datasets take that list from the caller
+and fail on a row of any other."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DATASETS, HIST_BINS
+from ..checks import one_of
+from ..constants import HIST_BINS
 
 
 def label_distribution(df: DataFrame, label: str = "pred_label", by: str = "dataset",
@@ -29,24 +31,24 @@ def label_distribution(df: DataFrame, label: str = "pred_label", by: str = "data
     return out.orderBy("dataset", "label") if sort else out
 
 
-def wide_distribution(dist: DataFrame, datasets=DATASETS, value: str = "p") -> DataFrame:
+def wide_distribution(dist: DataFrame, datasets, value: str = "p") -> DataFrame:
     """One row per label, one column per dataset, 0 where a dataset lacks the
     label: the three-way full outer join on label, done as one pivot."""
     # One value per (label, dataset) cell, so ``max`` equals ``first``; unlike
     # ``first`` it is order-insensitive, which lets the optimiser drop the
     # label sort of ``dist`` (and its range exchange) below this aggregate.
-    w = dist.groupBy("label").pivot("dataset", list(datasets)).agg(F.max(value))
+    w = dist.withColumn("dataset", one_of("dataset", datasets)).groupBy("label").pivot("dataset", list(datasets)).agg(F.max(value))
     return w.fillna(0.0, subset=list(datasets)).orderBy("label")
 
 
-def label_groups(dist: DataFrame, keep=(27, 0), datasets=DATASETS) -> DataFrame:
+def label_groups(dist: DataFrame, datasets, keep=(27, 0)) -> DataFrame:
     """Collapse labels into each of ``keep`` plus ``others``; summed shares per
     dataset. Every group is reported even when empty, in the order given."""
     names = [str(k) for k in keep] + ["others"]
     grp = F.lit("others")
     for k in reversed(keep):
         grp = F.when(F.col("label") == F.lit(k), F.lit(str(k))).otherwise(grp)
-    sums = (dist.withColumn("label_group", grp)
+    sums = (dist.withColumn("label_group", grp).withColumn("dataset", one_of("dataset", datasets))
                 .groupBy("label_group").pivot("dataset", list(datasets)).agg(F.sum("p")))
     spark = dist.sparkSession
     groups = spark.createDataFrame([(n, i) for i, n in enumerate(names)],
@@ -63,29 +65,30 @@ def _grid(spark, datasets, n_labels: int) -> DataFrame:
         (F.col("id") % n_labels).cast("int").alias("label"))
 
 
-def dense_counts(df: DataFrame, n_labels: int, label: str = "pred_label", by: str = "dataset",
-                 datasets=DATASETS) -> DataFrame:
+def dense_counts(df: DataFrame, n_labels: int, datasets, label: str = "pred_label",
+                 by: str = "dataset") -> DataFrame:
     """Counts on the dense domain 0..n_labels-1 for each dataset; missing
     pairs are 0, labels outside the domain are dropped."""
-    counts = (df.filter(F.col(label).between(0, n_labels - 1) & F.col(by).isin(list(datasets)))
-                .groupBy(F.col(by).alias("dataset"), F.col(label).cast("int").alias("label"))
+    counts = (df.select(label, one_of(by, datasets).alias("dataset"))
+                .filter(F.col(label).between(0, n_labels - 1))
+                .groupBy("dataset", F.col(label).cast("int").alias("label"))
                 .agg(F.count(F.lit(1)).alias("n")))
     grid = _grid(df.sparkSession, datasets, n_labels)
     return (grid.join(counts, ["dataset", "label"], "left")
                 .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
 
 
-def dense_distribution(df: DataFrame, n_labels: int, label: str = "pred_label",
-                       by: str = "dataset", datasets=DATASETS) -> DataFrame:
+def dense_distribution(df: DataFrame, n_labels: int, datasets, label: str = "pred_label",
+                       by: str = "dataset") -> DataFrame:
     """Dense label vector per dataset normalised by the in-domain total; an
     all-zero vector stays zero."""
-    c = dense_counts(df, n_labels, label, by, datasets)
+    c = dense_counts(df, n_labels, datasets, label, by)
     total = F.sum("n").over(Window.partitionBy("dataset"))
     return c.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), total),
                                         F.lit(0.0)))
 
 
-def distribution_corr(dense: DataFrame, datasets=DATASETS) -> DataFrame:
+def distribution_corr(dense: DataFrame, datasets) -> DataFrame:
     """Pearson correlation between the label vectors of every dataset pair.
 
     The vectors are pivoted side by side (one row per label) and all pairs
@@ -95,7 +98,8 @@ def distribution_corr(dense: DataFrame, datasets=DATASETS) -> DataFrame:
     ds = list(datasets)
     w = Window.partitionBy("dataset")
     varying = F.max("p").over(w) > F.min("p").over(w)
-    guarded_long = dense.withColumn("pv", F.when(varying, F.col("p")))
+    guarded_long = (dense.withColumn("pv", F.when(varying, F.col("p")))
+                    .withColumn("dataset", one_of("dataset", ds)))
     wide = guarded_long.groupBy("label").pivot("dataset", ds).agg(F.max("pv"))
     guarded = wide.select(*[F.col(d).alias(f"_v_{i}") for i, d in enumerate(ds)])
     pairs = [(i, j) for i in range(len(ds)) for j in range(len(ds))]
@@ -157,25 +161,29 @@ def confusion_normalise(conf: DataFrame, by=None) -> DataFrame:
                                            F.lit(0.0)))
 
 
-def confidence_histogram(df: DataFrame, value: str = "pred_confidence", by: str = "dataset",
-                         datasets=DATASETS, bins: int = HIST_BINS) -> DataFrame:
-    """``bins`` equal-width bins per dataset over that dataset's own range,
-    last bin closed; a single-valued range is widened by 0.5 on each side.
+def confidence_histogram(df: DataFrame, datasets, value: str = "pred_confidence", by: str = "dataset",
+                         bins: int = HIST_BINS, shared_edges: bool = False) -> DataFrame:
+    """``bins`` equal-width bins per dataset over that dataset's own range (with
+    ``shared_edges``: over the range of all), last bin closed; a single-valued range is
+    widened by 0.5 on each side.
 
     Bin assignment follows the usual equal-bin rule: a scaled index, then a
     one-step correction against the exact edges ``lo + i * step`` so values
     sitting on an edge land in the upper bin. Output is dense: every bin of
-    every dataset, with zero counts."""
+    every dataset that has a value, with zero counts."""
     ds = list(datasets)
-    vals = df.filter(F.col(value).isNotNull() & F.col(by).isin(ds)).select(
-        F.col(by).alias("dataset"), F.col(value).cast("double").alias("v"))
+    vals = df.select(one_of(by, ds).alias("dataset"), F.col(value).cast("double").alias("v")).filter(
+        F.col("v").isNotNull())
     # At most len(datasets) rows: safe to broadcast.
-    stats = (vals.groupBy("dataset").agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-                 .select("dataset",
+    stats = vals.groupBy("dataset").agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    if shared_edges:
+        every = Window.partitionBy()
+        stats = stats.select("dataset", F.min("vmin").over(every).alias("vmin"), F.max("vmax").over(every).alias("vmax"))
+    stats = stats.select("dataset",
                          F.when(F.col("vmin") == F.col("vmax"), F.col("vmin") - 0.5)
                           .otherwise(F.col("vmin")).alias("lo"),
                          F.when(F.col("vmin") == F.col("vmax"), F.col("vmax") + 0.5)
-                          .otherwise(F.col("vmax")).alias("hi")))
+                          .otherwise(F.col("vmax")).alias("hi"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
 
     def edge(i):

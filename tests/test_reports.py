@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.constants import DATASETS
 from driftlens.functions.scores import argmax, softmax
 from driftlens.operators import metrics as M
 from driftlens.operators import shift as S
@@ -40,7 +41,7 @@ def test_empty_inputs(spark):
     assert M.label_stats(empty).count() == 0
     r = M.overall_accuracy(empty).first()
     assert r.n_total == 0 and r.accuracy is None
-    assert S.confidence_histogram(empty).count() == 0
+    assert S.confidence_histogram(empty, DATASETS).count() == 0
     assert S.confusion_topk(empty, 3).count() == 0
 
 
@@ -64,10 +65,10 @@ def test_distributions_sum_to_one(scored):
     dist = S.label_distribution(scored)
     for r in dist.groupBy("dataset").agg(F.sum("p").alias("s")).collect():
         assert math.isclose(r.s, 1.0, abs_tol=1e-12)
-    wide = S.wide_distribution(dist).collect()
+    wide = S.wide_distribution(dist, DATASETS).collect()
     for d in ("indomain", "ood_a", "ood_b"):
         assert math.isclose(sum(r[d] for r in wide), 1.0, abs_tol=1e-12)
-    groups = S.label_groups(dist, keep=(9, 0)).collect()
+    groups = S.label_groups(dist, DATASETS, keep=(9, 0)).collect()
     assert [r.label_group for r in groups] == ["9", "0", "others"]
     for d in ("indomain", "ood_a", "ood_b"):
         assert math.isclose(sum(r[d] for r in groups), 1.0, abs_tol=1e-12)
@@ -75,7 +76,7 @@ def test_distributions_sum_to_one(scored):
 
 def test_label_groups_always_reports_every_group(spark):
     df = spark.createDataFrame([("indomain", 3), ("ood_a", 3), ("ood_b", 4)], "dataset string, pred_label int")
-    g = S.label_groups(S.label_distribution(df), keep=(27, 0)).collect()
+    g = S.label_groups(S.label_distribution(df), DATASETS, keep=(27, 0)).collect()
     assert [r.label_group for r in g] == ["27", "0", "others"]
     assert g[0].indomain == 0.0 and g[2].indomain == 1.0
 
@@ -83,7 +84,7 @@ def test_label_groups_always_reports_every_group(spark):
 def test_dense_domain_drops_outside_ids(spark):
     df = spark.createDataFrame([("indomain", 1), ("indomain", 30), ("ood_a", -1), ("ood_b", 2)],
                                "dataset string, pred_label int")
-    d = S.dense_distribution(df, 5).collect()
+    d = S.dense_distribution(df, 5, DATASETS).collect()
     assert len(d) == 15
     ood_a = [r.p for r in d if r.dataset == "ood_a"]
     assert ood_a == [0.0] * 5          # zero vector stays zero
@@ -91,8 +92,8 @@ def test_dense_domain_drops_outside_ids(spark):
 
 
 def test_corr_symmetric_unit_diagonal_and_constant_vectors(spark, scored):
-    dense = S.dense_distribution(scored, 10)
-    c = {(r.ds_a, r.ds_b): r.corr for r in S.distribution_corr(dense).collect()}
+    dense = S.dense_distribution(scored, 10, DATASETS)
+    c = {(r.ds_a, r.ds_b): r.corr for r in S.distribution_corr(dense, DATASETS).collect()}
     for (a, b), v in c.items():
         assert math.isclose(v, c[(b, a)], abs_tol=1e-12)
         if a == b:
@@ -100,7 +101,7 @@ def test_corr_symmetric_unit_diagonal_and_constant_vectors(spark, scored):
     # A constant vector (all predictions of ood_b outside the domain).
     df = spark.createDataFrame([("indomain", 1), ("indomain", 2), ("indomain", 2), ("ood_a", 0),
                                 ("ood_a", 2), ("ood_b", 7)], "dataset string, pred_label int")
-    c2 = {(r.ds_a, r.ds_b): r.corr for r in S.distribution_corr(S.dense_distribution(df, 3)).collect()}
+    c2 = {(r.ds_a, r.ds_b): r.corr for r in S.distribution_corr(S.dense_distribution(df, 3, DATASETS), DATASETS).collect()}
     assert c2[("ood_b", "indomain")] is None and c2[("ood_b", "ood_b")] is None
     v = np.corrcoef([[0, 1 / 3, 2 / 3], [0.5, 0, 0.5]])[0, 1]
     assert math.isclose(c2[("indomain", "ood_a")], v, abs_tol=1e-9)
@@ -121,7 +122,7 @@ def test_confusion_rows_sum_to_one_or_zero(spark, scored):
 
 
 def test_histogram_matches_numpy(spark, scored):
-    h = S.confidence_histogram(scored).collect()
+    h = S.confidence_histogram(scored, DATASETS).collect()
     pdf = scored.select("dataset", "pred_confidence").toPandas()
     for d in ("indomain", "ood_a", "ood_b"):
         vals = pdf[pdf.dataset == d].pred_confidence.to_numpy()
@@ -134,7 +135,7 @@ def test_histogram_matches_numpy(spark, scored):
 def test_histogram_single_value_and_edges(spark):
     df = spark.createDataFrame([("indomain", 0.5)] * 3 + [("ood_a", 0.0), ("ood_a", 1.0), ("ood_a", 0.05),
                                ("ood_a", 0.5)], "dataset string, pred_confidence double")
-    h = {(r.dataset, r.bin): r.n for r in S.confidence_histogram(df).collect()}
+    h = {(r.dataset, r.bin): r.n for r in S.confidence_histogram(df, DATASETS).collect()}
     assert h[("indomain", 10)] == 3 and sum(v for (d, _), v in h.items() if d == "indomain") == 3
     counts, _ = np.histogram([0.0, 1.0, 0.05, 0.5], bins=20)
     assert [h[("ood_a", b)] for b in range(20)] == counts.tolist()
@@ -221,3 +222,20 @@ def test_shuffle_partition_sizing():
     assert shuffle_partitions_for(0) == 200
     assert shuffle_partitions_for(5 * 2 ** 40) == 5 * 2 ** 40 // PARTITION_BYTES
     assert shuffle_partitions_for(PARTITION_BYTES * 1000 + 1) == 1001
+
+
+@pytest.mark.parametrize("name", ["wide", "groups", "dense", "hist"])
+def test_reports_fail_on_a_dataset_outside_the_list(spark, name):
+    df = spark.createDataFrame([(1, "indomain", 0.5), (2, "ood_c", 0.6)], "pred_label int, dataset string, pred_confidence double")
+    dist = S.label_distribution(df, sort=False)
+    report = {"wide": lambda: S.wide_distribution(dist, DATASETS), "groups": lambda: S.label_groups(dist, DATASETS),
+              "dense": lambda: S.dense_counts(df, 3, DATASETS), "hist": lambda: S.confidence_histogram(df, DATASETS)}[name]
+    with pytest.raises(Exception, match="dataset outside.*ood_c"):
+        report().collect()
+
+
+def test_histogram_with_shared_edges(spark):
+    df = spark.createDataFrame([("indomain", 0.0), ("indomain", 0.4), ("ood_a", 1.0)], "dataset string, pred_confidence double")
+    got = {(r.dataset, r.bin): r for r in S.confidence_histogram(df, DATASETS, bins=2, shared_edges=True).collect()}
+    assert {(r.bin_lo, r.bin_hi) for r in got.values()} == {(0.0, 0.5), (0.5, 1.0)}
+    assert [got[k].n for k in sorted(got)] == [2, 0, 0, 1]
