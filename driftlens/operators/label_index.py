@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 100_000
-
 
 def label_index(df: DataFrame, label: str = "gold") -> DataFrame:
     """One row per distinct label: ``label``, ``label_idx`` (by label
@@ -17,15 +15,3 @@ def label_index(df: DataFrame, label: str = "gold") -> DataFrame:
                 .groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     w = Window.orderBy("label")
     return counts.withColumn("label_idx", (F.dense_rank().over(w) - 1).cast("int"))
-
-
-def class_list(df: DataFrame, label: str = "gold", max_classes: int = MAX_CLASSES) -> list:
-    """The sorted label values, for operators that lay classes out as columns.
-
-    Only the label-level table reaches the driver, and only after checking
-    it has at most ``max_classes`` rows."""
-    labels = (df.filter(F.col(label).isNotNull()).select(label).distinct()
-                .limit(max_classes + 1).collect())
-    if len(labels) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label!r}")
-    return sorted(r[0] for r in labels)

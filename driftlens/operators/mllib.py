@@ -3,7 +3,6 @@ logistic regression, with the label indexed and mapped back."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
@@ -12,36 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TOKEN_PATTERN
+from ..session import write_scratch
 
 
-def lr_pipeline(label: str = "gold", text: str = "text", num_features: int = 1 << 16,
-                max_iter: int = 10, reg: float = 1e-3) -> Pipeline:
-    return Pipeline(stages=[
+def fit_lr(train: DataFrame, label: str = "gold", text: str = "text", num_features: int = 1 << 16,
+           max_iter: int = 10, reg: float = 1e-3) -> PipelineModel:
+    """Fit on ``train``. The texts are read once: the label index and the hashed term
+    counts are written to the checkpoint folder, and the inverse document frequencies and
+    every optimiser iteration read those sparse vectors."""
+    src = train.select(label, F.coalesce(F.col(text), F.lit("")).alias(text))
+    hashed = Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)]).fit(src)
+    vectors = write_scratch(hashed.transform(src).select(label, "_tf"))
+    rest = Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
-                       toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=reg,
-                           family="multinomial"),
-    ])
-
-
-def fit_lr(train: DataFrame, label: str = "gold", text: str = "text", **kw) -> PipelineModel:
-    src = train.select(label, F.coalesce(F.col(text), F.lit("")).alias(text))
-    # Every optimiser iteration is a pass over the training rows: spread
-    # them over at least one partition per core (a no-op on large inputs).
-    par = train.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < par:
-        src = src.repartition(par)
-    # Three estimators read the training rows (label indexer, IDF, the
-    # optimiser); keep them for the duration of the fit. MEMORY_AND_DISK:
-    # a lost executor only means recomputing its blocks.
-    src = src.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return lr_pipeline(label, text, **kw).fit(src)
-    finally:
-        src.unpersist()
+        LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=reg, family="multinomial"),
+    ]).fit(vectors)
+    index, idf, regression = rest.stages
+    return PipelineModel(stages=[index, *hashed.stages, idf, regression])
 
 
 def score_lr(model: PipelineModel, docs: DataFrame, text: str = "text", keep=(),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,12 +62,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset is a folder
-    set: ``fallback`` if given, else (local master only, as in tests) a
-    fresh temporary folder. On a cluster a machine-local folder would not
+    The cluster's setting always wins. Only when it is unset, and on a local
+    master only (as in tests), is a fresh temporary folder set. On a cluster a machine-local folder would not
     survive the loss of the executor that wrote it, so an unset folder is
     an error there."""
     sc = spark.sparkContext
@@ -74,11 +74,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if current:
         return current
     conf = spark.conf.get(CHECKPOINT_CONF, None)
-    if not conf and not fallback and not sc.master.startswith("local"):
+    if not conf and not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or an "
                            "object store) before cutting lineage on a cluster")
-    path = conf or fallback or tempfile.mkdtemp(prefix="driftlens-ckpt-")
-    if not conf and not fallback:
+    path = conf or tempfile.mkdtemp(prefix="driftlens-ckpt-")
+    if not conf:
         os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
@@ -89,3 +89,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss of executors, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_scratch(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder and read back: like
+    ``cut_lineage``, but with column pruning and pushed filters for tables that are
+    read several times."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

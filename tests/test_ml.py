@@ -87,9 +87,12 @@ def test_split_skewed_class_matches_brute_force(spark):
 
 
 def test_split_rejects_singletons(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "row_id long, gold string")
+    df = spark.createDataFrame([*((i, "a") for i in range(11)), (20, "b")], "row_id long, gold string")
     with pytest.raises(Exception, match="fewer than 2"):
         SP.stratified_split(df, "gold", "row_id").collect()
+    two = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(6)], "row_id long, gold string")
+    with pytest.raises(Exception, match="fewer validation rows than classes"):
+        SP.stratified_split(two, "gold", "row_id").collect()
     out = SP.stratified_split(df, "gold", "row_id", allow_singletons=True).collect()
     assert [r.split for r in out if r.gold == "b"] == ["train"]
 
@@ -136,7 +139,7 @@ def _brute_force_nb(train, docs, classes, alpha=1.0):
 def test_naive_bayes_matches_brute_force(spark, texts):
     sp = SP.stratified_split(texts.filter("dataset = 'indomain'"), "gold", "row_id")
     train = sp.filter("split = 'train'")
-    classes = LI.class_list(train, "gold")
+    classes = sorted(r[0] for r in train.select("gold").distinct().collect())
     model = NB.fit_nb(train, classes)
     assert model.classes == classes
     docs = texts.orderBy("row_id").collect()
@@ -217,8 +220,8 @@ def test_nb_hybrid_scoring_splits_hot_and_rare_tokens(spark, texts, monkeypatch)
     model = NB.fit_nb(sp.filter("split = 'train'"), None)
     n_tokens = model.table.count()
     expect = {r.row_id: (r.pred_label, r.pred_confidence) for r in NB.score_nb(model, texts).collect()}
-    row_bytes = 8 * len(model.classes) + 48
-    monkeypatch.setattr(NB, "MAX_BROADCAST_BYTES", row_bytes * (n_tokens // 20))
+    row_bytes = 8 * len(model.classes) + model.token_bytes + 48
+    monkeypatch.setattr(NB, "MAX_BROADCAST_BYTES", row_bytes * (n_tokens // 20) + 1)
     thr = NB.hot_threshold(model.table, n_tokens // 20)
     hot = model.table.filter(F.col("n_total") >= thr).count()
     assert 0 < hot <= n_tokens // 20
@@ -245,3 +248,30 @@ def test_hot_threshold_buckets(spark):
                               "token string, n_total long")
     # counts 9 | 5 | 1, 1 fall in log2 buckets 3 | 2 | 0; a zero count has none
     assert [NB.hot_threshold(t, m) for m in (0, 1, 2, 3, 4, 10)] == [None, 8, 4, 4, 1, 1]
+
+
+def test_nb_counts_labelled_rows_of_its_classes_only(spark):
+    df = spark.createDataFrame([("a", "x y"), ("b", "z"), (None, "u v"), ("c", "w")], "gold string, text string")
+    m = NB.fit_nb(df, ["a", "b"])
+    assert sorted(r.token for r in m.table.collect()) == ["x", "y", "z"]
+    assert m.log_prior == [math.log(0.5)] * 2
+    assert NB.fit_nb(df, ["a"]).log_prior == [0.0]
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 28])
+def test_nb_repeated_ids_fail(spark, monkeypatch, limit):
+    m = NB.fit_nb(spark.createDataFrame([("a", "x y"), ("b", "z")], "gold string, text string"))
+    monkeypatch.setattr(NB, "MAX_BROADCAST_BYTES", limit)
+    docs = spark.createDataFrame([(1, "x"), (1, None), (2, "z z")], "row_id long, text string")
+    with pytest.raises(Exception, match="documents share the id 1"):
+        NB.score_nb(m, docs).collect()
+    assert NB.score_nb(m, docs.filter("text is not null")).count() == 2
+
+
+def test_split_passes_leave_the_text_alone(spark, texts):
+    plan = SP.plan_split(texts.filter("dataset = 'indomain'"), "gold", "row_id")
+    for t in (plan.cuts, plan.quotas):
+        assert "documents.parquet" not in _plan_text(t)
+    train = plan.assign(texts.filter("dataset = 'indomain'")).filter("split = 'train'")
+    want = {r.gold: r["count"] for r in train.groupBy("gold").count().collect()}
+    assert plan.train_docs(100) == want
