@@ -4,18 +4,20 @@ Each stage is a function over DataFrames that reads the previous stage's
 output from ``out_dir`` and writes its own there as parquet (overwrite, so
 a rerun of a stage is idempotent). Writing at the stage borders also cuts
 the lineage: a lost executor costs at most the current stage. ``out_dir``
-must be shared storage on a cluster.
+must be shared storage on a cluster. ``ingest`` reads the document table;
+``ingest_landed`` takes the landed pages, ranked items and issue lists instead.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks import broadcast_if_bounded
-from ..constants import DATASETS, TOP_K
+from ..constants import DATASETS, PAGE_SIZE, PREVIEW_ROWS, TOP_K, TOP_STATS
 from ..operators import clean as C
 from ..operators import label_index as LI
 from ..operators import metrics as M
@@ -23,8 +25,12 @@ from ..operators import naive_bayes as NB
 from ..operators import shift as S
 from ..operators import split as SP
 from ..sources.files import write_parquet
+from ..sources.lookup import issue_lists, issue_scan, ranked_lookup, read_json_arrays
+from ..sources.paging import assemble_pages, read_landed_pages
+from ..sources.union import union_datasets
 from . import views
 
+MAX_LABELS = 100_000   # label index rows broadcast at most
 STAGES = ("ingest", "train", "predict", "analyze", "report")
 
 
@@ -32,64 +38,99 @@ def _p(out_dir: str, name: str) -> str:
     return os.path.join(out_dir, name)
 
 
+def fresh_dir(parent: str) -> str:
+    """A new folder name under a shared one."""
+    return os.path.join(parent, f"run-{uuid.uuid4().hex}")
+
+
 def ingest(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Labelled texts of every dataset, partitioned by dataset."""
     write_parquet(views.texts(spark, sf_dir), _p(out_dir, "texts"), partition_by=["dataset"])
 
 
+def ingest_landed(spark: SparkSession, out_dir: str, pages: str | None = None, row_ddl: str = "text string, label string, id string",
+                  ids: DataFrame | None = None, items: DataFrame | None = None, issues: str | None = None,
+                  page_size: int = PAGE_SIZE, page_limit: int | None = None, id_limit: int | None = None,
+                  per_page: int | None = 50) -> None:
+    """The three landed inputs as one table of labelled texts: paged envelopes
+    (in-domain), the items of a ranked id list, and issue lists. Texts are composed and
+    empty ones dropped; missing cells are recognised; the first label is parsed."""
+    found = {}
+    if pages:
+        rows = assemble_pages(read_landed_pages(spark, pages, row_ddl), page_size, page_limit)
+        rows = C.recognise_na(rows, [c for c, t in rows.dtypes if t == "string"])
+        if "labels" in rows.columns:
+            rows = C.with_first_label(rows, "labels", "label")
+        found[DATASETS[0]] = rows.select(F.col("id").cast("string").alias("id"), "text", F.col("label").cast("string").alias("gold"))
+    if ids is not None:
+        found[DATASETS[1]] = ranked_lookup(ids, items, limit=id_limit).select(F.col("id").cast("string").alias("id"), "text")
+    if issues:
+        objs = issue_lists(read_json_arrays(spark, issues), keep=("file",), per_page=per_page)
+        found[DATASETS[2]] = issue_scan(objs, order_cols=("file", "pos")).select(F.col("id").cast("string").alias("id"), "text")
+    texts = C.drop_empty_text(union_datasets(found))
+    if "gold" not in texts.columns:
+        texts = texts.withColumn("gold", F.lit(None).cast("string"))
+    texts = texts.select(F.concat_ws("/", "dataset", "id").alias("row_id"), "text", "gold", "dataset")
+    write_parquet(texts, _p(out_dir, "texts"), partition_by=["dataset"])
+
+
 def train(spark: SparkSession, out_dir: str) -> None:
     texts = spark.read.parquet(_p(out_dir, "texts"))
     ind = C.drop_missing(texts.filter(F.col("dataset") == DATASETS[0]), ["text", "gold"])
-    split = SP.stratified_split(ind, "gold", "row_id")
+    plan = SP.plan_split(ind, "gold", "row_id")
+    split = plan.assign(ind)
     write_parquet(split.select("row_id", "gold", "split"), _p(out_dir, "split"))
-    # The split already carries the text: its per-class cut table is on
-    # disk, so re-reading it is one scan with a broadcast join. Joining the
-    # written ids back to the texts would shuffle every training text.
     train_rows = split.filter(F.col("split") == "train")
     write_parquet(LI.label_index(ind, "gold"), _p(out_dir, "label_index"))
-    NB.save_nb(NB.fit_nb(train_rows, None, "gold", "text"), _p(out_dir, "model"))
+    NB.save_nb(NB.fit_nb(train_rows, None, "gold", "text", class_docs=plan.train_docs(NB.MAX_CLASSES)),
+               _p(out_dir, "model"))
 
 
 def predict(spark: SparkSession, out_dir: str) -> None:
-    """Score every text with the saved model; inputs kept, split attached."""
+    """Score every text with the saved model; the inputs are kept, the split attached."""
     model = NB.load_nb(spark, _p(out_dir, "model"))
     texts = spark.read.parquet(_p(out_dir, "texts"))
-    scored = NB.score_nb(model, texts, keep=("dataset", "gold")).drop("logits")
+    scored = NB.score_nb(model, texts).select("row_id", "pred_label", "pred_confidence")
     split = spark.read.parquet(_p(out_dir, "split")).select("row_id", "split")
-    out = scored.join(split, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("ood")))
+    out = texts.join(scored, "row_id").join(split, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("ood")))
     write_parquet(out, _p(out_dir, "predictions"), partition_by=["dataset"])
 
 
 def analyze(spark: SparkSession, out_dir: str) -> None:
     """Per-dataset evaluation over every prediction (the in-domain rows are
-    one dataset among the others), accuracy per split, and the validation
-    macro-F1 of the classifier."""
+    one dataset among the others), accuracy over all, per dataset and per split,
+    macro-F1, and the validation metrics of the classifier."""
     pred = spark.read.parquet(_p(out_dir, "predictions"))
     by = ["dataset"]
-    write_parquet(M.label_stats(pred, by=by), _p(out_dir, "analysis/label_stats"))
-    per_split = pred.groupBy("dataset", "split").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("gold").eqNullSafe(F.col("pred_label")).cast("double")).alias("accuracy"))
-    write_parquet(per_split, _p(out_dir, "analysis/accuracy_by_split"))
+    stats = M.label_stats(pred, by=by, sort=False)
+    write_parquet(stats, _p(out_dir, "analysis/label_stats"))
+    write_parquet(M.top_n(stats, PREVIEW_ROWS, group=by), _p(out_dir, "analysis/preview"))
+    write_parquet(M.overall_accuracy(pred, by=by), _p(out_dir, "analysis/accuracy"))
+    write_parquet(M.overall_accuracy(pred, by=["dataset", "split"]), _p(out_dir, "analysis/accuracy_by_split"))
     write_parquet(M.macro_f1(pred, by=by), _p(out_dir, "analysis/macro_f1"))
-    write_parquet(M.macro_f1(pred.filter(F.col("split") == "val")), _p(out_dir, "analysis/val_macro_f1"))
+    write_parquet(M.evaluate(pred.filter(F.col("split") == "val")), _p(out_dir, "analysis/validation"))
 
 
-def report(spark: SparkSession, out_dir: str, top_k: int = TOP_K) -> None:
+def report(spark: SparkSession, out_dir: str, top_k: int = TOP_K, group_labels=()) -> None:
+    """Data of the charts. ``group_labels``: labels kept apart in the grouped shares."""
     pred = spark.read.parquet(_p(out_dir, "predictions"))
     idx = spark.read.parquet(_p(out_dir, "label_index"))
     n_labels = idx.count()                         # label-level table
     dist = S.label_distribution(pred, sort=False)
-    write_parquet(S.wide_distribution(dist), _p(out_dir, "report/distribution"))
+    write_parquet(S.wide_distribution(dist, DATASETS), _p(out_dir, "report/distribution"))
+    top = M.top_n(M.label_stats(pred, label_name="gold_label", by=["dataset"], sort=False), TOP_STATS,
+                  label_name="gold_label", group=["dataset"])
+    write_parquet(top, _p(out_dir, "report/top_labels"))
+    write_parquet(S.label_groups(dist, DATASETS, keep=group_labels), _p(out_dir, "report/label_groups"))
     conf = S.confusion_topk(pred, top_k, by=["dataset"])
     write_parquet(S.confusion_normalise(conf, by=["dataset"]), _p(out_dir, "report/confusion"))
     # Dense vectors need the label ids 0..C-1: map predictions through the index.
     small = broadcast_if_bounded(idx.select(F.col("label").alias("pred_label"), "label_idx"),
-                                 LI.MAX_CLASSES)
+                                 MAX_LABELS)
     pidx = pred.join(small, "pred_label", "left")
-    dense = S.dense_distribution(pidx, n_labels, label="label_idx")
-    write_parquet(S.distribution_corr(dense), _p(out_dir, "report/correlation"))
-    write_parquet(S.confidence_histogram(pred), _p(out_dir, "report/confidence_hist"))
+    dense = S.dense_distribution(pidx, n_labels, DATASETS, label="label_idx")
+    write_parquet(S.distribution_corr(dense, DATASETS), _p(out_dir, "report/correlation"))
+    write_parquet(S.confidence_histogram(pred, DATASETS), _p(out_dir, "report/confidence_hist"))
 
 
 def run(spark: SparkSession, sf_dir: str, out_dir: str, stages=STAGES) -> dict:

@@ -38,10 +38,9 @@ def score_stream(spark: SparkSession, model: NBModel, source_dir: str, schema: s
     return w.start()
 
 
-def running_distribution(spark: SparkSession, predictions_dir: str, schema: str,
-                         label: str = "pred_label", by: str = "dataset") -> DataFrame:
-    """Streaming counts of predicted labels per dataset over the scored
-    output; the state is one counter per (dataset, label)."""
-    preds = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(predictions_dir)
-    return (preds.filter(F.col(label).isNotNull())
+def scored_distribution(spark: SparkSession, out_dir: str, label: str = "pred_label",
+                        by: str = "dataset") -> DataFrame:
+    """Counts of predicted labels per dataset over what has been scored so far. It reads
+    the epoch folders themselves, so a rewritten epoch is counted once."""
+    return (spark.read.parquet(out_dir).filter(F.col(label).isNotNull())
                  .groupBy(by, label).agg(F.count(F.lit(1)).alias("n")))
