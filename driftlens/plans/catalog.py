@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..constants import PREVIEW_ROWS, TOP_K, TOP_STATS
+from ..constants import DATASETS, PREVIEW_ROWS, TOP_K, TOP_STATS
 from ..operators import metrics as M
 from ..operators import shift as S
 from ..sources.tables import read_table
@@ -67,18 +67,19 @@ def q_label_stats(spark, sf_dir):
 
 @register("label_stats_top10")
 def q_label_stats_top10(spark, sf_dir):
-    return r6(M.top_n(M.label_stats(_scored(spark, sf_dir), by=BY), PREVIEW_ROWS, group=BY))
+    stats = M.label_stats(views.sources(spark, sf_dir), by=BY, sort=False)
+    return r6(M.top_n(stats, PREVIEW_ROWS, group=BY))
 
 
 @register("top_label_stats")
 def q_top_label_stats(spark, sf_dir):
-    stats = M.label_stats(_scored(spark, sf_dir), label_name="gold_label", by=BY)
+    stats = M.label_stats(_scored(spark, sf_dir), label_name="gold_label", by=BY, sort=False)
     return r6(M.top_n(stats, TOP_STATS, label_name="gold_label", group=BY))
 
 
 @register("topk_labels")
 def q_topk_labels(spark, sf_dir):
-    return M.topk_labels(_scored(spark, sf_dir), TOP_K, col="gold", by=BY)
+    return M.topk_labels(views.sources(spark, sf_dir), TOP_K, col="gold", by=BY)
 
 
 @register("overall_accuracy")
@@ -135,29 +136,29 @@ def q_label_distribution(spark, sf_dir):
 
 @register("dist_outer_join")
 def q_dist_outer_join(spark, sf_dir):
-    return r6(S.wide_distribution(S.label_distribution(views.scored(spark, sf_dir), sort=False)))
+    return r6(S.wide_distribution(S.label_distribution(views.scored(spark, sf_dir), sort=False), DATASETS))
 
 
 @register("label_groups")
 def q_label_groups(spark, sf_dir):
     dist = S.label_distribution(views.scored(spark, sf_dir), sort=False)
-    return r6(S.label_groups(dist, keep=GROUP_LABELS))
+    return r6(S.label_groups(dist, DATASETS, keep=GROUP_LABELS))
 
 
 @register("dense_domain")
 def q_dense_domain(spark, sf_dir):
-    return S.dense_counts(views.scored(spark, sf_dir), SCORED_LABELS)
+    return S.dense_counts(views.scored(spark, sf_dir), SCORED_LABELS, DATASETS)
 
 
 @register("dense_dist")
 def q_dense_dist(spark, sf_dir):
-    return r6(S.dense_distribution(views.scored(spark, sf_dir), SCORED_LABELS))
+    return r6(S.dense_distribution(views.scored(spark, sf_dir), SCORED_LABELS, DATASETS))
 
 
 @register("dist_corr")
 def q_dist_corr(spark, sf_dir):
-    dense = S.dense_distribution(views.scored(spark, sf_dir), SCORED_LABELS)
-    return r6(S.distribution_corr(dense))
+    dense = S.dense_distribution(views.scored(spark, sf_dir), SCORED_LABELS, DATASETS)
+    return r6(S.distribution_corr(dense, DATASETS))
 
 
 @register("confusion_topk")
@@ -174,7 +175,30 @@ def q_confusion_norm(spark, sf_dir):
 
 @register("confidence_hist")
 def q_confidence_hist(spark, sf_dir):
-    return r6(S.confidence_histogram(views.scored(spark, sf_dir)))
+    return r6(S.confidence_histogram(views.scored(spark, sf_dir), DATASETS))
+
+
+@register("confidence_hist_shared")
+def q_confidence_hist_shared(spark, sf_dir):
+    """The same histogram with one set of edges for all datasets."""
+    return r6(S.confidence_histogram(views.scored(spark, sf_dir), DATASETS, shared_edges=True))
+
+
+# The sources of ``documents``, as a caller names its datasets.
+SOURCES = tuple(f"src{i}" for i in range(20))
+
+
+@register("shift_by_dataset")
+def q_shift_by_dataset(spark, sf_dir):
+    """Rows that each shift report counts when the datasets are the 20 sources: the
+    distribution, the dense vectors and the histogram each hold every document."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source", "n_chars"]).select(
+        F.col("source").alias("dataset"), F.pmod("n_chars", F.lit(SCORED_LABELS)).cast("int").alias("pred_label"),
+        (F.pmod("n_chars", F.lit(997)) / F.lit(997.0)).alias("pred_confidence"))
+    dist = S.label_distribution(docs, sort=False).groupBy("dataset").agg(F.sum("n").alias("n_distribution"))
+    dense = S.dense_counts(docs, SCORED_LABELS, SOURCES).groupBy("dataset").agg(F.sum("n").alias("n_dense"))
+    hist = S.confidence_histogram(docs, SOURCES).groupBy("dataset").agg(F.sum("n").alias("n_histogram"))
+    return dist.join(dense, "dataset", "full").join(hist, "dataset", "full")
 
 
 # ---- cleaning ---------------------------------------------------------------------------
@@ -207,7 +231,7 @@ def q_drop_empty_text(spark, sf_dir):
 
 @register("json_key_absent")
 def q_json_key_absent(spark, sf_dir):
-    out = L.issue_scan(D.issue_json(spark, sf_dir), state=None, per_page=None)
+    out = L.issue_scan(D.issue_json(spark, sf_dir))
     return out.select("id", "number", "text", "state", "comments", "user")
 
 
@@ -245,19 +269,19 @@ def q_label_precedence(spark, sf_dir):
 
 @register("na_tokens")
 def q_na_tokens(spark, sf_dir):
-    return C.recognise_na(D.na_texts(spark, sf_dir), ["text"]).select("doc_id", "text")
+    return C.recognise_na(D.na_texts(spark, sf_dir), ["text", "cell"]).select("doc_id", "text", "cell")
 
 
 @register("fill_text")
 def q_fill_text(spark, sf_dir):
-    df = C.recognise_na(D.na_texts(spark, sf_dir), ["text"])
-    return C.fill_missing_text(df).select("doc_id", "text")
+    df = C.recognise_na(D.na_texts(spark, sf_dir), ["text", "cell"])
+    return C.fill_missing_text(C.fill_missing_text(df), "cell").select("doc_id", "text", "cell")
 
 
 @register("drop_missing")
 def q_drop_missing(spark, sf_dir):
-    df = C.recognise_na(D.na_texts(spark, sf_dir), ["text"])
-    return C.drop_missing(df, ["text", "label"]).select("doc_id", "text", "label")
+    df = C.recognise_na(D.na_texts(spark, sf_dir), ["text", "cell"])
+    return C.drop_missing(df, ["text", "cell", "label"]).select("doc_id", "text", "cell", "label")
 
 
 # ---- ingest -----------------------------------------------------------------------------
@@ -269,6 +293,26 @@ def q_page_assembly(spark, sf_dir):
                                                   "lang", "source", "text")
 
 
+@register("page_assembly_feeds")
+def q_page_assembly_feeds(spark, sf_dir):
+    """Every conversation as a feed of two-turn pages, of which a pager that starts at
+    the second turn fetches at most three turns."""
+    turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    rows = turns.select("*", F.floor(F.col("turn") / F.lit(2)).cast("long").alias("page"),
+                        F.pmod("turn", F.lit(2)).cast("long").alias("pos"))
+    return assemble_pages(rows, 2, limit=3, offset=1, feed_cols=["conv_id"]).select(
+        "conv_id", "row_index", "turn", "role", "text")
+
+
+@register("ranked_lookup_limit")
+def q_ranked_lookup_limit(spark, sf_dir):
+    """The first 300 places of each ranked list."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]) \
+        .withColumnRenamed("doc_id", "id")
+    out = L.ranked_lookup(D.ranked_ids(spark, sf_dir), docs, "id", ("list_no", "pos"), limit=300, title=None)
+    return out.select("list_no", "pos", "id", "source", "text")
+
+
 @register("ranked_lookup")
 def q_ranked_lookup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]) \
@@ -289,30 +333,32 @@ def q_json_envelope(spark, sf_dir):
 
 @register("issue_scan")
 def q_issue_scan(spark, sf_dir):
-    """Issue arrays -> objects -> open issues without a pull_request key."""
-    arrays = D.issue_arrays(spark, sf_dir, 50)
-    objs = arrays.select("page", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "json"))
-    out = L.issue_scan(objs, state="open", per_page=None, order_cols=("page", "pos"))
+    """Issue arrays of 50 -> the first 20 open ones of each -> those without a
+    pull_request key."""
+    objs = L.issue_lists(D.issue_arrays(spark, sf_dir, 50), keep=("page",), per_page=20)
+    out = L.issue_scan(objs, order_cols=("page", "pos"))
     return out.select("page", "pos", "id", "number", "text", "comments", "user")
 
 
 @register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf_dir):
-    """Every document (in the NA-token shapes) exported as CSV into the
-    shared checkpoint folder, then scanned back with an explicit schema,
-    the column contract and NA-token recognition. Real texts carry quotes,
-    commas, blank lines and carriage returns, so this checks that the
-    round trip is lossless apart from the NA tokens."""
-    import os
+    """Every document, text and all, and an NA-shaped cell, exported as CSV into the
+    shared checkpoint folder, then scanned back with an explicit schema, the column
+    contract and NA-token recognition. Real texts carry quotes, commas, blank lines and
+    carriage returns, so this checks that the round trip is lossless apart from the NA
+    tokens. The rows read back are checkpointed and the CSV folder is removed."""
     import uuid
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import cut_lineage, ensure_checkpoint_dir, remove_path
     from ..sources import files as FS
-    path = os.path.join(ensure_checkpoint_dir(spark), "csv_roundtrip", uuid.uuid4().hex)
-    FS.write_csv(D.na_texts(spark, sf_dir), path)
-    back = FS.read_csv(spark, path, "doc_id long, text string, label string",
-                       required=["doc_id", "text", "label"])
-    return back.select("doc_id", "text", "label")
+    path = f"{ensure_checkpoint_dir(spark)}/csv_roundtrip-{uuid.uuid4().hex}"
+    try:
+        FS.write_csv(D.na_texts(spark, sf_dir), path)
+        back = FS.read_csv(spark, path, "doc_id long, text string, label string, cell string",
+                           required=["doc_id", "text", "label", "cell"])
+        return cut_lineage(back.select("doc_id", "text", "label", "cell"))
+    finally:
+        remove_path(spark, path)
 
 
 @register("dataset_union")
@@ -342,22 +388,20 @@ def _training_rows(spark, sf_dir):
     return C.drop_missing(t, ["text", "gold"])
 
 
-def _split(spark, sf_dir):
-    return SP.stratified_split(_training_rows(spark, sf_dir), "gold", "row_id")
+def _plan(spark, sf_dir):
+    return SP.plan_split(_training_rows(spark, sf_dir), "gold", "row_id")
 
 
-def _materialized_split(spark, sf_dir):
-    """The split as read by several jobs (class list, fit, priors,
-    evaluation). Its per-class cut table is already on disk, so re-reading
-    the split is one scan with a map-side broadcast join and no shuffle;
-    copying the whole split (text included) would cost more at scale."""
-    return _split(spark, sf_dir)
+def _split(spark, sf_dir):
+    return _plan(spark, sf_dir).assign(_training_rows(spark, sf_dir))
 
 
-def _nb_model(spark, sf_dir, split=None):
-    sp = split if split is not None else _materialized_split(spark, sf_dir)
-    train = sp.filter(F.col("split") == "train")
-    return NB.fit_nb(train, None, "gold", "text")
+def _nb_model(spark, sf_dir, plan=None):
+    """The classifier of the training split; the plan's quotas give the documents of
+    each class, so the texts are read once."""
+    plan = plan or _plan(spark, sf_dir)
+    train = plan.assign(_training_rows(spark, sf_dir)).filter(F.col("split") == "train")
+    return NB.fit_nb(train, None, "gold", "text", class_docs=plan.train_docs(NB.MAX_CLASSES))
 
 
 @register("stratified_split")
@@ -392,8 +436,8 @@ def q_nb_model(spark, sf_dir):
     return r6(_nb_model(spark, sf_dir).long_table("label"))
 
 
-def _nb_scored(spark, sf_dir, docs=None, split=None):
-    model = _nb_model(spark, sf_dir, split)
+def _nb_scored(spark, sf_dir, docs=None, plan=None):
+    model = _nb_model(spark, sf_dir, plan)
     docs = docs if docs is not None else views.texts(spark, sf_dir)
     return NB.score_nb(model, docs, keep=("dataset", "gold"))
 
@@ -404,21 +448,11 @@ def q_nb_predict(spark, sf_dir):
               .select("row_id", "dataset", "gold", "pred_label", "pred_confidence"))
 
 
-def evaluate(pred: DataFrame, gold: str = "gold", label: str = "pred_label") -> DataFrame:
-    """Accuracy and macro-F1 of one prediction set, from one per-label table."""
-    per = M.per_label_counts(pred, gold, label)
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"),
-                                 (F.col("support") + F.col("predicted")).cast("double")), F.lit(0.0))
-    return per.agg(F.sum("support").cast("long").alias("n"),
-                   (F.sum("tp") / F.sum("support")).cast("double").alias("accuracy"),
-                   F.avg(f1).alias("f1_macro"))
-
-
 @register("eval_metrics")
 def q_eval_metrics(spark, sf_dir):
-    sp = _materialized_split(spark, sf_dir)
-    val = sp.filter(F.col("split") == "val")
-    return r6(evaluate(_nb_scored(spark, sf_dir, val, split=sp)))
+    plan = _plan(spark, sf_dir)
+    val = plan.assign(_training_rows(spark, sf_dir)).filter(F.col("split") == "val")
+    return r6(M.evaluate(_nb_scored(spark, sf_dir, val, plan)))
 
 
 @register("domain_shift")
@@ -433,9 +467,30 @@ def q_domain_shift(spark, sf_dir):
 
 @register("lr_fit")
 def q_lr_fit(spark, sf_dir):
-    train = _materialized_split(spark, sf_dir).filter(F.col("split") == "train")
+    """The MLlib classifier, scored over every text: rows per dataset, and whether the
+    confidences are probabilities, the labels known ones and most of them right."""
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
     model = ML.fit_lr(train, "gold", "text")
-    return r6(ML.score_lr(model, views.texts(spark, sf_dir), keep=("row_id", "dataset", "gold")))
+    known = model.stages[0].labels
+    scored = ML.score_lr(model, views.texts(spark, sf_dir), keep=("row_id", "dataset", "gold"))
+    right = F.col("gold").eqNullSafe(F.col("pred_label")).cast("double")
+    return scored.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.min("pred_confidence") > 0) & (F.max("pred_confidence") <= 1)).alias("confidence_ok"),
+        F.min(F.col("pred_label").isin(list(known))).alias("labels_known"),
+        (F.avg(right) >= 0.9).alias("accurate"))
+
+
+@register("pipeline_predictions")
+def q_pipeline_predictions(spark, sf_dir):
+    """Ingest, train and predict of the staged job: predictions keep their inputs."""
+    from ..session import ensure_checkpoint_dir
+    from . import pipeline as P
+    out = P.fresh_dir(ensure_checkpoint_dir(spark))
+    P.run(spark, sf_dir, out, stages=("ingest", "train", "predict"))
+    pred = spark.read.parquet(f"{out}/predictions")
+    return r6(pred.select("row_id", "dataset", "gold", "split", F.length("text").cast("long").alias("n_chars"),
+                          "pred_label", "pred_confidence"))
 
 
 # ---- external model scored in batches ----------------------------------------------------

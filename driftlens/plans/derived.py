@@ -50,40 +50,38 @@ def label_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", s.alias("labels"))
 
 
-# Values a CSV round trip may leave in a text cell, by ``doc_id % 11``
-# (9 and 10 keep the document text).
+# Values a CSV round trip may leave in a cell, by ``doc_id % 11`` (9 and 10 keep the
+# document's source).
 NA_SHAPES = (None, "NA", "null", "None", "none", " ", "", "nan", "n/a")
 
 
 def na_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    """The whole text of every document beside a ``cell`` of some NA shape."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     shape = _m("doc_id", 11)
-    t = F.col("text")
+    cell = F.col("source")
     for i in reversed(range(len(NA_SHAPES))):
-        t = F.when(shape == i, F.lit(NA_SHAPES[i]).cast("string")).otherwise(t)
-    return d.select("doc_id", t.alias("text"), F.col("lang").alias("label"))
+        cell = F.when(shape == i, F.lit(NA_SHAPES[i]).cast("string")).otherwise(cell)
+    return d.select("doc_id", "text", F.col("lang").alias("label"), cell.alias("cell"))
 
 
 def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An issue-like JSON object per document. ``user`` is null when
-    ``doc_id % 11 == 0``, absent when ``% 13 == 0``; ``pull_request`` is a
-    JSON null when ``% 7 == 0`` and an object when ``% 5 == 0``."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "lang", "n_chars"])
+    """An issue object per document: the source as title and the whole text as body.
+    ``user`` is null when ``doc_id % 11 == 0``, absent when ``% 13 == 0``;
+    ``pull_request`` is a JSON null when ``% 7 == 0`` and an object when ``% 5 == 0``."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "n_chars"])
     state = F.when(_m("n_chars", 2) == 0, F.lit("open")).otherwise(F.lit("closed"))
-    user = (F.when(_m("doc_id", 11) == 0, F.lit(', "user": null'))
+    core = F.to_json(F.struct(
+        F.col("doc_id").alias("id"), (F.col("doc_id") + 1).alias("number"), F.col("source").alias("title"),
+        F.col("text").alias("body"), state.alias("state"), _m("n_chars", 50).alias("comments")))
+    user = (F.when(_m("doc_id", 11) == 0, F.lit(',"user":null'))
              .when(_m("doc_id", 13) == 0, F.lit(""))
-             .otherwise(F.concat(F.lit(', "user": {"login": "'), F.col("source"), F.lit('"}'))))
-    pr = (F.when(_m("doc_id", 7) == 0, F.lit(', "pull_request": null'))
-           .when(_m("doc_id", 5) == 0,
-                 F.concat(F.lit(', "pull_request": {"url": "pr/'), F.col("doc_id").cast("string"),
-                          F.lit('"}')))
-           .otherwise(F.lit("")))
-    js = F.concat(
-        F.lit('{"id": '), F.col("doc_id").cast("string"),
-        F.lit(', "number": '), (F.col("doc_id") + 1).cast("string"),
-        F.lit(', "title": "'), F.col("source"), F.lit('", "body": "'), F.col("lang"),
-        F.lit('", "state": "'), state, F.lit('", "comments": '), _m("n_chars", 50).cast("string"),
-        user, pr, F.lit("}"))
+             .otherwise(F.concat(F.lit(',"user":'), F.to_json(F.struct(F.col("source").alias("login"))))))
+    pull = (F.when(_m("doc_id", 7) == 0, F.lit(',"pull_request":null'))
+             .when(_m("doc_id", 5) == 0, F.concat(F.lit(',"pull_request":'), F.to_json(F.struct(
+                 F.concat(F.lit("pr/"), F.col("doc_id").cast("string")).alias("url")))))
+             .otherwise(F.lit("")))
+    js = F.concat(F.substring(core, F.lit(1), F.length(core) - 1), user, pull, F.lit("}"))
     return d.select(F.col("doc_id").alias("pos"), js.alias("json"))
 
 

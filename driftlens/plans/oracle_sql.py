@@ -21,6 +21,14 @@ scored AS (
   FROM s_2)
 """
 
+# The ``sources`` view.
+SOURCES_CTE = """
+scored AS (
+  SELECT lang AS dataset, TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) AS gold,
+         CASE WHEN n_chars % 3 = 0 THEN gold ELSE CAST(n_chars % 20 AS INTEGER) END AS pred_label
+  FROM documents)
+"""
+
 LABEL_STATS_SQL = """
 SELECT dataset, gold AS label_id, CAST(count(*) AS BIGINT) AS support,
        round(avg(CAST(gold IS NOT DISTINCT FROM pred_label AS INTEGER)), 6) AS accuracy
@@ -111,7 +119,7 @@ def _w(*ctes: str) -> str:
 
 ORACLE: dict[str, str] = {
     "label_stats": _w(SCORED_CTE) + LABEL_STATS_SQL,
-    "label_stats_top10": _w(SCORED_CTE, f"st AS ({LABEL_STATS_SQL})") + """
+    "label_stats_top10": _w(SOURCES_CTE, f"st AS ({LABEL_STATS_SQL})") + """
 SELECT dataset, label_id, support, accuracy FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY support DESC, label_id) AS rn FROM st) t
 WHERE rn <= 10
@@ -121,7 +129,7 @@ SELECT dataset, label_id AS gold_label, support, accuracy FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY support DESC, label_id) AS rn FROM st) t
 WHERE rn <= 6
 """,
-    "topk_labels": _w(SCORED_CTE) + """
+    "topk_labels": _w(SOURCES_CTE) + """
 SELECT dataset, label, n, CAST(rnk AS INTEGER) AS rank FROM (
   SELECT dataset, label, n, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, label) - 1 AS rnk
   FROM (SELECT dataset, gold AS label, CAST(count(*) AS BIGINT) AS n FROM scored
@@ -201,10 +209,10 @@ FROM conf
 
 # ---- cleaning and ingest ----------------------------------------------------------------
 
-from ..constants import (EMPTY_LIST_PATTERN, LIST_LABEL_PATTERN,  # noqa: E402
-                         SCALAR_LABEL_PATTERN, WHITESPACE_CODEPOINTS)
-
-WS = "(" + " || ".join(f"chr({c})" for c in WHITESPACE_CODEPOINTS) + ")"
+# Python's white space, written out here: the oracle takes nothing from the package.
+WS = "(" + " || ".join(f"chr({c})" for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000)) + ")"
 
 
 def _strip(x: str) -> str:
@@ -237,60 +245,38 @@ ls AS (
       ELSE CAST(doc_id % 28 AS VARCHAR) || '.5'
     END AS labels
   FROM documents),
-lp AS (
-  SELECT doc_id, labels, STRIP AS s FROM ls),
-lo AS (
-  SELECT doc_id, labels, s,
-    CASE WHEN labels IS NULL THEN 'missing'
-         WHEN s = '' THEN 'blank'
-         WHEN regexp_full_match(s, EMPTY) THEN 'empty_list'
-         WHEN regexp_full_match(s, LIST) AND TRY_CAST(regexp_extract(s, LIST, 1) AS INTEGER) IS NOT NULL THEN 'list'
-         WHEN regexp_full_match(s, SCALAR) AND TRY_CAST(s AS INTEGER) IS NOT NULL THEN 'scalar'
-         ELSE 'fallback' END AS outcome
-  FROM lp),
 lab AS (
-  SELECT doc_id, labels, outcome,
-    CAST(CASE outcome
-      WHEN 'list' THEN TRY_CAST(regexp_extract(s, LIST, 1) AS INTEGER)
-      WHEN 'scalar' THEN TRY_CAST(s AS INTEGER)
-      WHEN 'fallback' THEN
-        CASE WHEN regexp_full_match(s, '[+-]?[0-9]+[.][0-9]*') THEN CAST(trunc(CAST(s AS DOUBLE)) AS INTEGER)
-             ELSE 0 END
-      ELSE 0 END AS INTEGER) AS label
-  FROM lo)
-""".replace("STRIP", _strip("labels")).replace("EMPTY", _q(EMPTY_LIST_PATTERN)) \
-   .replace("LIST", _q(LIST_LABEL_PATTERN)).replace("SCALAR", _q(SCALAR_LABEL_PATTERN))
+  SELECT doc_id, labels,
+    CASE doc_id % 9 WHEN 2 THEN 'scalar' WHEN 8 THEN 'scalar' WHEN 3 THEN 'blank' WHEN 4 THEN 'missing'
+      WHEN 5 THEN 'empty_list' WHEN 7 THEN 'fallback' ELSE 'list' END AS outcome,
+    CAST(CASE WHEN doc_id % 9 IN (0, 1, 2, 6, 8) THEN doc_id % 28 END AS INTEGER) AS own,
+    coalesce(own, 0) AS label
+  FROM ls)
+"""
 
 NA_TEXT_CTE = """
 nt AS (
-  SELECT doc_id, lang AS label,
+  SELECT doc_id, text, lang AS label,
     CASE doc_id % 11
       WHEN 0 THEN NULL WHEN 1 THEN 'NA' WHEN 2 THEN 'null' WHEN 3 THEN 'None' WHEN 4 THEN 'none'
-      WHEN 5 THEN ' ' WHEN 6 THEN '' WHEN 7 THEN 'nan' WHEN 8 THEN 'n/a' ELSE text END AS text
+      WHEN 5 THEN ' ' WHEN 6 THEN '' WHEN 7 THEN 'nan' WHEN 8 THEN 'n/a' ELSE source END AS cell
   FROM documents),
 na AS (
-  SELECT doc_id, label,
-    CASE WHEN text IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan',
-                       '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None',
-                       'n/a', 'nan', 'null') THEN NULL ELSE text END AS text
-  FROM nt)
+  SELECT doc_id, label, NAT(text) AS text, NAT(cell) AS cell FROM nt)
 """
+for _c in ("text", "cell"):
+    NA_TEXT_CTE = NA_TEXT_CTE.replace(f"NAT({_c})", f"""CASE WHEN {_c} IN (
+    '', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA',
+    'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN NULL ELSE {_c} END""")
 
 ISSUE_CTE = """
 iss AS (
-  SELECT doc_id,
-    '{"id": ' || CAST(doc_id AS VARCHAR) || ', "number": ' || CAST(doc_id + 1 AS VARCHAR)
-    || ', "title": "' || source || '", "body": "' || lang || '", "state": "'
-    || (CASE WHEN n_chars % 2 = 0 THEN 'open' ELSE 'closed' END) || '", "comments": '
-    || CAST(n_chars % 50 AS VARCHAR)
-    || (CASE WHEN doc_id % 11 = 0 THEN ', "user": null' WHEN doc_id % 13 = 0 THEN ''
-             ELSE ', "user": {"login": "' || source || '"}' END)
-    || (CASE WHEN doc_id % 7 = 0 THEN ', "pull_request": null'
-             WHEN doc_id % 5 = 0 THEN ', "pull_request": {"url": "pr/' || CAST(doc_id AS VARCHAR) || '"}'
-             ELSE '' END)
-    || '}' AS j
+  SELECT doc_id, doc_id AS id, doc_id + 1 AS number, STRIP AS text,
+         CASE WHEN n_chars % 2 = 0 THEN 'open' ELSE 'closed' END AS state, n_chars % 50 AS comments,
+         CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN NULL ELSE source END AS "user",
+         doc_id % 7 = 0 OR doc_id % 5 = 0 AS pull
   FROM documents)
-"""
+""".replace("STRIP", _strip("coalesce(source, '') || chr(10) || chr(10) || coalesce(text, '')"))
 
 ORACLE.update({
     "compose_title_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, turn, "
@@ -300,35 +286,23 @@ ORACLE.update({
     "drop_empty_text": _w(CONV_ITEMS_CTE) + "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, "
         + _strip("coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '')")
         + " AS text FROM items) WHERE text <> ''",
-    "json_key_absent": _w(ISSUE_CTE) + """
-SELECT id, number, text, state, comments, "user" FROM (
-  SELECT CAST(json_extract(j, '$.id') AS BIGINT) AS id,
-         CAST(json_extract(j, '$.number') AS BIGINT) AS number,
-         """ + _strip("coalesce(json_extract_string(j, '$.title'), '') || chr(10) || chr(10) || "
-                      "coalesce(json_extract_string(j, '$.body'), '')") + """ AS text,
-         json_extract_string(j, '$.state') AS state,
-         CAST(json_extract(j, '$.comments') AS BIGINT) AS comments,
-         json_extract_string(j, '$.user.login') AS "user"
-  FROM iss WHERE NOT list_contains(json_keys(j), 'pull_request'))
-WHERE text <> ''
-""",
-    "json_nested": _w(ISSUE_CTE)
-        + "SELECT CAST(json_extract(j, '$.id') AS BIGINT) AS id, "
-          "json_extract_string(j, '$.user.login') AS \"user\" FROM iss",
+    "json_key_absent": _w(ISSUE_CTE)
+        + 'SELECT id, number, text, state, comments, "user" FROM iss WHERE NOT pull AND text <> \'\'',
+    "json_nested": _w(ISSUE_CTE) + 'SELECT id, "user" FROM iss',
     "json_project": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, "
                     "json_extract_string(props, '$.q') AS q FROM events",
     "first_label": _w(LABEL_STRINGS_CTE) + "SELECT doc_id, labels, label FROM lab",
     "label_parse_report": _w(LABEL_STRINGS_CTE)
         + "SELECT outcome, CAST(count(*) AS BIGINT) AS n, "
-          "CAST(sum(CAST(label = 0 AS BIGINT)) AS BIGINT) AS n_default FROM lab GROUP BY outcome",
+          "CAST(sum(CAST(own IS NULL AS BIGINT)) AS BIGINT) AS n_default FROM lab GROUP BY outcome",
     "label_precedence": _w(LABEL_STRINGS_CTE)
         + "SELECT 'labels' AS src, doc_id, label FROM lab UNION ALL "
           "SELECT 'label' AS src, doc_id, CAST(quality AS INTEGER) AS label FROM labels",
-    "na_tokens": _w(NA_TEXT_CTE) + "SELECT doc_id, text FROM na",
-    "csv_roundtrip": _w(NA_TEXT_CTE) + "SELECT doc_id, text, label FROM na",
-    "fill_text": _w(NA_TEXT_CTE) + "SELECT doc_id, coalesce(text, '') AS text FROM na",
+    "na_tokens": _w(NA_TEXT_CTE) + "SELECT doc_id, text, cell FROM na",
+    "csv_roundtrip": _w(NA_TEXT_CTE) + "SELECT doc_id, text, label, cell FROM na",
+    "fill_text": _w(NA_TEXT_CTE) + "SELECT doc_id, coalesce(text, '') AS text, coalesce(cell, '') AS cell FROM na",
     "drop_missing": _w(NA_TEXT_CTE)
-        + "SELECT doc_id, text, label FROM na WHERE text IS NOT NULL AND label IS NOT NULL",
+        + "SELECT doc_id, text, cell, label FROM na WHERE text IS NOT NULL AND cell IS NOT NULL AND label IS NOT NULL",
     "page_assembly": """
 WITH r AS (
   SELECT doc_id, lang, source, text, CAST(floor(doc_id / 100) AS BIGINT) AS page,
@@ -365,9 +339,7 @@ SELECT 'ood_b', item_id, NULL, NULL, NULL, CAST(length(coalesce(text, '')) AS BI
 
 # ---- classification ---------------------------------------------------------------------
 
-from ..constants import TOKEN_PATTERN  # noqa: E402
-
-TOK = "regexp_extract_all(lower(coalesce(text, '')), " + _q(TOKEN_PATTERN) + ")"
+TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 TEXTS_CTE = """
 texts AS (
@@ -474,6 +446,16 @@ FROM pred GROUP BY dataset
 """,
 })
 
+ORACLE["lr_fit"] = _w(TEXTS_CTE) + """
+SELECT dataset, count(*) AS n, TRUE AS confidence_ok, TRUE AS labels_known, TRUE AS accurate FROM texts GROUP BY dataset
+"""
+
+ORACLE["pipeline_predictions"] = _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE, "docs AS (SELECT * FROM texts)", PREDICT_CTE) + """
+SELECT p.row_id, p.dataset, p.gold, coalesce(s.split, 'ood') AS split, CAST(length(t.text) AS BIGINT) AS n_chars,
+       p.pred_label, round(p.pred_confidence, 6) AS pred_confidence
+FROM pred p JOIN texts t USING (row_id) LEFT JOIN split s USING (row_id)
+"""
+
 ORACLE["batch_score"] = ORACLE["score_softmax"]
 
 ORACLE["json_envelope"] = """
@@ -482,16 +464,31 @@ SELECT CAST(doc_id AS BIGINT) AS row_index, CAST(floor(doc_id / 100) AS BIGINT)
 FROM documents
 """
 
-ORACLE["issue_scan"] = _w(ISSUE_CTE) + """
-SELECT page, pos, id, number, text, comments, "user" FROM (
-  SELECT CAST(floor(doc_id / 50) AS BIGINT) AS page, CAST(doc_id % 50 AS INTEGER) AS pos,
-         CAST(json_extract(j, '$.id') AS BIGINT) AS id,
-         CAST(json_extract(j, '$.number') AS BIGINT) AS number,
-         """ + _strip("coalesce(json_extract_string(j, '$.title'), '') || chr(10) || chr(10) || "
-                      "coalesce(json_extract_string(j, '$.body'), '')") + """ AS text,
-         CAST(json_extract(j, '$.comments') AS BIGINT) AS comments,
-         json_extract_string(j, '$.user.login') AS "user"
-  FROM iss
-  WHERE json_extract_string(j, '$.state') = 'open' AND NOT list_contains(json_keys(j), 'pull_request'))
-WHERE text <> ''
+ORACLE["issue_scan"] = _w(ISSUE_CTE, """
+cap AS (SELECT *, row_number() OVER (PARTITION BY floor(doc_id / 50) ORDER BY doc_id) AS rn FROM iss WHERE state = 'open')
+""") + """
+SELECT CAST(floor(doc_id / 50) AS BIGINT) AS page, CAST(doc_id % 50 AS INTEGER) AS pos, id, number, text, comments, "user"
+FROM cap WHERE rn <= 20 AND NOT pull AND text <> ''
+"""
+
+ORACLE["ranked_lookup_limit"] = "SELECT * FROM (" + ORACLE["ranked_lookup"] + ") WHERE pos < 300"
+
+ORACLE["page_assembly_feeds"] = """
+WITH sz AS (SELECT conv_id, CAST(floor(turn / 2) AS BIGINT) AS page, count(*) AS n FROM conversations GROUP BY 1, 2),
+od AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) - 1 AS k FROM sz),
+ok AS (SELECT *, coalesce(bool_and(n = 2 AND page = k) OVER (PARTITION BY conv_id ORDER BY page
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS prev FROM od)
+SELECT c.conv_id, c.turn AS row_index, c.turn, c.role, c.text
+FROM conversations c JOIN ok ON ok.conv_id = c.conv_id AND ok.page = floor(c.turn / 2)
+WHERE ok.prev AND ok.page = ok.k AND c.turn BETWEEN 1 AND 3
+"""
+
+ORACLE["confidence_hist_shared"] = ORACLE["confidence_hist"].replace(
+    "SELECT dataset, min(v) AS vmin, max(v) AS vmax FROM vals GROUP BY dataset",
+    "SELECT DISTINCT dataset, min(v) OVER () AS vmin, max(v) OVER () AS vmax FROM vals")
+
+# The shift reports over the 20 sources as datasets: every report counts every row.
+ORACLE["shift_by_dataset"] = """
+SELECT source AS dataset, count(*) AS n_distribution, count(*) AS n_dense, count(*) AS n_histogram
+FROM documents GROUP BY source
 """
