@@ -192,17 +192,18 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep=None) ->
     out = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()),
                                                           T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    src, column = W.with_text(docs, names, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(held.value)
-        for b in W.chunks(batches, "__text"):
-            data, off = W.utf8(b.column("__text"))
+        for b in W.chunks(batches, column):
+            data, off = W.utf8(b.column(column))
             n = b.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
             seen = np.append(0, np.cumsum(_LETTER[data]))[off]
             letters = seen[1:] > seen[:-1]
             for i in np.flatnonzero(~letters & (off[1:] > off[:-1])).tolist():
-                letters[i] = any(map(str.isalpha, b.column("__text")[i].as_py()))
+                letters[i] = any(map(str.isalpha, b.column(column)[i].as_py()))
             if m.languages and letters.any():
                 bits = m.lengths(data, off)
                 best = bits.argmin(axis=1)
@@ -212,4 +213,4 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep=None) ->
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score)],
                                              names=[*names, "lang_pred", "score"])
 
-    return docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return src.mapInArrow(run, out)

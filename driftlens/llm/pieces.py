@@ -29,10 +29,10 @@ from . import words as W
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-KEPT_UNITS = 1_000_000   # encoded units kept by a task; beyond, it starts anew
-PAIR_SLOTS = 1 << 21   # table of pair verdicts; emptied when half full
-CHUNK_BYTES = 4 << 20
-_BATCH = 1 << 20       # lattice cells at once
+KEPT_UNITS = 400_000   # encoded units kept by a task; beyond, it starts anew
+PAIR_SLOTS = 1 << 20   # table of pair verdicts; emptied when half full
+CHUNK_BYTES = 1 << 20
+_BATCH = 1 << 18       # lattice cells at once
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -341,16 +341,17 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
     out = T.StructType([docs.schema[c] for c in names] + [
         T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
     held = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))  # bounded by the vocabulary
+    src, column = W.with_text(docs, names, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(held.value)
-        for b in W.chunks(batches, "__text", CHUNK_BYTES):
-            at, ids = enc.encode(*W.utf8(b.column("__text")))
+        for b in W.chunks(batches, column, CHUNK_BYTES):
+            at, ids = enc.encode(*W.utf8(b.column(column)))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists, pa.array(np.diff(at))],
                                              names=[*names, "piece_ids", "n_pieces"])
 
-    return docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return src.mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", model: str = DEFAULT_MODEL,

@@ -269,11 +269,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     out = T.StructType([docs.schema[c] for c in names] + _ADDED.fields)
     # bounded by max_examples x n_terms; plain arrays, so that executors need no class of ours
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
+    src, column = W.with_text(docs, names, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**held.value)
-        for b in W.chunks(batches, "__text"):
-            row, _, _, h = W.split_words(*W.utf8(b.column("__text")), "alnum")
+        for b in W.chunks(batches, column):
+            row, _, _, h = W.split_words(*W.utf8(b.column(column)), "alnum")
             s, pos, cos = judge(m, count_terms(m.terms, row, h, b.num_rows))
             some = pos >= 0
             at = pa.array(np.append(0, np.cumsum(some.sum(axis=1))).astype(np.int32))
@@ -283,5 +284,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                  pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(cos[some]))],
                 names=[*names, *added])
 
-    src = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("__text"))
     return src.mapInArrow(run, out)

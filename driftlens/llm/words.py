@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Text bytes handled at once; the numpy temporaries are about 30 times that.
-CHUNK_BYTES = 2 << 20
+#: Text bytes handled at once; the numpy temporaries are about 50 times that.
+CHUNK_BYTES = 1 << 19
 
 _ALNUM = np.zeros(256, bool)          # words [0-9a-z] and every byte from 0x80
 _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
@@ -60,6 +62,14 @@ def chunks(batches, column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.Re
             yield batch.slice(a, b - a)
 
 
+def with_text(docs: DataFrame, names: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """Columns ``names`` of ``docs`` and the text as a string, and the name that it has: a
+    kept string column is not sent to Python twice."""
+    if text_col in names and docs.schema[text_col].dataType.simpleString() == "string":
+        return docs.select(*names), text_col
+    return docs.select(*names, F.col(text_col).cast("string").alias("__text")), "__text"
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if column.null_count:
@@ -106,7 +116,7 @@ def shingles(row: np.ndarray, h: np.ndarray, k: int):
         return row, h
     acc = np.zeros(n, np.uint64)
     pw = powers(_Q, k)
-    for i in range(k):
+    for i in range(min(k, n)):
         acc[:n - i] += h[i:] * pw[i]
     full = np.zeros(n, bool)
     if n >= k:
