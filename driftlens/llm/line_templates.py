@@ -25,21 +25,28 @@ BROADCAST_ROWS = 1_000_000
 VARIABLE = "<*>"
 
 
+def _mask(line: F.Column) -> F.Column:
+    """White space folded and tokens with a digit replaced; most lines need neither."""
+    folded = F.trim(F.regexp_replace(line, r"\s+", " "))
+    return F.when(line.rlike(r"[0-9\t\r\f\x0B]|  "), F.regexp_replace(folded, r"[^ 0-9]*[0-9][^ ]*", VARIABLE)).otherwise(
+        F.trim(line))
+
+
+def _spaces() -> F.Column:
+    return F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
+
+
 def _lines(src: DataFrame) -> DataFrame:
-    """(doc_id, doc_chars, pos, masked): every line of at least MIN_TOKENS tokens, white
-    space folded and tokens with a digit replaced."""
-    line = F.col("line")
-    folded = F.trim(F.when(line.rlike(r"\s\s|[\t\r\f\x0B]"), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
-    masked = F.when(folded.rlike("[0-9]"), F.regexp_replace(folded, r"[^ 0-9]*[0-9][^ ]*", VARIABLE)).otherwise(folded)
-    rows = src.select("doc_id", F.length("text").alias("doc_chars"),
-                      F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.select("doc_id", "doc_chars", "pos", masked.alias("masked")).where(
-        F.regexp_count("masked", F.lit(" ")) >= MIN_TOKENS - 1)
+    """(doc_id, doc_chars, pos, masked): every line of at least MIN_TOKENS tokens. Lines
+    are masked before they are exploded, so that no later step masks them again."""
+    masked = F.transform(F.split("text", "\n", -1), _mask)
+    rows = src.select("doc_id", F.length("text").alias("doc_chars"), F.posexplode(masked).alias("pos", "masked"))
+    return rows.where(_spaces() >= MIN_TOKENS - 1)
 
 
 def _leaf() -> F.Column:
     lead = F.substring_index("masked", " ", DEPTH)
-    return F.xxhash64(F.regexp_count("masked", F.lit(" ")), lead)
+    return F.xxhash64(_spaces(), lead)
 
 
 def _docs_per(rows: DataFrame, *keys: str) -> DataFrame:
@@ -58,15 +65,18 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialise(lines.join(broadcast_if_bounded(often, BROADCAST_ROWS), "leaf"))
     copies = (shared.groupBy("doc_id").agg(F.sum("chars").alias("in_leaves"), F.max("doc_chars").alias("all"))
               .where(F.col("in_leaves") >= COPY_SHARE * F.col("all")).select("doc_id"))
-    witnesses = materialise(shared.join(copies, "doc_id", "left_anti").select("leaf", "line", "doc_id"))
+    witnesses = materialise(shared.join(copies, "doc_id", "left_anti").select("leaf", "line", "doc_id", "pos"))
     leaves = materialise(_docs_per(witnesses, "leaf").where(F.col("docs") >= min_docs).select("leaf"))
-    counts = materialise(_docs_per(witnesses.join(broadcast_if_bounded(leaves, BROADCAST_ROWS), "leaf"), "leaf", "line"))
-
-    # texts of the distinct lines of those leaves, cut into tokens
-    texts = (_lines(src).select(_leaf().alias("leaf"), "masked")
-             .join(broadcast_if_bounded(leaves, BROADCAST_ROWS), "leaf").distinct()
-             .withColumn("line", F.xxhash64("masked")))
-    words = materialise(texts.join(counts, ["leaf", "line"])
+    known = witnesses.join(broadcast_if_bounded(leaves, BROADCAST_ROWS), "leaf")
+    known = known.groupBy("leaf", "line", "doc_id").agg(F.min("pos").alias("pos"))
+    counts = materialise(known.groupBy("leaf", "line").agg(
+        F.count("*").alias("docs"), F.min(F.struct("doc_id", "pos")).alias("at"))
+        .select("leaf", "line", "docs", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos")))
+
+    # the text of each distinct line of those leaves, read at its first place
+    holders = src.join(broadcast_if_bounded(counts.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
+    texts = _lines(holders).select("doc_id", "pos", "masked")
+    words = materialise(texts.join(counts, ["doc_id", "pos"])
                         .select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token")))
     fixed = (words.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token")
              .agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n"))
