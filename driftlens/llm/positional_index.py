@@ -9,7 +9,8 @@ Test items are cut into windows. In a segment a window starts from its rarest te
 the positions of that term, moved back by the term's offset, are the candidate
 starts, and the lists of the other terms, rarest first, are intersected with them at
 their own offsets. With ``slop`` 0 a surviving start is an exact phrase match; with
-more, every term may lie up to ``slop`` places off (a proximity match).
+more, every term may lie up to ``slop`` places off, counted from the rarest one (a
+proximity match).
 
 Test sets over ``BLOCK_WORDS`` words are searched in blocks, so what a task holds
 does not grow with them."""
