@@ -27,6 +27,7 @@ from .scratch import materialise
 
 MAX_EXAMPLES, TERMS, MIN_DOCS = 8192, 256, 4
 MIN_CHI2 = 30.0  # with Yates' correction, so that a few chance meetings select no term
+MIN_SHARE, MIN_LIFT = 0.01, 3.0  # witnesses of a term among the examples of label 1; its label rate by the base rate
 NEIGHBOURS, BLOCK = 15, 64
 THRESHOLD = 0.3
 _SPACE = 0.1     # added to a distance, so that an equal text has a finite weight
@@ -219,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     count = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where(F.col("n") >= MIN_DOCS)
     gap = F.greatest(F.abs(F.col("n1") * n - F.col("n") * pos) - F.lit(n) / 2, F.lit(0.0))
     chi2 = gap * gap * n / (F.col("n").cast("double") * F.greatest(n - F.col("n"), F.lit(1)) * max(pos, 1) * max(n - pos, 1))
-    top = (count.select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
+    common = (F.col("n1") >= MIN_SHARE * pos) & (F.col("n1") * n >= MIN_LIFT * F.col("n") * pos)
+    top = (count.where(common).select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
            .orderBy(F.desc("chi2"), "term").limit(n_terms).collect())
     terms = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     freq = {r[0]: r[1] for r in text.mapInArrow(_frequencies(terms), "term long, n long")
