@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(e)
     for _ in range(max_rounds if before[0] else 0):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first: then both sides of the join are dealt anew, and Spark may split a hub
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = (both.join(low, "a").where("b > a and b <> m")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         large = materialise(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
         after = _state(e)
