@@ -15,13 +15,11 @@ path, which is the library's own output. Pair verdicts are merged in batches and
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checks import require_columns
@@ -29,8 +27,8 @@ from . import words as W
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-KEPT_UNITS = 400_000   # encoded units kept by a task; beyond, it starts anew
-PAIR_SLOTS = 1 << 20   # table of pair verdicts; emptied when half full
+KEPT_UNITS = 200_000   # encoded units kept by a task; beyond, it starts anew
+PAIR_SLOTS = 1 << 19   # table of pair verdicts; emptied when half full
 CHUNK_BYTES = 1 << 20
 _BATCH = 1 << 18       # lattice cells at once
 
@@ -378,8 +376,3 @@ def decode(encoded: DataFrame, ids_col: str = "piece_ids", model: str = DEFAULT_
                                                  names=[*names, text_col])
 
     return encoded.mapInArrow(run, out)
-
-
-def digest(ids) -> str:
-    """SHA-256 (lowercase hex) of the ids as little-endian 32-bit integers."""
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
