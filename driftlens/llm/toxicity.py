@@ -27,7 +27,7 @@ from .scratch import materialise
 
 MAX_EXAMPLES, TERMS, MIN_DOCS = 8192, 256, 4
 MIN_CHI2 = 30.0  # with Yates' correction, so that a few chance meetings select no term
-MIN_SHARE, MIN_LIFT = 0.01, 3.0  # witnesses of a term among the examples of label 1; its label rate by the base rate
+MIN_SHARE, MIN_ODDS = 0.01, 4.0  # witnesses of a term among those of label 1; label odds of its holders by those of the others
 NEIGHBOURS, BLOCK = 15, 64
 THRESHOLD = 0.3
 _SPACE = 0.1     # added to a distance, so that an equal text has a finite weight
@@ -214,13 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # bounded by max_examples, so it may be broadcast
     examples = materialise(text.join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
         _example_terms, "doc_id long, toxic int, terms binary, tf binary"))
-    sums = examples.agg(F.count("*"), F.sum("toxic")).first()
+    seen = materialise(examples.select("toxic", "terms").mapInArrow(_term_witnesses, "term long, toxic int, kin long").distinct())
+    sums = seen.select("kin", "toxic").distinct().agg(F.count("*"), F.sum("toxic")).first()
     n, pos = sums[0], sums[1] or 0
-    seen = examples.select("toxic", "terms").mapInArrow(_term_witnesses, "term long, toxic int, kin long").distinct()
     count = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where(F.col("n") >= MIN_DOCS)
     gap = F.greatest(F.abs(F.col("n1") * n - F.col("n") * pos) - F.lit(n) / 2, F.lit(0.0))
     chi2 = gap * gap * n / (F.col("n").cast("double") * F.greatest(n - F.col("n"), F.lit(1)) * max(pos, 1) * max(n - pos, 1))
-    common = (F.col("n1") >= MIN_SHARE * pos) & (F.col("n1") * n >= MIN_LIFT * F.col("n") * pos)
+    # an odds ratio can be reached at any base rate, a lift only below its inverse
+    others1, others = pos - F.col("n1"), n - F.col("n")
+    odds = ((F.col("n1") + 0.5) * (others - others1 + 0.5)) / ((F.col("n") - F.col("n1") + 0.5) * (others1 + 0.5))
+    common = (F.col("n1") >= MIN_SHARE * pos) & (odds >= MIN_ODDS)
     top = (count.where(common).select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
            .orderBy(F.desc("chi2"), "term").limit(n_terms).collect())
     terms = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))

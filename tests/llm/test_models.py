@@ -149,6 +149,21 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.score(empty, toxicity.fit(empty, none)).collect() == []
 
 
+def test_toxic_copies_do_not_hide_the_terms(spark):
+    """Copies of one toxic text are 40 percent of the labels."""
+    docs, labels = toxic_corpus()
+    docs = [(i, t + "".join(" u%dx%d" % (i, j) for j in range(60))) for i, t in docs]
+    copies = [(2000 + i, "vile rotten " + " ".join("w%d" % j for j in range(20))) for i in range(200)]
+    df = spark.createDataFrame(docs + copies, "doc_id long, text string")
+    lab = [(i, y) for i, y in labels if i % 4] + [(i, 1) for i, _ in copies]
+    assert sum(y for _, y in lab) / len(lab) > 0.5 and len(copies) / len(lab) == 0.4
+    model = toxicity.fit(df, spark.createDataFrame(lab, "doc_id long, toxic int"))
+    words = W.split_words(*W.utf8(pa.array(["vile rotten nasty horrid"])), "alnum")[3]
+    assert set(words) <= set(model.terms)
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert sum(got[i] == y for (i, _), (_, y) in zip(docs, labels) if i % 4 == 0) >= 98
+
+
 # ---- language
 
 def test_prices_equal_a_plain_tree():
