@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The fit reads a bounded sample of labelled texts (``max_examples``, by a hash of the
-id): it selects the terms that tell the labels apart best (chi-squared over document
-counts), takes their document frequencies over all documents, and keeps the
+id): it joins near copies to one witness (equal signatures, or min-hash bands and a
+check of the whole signature), selects the terms that tell the labels apart best
+(chi-squared over witness counts), takes their document frequencies over all documents, and keeps the
 examples' weights. Scoring is one pass over the texts without any shuffle: every
 task holds the examples as an inverted index in blocks with the largest weight of
 each term per block. A block is opened for a text only if its upper bound reaches
@@ -12,6 +13,7 @@ leave-one-out on the examples."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +26,12 @@ from pyspark.sql import types as T
 from ..checks import require_columns
 from . import words as W
 from .scratch import materialise
+from .superminhash import BANDS, M, signatures
 
 MAX_EXAMPLES, TERMS, MIN_DOCS = 8192, 256, 4
 MIN_CHI2 = 30.0  # with Yates' correction, so that a few chance meetings select no term
 MIN_SHARE, MIN_ODDS = 0.01, 4.0  # witnesses of a term among those of label 1; label odds of its holders by those of the others
+SHINGLE, SAME = 3, 0.7  # words; share of equal signature slots from which two texts are one witness
 NEIGHBOURS, BLOCK = 15, 64
 THRESHOLD = 0.3
 _SPACE = 0.1     # added to a distance, so that an equal text has a finite weight
@@ -125,14 +129,33 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.concatenate([np.full(int(c), m) for m, _, c in pools]) if pools else xs
 
 
-def build(ids, labels, counts, terms, df, n_docs) -> Model:
-    """Index and calibration from the examples' term counts."""
+def witnesses(sig: np.ndarray) -> np.ndarray:
+    """Number of the witness that each signature (n x M) belongs to. A signature joins
+    the earlier leader that it resembles most, from ``SAME`` on, among those that share
+    a band with it; else it leads, so no chain of copies joins unlike texts."""
+    keys = np.ascontiguousarray(sig).view(np.uint64).reshape(-1, BANDS)
+    leaders: dict[tuple[int, int], list[int]] = {}
+    out = np.arange(len(sig))
+    for i, bands in enumerate(keys.tolist()):
+        near = np.array(sorted({j for band in enumerate(bands) for j in leaders.get(band, ())}), np.int64)
+        same = (sig[near] == sig[i]).mean(axis=1)
+        if len(near) and same.max() >= SAME:
+            out[i] = near[same.argmax()]
+        else:
+            for band in enumerate(bands):
+                leaders.setdefault(band, []).append(i)
+    return out
+
+
+def build(ids, labels, counts, terms, df, n_docs, share=None) -> Model:
+    """Index and calibration from the examples' term counts; ``share`` is the part of a
+    witness that each example is (1 by default)."""
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
     w = _unit(counts, idf)
-    base = float(labels.mean()) if len(labels) else 0.0
+    share = np.ones(len(labels)) if share is None else share
+    base = float((labels * share).sum() / share.sum()) if len(labels) else 0.0
     some = w.any(axis=1)
-    none = labels[~some]
-    empty = float((none.sum() + _PSEUDO * base) / (len(none) + _PSEUDO))
+    empty = float(((labels * share)[~some].sum() + _PSEUDO * base) / (share[~some].sum() + _PSEUDO))
     ids, labels, w = ids[some], labels[some], w[some]
     order, top = index(w)
     ids, labels, w = ids[order], labels[order], w[order]
@@ -161,27 +184,30 @@ def judge(model: Model, counts: np.ndarray):
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in W.chunks(batches, "text"):
         row, _, _, h = W.split_words(*W.utf8(b.column("text")), "alnum")
+        texts = W.distinct(*W.shingles(row, h, SHINGLE))
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(h) else order
         tf = np.diff(np.append(head, len(h))).astype(np.int32)
         at = W.ptr(row[head], b.num_rows)
+        sig = (W.mix(signatures(*texts, b.num_rows)) >> np.uint64(48)).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("toxic"), W.blobs(h[head], at), W.blobs(tf, at)],
-            names=["doc_id", "toxic", "terms", "tf"])
-
-
-def _term_witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, kin): kin is the min-hash of the document's terms, which near
-    copies mostly share, so a group of copies is not many witnesses."""
-    for b in batches:
-        h, at = W.unblob(b.column("terms"), np.uint64)
-        row = np.repeat(np.arange(b.num_rows), np.diff(at))
-        kin = np.full(b.num_rows, 2**64 - 1, np.uint64)
-        np.minimum.at(kin, row, W.mix(h))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(b.column("toxic").to_numpy()[row]),
-             pa.array(kin.view(np.int64)[row])], names=["term", "toxic", "kin"])
+            [b.column("doc_id"), b.column("toxic"), W.blobs(h[head], at), W.blobs(tf, at),
+             W.blobs(sig.reshape(-1), np.arange(b.num_rows + 1) * M)], names=["doc_id", "toxic", "terms", "tf", "sig"])
+
+
+def _term_witnesses(kin: dict[bytes, int]):
+    """(term, toxic, kin): ``kin`` has the witness of each signature, so a group of
+    copies is not many witnesses."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, at = W.unblob(b.column("terms"), np.uint64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            own = np.array([kin[s] for s in b.column("sig").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(b.column("toxic").to_numpy()[row]), pa.array(own[row])],
+                names=["term", "toxic", "kin"])
+    return run
 
 
 def _frequencies(terms: np.ndarray):
@@ -213,10 +239,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(1 << 20)) < int(share * (1 << 20)))
     # bounded by max_examples, so it may be broadcast
     examples = materialise(text.join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
-        _example_terms, "doc_id long, toxic int, terms binary, tf binary"))
-    seen = materialise(examples.select("toxic", "terms").mapInArrow(_term_witnesses, "term long, toxic int, kin long").distinct())
-    sums = seen.select("kin", "toxic").distinct().agg(F.count("*"), F.sum("toxic")).first()
-    n, pos = sums[0], sums[1] or 0
+        _example_terms, "doc_id long, toxic int, terms binary, tf binary, sig binary"))
+    found = sorted((bytes(r[0]), r[1]) for r in examples.select("sig", "toxic").distinct().collect())
+    sigs = sorted({s for s, _ in found})
+    kin = dict(zip(sigs, witnesses(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, M)).tolist()))
+    held = {(kin[s], y) for s, y in found}
+    n, pos = len(held), sum(y for _, y in held)
+    seen = examples.select("toxic", "terms", "sig").mapInArrow(
+        _term_witnesses(kin), "term long, toxic int, kin long").distinct()
     count = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where(F.col("n") >= MIN_DOCS)
     gap = F.greatest(F.abs(F.col("n1") * n - F.col("n") * pos) - F.lit(n) / 2, F.lit(0.0))
     chi2 = gap * gap * n / (F.col("n").cast("double") * F.greatest(n - F.col("n"), F.lit(1)) * max(pos, 1) * max(n - pos, 1))
@@ -230,10 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     freq = {r[0]: r[1] for r in text.mapInArrow(_frequencies(terms), "term long, n long")
             .groupBy("term").agg(F.sum("n")).collect()}
     df = np.array([freq.get(i, 0) for i in range(len(terms))], float)
-    rows = examples.mapInArrow(_selected(terms), "doc_id long, toxic int, counts binary").orderBy("doc_id").collect()
+    rows = examples.mapInArrow(_selected(terms), "doc_id long, toxic int, counts binary, sig binary").orderBy("doc_id").collect()
     counts = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float32).reshape(len(rows), len(terms))
+    whose = [(kin[bytes(r[3])], r[1]) for r in rows]
+    size = Counter(whose)
     return build(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), counts,
-                 terms, df, float(freq.get(-1, 0)))
+                 terms, df, float(freq.get(-1, 0)), np.array([1 / size[x] for x in whose]))
 
 
 def _selected(terms: np.ndarray):
@@ -249,8 +281,8 @@ def _selected(terms: np.ndarray):
                 out[row[hit], p[hit]] = tf[hit]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("toxic"),
-                 W.blobs(out.reshape(-1), np.arange(b.num_rows + 1) * len(terms))],
-                names=["doc_id", "toxic", "counts"])
+                 W.blobs(out.reshape(-1), np.arange(b.num_rows + 1) * len(terms)), b.column("sig")],
+                names=["doc_id", "toxic", "counts", "sig"])
     return run
 
 

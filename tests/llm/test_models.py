@@ -164,6 +164,37 @@ def test_toxic_copies_do_not_hide_the_terms(spark):
     assert sum(got[i] == y for (i, _), (_, y) in zip(docs, labels) if i % 4 == 0) >= 98
 
 
+def test_witnesses_are_near_copies_only(spark):
+    """Long texts over the same words are as many witnesses as texts; edited copies are one."""
+    rng = random.Random(13)
+    v = ["w%d" % i for i in range(200)]
+    own = [" ".join(rng.choice(v) for _ in range(600)) for _ in range(60)]
+    copy = own[0].split()
+    edits = [" ".join(copy[:k] + ["x%d" % k] + copy[k + 1:]) for k in range(0, 600, 20)]
+    docs = list(enumerate(own + edits))
+    df = spark.createDataFrame([(i, i % 2, t) for i, t in docs], "doc_id long, toxic int, text string")
+    rows = df.mapInArrow(toxicity._example_terms, "doc_id long, toxic int, terms binary, tf binary, sig binary").orderBy("doc_id").collect()
+    kin = toxicity.witnesses(np.frombuffer(b"".join(bytes(r.sig) for r in rows), np.uint16).reshape(len(rows), -1))
+    assert kin.tolist() == [*range(60), *[0] * 30]
+
+
+def test_long_toxic_texts_keep_their_terms(spark):
+    rng = random.Random(14)
+    v = ["w%d" % i for i in range(200)]
+    docs, labels = [], []
+    for i in range(200):
+        w = [rng.choice(v) for _ in range(800)]
+        if i % 5 == 0:
+            w[rng.randrange(800)] = "vile"
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([x for x in labels if x[0] % 4], "doc_id long, toxic int"))
+    assert model.terms.tolist() == W.split_words(*W.utf8(pa.array(["vile"])), "alnum")[3].tolist()
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert got == dict(labels)
+
+
 # ---- language
 
 def test_prices_equal_a_plain_tree():
