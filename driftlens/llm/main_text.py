@@ -4,9 +4,11 @@ The events of the standard library's HTML parser are read once, in order. Every
 element starts a line; a line has its text, the tags it took to write it, the share of
 its text inside links, and its place in the element tree. The text-to-tag ratios of the
 lines, in page order, are smoothed with a Gaussian and split into two clusters by a
-threshold; runs of high lines are content regions. A region extends over the block
-container that its lines share, so a short paragraph between long ones stays, and a
-page that names its article is read inside it. Menus, headers, footers, sidebars,
+threshold; runs of high lines are content regions, and runs with only unlinked text
+between them are one. A region extends over the lowest block container that its lines
+share, so a short paragraph between long ones stays, also when each paragraph has a
+container of its own; all regions are kept. A page that names its articles is read inside
+them. Menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments are known by element, role or name and are
 never content."""
 
@@ -198,37 +200,54 @@ def content(html: str) -> str:
     lines, parent = lines_of(html)
     if not lines:
         return ""
-    named = [i for i, line in enumerate(lines) if line[4]]
+    # an article is kept whole, and all of several: a short one is no less an article
+    named = [line[0] for line in lines if line[4]]
     if named:
-        mass: dict[int, int] = {}
-        for i in named:
-            mass[lines[i][4]] = mass.get(lines[i][4], 0) + len(lines[i][0])
-        # several articles: all of those that hold a content region of the page
-        ratio = smooth(_ratios(lines))
-        cut = threshold(ratio)
-        largest = max(mass, key=lambda a: (mass[a], -a))
-        hot = {lines[i][4] for i in named if ratio[i] >= cut} | {largest}
-        return "\n".join(lines[i][0] for i in named if lines[i][4] in hot)
-    ratio = smooth(_ratios(lines))
-    up = ratio >= threshold(ratio)
-    # the container with most content text, and whatever lies inside it
-    mass = {}
-    for line, hot in zip(lines, up):
-        if hot:
-            mass[line[3]] = mass.get(line[3], 0) + len(line[0])
-    best = max(mass, key=lambda c: (mass[c], -c))
-    inside = {best}
+        return "\n".join(named)
+    raw = _ratios(lines)
+    ratio = smooth(raw)
+    cut = threshold(ratio)
+    up = ratio >= cut
+    text = [2 * linked < len(words) for words, _, linked, _, _ in lines]
+    kept = {_common([lines[i][3] for i in run if raw[i] >= cut] or [lines[i][3] for i in run], parent)
+            for run in _regions(up, text)}
     out = []
-    for (text, _, linked, container, _), hot in zip(lines, up):
-        c = container
-        while c >= 0 and c not in inside:
+    for line, hot, own in zip(lines, up, text):
+        c = line[3]
+        while c >= 0 and c not in kept:
             c = parent[c]
-        if c >= 0 and (hot or 2 * linked < len(text)):
-            inside.add(container)
-            out.append(text)
+        if c >= 0 and (hot or own):
+            out.append(line[0])
     return "\n".join(out)
 
 
+def _regions(up: np.ndarray, text: list[bool]) -> list[list[int]]:
+    """Runs of high lines; two with nothing but unlinked text between them are one."""
+    runs: list[list[int]] = []
+    for i in np.flatnonzero(up).tolist():
+        if runs and all(text[runs[-1][-1] + 1:i]):
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    return runs
+
+
+def _common(containers: list[int], parent: dict[int, int]) -> int:
+    """Lowest container that holds all of ``containers``."""
+    path = []
+    c = containers[0]
+    while c >= 0:
+        path.append(c)
+        c = parent[c]
+    at = {c: i for i, c in enumerate(path)}
+    low = 0
+    for c in set(containers):
+        while c not in at:
+            c = parent[c]
+        low = max(low, at[c])
+    return path[low]
+
+
 def _ratios(lines) -> np.ndarray:
     return np.array([(len(text) - linked) / max(tags, 1) for text, tags, linked, _, _ in lines], float)
 

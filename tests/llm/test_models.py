@@ -304,6 +304,26 @@ def test_main_text(spark, html, text):
     assert main_text.content(html or "") == text
 
 
+PARTS = [PROSE * 5, PROSE, PROSE * 4, "Short.", PROSE * 3, "The end."]
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("parts", [PARTS, [PROSE * 3] * 4])
+def test_article_split_over_siblings(tag, parts):
+    blocks = "".join(f"<{tag}><p>{x}</p></{tag}>" for x in parts)
+    links = "<div>" + "".join(f"<a href=x>link {i}</a><br>" for i in range(30)) + "</div>"
+    got = main_text.content(f"<body>{links}<div><h1>Head</h1>{blocks}</div>{links}")
+    assert got == "\n".join(["Head", *(x.strip() for x in parts)])
+
+
+def test_all_regions_and_articles_are_kept():
+    links = "<div>" + "".join(f"<p><a href=x>link {i}</a></p>" for i in range(8)) + "</div>"
+    one, two = PROSE * 6, PROSE * 4
+    assert main_text.content(f"<div><p>{one}</p></div>{links}<div><p>{two}</p></div>") == one.strip() + "\n" + two.strip()
+    got = main_text.content(f"<article><p>{PROSE * 9}</p></article><article><p>Brief.</p><p>So.</p></article>")
+    assert got == (PROSE * 9).strip() + "\nBrief.\nSo."
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "<p>" + "w " * 100_000, 3), (2, "<p>a", None)], "page_id long, html string, n_chars int")
     got = sorted((r.page_id, r.n_chars) for r in main_text.extract(df).collect())
