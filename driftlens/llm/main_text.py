@@ -10,11 +10,13 @@ share, so a short paragraph between long ones stays, also when each paragraph ha
 container of its own; all regions are kept. A page that names its articles is read inside
 them. Menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments are known by element, role or name and are
-never content."""
+never content. A name or a form says little about an element that wraps the page's main
+article or most of its text: that is layout, of which only the form's labels go."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,7 +31,8 @@ from ..checks import require_columns
 SIGMA = 1.0          # lines
 SILENT = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "math", "canvas",
           "audio", "video", "select", "datalist", "button", "textarea"}
-ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+HEAD = {"head", "title", "base", "basefont", "bgsound", "link", "meta", "script", "style", "noscript", "template"}
+ASIDE = {"nav", "footer", "aside", "menu", "dialog", "fieldset"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div",
           "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
           "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search",
@@ -47,24 +50,29 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adsbygoogle"
          "notices", "alert", "popup", "modal", "overlay", "promo", "promoted", "promotion", "related", "recommended",
          "reply", "replies", "respond", "share", "sharing", "social", "sidebar", "sidenav", "sponsor", "sponsored",
          "toolbar", "widget", "widgets", "pagination", "pager", "login", "search", "skip"}
+#: Those that name what readers wrote, which may well be most of a page's text.
+DISCUSSION = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 ARTICLE = {"article", "main"}
+NOT, NAMED, READERS, ASIDES = 0, 1, 2, 3   # article text, asides by name or form, discussions, certain asides
 _WORDS = re.compile(r"[a-z0-9]+")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _not_article(tag: str, attrs: list, inside_article: bool) -> bool:
-    if tag in ASIDE or tag == "header" and not inside_article:
-        return True
+def _aside(tag: str, attrs: list, inside_article: bool, inside_form: bool) -> int:
+    """How surely an element is not the article (its kind, see above)."""
+    if tag in ASIDE or tag == "header" and not inside_article or tag == "label" and inside_form:
+        return ASIDES
+    kind = NAMED if tag == "form" else NOT
     for key, value in attrs:
         if key == "role" and value and value.strip().lower() in ROLES:
-            return True
+            return ASIDES
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return ASIDES
         if key in ("class", "id") and value and tag not in ("body", "html", "article", "main"):
             words = {w.lower() for w in _SPLIT.split(value)} | set(_WORDS.findall(value.lower()))
             if words & NAMES:
-                return True
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+                kind = max(kind, READERS if words & DISCUSSION else NAMED)
+    return kind
 
 
 class _Lines(HTMLParser):
@@ -72,8 +80,14 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, aside, container
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, silent, aside (-1 certain, else number or 0), container
         self.lines: list[tuple[str, int, int, int, int]] = []
+        self.within: list[int] = []            # number of the innermost named aside of each line
+        self.named: list[int] = [0]            # open named asides
+        self.outer: dict[int, int] = {0: 0}    # named aside around each
+        self.readers: set[int] = set()
+        self.place: dict[int, int] = {}        # named aside around each article
+        self.forms = 0
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
         self.silent = self.asides = 0
@@ -86,12 +100,20 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             self.lines.append((text, self.tags, self.linked, self._container(), self.article))
+            self.within.append(self.named[-1])
         self.text, self.tags, self.linked = [], 0, 0
 
     def _container(self) -> int:
         return self.stack[-1][3] if self.stack else 0
 
+    def _end_head(self):
+        """The end tag of head is optional."""
+        if any(t[0] == "head" for t in self.stack):
+            self.handle_endtag("head")
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.stack and self.stack[-1][0] == "head" and tag not in HEAD:
+            self._end_head()
         if tag in VOID:
             if tag == "br":
                 self.text.append(" ")
@@ -104,9 +126,16 @@ class _Lines(HTMLParser):
         elif tag in ("li", "dd", "dt", "td", "th", "tr", "option") and self.stack and self.stack[-1][0] == tag:
             self.handle_endtag(tag)
         silent = tag in SILENT
-        aside = _not_article(tag, attrs, self.article > 0)
-        if tag in BLOCKS or aside:
+        kind = _aside(tag, attrs, self.article > 0, self.forms > 0)
+        if tag in BLOCKS or kind:
             self._end_line()
+        aside = -1 if kind == ASIDES else 0
+        if kind in (NAMED, READERS):
+            aside = len(self.outer)
+            self.outer[aside] = self.named[-1]
+            self.named.append(aside)
+            if kind == READERS:
+                self.readers.add(aside)
         self.tags += 1
         container = self._container()
         if tag in BLOCKS and tag not in TEXTUAL:
@@ -116,9 +145,11 @@ class _Lines(HTMLParser):
         if tag in ARTICLE and not self.article and not self.asides and not aside:
             self.articles += 1
             self.article = self.articles
+            self.place[self.article] = self.named[-1]
         self.stack.append((tag, silent, aside, container))
         self.silent += silent
-        self.asides += aside
+        self.asides += aside < 0
+        self.forms += tag == "form"
         self.links += tag == "a"
 
     def handle_endtag(self, tag):
@@ -149,12 +180,17 @@ class _Lines(HTMLParser):
     def _drop(self, i: int):
         tag, silent, aside, _ = self.stack.pop(i)
         self.silent -= silent
-        self.asides -= aside
+        self.asides -= aside < 0
+        if aside > 0:
+            self.named.remove(aside)
+        self.forms -= tag == "form"
         self.links -= tag == "a"
         if tag in ARTICLE and self.article and not any(t[0] in ARTICLE for t in self.stack):
             self.article = 0
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.silent and not self.asides:
             self.text.append(data)
             if self.links:
@@ -164,13 +200,41 @@ class _Lines(HTMLParser):
         super().close()
         self._end_line()
 
+    def content_lines(self) -> list[tuple[str, int, int, int, int]]:
+        """The lines outside asides. A named aside is layout if it holds the largest article
+        (one among the readers' only if there is no other), or if it is no discussion and
+        holds more than half of the unlinked text."""
+        mass, articles = Counter(), Counter()
+        for (text, _, linked, _, article), aside in zip(self.lines, self.within):
+            own = max(len(text) - linked, 0)
+            mass[aside] += own
+            if article and aside == self.place[article]:
+                articles[article] += own
+        for a in range(len(self.outer) - 1, 0, -1):  # an aside is numbered after the one around it
+            mass[self.outer[a]] += mass[a]
+        layout = {a for a in self.outer if a not in self.readers and 2 * mass[a] > mass[0]} | {0}
+        readers: set[int] = set()
+        for a in range(1, len(self.outer)):
+            if a in self.readers or self.outer[a] in readers:
+                readers.add(a)
+        if self.place:
+            a = self.place[max(self.place, key=lambda n: (self.place[n] not in readers, articles[n], -n))]
+            while a:
+                layout.add(a)
+                a = self.outer[a]
+        kept = {0}
+        for a in range(1, len(self.outer)):
+            if a in layout and self.outer[a] in kept:
+                kept.add(a)
+        return [x for x, aside in zip(self.lines, self.within) if aside in kept]
+
 
 def lines_of(html: str):
     """(lines, parent of each container) of a page; asides and silent parts are left out."""
     p = _Lines()
     p.feed(html)
     p.close()
-    return p.lines, p.parent
+    return p.content_lines(), p.parent
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -324,6 +324,23 @@ def test_all_regions_and_articles_are_kept():
     assert got == (PROSE * 9).strip() + "\nBrief.\nSo."
 
 
+@pytest.mark.parametrize("html,text", [
+    (f"<head><title>T</title><body><article><p>{PROSE}</article>", PROSE.strip()),
+    (f"<html><head><meta charset=x><title>T</title><article><p>{PROSE}</article>", PROSE.strip()),
+    (f"<head><title>T</title>{PROSE}", PROSE.strip()),
+    (f"<div class='content has-sidebar'><article><p>{PROSE}</article><div class=sidebar><p>{PROSE * 3}</div></div>", PROSE.strip()),
+    (f"<div id=page-with-header><div class=header>Site</div><div><p>{PROSE * 3}</div></div>", (PROSE * 3).strip()),
+    (f"<main><div class='content has-sidebar'><p>{PROSE * 2}</div></main>", (PROSE * 2).strip()),
+    (f"<body><form action=x><input type=hidden><nav>menu</nav><article><p>{PROSE}</article><label>Mail</label>"
+     f"<select><option>no</select></form>", PROSE.strip()),
+    (f"<article><p>{PROSE}</article><div id=comments><article class=comment><p>{PROSE * 9}</article></div>", PROSE.strip()),
+    (f"<div><p>{PROSE}</p></div><div class=comments><p>{PROSE * 9}</div><form class=search><p>find</p></form>", PROSE.strip()),
+    (f"<article><p>{PROSE}</article><div class=related><article><p>teaser</article></div>", PROSE.strip()),
+])
+def test_layout_wrappers_forms_and_open_heads(html, text):
+    assert main_text.content(html) == text
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "<p>" + "w " * 100_000, 3), (2, "<p>a", None)], "page_id long, html string, n_chars int")
     got = sorted((r.page_id, r.n_chars) for r in main_text.extract(df).collect())
