@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language, lattice, licenses, line_templates, main_text, pieces, positional_index, superminhash, toxicity, url_rules
+from . import (language, lattice, licenses, line_templates, main_text, pieces, positional_index, runs, superminhash, toxicity,
+               url_rules)
 
 
 def held_out() -> F.Column:
@@ -84,6 +85,36 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]), bad, URL_RULES)
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in which every tenth document, by the crc32 of its decimal id,
+    goes on from word ``a`` in copies of its next ``p`` words, as the query's contract says."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("w").cast("long")
+    chosen = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    g = F.floor(F.col("h") / 10)
+    rest = F.col("n") - F.col("a")
+    unit = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    tail = F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("p")).cast("int")))
+    new = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(tail, F.lit(1), rest.cast("int")))
+    return (docs.select("doc_id", "text", h.alias("h")).withColumn("w", chosen)
+            .withColumn("n", F.when(F.col("w").isNotNull(), n))
+            .withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+            .withColumn("p", 1 + F.floor(rest / (3 + g % 8)))
+            .select("doc_id", F.when(F.col("n") > 0, F.array_join(new, " ")).otherwise(F.col("text")).alias("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"),
+                                                             (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return (runs.collapse(docs, keep=["doc_id"]).withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+                    F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+                    F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -95,4 +126,5 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
 }

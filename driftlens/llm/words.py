@@ -62,12 +62,21 @@ def chunks(batches, column: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.Re
             yield batch.slice(a, b - a)
 
 
+def free_name(taken, name: str) -> str:
+    """``name``, lengthened until no column of ``taken`` has it in any case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_text(docs: DataFrame, names: list[str], text_col: str) -> tuple[DataFrame, str]:
     """Columns ``names`` of ``docs`` and the text as a string, and the name that it has: a
     kept string column is not sent to Python twice."""
     if text_col in names and docs.schema[text_col].dataType.simpleString() == "string":
         return docs.select(*names), text_col
-    return docs.select(*names, F.col(text_col).cast("string").alias("__text")), "__text"
+    own = free_name(names, "__text")
+    return docs.select(*names, F.col(text_col).cast("string").alias(own)), own
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
