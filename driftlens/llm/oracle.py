@@ -64,8 +64,45 @@ SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
+
+
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One assignment and one update a round, each a common table expression."""
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+            f"""pt AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(p))""",
+            f"""seed AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries})""",
+            "book0 AS MATERIALIZED (SELECT p, e, x AS c FROM seed JOIN pt USING (r))"]
+    for k in range(rounds + 1):
+        ctes.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min(struct_pack(
+    d := CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]) AS BIGINT), e := e)) AS best
+  FROM pt JOIN book{k} USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            ctes.append(f"""mean{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, best.e AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+        FROM near{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM pt) + 1)) AS i) GROUP BY 1, 2, 3)
+  GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e))""")
+    ctes.append(f"""coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY r)""")
+    ctes.append(f"""text AS (
+  SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY p, e), '')) AS h FROM book{rounds})""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), text"""
+
+
 ORACLE = {
     "op1_embedding_near_dedup": OP1,
     "op2_benchmark_decontamination": OP2,
     "op8_minhash_near_dedup": OP8,
+    "op12_vector_codes": _op12(),
 }

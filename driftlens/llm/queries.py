@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (language, lattice, licenses, line_templates, main_text, pieces, positional_index, runs, superminhash, toxicity,
-               url_rules)
+from .scratch import scratch_path
+from . import (language, lattice, licenses, line_templates, main_text, pieces, positional_index, runs, superminhash,
+               token_files, toxicity, url_rules, vector_codes)
 
 
 def held_out() -> F.Column:
@@ -115,6 +116,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    return vector_codes.with_label_error(codes).select(
+        "vec_id", "code", "error", "label_error",
+        F.sha2(F.lit(vector_codes.codebook_text(books)).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = token_files.encode(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    files = token_files.write(ids, scratch_path(spark, "tokens"), token_files.digits_for())
+    return token_files.documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -127,4 +141,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }

@@ -93,12 +93,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def split_words(data: np.ndarray, off: np.ndarray, kind: str, lower: bool = True):
-    """(row, start, length, hash) of every word, in text order."""
+def split_words(data: np.ndarray, off: np.ndarray, kind: str, lower: bool = True, cut: np.ndarray | None = None):
+    """(row, start, length, hash) of every word, in text order; ``cut`` marks bytes of
+    words at which another word begins."""
     low = _LOWER[data] if lower else data
     solid = KINDS[kind][low]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
+    if cut is not None:
+        first |= cut & solid
     heads = off[:-1][off[:-1] < off[1:]]
     first[heads] = solid[heads]
     start = np.flatnonzero(first)
