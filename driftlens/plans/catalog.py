@@ -379,6 +379,7 @@ def q_dataset_union(spark, sf_dir):
 from ..operators import label_index as LI  # noqa: E402
 from ..operators import mllib as ML  # noqa: E402
 from ..operators import naive_bayes as NB  # noqa: E402
+from ..operators import nb_long as NL  # noqa: E402
 from ..operators import split as SP  # noqa: E402
 from ..operators import tokens as TK  # noqa: E402
 
@@ -448,6 +449,28 @@ def q_nb_predict(spark, sf_dir):
               .select("row_id", "dataset", "gold", "pred_label", "pred_confidence"))
 
 
+@register("nb_long_model")
+def q_nb_long_model(spark, sf_dir):
+    """The sparse model of the training split: the gains of the pairs seen."""
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    return r6(NL.fit_nb_long(train, "gold", "text").long_table())
+
+
+@register("nb_long_texts")
+def q_nb_long_texts(spark, sf_dir):
+    """The sparse model over the texts: the predictions of ``nb_predict``."""
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    return r6(NL.score_nb_long(NL.fit_nb_long(train, "gold", "text"), views.texts(spark, sf_dir),
+                               keep=("dataset", "gold")))
+
+
+@register("nb_long_predict")
+def q_nb_long_predict(spark, sf_dir):
+    """Every event attributed to one of thousands of (user, slot) classes."""
+    rows = views.slots(spark, sf_dir)
+    return r6(NL.score_nb_long(NL.fit_nb_long(rows), rows, keep=("gold",), distinct_texts=True))
+
+
 @register("eval_metrics")
 def q_eval_metrics(spark, sf_dir):
     plan = _plan(spark, sf_dir)

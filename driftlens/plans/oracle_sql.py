@@ -446,6 +446,33 @@ FROM pred GROUP BY dataset
 """,
 })
 
+ORACLE["nb_long_texts"] = ORACLE["nb_predict"]
+
+ORACLE["nb_long_model"] = _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE) + """
+SELECT token, gold AS label, round(ln(1.0 + n), 6) AS gain FROM vc
+"""
+
+# Every class is scored for every different text: the dense form of the sparse model.
+ORACLE["nb_long_predict"] = _w("""
+ev AS (SELECT event_id AS row_id, concat_ws(' ', event_type, props) AS text,
+              concat(user_id, '/', hour(ts) // 3) AS gold FROM events)""", "train AS (SELECT * FROM ev)",
+    MODEL_CTE.split("model AS")[0].rstrip().rstrip(","), """
+prior AS (SELECT e.gold AS label, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM ev)) AS lp,
+                 ln(1.0 / (any_value(tt.total) + (SELECT v FROM vs))) AS unseen
+          FROM ev e JOIN tt USING (gold) GROUP BY 1),
+docs AS (SELECT DISTINCT text FROM ev),
+dtok AS (SELECT text, unnest(TOK) AS token FROM docs),
+known AS (SELECT d.text, count(voc.token) AS n FROM docs d LEFT JOIN dtok USING (text) LEFT JOIN voc USING (token) GROUP BY 1),
+gain AS (SELECT d.text, vc.gold AS label, sum(ln(1.0 + vc.n)) AS g FROM dtok d JOIN vc USING (token) GROUP BY 1, 2),
+lg AS (SELECT k.text, p.label, p.lp + k.n * p.unseen + coalesce(g.g, 0.0) AS logit
+       FROM known k CROSS JOIN prior p LEFT JOIN gain g ON g.text = k.text AND g.label = p.label),
+top AS (SELECT text, max(logit) AS m FROM lg GROUP BY text),
+best AS (SELECT lg.text, min(CASE WHEN logit >= m - 1e-9 THEN label END) AS pred_label, 1.0 / sum(exp(logit - m)) AS c
+         FROM lg JOIN top USING (text) GROUP BY lg.text)
+""".replace("TOK", TOK)) + """
+SELECT row_id, gold, pred_label, round(c, 6) AS pred_confidence FROM ev JOIN best USING (text)
+"""
+
 ORACLE["lr_fit"] = _w(TEXTS_CTE) + """
 SELECT dataset, count(*) AS n, TRUE AS confidence_ok, TRUE AS labels_known, TRUE AS accurate FROM texts GROUP BY dataset
 """

@@ -22,6 +22,7 @@ from ..operators import clean as C
 from ..operators import label_index as LI
 from ..operators import metrics as M
 from ..operators import naive_bayes as NB
+from ..operators import nb_long as NL
 from ..operators import shift as S
 from ..operators import split as SP
 from ..sources.files import write_parquet
@@ -82,15 +83,24 @@ def train(spark: SparkSession, out_dir: str) -> None:
     write_parquet(split.select("row_id", "gold", "split"), _p(out_dir, "split"))
     train_rows = split.filter(F.col("split") == "train")
     write_parquet(LI.label_index(ind, "gold"), _p(out_dir, "label_index"))
-    NB.save_nb(NB.fit_nb(train_rows, None, "gold", "text", class_docs=plan.train_docs(NB.MAX_CLASSES)),
-               _p(out_dir, "model"))
+    # one column per class up to the wide model's bound, one row per pair seen beyond
+    wide = plan.quotas.limit(NB.MAX_CLASSES + 1).count() <= NB.MAX_CLASSES
+    if wide:
+        NB.save_nb(NB.fit_nb(train_rows, None, "gold", "text", class_docs=plan.train_docs(NB.MAX_CLASSES)),
+                   _p(out_dir, "model"))
+    else:
+        NL.save_nb_long(NL.fit_nb_long(train_rows, "gold", "text"), _p(out_dir, "model"))
+    write_parquet(spark.createDataFrame([(wide,)], "wide boolean"), _p(out_dir, "model_kind"))
 
 
 def predict(spark: SparkSession, out_dir: str) -> None:
     """Score every text with the saved model; the inputs are kept, the split attached."""
-    model = NB.load_nb(spark, _p(out_dir, "model"))
     texts = spark.read.parquet(_p(out_dir, "texts"))
-    scored = NB.score_nb(model, texts).select("row_id", "pred_label", "pred_confidence")
+    if spark.read.parquet(_p(out_dir, "model_kind")).first().wide:
+        scored = NB.score_nb(NB.load_nb(spark, _p(out_dir, "model")), texts)
+    else:
+        scored = NL.score_nb_long(NL.load_nb_long(spark, _p(out_dir, "model")), texts)
+    scored = scored.select("row_id", "pred_label", "pred_confidence")
     split = spark.read.parquet(_p(out_dir, "split")).select("row_id", "split")
     out = texts.join(scored, "row_id").join(split, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("ood")))
     write_parquet(out, _p(out_dir, "predictions"), partition_by=["dataset"])

@@ -76,3 +76,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     guess = F.when(F.pmod("n_chars", F.lit(3)) == 0, gold).otherwise(F.pmod("n_chars", F.lit(20)).cast("int"))
     return docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("dataset"), gold.alias("gold"),
                        guess.alias("pred_label"))
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as short records over a wide label space: ``text`` is the event's type
+    and properties, ``gold`` its user and three-hour slot of the day."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    return ev.select(F.col("event_id").alias("row_id"), F.concat_ws(" ", "event_type", "props").alias("text"),
+                     F.concat_ws("/", F.col("user_id").cast("string"),
+                                 F.floor(F.hour("ts") / 3).cast("string")).alias("gold"))
