@@ -124,8 +124,8 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = token_files.encode(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
-    files = token_files.write(ids, scratch_path(spark, "tokens"), token_files.digits_for())
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    files = token_files.write(docs, scratch_path(spark, "tokens"))
     return token_files.documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

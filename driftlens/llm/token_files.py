@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 
 from ..checks import require_columns
 from . import words as W
-from .scratch import materialise
 from .wavelet import WaveletMatrix, from_bytes, to_bytes
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 SHARD_TOKENS = 1 << 22
-KEPT_UNITS, KEPT_IDS = 1 << 19, 1 << 22   # encoded units and their ids kept by a task; beyond, it starts anew
+KEPT_UNITS, KEPT_IDS = 1 << 20, 1 << 23   # encoded units and their ids kept by a worker; beyond, it starts anew
 SHARDS = "part int, before long, n_tokens long, n_documents long, payload binary"
 
 _LETTER, _DIGIT, _SAFE = (np.zeros(256, bool) for _ in range(3))
@@ -63,7 +62,7 @@ class HashSlots:
 
     def __init__(self, slots: int):
         self.mask = np.uint64(slots - 1)
-        self.keys, self.number = np.zeros(slots, np.uint64), np.full(slots, -1, np.int64)
+        self.keys, self.number = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Number of each hash, -1 for a new one."""
@@ -96,11 +95,12 @@ class UnitEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark deals the work
         self.library = Tokenizer.from_file(path)
+        self.top = self.library.get_vocab_size() - 1
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._empty()
 
     def _empty(self) -> None:
-        self.slots = HashSlots(4 * KEPT_UNITS)
+        self.slots = HashSlots(2 * KEPT_UNITS)
         self.units = self.pooled = 0
         self.hashes = np.zeros(KEPT_UNITS, np.uint64)
         self.begin, self.size = np.zeros(KEPT_UNITS, np.int64), np.zeros(KEPT_UNITS, np.int64)
@@ -121,7 +121,9 @@ class UnitEncoder:
         ids: list = [None] * len(units)
         for i, u in enumerate(units):
             u = u.lower()
-            if _LATIN.fullmatch(u):
+            if u.isalpha():                   # ASCII letters alone
+                ids[i] = [t.id for t in model.tokenize(u.decode())]
+            elif _LATIN.fullmatch(u):
                 ids[i] = [t.id for t in model.tokenize(u.decode("latin-1").translate(_AS_TEXT))]
             else:
                 other.append(i)
@@ -159,36 +161,16 @@ class UnitEncoder:
         return to[np.searchsorted(row, np.arange(len(off)))], ids
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of ``docs``: ids are little-endian unsigned 32-bit integers,
-    equal to the library's for the whole text without special tokens added, then
-    ``end_id`` (None: no end). ``tokenizer`` is a file that every executor can read, of
-    the kind described above. A null text counts as empty; null ids and repeated rows
-    stay; other columns are ignored."""
-    require_columns(docs, [id_col, text_col], "encode")
-    path = tokenizer or default_tokenizer()
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _pack(tokenizer: str, end_id: int | None, shard_tokens: int, kept):
+    """One row per shard of the sorted documents of a task. ``kept`` is the broadcast of an
+    empty dict: a worker holds its encoder there from one task to the next."""
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = UnitEncoder(path)
-        for b in W.chunks(batches, "text"):
-            at, ids = enc.encode(*W.utf8(b.column("text")))
-            if len(tail):
-                ids = np.insert(ids, at[1:], tail[0])
-                at = at + np.arange(len(at))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), W.blobs(ids.astype("<u4"), at)],
-                                             names=["doc_id", "n_tokens", "ids"])
-
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
-def _pack(shard_tokens: int, digits: int):
-    """One row per shard of the sorted documents of a task."""
-    kind = np.uint16 if digits <= 16 else np.uint32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = kept.value.setdefault("encoder", None) or UnitEncoder(tokenizer)
+        kept.value["encoder"] = enc
+        digits = max(enc.top, end_id or 0, 1).bit_length()
+        kind = np.uint16 if digits <= 16 else np.uint32
         part, before = TaskContext.get().partitionId(), 0
         ids, doc_ids, sizes, held = [], [], [], 0
 
@@ -199,10 +181,11 @@ def _pack(shard_tokens: int, digits: int):
                 [pa.array([part], pa.int32()), pa.array([before]), pa.array([len(x)]), pa.array([len(sizes)]),
                  pa.array([payload], pa.binary())], names=["part", "before", "n_tokens", "n_documents", "payload"])
 
-        for b in batches:
-            values, off = W.unblob(b.column("ids"), "<u4")
-            if len(values) and int(values.max()) >> digits:
-                raise ValueError(f"an id needs more than {digits} bits")
+        for b in W.chunks(batches, "text"):
+            off, values = enc.encode(*W.utf8(b.column("text")))
+            if len(tail):
+                values = np.insert(values, off[1:], tail[0])
+                off = off + np.arange(len(off))
             size, own = np.diff(off), b.column("doc_id").to_pylist()
             at = 0
             while at < len(size):
@@ -223,19 +206,26 @@ def _pack(shard_tokens: int, digits: int):
     return run
 
 
-def write(encoded: DataFrame, path: str, digits: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write the rows of ``encode`` to files under ``path`` and return them, as ``shards``.
-
-    The order is ascending doc_id, null first; rows of one id go by a hash of their
-    ids, and a hot id is still dealt over several tasks. Shards hold whole documents up to
-    ``shard_tokens`` ids, a longer document alone; ``digits`` bits must hold every id."""
-    order = ["doc_id", "__hash", "__row"]
-    rows = materialise(encoded.withColumn("__row", F.monotonically_increasing_id())
-                       .withColumn("__hash", F.xxhash64("ids")))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    (rows.select("doc_id", "ids").mapInArrow(_pack(shard_tokens, digits), SHARDS)
-     .write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path))
-    return shards(encoded.sparkSession, path)
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID,
+          id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encode ``docs``, write them to files under ``path`` and return the files, as ``shards``.
+
+    The ids of a text equal the library's for the whole text without special tokens
+    added; then comes ``end_id`` (None: no end). ``tokenizer`` is a file that every
+    executor can read, of the kind described above. The order is ascending doc_id, null
+    first; rows of one id go by a hash of their text, and a hot id is still dealt over
+    several tasks. Shards hold whole documents up to ``shard_tokens`` ids, a longer
+    document alone. A null text counts as empty; repeated rows stay, each as a document
+    of its own; other columns are ignored. An empty table leaves no shard."""
+    require_columns(docs, [id_col, text_col], "write")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "h", "row"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    pack = _pack(tokenizer or default_tokenizer(), end_id, shard_tokens, spark.sparkContext.broadcast({}))
+    rows.mapInArrow(pack, SHARDS).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
+    return shards(spark, path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
@@ -311,9 +301,3 @@ def tokens_at(files: DataFrame, places: list[int]) -> DataFrame:
 
     return _each(files, ask, "place long, token long", ["place", "token"])
 
-
-def digits_for(tokenizer: str | None = None) -> int:
-    """Bits that hold every id of a tokenizer file."""
-    from tokenizers import Tokenizer
-
-    return max(Tokenizer.from_file(tokenizer or default_tokenizer()).get_vocab_size(), 2).bit_length()

@@ -14,8 +14,6 @@ from driftlens.llm import words as W
 from driftlens.llm.wavelet import WaveletMatrix, from_bytes, to_bytes
 from tests.conftest import SF_SMALL
 
-BITS = 16
-
 
 @pytest.fixture(scope="module")
 def library():
@@ -80,8 +78,7 @@ def test_files_answer_like_plain_arrays(spark, tmp_dir, library, shard):
     words = ["the", "Cat", "sat", "élan", "12", "on", "a,b", "mat."]
     texts = [(i * 7 % 101 - 50, " ".join(rng.choices(words, k=rng.randrange(30)))) for i in range(100)]
     texts += [(200, None), (201, ""), (202, "the " * 500), (None, "null id")]
-    encoded = T.encode(pairs(spark, texts).repartition(5))
-    files = T.write(encoded, f"{tmp_dir}/tokens", BITS, shard).cache()
+    files = T.write(pairs(spark, texts).repartition(5), f"{tmp_dir}/tokens", shard_tokens=shard).cache()
     rows = expected(library, texts)
     flat = [t for _, x in rows for t in x]
     got = sorted(T.documents(files).collect(), key=lambda r: r.start)
@@ -105,7 +102,7 @@ def test_repeated_ids_are_written_once_each(spark, tmp_dir, library):
     texts = [(5, "one two")] * 40 + [(5, "three"), (4, "four"), (6, "six")]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        files = T.write(T.encode(pairs(spark, texts).repartition(4)), f"{tmp_dir}/t", BITS, 10)
+        files = T.write(pairs(spark, texts).repartition(4), f"{tmp_dir}/t", shard_tokens=10)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = T.documents(files).orderBy("start").collect()
@@ -116,18 +113,16 @@ def test_repeated_ids_are_written_once_each(spark, tmp_dir, library):
 
 
 def test_empty_table_and_clashing_columns(spark, tmp_dir):
-    df = pairs(spark, [(1, "a b")]).selectExpr("*", "1 AS ids", "2 AS n_tokens", "3 AS __row", "4 AS __hash", "5 AS part")
-    encoded = T.encode(df)
-    assert encoded.columns == ["doc_id", "n_tokens", "ids"]
-    assert T.documents(T.write(encoded, f"{tmp_dir}/a", BITS)).count() == 1
-    none = T.write(T.encode(df.limit(0)), f"{tmp_dir}/b", BITS)
+    df = pairs(spark, [(1, "a b")]).selectExpr("*", "1 AS ids", "2 AS h", "3 AS row", "4 AS before", "5 AS part")
+    assert T.documents(T.write(df, f"{tmp_dir}/a")).first().n_tokens == 3
+    none = T.write(df.limit(0), f"{tmp_dir}/b")
     assert T.documents(none).count() == 0 and T.counts(none, [1]).count() == 0
+    assert T.documents(T.write(df, f"{tmp_dir}/c", end_id=None)).first().n_tokens == 2
+    # an id beyond the vocabulary only widens the planes
+    wide = T.documents(T.write(df, f"{tmp_dir}/d", end_id=70_000)).first()
+    assert np.frombuffer(wide.ids, "<u4").tolist()[-1] == 70_000
     with pytest.raises(ColumnContractError):
-        T.encode(df.select("text"))
-    with pytest.raises(Exception, match="more than 3 bits"):
-        T.write(encoded, f"{tmp_dir}/c", 3)
-    no_end = T.encode(df, end_id=None).first()
-    assert no_end.n_tokens * 4 == len(no_end.ids)
+        T.write(df.select("text"), f"{tmp_dir}/e")
 
 
 def test_query_meets_its_contract(spark, library):
