@@ -148,6 +148,15 @@ def gold_pred_join(gold: DataFrame, pred: DataFrame, key: str = "row_id") -> Dat
     return agg.filter(ok).select(key, *gcols, *pcols)
 
 
+def gold_pred_positional(gold, pred, position: str = "position") -> DataFrame:
+    """Rows of two numbered files side by side, the first with the first (``gold`` and
+    ``pred``: ``sources.positions.Numbered``). Unequal numbers of rows raise at once,
+    from the counts of the files; the join itself is ``gold_pred_join`` on the position."""
+    if gold.n != pred.n:
+        raise ValueError(f"{gold.n} gold rows, but {pred.n} prediction rows: they cannot be aligned by position")
+    return gold_pred_join(gold.rows, pred.rows, position)
+
+
 def evaluate(pred: DataFrame, gold: str = "gold", label: str = "pred_label") -> DataFrame:
     """Accuracy and macro-F1 of one prediction set, from one per-label table."""
     per = per_label_counts(pred, gold, label)

@@ -7,6 +7,7 @@ full precision."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,26 @@ def q_gold_pred_join(spark, sf_dir):
     return r6(M.gold_pred_join(gold, pred, "row_id"))
 
 
+@register("gold_pred_positional")
+def q_gold_pred_positional(spark, sf_dir):
+    """Gold labels in Parquet files and predictions in CSV files, cut at other rows, side
+    by side by the place of each row."""
+    from ..session import cut_lineage, ensure_checkpoint_dir, remove_path
+    from ..sources import positions as PO
+    out = f"{ensure_checkpoint_dir(spark)}/positional-{uuid.uuid4().hex}"
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "label"])
+    PO.write_in_order(emb.select("vec_id", F.col("label").cast("int").alias("gold")), f"{out}/gold", "vec_id", 3)
+    PO.write_in_order(views.scored(spark, sf_dir).select("row_id", "dataset", "pred_label", "pred_confidence"),
+                      f"{out}/pred", "row_id", 5, "csv")
+    try:
+        gold = PO.number_parquet(spark, f"{out}/gold", ["gold"])
+        pred = PO.number_csv(spark, f"{out}/pred", "row_id long, dataset string, pred_label int, pred_confidence double",
+                             required=["row_id", "pred_label"])
+        return cut_lineage(r6(M.gold_pred_positional(gold, pred)))
+    finally:
+        remove_path(spark, out)
+
+
 # ---- domain-shift reports -------------------------------------------------------------
 
 @register("label_distribution")
@@ -347,8 +368,6 @@ def q_csv_roundtrip(spark, sf_dir):
     contract and NA-token recognition. Real texts carry quotes, commas, blank lines and
     carriage returns, so this checks that the round trip is lossless apart from the NA
     tokens. The rows read back are checkpointed and the CSV folder is removed."""
-    import uuid
-
     from ..session import cut_lineage, ensure_checkpoint_dir, remove_path
     from ..sources import files as FS
     path = f"{ensure_checkpoint_dir(spark)}/csv_roundtrip-{uuid.uuid4().hex}"
@@ -361,6 +380,33 @@ def q_csv_roundtrip(spark, sf_dir):
         remove_path(spark, path)
 
 
+@register("load_report")
+def q_load_report(spark, sf_dir):
+    """What the load of the texts counts while it writes them."""
+    from ..operators.observed import write_observed
+    from ..session import ensure_checkpoint_dir, remove_path
+    path = f"{ensure_checkpoint_dir(spark)}/load-{uuid.uuid4().hex}"
+    try:
+        return write_observed(views.texts(spark, sf_dir), path, DATASETS)
+    finally:
+        remove_path(spark, path)
+
+
+@register("alignment_report")
+def q_alignment_report(spark, sf_dir):
+    """How the labels of some documents fit predictions (the text's parity of length) of all."""
+    from ..operators.observed import write_aligned
+    from ..session import ensure_checkpoint_dir, remove_path
+    path = f"{ensure_checkpoint_dir(spark)}/aligned-{uuid.uuid4().hex}"
+    gold = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).withColumnRenamed("quality", "gold")
+    pred = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"]).select(
+        "doc_id", F.pmod("n_chars", F.lit(2)).cast("int").alias("pred_label"))
+    try:
+        return write_aligned(gold, pred, path, key="doc_id")
+    finally:
+        remove_path(spark, path)
+
+
 @register("dataset_union")
 def q_dataset_union(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]) \

@@ -446,6 +446,27 @@ FROM pred GROUP BY dataset
 """,
 })
 
+ORACLE["gold_pred_positional"] = "SELECT row_number() OVER (ORDER BY row_id) - 1 AS position, * FROM (" + ORACLE["gold_pred_join"] + ")"
+
+ORACLE["load_report"] = _w(TEXTS_CTE) + """
+SELECT dataset, count(*) AS n_rows, count(*) FILTER (text IS NULL) AS n_null_text,
+       count(*) FILTER (trim(text) = '') AS n_blank_text, count(*) FILTER (gold IS NULL) AS n_null_label,
+       CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars
+FROM (SELECT unnest(['indomain', 'ood_a', 'ood_b']) AS dataset) LEFT JOIN texts USING (dataset) GROUP BY dataset
+"""
+
+ORACLE["alignment_report"] = """
+WITH g AS (SELECT doc_id, count(*) AS n, min(quality) AS gold FROM labels GROUP BY 1),
+p AS (SELECT doc_id, count(*) AS n, min(CAST(n_chars % 2 AS INTEGER)) AS pred FROM documents GROUP BY 1),
+j AS (SELECT g.n AS gn, p.n AS pn, gold, pred FROM g FULL JOIN p USING (doc_id))
+SELECT CAST(sum(coalesce(gn, 0)) AS BIGINT) AS n_gold, CAST(sum(coalesce(pn, 0)) AS BIGINT) AS n_pred,
+       count(*) FILTER (gn > 0 AND pn > 0) AS n_aligned, count(*) FILTER (pn IS NULL) AS n_gold_only,
+       count(*) FILTER (gn IS NULL) AS n_pred_only, CAST(coalesce(sum(gn - 1), 0) AS BIGINT) AS n_gold_again,
+       CAST(coalesce(sum(pn - 1), 0) AS BIGINT) AS n_pred_again,
+       count(*) FILTER (gn > 0 AND pn > 0 AND gold IS NOT DISTINCT FROM pred) AS n_correct
+FROM j
+"""
+
 ORACLE["nb_long_texts"] = ORACLE["nb_predict"]
 
 ORACLE["nb_long_model"] = _w(TEXTS_CTE, SPLIT_CTE, MODEL_CTE) + """

@@ -6,10 +6,15 @@ a rerun of a stage is idempotent). Writing at the stage borders also cuts
 the lineage: a lost executor costs at most the current stage. ``out_dir``
 must be shared storage on a cluster. ``ingest`` reads the document table;
 ``ingest_landed`` takes the landed pages, ranked items and issue lists instead.
+
+Rows are counted while they are written. A manifest (``manifest.py``) closes every stage;
+a stage refuses to run on outputs that do not belong together, and ``run(resume=True)``
+starts at the first stage whose inputs or parameters changed.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -25,14 +30,19 @@ from ..operators import naive_bayes as NB
 from ..operators import nb_long as NL
 from ..operators import shift as S
 from ..operators import split as SP
+from ..operators.observed import write_counted, write_observed
 from ..sources.files import write_parquet
 from ..sources.lookup import issue_lists, issue_scan, ranked_lookup, read_json_arrays
 from ..sources.paging import assemble_pages, read_landed_pages
+from ..sources.tables import table_path
 from ..sources.union import union_datasets
+from . import manifest as MF
 from . import views
 
 MAX_LABELS = 100_000   # label index rows broadcast at most
 STAGES = ("ingest", "train", "predict", "analyze", "report")
+#: The stages whose outputs a stage reads.
+READS = {"train": ("ingest",), "predict": ("ingest", "train"), "analyze": ("predict",), "report": ("train", "predict")}
 
 
 def _p(out_dir: str, name: str) -> str:
@@ -44,9 +54,29 @@ def fresh_dir(parent: str) -> str:
     return os.path.join(parent, f"run-{uuid.uuid4().hex}")
 
 
+def _inputs(spark: SparkSession, out_dir: str, stage: str) -> str:
+    """The run ids of what ``stage`` reads, after a check that these belong together."""
+    found = {r: MF.read(spark, out_dir, r) for r in READS[stage]}
+    for r, m in found.items():
+        if m is None:
+            raise RuntimeError(f"stage {stage!r} reads the output of {r!r}, which is missing or unfinished in {out_dir}")
+        if r in READS and m.inputs != _inputs(spark, out_dir, r):
+            raise RuntimeError(f"stage {stage!r} reads the output of {r!r}, which is older than what that was made from")
+    return ",".join(f"{r}={m.run_id}" for r, m in found.items())
+
+
+def _texts_written(texts: DataFrame, out_dir: str) -> dict:
+    """Write the texts with their load report; both come from one pass."""
+    seen = write_observed(texts, _p(out_dir, "texts"), DATASETS, partition_by=["dataset"])
+    write_parquet(seen.coalesce(1), _p(out_dir, "load_report"))
+    return {r.dataset: r.n_rows for r in seen.collect()}
+
+
 def ingest(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Labelled texts of every dataset, partitioned by dataset."""
-    write_parquet(views.texts(spark, sf_dir), _p(out_dir, "texts"), partition_by=["dataset"])
+    MF.forget(spark, out_dir, "ingest")
+    inputs = MF.digest(spark, table_path(sf_dir, "documents"))
+    MF.record(spark, out_dir, "ingest", inputs, {}, _texts_written(views.texts(spark, sf_dir), out_dir))
 
 
 def ingest_landed(spark: SparkSession, out_dir: str, pages: str | None = None, row_ddl: str = "text string, label string, id string",
@@ -56,6 +86,7 @@ def ingest_landed(spark: SparkSession, out_dir: str, pages: str | None = None, r
     """The three landed inputs as one table of labelled texts: paged envelopes
     (in-domain), the items of a ranked id list, and issue lists. Texts are composed and
     empty ones dropped; missing cells are recognised; the first label is parsed."""
+    MF.forget(spark, out_dir, "ingest")
     found = {}
     if pages:
         rows = assemble_pages(read_landed_pages(spark, pages, row_ddl), page_size, page_limit)
@@ -72,15 +103,32 @@ def ingest_landed(spark: SparkSession, out_dir: str, pages: str | None = None, r
     if "gold" not in texts.columns:
         texts = texts.withColumn("gold", F.lit(None).cast("string"))
     texts = texts.select(F.concat_ws("/", "dataset", "id").alias("row_id"), "text", "gold", "dataset")
-    write_parquet(texts, _p(out_dir, "texts"), partition_by=["dataset"])
+    inputs, params = _landed_key(spark, pages, row_ddl, ids, items, issues, page_size, page_limit, id_limit, per_page)
+    MF.record(spark, out_dir, "ingest", inputs, params, _texts_written(texts, out_dir))
+
+
+def _landed_key(spark: SparkSession, pages=None, row_ddl="text string, label string, id string", ids=None, items=None,
+                issues=None, page_size=PAGE_SIZE, page_limit=None, id_limit=None, per_page=50) -> tuple[str, dict]:
+    """What tells one landed input from another: the files of the paths and of the tables
+    given, and the parameters. A table that is not read from files is known by its plan."""
+    paths = [p for p in (pages, issues) if p]
+    for t in (ids, items):
+        if t is not None:
+            paths += [f for f in t.inputFiles()]
+    plans = "".join(str(t.semanticHash()) for t in (ids, items) if t is not None and not t.inputFiles())
+    return MF.digest(spark, *paths) + plans, {
+        "row_ddl": row_ddl, "page_size": page_size, "page_limit": page_limit, "id_limit": id_limit, "per_page": per_page}
 
 
 def train(spark: SparkSession, out_dir: str) -> None:
+    inputs = _inputs(spark, out_dir, "train")
+    MF.forget(spark, out_dir, "train")
     texts = spark.read.parquet(_p(out_dir, "texts"))
     ind = C.drop_missing(texts.filter(F.col("dataset") == DATASETS[0]), ["text", "gold"])
     plan = SP.plan_split(ind, "gold", "row_id")
     split = plan.assign(ind)
-    write_parquet(split.select("row_id", "gold", "split"), _p(out_dir, "split"))
+    counts = write_counted(split.select("row_id", "gold", "split"), _p(out_dir, "split"),
+                           train=F.col("split") == "train", val=F.col("split") == "val")
     train_rows = split.filter(F.col("split") == "train")
     write_parquet(LI.label_index(ind, "gold"), _p(out_dir, "label_index"))
     # one column per class up to the wide model's bound, one row per pair seen beyond
@@ -91,10 +139,13 @@ def train(spark: SparkSession, out_dir: str) -> None:
     else:
         NL.save_nb_long(NL.fit_nb_long(train_rows, "gold", "text"), _p(out_dir, "model"))
     write_parquet(spark.createDataFrame([(wide,)], "wide boolean"), _p(out_dir, "model_kind"))
+    MF.record(spark, out_dir, "train", inputs, {"max_classes": NB.MAX_CLASSES}, counts)
 
 
 def predict(spark: SparkSession, out_dir: str) -> None:
     """Score every text with the saved model; the inputs are kept, the split attached."""
+    inputs = _inputs(spark, out_dir, "predict")
+    MF.forget(spark, out_dir, "predict")
     texts = spark.read.parquet(_p(out_dir, "texts"))
     if spark.read.parquet(_p(out_dir, "model_kind")).first().wide:
         scored = NB.score_nb(NB.load_nb(spark, _p(out_dir, "model")), texts)
@@ -103,13 +154,17 @@ def predict(spark: SparkSession, out_dir: str) -> None:
     scored = scored.select("row_id", "pred_label", "pred_confidence")
     split = spark.read.parquet(_p(out_dir, "split")).select("row_id", "split")
     out = texts.join(scored, "row_id").join(split, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("ood")))
-    write_parquet(out, _p(out_dir, "predictions"), partition_by=["dataset"])
+    counts = write_counted(out, _p(out_dir, "predictions"), partition_by=["dataset"], rows=F.lit(True),
+                           correct=F.col("gold").eqNullSafe(F.col("pred_label")))
+    MF.record(spark, out_dir, "predict", inputs, {}, counts)
 
 
 def analyze(spark: SparkSession, out_dir: str) -> None:
     """Per-dataset evaluation over every prediction (the in-domain rows are
     one dataset among the others), accuracy over all, per dataset and per split,
     macro-F1, and the validation metrics of the classifier."""
+    inputs = _inputs(spark, out_dir, "analyze")
+    MF.forget(spark, out_dir, "analyze")
     pred = spark.read.parquet(_p(out_dir, "predictions"))
     by = ["dataset"]
     stats = M.label_stats(pred, by=by, sort=False)
@@ -119,10 +174,13 @@ def analyze(spark: SparkSession, out_dir: str) -> None:
     write_parquet(M.overall_accuracy(pred, by=["dataset", "split"]), _p(out_dir, "analysis/accuracy_by_split"))
     write_parquet(M.macro_f1(pred, by=by), _p(out_dir, "analysis/macro_f1"))
     write_parquet(M.evaluate(pred.filter(F.col("split") == "val")), _p(out_dir, "analysis/validation"))
+    MF.record(spark, out_dir, "analyze", inputs, {}, {})
 
 
 def report(spark: SparkSession, out_dir: str, top_k: int = TOP_K, group_labels=()) -> None:
     """Data of the charts. ``group_labels``: labels kept apart in the grouped shares."""
+    inputs = _inputs(spark, out_dir, "report")
+    MF.forget(spark, out_dir, "report")
     pred = spark.read.parquet(_p(out_dir, "predictions"))
     idx = spark.read.parquet(_p(out_dir, "label_index"))
     n_labels = idx.count()                         # label-level table
@@ -141,15 +199,27 @@ def report(spark: SparkSession, out_dir: str, top_k: int = TOP_K, group_labels=(
     dense = S.dense_distribution(pidx, n_labels, DATASETS, label="label_idx")
     write_parquet(S.distribution_corr(dense, DATASETS), _p(out_dir, "report/correlation"))
     write_parquet(S.confidence_histogram(pred, DATASETS), _p(out_dir, "report/confidence_hist"))
+    MF.record(spark, out_dir, "report", inputs, {"top_k": top_k, "group_labels": list(group_labels)}, {})
 
 
-def run(spark: SparkSession, sf_dir: str, out_dir: str, stages=STAGES) -> dict:
+def run(spark: SparkSession, sf_dir: str | None, out_dir: str, stages=STAGES, resume: bool = False,
+        landed: dict | None = None, report_params: dict | None = None) -> dict:
+    """Run ``stages`` in their order; each maps to ``out_dir`` in the result if it ran and
+    to None if ``resume`` found it up to date. ``landed`` (arguments of ``ingest_landed``)
+    takes the landed inputs instead of the document table of ``sf_dir``."""
+    report_params = report_params or {}
     done = {}
     for st in STAGES:
         if st not in stages:
             continue
+        if resume and _up_to_date(spark, sf_dir, out_dir, st, landed, report_params):
+            done[st] = None
+            continue
         if st == "ingest":
-            ingest(spark, sf_dir, out_dir)
+            if landed is None:
+                ingest(spark, sf_dir, out_dir)
+            else:
+                ingest_landed(spark, out_dir, **landed)
         elif st == "train":
             train(spark, out_dir)
         elif st == "predict":
@@ -157,6 +227,26 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, stages=STAGES) -> dict:
         elif st == "analyze":
             analyze(spark, out_dir)
         else:
-            report(spark, out_dir)
+            report(spark, out_dir, **report_params)
         done[st] = out_dir
     return done
+
+
+def _up_to_date(spark, sf_dir, out_dir, stage, landed, report_params) -> bool:
+    m = MF.read(spark, out_dir, stage)
+    if m is None:
+        return False
+    params = {}
+    if stage == "ingest":
+        if landed is None:
+            inputs = MF.digest(spark, table_path(sf_dir, "documents"))
+        else:
+            inputs, params = _landed_key(spark, **landed)
+    else:
+        inputs = _inputs(spark, out_dir, stage)
+        if stage == "train":
+            params = {"max_classes": NB.MAX_CLASSES}
+        elif stage == "report":
+            params = {"top_k": report_params.get("top_k", TOP_K),
+                      "group_labels": list(report_params.get("group_labels", ()))}
+    return (m.inputs, m.params) == (inputs, json.dumps(params, sort_keys=True, default=str))
