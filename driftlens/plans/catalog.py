@@ -422,6 +422,7 @@ def q_dataset_union(spark, sf_dir):
 
 # ---- classification ----------------------------------------------------------------------
 
+from ..operators import epochs as EP  # noqa: E402
 from ..operators import label_index as LI  # noqa: E402
 from ..operators import mllib as ML  # noqa: E402
 from ..operators import naive_bayes as NB  # noqa: E402
@@ -550,6 +551,41 @@ def q_lr_fit(spark, sf_dir):
         (F.avg(right) >= 0.8).alias("accurate"))
 
 
+# Classes of the scored view, its vectors' dimension, and the parameters of ``epoch_fit``.
+EPOCH_PARAMS = {"epochs": 3, "batch": 16, "shards": 4, "rate": 2.0}
+VECTOR_DIMS = 64
+
+
+@register("epoch_batches")
+def q_epoch_batches(spark, sf_dir):
+    """The batches that training in epochs reads over all documents."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id"])
+    return EP.training_plan(docs, "doc_id").groupBy("epoch", "shard", "batch").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"), F.sum(F.col("id") * F.col("place")).alias("order_sum"))
+
+
+@register("epoch_fit")
+def q_epoch_fit(spark, sf_dir):
+    """Softmax regression trained on the in-domain vectors and measured on the others:
+    losses and accuracies of every epoch."""
+    rows = EP.dense_features(views.scored_vectors(spark, sf_dir), "embedding")
+    model = EP.fit_epochs(rows.filter(F.col("dataset") == DATASETS[0]), VECTOR_DIMS, normal=False,
+                          validation=rows.filter(F.col("dataset") != DATASETS[0]), **EPOCH_PARAMS)
+    return r6(spark.createDataFrame([tuple(h.values()) for h in model.history],
+                                    "epoch int, n_rows long, n_batches long, train_loss double, train_accuracy double, "
+                                    "val_rows long, val_loss double, val_accuracy double"))
+
+
+@register("epoch_texts")
+def q_epoch_texts(spark, sf_dir):
+    """Softmax regression over hashed words, trained in epochs on the training split:
+    every text's label and confidence."""
+    texts = EP.hashed_features(views.texts(spark, sf_dir))
+    train = EP.hashed_features(_split(spark, sf_dir).filter(F.col("split") == "train"))
+    model = EP.fit_epochs(train, EP.DIMS, rate=8.0)  # vectors of length 1 have small gradients
+    return r6(EP.score_epochs(model, texts.drop("text")))
+
+
 @register("pipeline_predictions")
 def q_pipeline_predictions(spark, sf_dir):
     """Ingest, train and predict of the staged job: predictions keep their inputs."""

@@ -540,3 +540,77 @@ ORACLE["shift_by_dataset"] = """
 SELECT source AS dataset, count(*) AS n_distribution, count(*) AS n_dense, count(*) AS n_histogram
 FROM documents GROUP BY source
 """
+
+
+# ---- training in epochs -------------------------------------------------------------------
+
+def _h60(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+ORACLE["epoch_batches"] = f"""
+WITH o AS (
+  SELECT CAST(e AS INTEGER) AS epoch, CAST({_h60("'42:shard:' || doc_id")} % 8 AS INTEGER) AS shard, doc_id AS id,
+         {_h60("'42:' || e || ':' || doc_id")} AS h
+  FROM documents, range(1, 4) r(e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY epoch, shard ORDER BY h, id) - 1 AS place FROM o)
+SELECT epoch, shard, CAST(place // 16 AS INTEGER) AS batch, count(*) AS n, min(id) AS min_id,
+       CAST(sum(id * place) AS BIGINT) AS order_sum
+FROM p GROUP BY ALL
+"""
+
+
+def _epoch_fit(epochs: int = 3, batch: int = 16, shards: int = 4, rate: float = 2.0, classes: int = 10, dims: int = 64) -> str:
+    """Mini-batch descent as recursive queries: a row holds a shard's weights (the last
+    component of a class is its bias), a step replaces them, an epoch's end averages them."""
+    price = "list_transform(w, lambda c: list_dot_product(c, {x}))"
+    ctes = [f"""
+ex AS MATERIALIZED (
+  SELECT vec_id AS id, CAST(label AS INTEGER) AS gold, vec_id % 3 = 0 AS training,
+         list_append([CAST(x AS DOUBLE) FOR x IN embedding], 1.0) AS x,
+         CAST({_h60("'42:shard:' || vec_id")} % {shards} AS INTEGER) AS shard
+  FROM embeddings),
+lab AS (SELECT list(DISTINCT gold ORDER BY gold) AS labels FROM ex WHERE training),
+tr AS MATERIALIZED (SELECT id, x, shard, list_position(labels, gold) AS y FROM ex, lab WHERE training),
+va AS (SELECT x, list_position(labels, gold) AS y FROM ex, lab WHERE NOT training),
+size AS (SELECT shard, count(*) AS n FROM tr GROUP BY shard),
+w0 AS (SELECT [[0.0::DOUBLE FOR j IN range({dims + 1})] FOR c IN range(len(labels))] AS w FROM lab)"""]
+    for e in range(1, epochs + 1):
+        ctes.append(f"""
+ord{e} AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {_h60(f"'42:{e}:' || id")}, id) - 1 AS place FROM tr),
+bat{e} AS MATERIALIZED (
+  SELECT shard, place // {batch} AS b, list(x ORDER BY place) AS xs, list(y ORDER BY place) AS ys FROM ord{e} GROUP BY ALL),
+run{e}(shard, b, w, loss, hits) AS (
+  SELECT shard, 0, w, 0.0::DOUBLE, 0 FROM size, w{e - 1}
+  UNION ALL
+  SELECT shard, b + 1,
+         list_transform(w, lambda row, c: list_transform(row, lambda v, j: v - {rate} / len(ys) * list_sum(
+           list_transform(xs, lambda x, i: (ps[i][c] - CASE WHEN ys[i] = c THEN 1 ELSE 0 END) * x[j])))),
+         loss + list_sum(list_transform(ps, lambda p, i: -ln(p[ys[i]]))),
+         hits + list_sum(list_transform(ps, lambda p, i: CASE WHEN list_position(p, list_max(p)) = ys[i] THEN 1 ELSE 0 END))
+  FROM (SELECT *, list_transform(es, lambda e: list_transform(e, lambda v: v / list_sum(e))) AS ps
+        FROM (SELECT *, list_transform(zs, lambda z: list_transform(z, lambda v: exp(v - list_max(z)))) AS es
+              FROM (SELECT r.shard, r.b, w, loss, hits, xs, ys,
+                           list_transform(xs, lambda x: {price.format(x="x")}) AS zs
+                    FROM run{e} r JOIN bat{e} t ON t.shard = r.shard AND t.b = r.b)))),
+end{e} AS MATERIALIZED (SELECT shard, n, arg_max(w, b) AS w, max(b) AS steps, arg_max(loss, b) AS loss, arg_max(hits, b) AS hits
+         FROM run{e} JOIN size USING (shard) GROUP BY shard, n),
+cell{e} AS (SELECT c, j, sum(w[c][j] * n) / sum(n) AS v
+            FROM end{e}, (SELECT unnest(range(1, {classes + 1})) AS c), (SELECT unnest(range(1, {dims + 2})) AS j)
+            WHERE c <= len(w) GROUP BY c, j),
+w{e} AS MATERIALIZED (SELECT list(r ORDER BY c) AS w FROM (SELECT c, list(v ORDER BY j) AS r FROM cell{e} GROUP BY c)),
+val{e} AS (
+  SELECT count(*) AS val_rows, avg(CASE WHEN y IS NULL THEN -ln(1e-300) ELSE ln(s) + m - z[y] END) AS val_loss,
+         avg(CASE WHEN list_position(z, m) = y THEN 1.0 ELSE 0.0 END) AS val_accuracy
+  FROM (SELECT y, z, list_max(z) AS m, list_sum(list_transform(z, lambda v: exp(v - list_max(z)))) AS s
+        FROM (SELECT y, {price.format(x="x")} AS z FROM va, w{e})))""")
+    rows = " UNION ALL ".join(f"""
+SELECT CAST({e} AS INTEGER) AS epoch, CAST((SELECT sum(n) FROM end{e}) AS BIGINT) AS n_rows,
+       CAST((SELECT sum(steps) FROM end{e}) AS BIGINT) AS n_batches,
+       round((SELECT sum(loss) / sum(n) FROM end{e}), 6) AS train_loss,
+       round((SELECT CAST(sum(hits) AS DOUBLE) / sum(n) FROM end{e}), 6) AS train_accuracy,
+       val_rows, round(val_loss, 6) AS val_loss, round(val_accuracy, 6) AS val_accuracy FROM val{e}""" for e in range(1, epochs + 1))
+    return "WITH RECURSIVE " + ",".join(ctes) + rows
+
+
+ORACLE["epoch_fit"] = _epoch_fit()

@@ -45,6 +45,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_from_embeddings(emb)
 
 
+def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``scored`` with their whole vectors: row_id, gold, dataset, embedding."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    return emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("gold"),
+                      dataset_of_row(F.col("vec_id")).alias("dataset"), "embedding")
+
+
 def dataset_of_source(source) -> F.Column:
     n = F.regexp_extract(source, r"^src([0-9]+)$", 1).try_cast("int")
     return (F.when(n < 10, F.lit(DATASETS[0]))

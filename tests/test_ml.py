@@ -275,3 +275,38 @@ def test_split_passes_leave_the_text_alone(spark, texts):
     train = plan.assign(texts.filter("dataset = 'indomain'")).filter("split = 'train'")
     want = {r.gold: r["count"] for r in train.groupBy("gold").count().collect()}
     assert plan.train_docs(100) == want
+
+
+def test_lr_confidences_equal_a_second_solver(spark):
+    """MLlib's regression run to convergence against accelerated gradient descent in numpy,
+    on the same features: mean loss plus half the penalty of coefficients in units of a
+    standard deviation, the intercepts free."""
+    import random
+
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    rng = random.Random(3)
+    words = {"a": "apple pear plum fig", "b": "boat sail sea tide", "c": "cat dog cow hen"}
+    rows = [(i, g, " ".join(rng.choice((words[g] + " the of and to").split()) for _ in range(rng.randrange(3, 9))))
+            for i, g in enumerate(rng.choice("aabc") for _ in range(90))]
+    df = spark.createDataFrame(rows, "row_id long, gold string, text string")
+    model = ML.fit_lr(df, "gold", "text", num_features=64, max_iter=500, reg=0.05)
+    got = {r.row_id: (r.pred_label, r.pred_confidence) for r in ML.score_lr(model, df, keep=("row_id",)).collect()}
+    found = PipelineModel(stages=model.stages[1:-1]).transform(df).select("row_id", "gold", vector_to_array("_x").alias("x")).collect()
+    x = np.array([r.x for r in found])
+    y = np.array(["abc".index(r.gold) for r in found])
+    sd = x.std(0, ddof=1)
+    x = np.hstack([x[:, sd > 0] / sd[sd > 0], np.ones((len(x), 1))])
+    w = u = np.zeros((x.shape[1], 3))
+    step = 1 / (np.linalg.eigvalsh(x.T @ x / len(x)).max() / 2 + 0.05)
+    for k in range(4000):
+        p = np.exp(x @ u - (x @ u).max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = x.T @ (p - np.eye(3)[y]) / len(x)
+        grad[:-1] += 0.05 * u[:-1]
+        new = u - step * grad
+        w, u = new, new + k / (k + 3) * (new - w)
+    p = np.exp(x @ w)
+    p /= p.sum(1, keepdims=True)
+    for r, q in zip(found, p):
+        assert got[r.row_id][0] == "abc"[q.argmax()] and got[r.row_id][1] == pytest.approx(q.max(), abs=2e-3)

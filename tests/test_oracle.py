@@ -40,7 +40,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    # SQL has no xxhash64 for hashed words; tests/test_epochs.py holds them against numpy
+    assert set(QUERIES) == set(ORACLE) | {"epoch_texts"}
 
 
 def compare(df, duck, sql):
