@@ -6,12 +6,21 @@ its text inside links, and its place in the element tree. The text-to-tag ratios
 lines, in page order, are smoothed with a Gaussian and split into two clusters by a
 threshold; runs of high lines are content regions, and runs with only unlinked text
 between them are one. A region extends over the lowest block container that its lines
-share, so a short paragraph between long ones stays, also when each paragraph has a
-container of its own; all regions are kept. A page that names its articles is read inside
-them. Menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments are known by element, role or name and are
-never content. A name or a form says little about an element that wraps the page's main
-article or most of its text: that is layout, of which only the form's labels go."""
+share (a container of one line is a paragraph and bounds nothing), so a short paragraph
+between long ones stays; all regions are kept.
+
+Articles and main parts bound regions, they are none by themselves: a region inside an
+article is the whole article, one inside a main part without articles the whole part.
+Articles side by side count as one when they are weighed. Beside a heavier region they are
+teasers or a thread and go; if they are the heaviest, all of them stay, short ones too.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known
+by element, role or name and are never content. A name is a whole token of a class or id,
+alone or with words that say nothing themselves (``related-posts``, not
+``related-work``). Some names are also everyday words: inside an article they need a
+second sign, links, form fields or short lines. A name or a form says little about an
+element that wraps the page's main article or most of its text: that is layout, of which
+only the form's labels go."""
 
 from __future__ import annotations
 
@@ -43,7 +52,7 @@ TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "
            "caption", "summary", "tr", "tbody", "thead", "tfoot", "table", "ul", "ol", "dl", "figure", "hgroup"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu",
          "menubar", "alert"}
-#: Words of a class or id that name a part which is not the article.
+#: Tokens of a class or id that name a part which is not the article.
 NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adsbygoogle", "banner", "breadcrumb", "breadcrumbs",
          "comment", "comments", "commentlist", "disqus", "consent", "cookie", "cookies", "gdpr", "footer", "foot",
          "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "subscribe", "signup", "notice",
@@ -52,12 +61,41 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adsbygoogle"
          "toolbar", "widget", "widgets", "pagination", "pager", "login", "search", "skip"}
 #: Those that name what readers wrote, which may well be most of a page's text.
 DISCUSSION = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+#: Those that an article may also use for parts of its own, or in passing.
+EVERYDAY = {"alert", "banner", "foot", "footer", "menu", "notice", "notices", "promotion", "recommended", "related", "search",
+            "share", "sharing", "skip", "social", "toolbar"}
+OWN_HEAD = {"header", "masthead"}   # an article's own, inside it
+#: Words that may stand beside a name in one token without changing what it names.
+BESIDE = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "desktop", "global", "grid",
+          "group", "holder", "icon", "icons", "inline", "inner", "item", "items", "js", "left", "link", "links", "list",
+          "mobile", "module", "outer", "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary",
+          "section", "site", "slot", "story", "stories", "text", "title", "top", "unit", "wrap", "wrapper", "zone"}
+FIELDS = {"input", "select", "textarea", "button"}
+SHORT_LINE = 25      # characters a line, on average
 ARTICLE = {"article", "main"}
-NOT, NAMED, READERS, ASIDES = 0, 1, 2, 3   # article text, asides by name or form, discussions, certain asides
-_WORDS = re.compile(r"[a-z0-9]+")
+# article text, asides by everyday name, by name or form, discussions, articles in articles, certain asides
+NOT, DOUBTFUL, NAMED, READERS, NESTED, ASIDES = range(6)
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _named(value: str, inside_article: bool) -> int:
+    """What the tokens of a class or id say (a kind, see above)."""
+    kind = NOT
+    for token in value.split():
+        parts = {w.lower() for w in _SPLIT.split(token) if w and not w.isdigit()}
+        names = parts & NAMES
+        if inside_article:
+            names -= OWN_HEAD
+        if not names or parts - NAMES - BESIDE:
+            continue
+        if names & DISCUSSION:
+            kind = max(kind, READERS)
+        else:
+            kind = max(kind, DOUBTFUL if inside_article and names <= EVERYDAY else NAMED)
+    return kind
+
+
 def _aside(tag: str, attrs: list, inside_article: bool, inside_form: bool) -> int:
     """How surely an element is not the article (its kind, see above)."""
     if tag in ASIDE or tag == "header" and not inside_article or tag == "label" and inside_form:
@@ -66,12 +104,10 @@ def _aside(tag: str, attrs: list, inside_article: bool, inside_form: bool) -> in
     for key, value in attrs:
         if key == "role" and value and value.strip().lower() in ROLES:
             return ASIDES
-        if key == "hidden" or key == "aria-hidden" and value == "true":
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and _UNSEEN.search(value):
             return ASIDES
         if key in ("class", "id") and value and tag not in ("body", "html", "article", "main"):
-            words = {w.lower() for w in _SPLIT.split(value)} | set(_WORDS.findall(value.lower()))
-            if words & NAMES:
-                kind = max(kind, READERS if words & DISCUSSION else NAMED)
+            kind = max(kind, _named(value, inside_article))
     return kind
 
 
@@ -85,8 +121,11 @@ class _Lines(HTMLParser):
         self.within: list[int] = []            # number of the innermost named aside of each line
         self.named: list[int] = [0]            # open named asides
         self.outer: dict[int, int] = {0: 0}    # named aside around each
-        self.readers: set[int] = set()
+        self.kinds: dict[int, int] = {0: NOT}  # kind of each named aside
         self.place: dict[int, int] = {}        # named aside around each article
+        self.open = Counter()                  # open elements by tag
+        self.fields = Counter()                # form fields by innermost named aside
+        self.bounds: dict[int, str] = {}       # containers that are articles or main parts
         self.forms = 0
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
@@ -108,12 +147,14 @@ class _Lines(HTMLParser):
 
     def _end_head(self):
         """The end tag of head is optional."""
-        if any(t[0] == "head" for t in self.stack):
+        if self.open["head"]:
             self.handle_endtag("head")
 
     def handle_starttag(self, tag, attrs):
         if tag == "body" or self.stack and self.stack[-1][0] == "head" and tag not in HEAD:
             self._end_head()
+        if tag in FIELDS:
+            self.fields[self.named[-1]] += 1
         if tag in VOID:
             if tag == "br":
                 self.text.append(" ")
@@ -121,39 +162,43 @@ class _Lines(HTMLParser):
                 self._end_line()
             self.tags += 1
             return
-        if tag in CLOSES_P and any(t[0] == "p" for t in self.stack):
+        if tag in CLOSES_P and self.open["p"]:
             self.handle_endtag("p")
         elif tag in ("li", "dd", "dt", "td", "th", "tr", "option") and self.stack and self.stack[-1][0] == tag:
             self.handle_endtag(tag)
         silent = tag in SILENT
         kind = _aside(tag, attrs, self.article > 0, self.forms > 0)
+        if tag == "article" and self.open["article"]:
+            kind = max(kind, NESTED)
         if tag in BLOCKS or kind:
             self._end_line()
         aside = -1 if kind == ASIDES else 0
-        if kind in (NAMED, READERS):
+        if NOT < kind < ASIDES:
             aside = len(self.outer)
             self.outer[aside] = self.named[-1]
+            self.kinds[aside] = kind
             self.named.append(aside)
-            if kind == READERS:
-                self.readers.add(aside)
         self.tags += 1
         container = self._container()
         if tag in BLOCKS and tag not in TEXTUAL:
             self.containers += 1
             self.parent[self.containers] = container
             container = self.containers
+            if tag in ARTICLE:
+                self.bounds[container] = tag
         if tag in ARTICLE and not self.article and not self.asides and not aside:
             self.articles += 1
             self.article = self.articles
             self.place[self.article] = self.named[-1]
         self.stack.append((tag, silent, aside, container))
+        self.open[tag] += 1
         self.silent += silent
         self.asides += aside < 0
         self.forms += tag == "form"
         self.links += tag == "a"
 
     def handle_endtag(self, tag):
-        if tag in VOID or not any(t[0] == tag for t in self.stack):
+        if tag in VOID or not self.open[tag]:
             self.tags += 1
             if tag == "p" or tag == "br":
                 self.text.append(" ")
@@ -179,13 +224,14 @@ class _Lines(HTMLParser):
 
     def _drop(self, i: int):
         tag, silent, aside, _ = self.stack.pop(i)
+        self.open[tag] -= 1
         self.silent -= silent
         self.asides -= aside < 0
         if aside > 0:
             self.named.remove(aside)
         self.forms -= tag == "form"
         self.links -= tag == "a"
-        if tag in ARTICLE and self.article and not any(t[0] in ARTICLE for t in self.stack):
+        if tag in ARTICLE and self.article and not (self.open["article"] or self.open["main"]):
             self.article = 0
 
     def handle_data(self, data):
@@ -200,28 +246,53 @@ class _Lines(HTMLParser):
         super().close()
         self._end_line()
 
+    def _asides_around(self, a: int) -> Iterator[int]:
+        while a:
+            yield a
+            a = self.outer[a]
+
     def content_lines(self) -> list[tuple[str, int, int, int, int]]:
         """The lines outside asides. A named aside is layout if it holds the largest article
-        (one among the readers' only if there is no other), or if it is no discussion and
-        holds more than half of the unlinked text."""
-        mass, articles = Counter(), Counter()
-        for (text, _, linked, _, article), aside in zip(self.lines, self.within):
-            own = max(len(text) - linked, 0)
+        (one among the readers' only if there is no other), or if it is no discussion,
+        holds more than half of the unlinked text and no article is outside it. An aside of an everyday name inside an
+        article needs a second sign, and an article inside one the larger text around it."""
+        mass, linked, number, articles, within = Counter(), Counter(), Counter(), Counter(), Counter()
+        for (text, _, link, _, article), aside in zip(self.lines, self.within):
+            own = max(len(text) - link, 0)
             mass[aside] += own
+            linked[aside] += link
+            number[aside] += 1
+            within[article] += own
             if article and aside == self.place[article]:
                 articles[article] += own
+        inner = {a: self.kinds[a] == NESTED for a in self.outer}
+        nested = Counter()
+        for (text, _, link, _, article), aside in zip(self.lines, self.within):
+            a = aside
+            while a and not inner[a]:
+                a = self.outer[a]
+            nested[article] += max(len(text) - link, 0) if a else 0
+        article_of = {a: n for (_, _, _, _, n), a in zip(self.lines, self.within)}
         for a in range(len(self.outer) - 1, 0, -1):  # an aside is numbered after the one around it
-            mass[self.outer[a]] += mass[a]
-        layout = {a for a in self.outer if a not in self.readers and 2 * mass[a] > mass[0]} | {0}
+            for c in (mass, linked, number, self.fields):
+                c[self.outer[a]] += c[a]
         readers: set[int] = set()
         for a in range(1, len(self.outer)):
-            if a in self.readers or self.outer[a] in readers:
+            if self.kinds[a] == READERS or self.outer[a] in readers:
                 readers.add(a)
-        if self.place:
-            a = self.place[max(self.place, key=lambda n: (self.place[n] not in readers, articles[n], -n))]
-            while a:
+        around = {n: set(self._asides_around(a)) for n, a in self.place.items() if articles[n]}
+        layout = {a for a in self.outer if self.kinds[a] != READERS and 2 * mass[a] > mass[0]
+                  and all(a in x for x in around.values())} | {0}
+        for a, kind in self.kinds.items():
+            if kind == DOUBTFUL and not (2 * linked[a] >= mass[a] + linked[a] or self.fields[a]
+                                         or mass[a] < SHORT_LINE * number[a]):
                 layout.add(a)
-                a = self.outer[a]
+            n = article_of.get(a, 0)
+            if kind == NESTED and 2 * nested[n] > within[n]:
+                layout.add(a)
+        if self.place:
+            layout.update(self._asides_around(
+                self.place[max(self.place, key=lambda n: (self.place[n] not in readers, articles[n], -n))]))
         kept = {0}
         for a in range(1, len(self.outer)):
             if a in layout and self.outer[a] in kept:
@@ -230,11 +301,26 @@ class _Lines(HTMLParser):
 
 
 def lines_of(html: str):
-    """(lines, parent of each container) of a page; asides and silent parts are left out."""
+    """(lines, parent of each container, bounds) of a page without asides and silent parts:
+    a line is (text, tags, linked characters, container), ``bounds`` names the containers that
+    are articles or main parts. Containers of a single line are left out."""
     p = _Lines()
     p.feed(html)
     p.close()
-    return p.content_lines(), p.parent
+    lines = p.content_lines()
+    own, parents = Counter(line[3] for line in lines), Counter(p.parent.values())
+
+    def place(c: int) -> int:
+        while c > 0 and own[c] == 1 and not parents[c] and c not in p.bounds:
+            parents[p.parent[c]] -= 1
+            own[p.parent[c]] += 1
+            own[c] = 0
+            c = p.parent[c]
+            if own[c] > 1 or parents[c]:
+                break
+        return c
+
+    return [(*line[:3], place(line[3])) for line in lines], p.parent, p.bounds
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -261,28 +347,63 @@ def threshold(x: np.ndarray) -> float:
 
 def content(html: str) -> str:
     """Main text of a page: its content lines in order, joined by newlines."""
-    lines, parent = lines_of(html)
+    lines, parent, bounds = lines_of(html)
     if not lines:
         return ""
-    # an article is kept whole, and all of several: a short one is no less an article
-    named = [line[0] for line in lines if line[4]]
-    if named:
-        return "\n".join(named)
-    raw = _ratios(lines)
+    raw = ratios(lines)
     ratio = smooth(raw)
     cut = threshold(ratio)
     up = ratio >= cut
-    text = [2 * linked < len(words) for words, _, linked, _, _ in lines]
-    kept = {_common([lines[i][3] for i in run if raw[i] >= cut] or [lines[i][3] for i in run], parent)
-            for run in _regions(up, text)}
-    out = []
-    for line, hot, own in zip(lines, up, text):
-        c = line[3]
-        while c >= 0 and c not in kept:
-            c = parent[c]
-        if c >= 0 and (hot or own):
-            out.append(line[0])
-    return "\n".join(out)
+    text = [2 * linked < len(words) for words, _, linked, _ in lines]
+    bound = _bounds(parent, bounds)
+    kept = set()
+    for run in _regions(up, text):
+        held = [lines[i][3] for i in run if raw[i] >= cut] or [lines[i][3] for i in run]
+        kept.add(bound[_common(held, parent)])
+    kept, gone = _weighed(kept, lines, parent, bounds, bound)
+    inside = {-1: False}
+    for c in range(len(parent)):
+        inside[c] = c not in gone and (c in kept or inside[parent[c]])
+    return "\n".join(line[0] for line, hot, own in zip(lines, up, text) if (hot or own) and inside[line[3]])
+
+
+def _bounds(parent: dict[int, int], bounds: dict[int, str]) -> dict[int, int]:
+    """For each container (numbered after the one around it) the outermost article around
+    it; else the outermost main part, if no article is in that; else itself."""
+    holds = {}                          # containers with an article inside
+    for c in range(len(parent) - 1, 0, -1):
+        if holds.get(c) or bounds.get(c) == "article":
+            holds[parent[c]] = True
+    out = {-1: -1}
+    for c in range(len(parent)):
+        at = out[parent[c]]
+        if bounds.get(at) == "article" or at in bounds and not holds.get(at):
+            out[c] = at
+        else:
+            out[c] = c
+    return out
+
+
+def _weighed(kept: set[int], lines, parent: dict[int, int], bounds: dict[int, str],
+             bound: dict[int, int]) -> tuple[set[int], set[int]]:
+    """``kept`` with whole groups of sibling articles, and the articles of the groups that are
+    lighter than another region."""
+    mass, inside, group, size = Counter(), Counter(), Counter(), Counter()
+    for words, _, linked, c in lines:
+        mass[c] += max(len(words) - linked, 0)
+    outer = [a for a, tag in bounds.items() if tag == "article" and bound[a] == a]
+    articles = set(outer)
+    for c in range(len(parent) - 1, 0, -1):
+        mass[parent[c]] += mass[c]
+        inside[parent[c]] += mass[c] if c in articles else inside[c]
+    for a in outer:
+        group[parent[a]] += mass[a]
+        size[parent[a]] += 1
+    # a region that holds articles is weighed without them
+    heaviest = max((mass[c] - inside[c] for c in kept - articles), default=-1)
+    gone = {a for a in outer if size[parent[a]] > 1 and group[parent[a]] < heaviest}
+    heavy = {parent[c] for c in kept & articles}
+    return (kept | {a for a in outer if parent[a] in heavy}) - gone, gone
 
 
 def _regions(up: np.ndarray, text: list[bool]) -> list[list[int]]:
@@ -312,8 +433,9 @@ def _common(containers: list[int], parent: dict[int, int]) -> int:
     return path[low]
 
 
-def _ratios(lines) -> np.ndarray:
-    return np.array([(len(text) - linked) / max(tags, 1) for text, tags, linked, _, _ in lines], float)
+def ratios(lines) -> np.ndarray:
+    """Unlinked characters per tag of each line."""
+    return np.array([(len(text) - linked) / max(tags, 1) for text, tags, linked, _ in lines], float)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep=None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm import language, lattice, licenses, main_text, pieces, toxicity, url_rules
 from driftlens.llm import words as W
+from tests.conftest import SF_SMALL
 
 # ---- embeddings
 
@@ -341,6 +342,98 @@ def test_layout_wrappers_forms_and_open_heads(html, text):
     assert main_text.content(html) == text
 
 
+FIVE = "".join(f"<p>{PROSE * 4}</p>" for _ in range(5))
+WHOLE = "\n".join([(PROSE * 4).strip()] * 5)
+ONE = PROSE.strip()
+
+
+@pytest.mark.parametrize("html,text", [
+    # named articles hide no main text
+    (f"<div class=content>{FIVE}</div><div class=grid><article><h3>One</h3></article><article><h3>Two</h3></article></div>", WHOLE),
+    (f"<div class=content>{FIVE}</div><div class=grid>" + f"<article><h3><a href=x>T</a></h3><p>{PROSE * 3}</p></article>" * 2
+     + "</div>", WHOLE),
+    (f"<div class=post>{FIVE}</div><article><p>I agree, nice.</p></article><article><p>Me too.</p></article>", WHOLE),
+    (f"<div class=post>{FIVE}<article><p>I agree, nice.</p></article><article><p>Me too.</p></article></div>", WHOLE),
+    (f"<article>{FIVE}<section><article><p>I agree, nice.</p></article><article><p>Me too.</p></article></section></article>", WHOLE),
+    (f"<article class=page><div><article>{FIVE}</article></div></article>", WHOLE),
+    ("".join(f"<article><h2>Head {i}</h2><p>{PROSE * 3}</p></article>" for i in range(3)),
+     "\n".join(f"Head {i}\n{(PROSE * 3).strip()}" for i in range(3))),
+    (f"<main><h1>Title</h1><div class=body>{FIVE}</div></main>", "Title\n" + WHOLE),
+    # a name is a whole token, and an everyday one needs a second sign inside an article
+    (f"<article>{FIVE}<section id=related-work><h2>Related work</h2><p>{PROSE}</p></section></article>",
+     f"{WHOLE}\nRelated work\n{ONE}"),
+    (f"<article>{FIVE}<div class=market-share><p>{PROSE}</p></div></article>", f"{WHOLE}\n{ONE}"),
+    (f"<article><div class=article-header><h1>A title</h1></div>{FIVE}</article>", f"A title\n{WHOLE}"),
+    (f"<article><div class=header><h1>A title</h1></div>{FIVE}</article>", f"A title\n{WHOLE}"),
+    (f"<article><p class='lead search'>{PROSE}</p>{FIVE}</article>", f"{ONE}\n{WHOLE}"),
+    (f"<article>{FIVE}<div class=ad>Buy it all here and now, today.</div><ul class=share-buttons><li>Share</li></ul>"
+     f"<div class=related-posts><a href=x>{PROSE}</a></div></article>", WHOLE),
+    (f"<article><div class=search><input name=q> {PROSE}</div>{FIVE}</article>", WHOLE),
+    # unseen text, short lines, containers of a line each
+    (f"<article>{FIVE}<p style='display:none'>gone</p><p style='color:red;visibility: hidden'>gone</p></article>", WHOLE),
+    ("<div>One two.</div><div>Three.</div><div>A longer line that says a bit more.</div>",
+     "One two.\nThree.\nA longer line that says a bit more."),
+    ("<p>One two.</p><p>Three.</p><p>A longer line that says a bit more.</p>",
+     "One two.\nThree.\nA longer line that says a bit more."),
+])
+def test_articles_bound_regions_and_names_are_tokens(html, text):
+    assert main_text.content(html) == text
+
+
+def plain_kept(lines):
+    """Lines above the border of the smoothed ratios, one line at a time."""
+    x = [(len(t) - linked) / max(tags, 1) for t, tags, linked, _ in lines]
+    y = []
+    for i in range(len(x)):
+        w = {j: np.exp(-((i - j) / main_text.SIGMA) ** 2 / 2) for j in range(len(x)) if abs(i - j) <= np.ceil(3 * main_text.SIGMA)}
+        y.append(sum(w[j] * x[j] for j in w) / sum(w.values()))
+    low, high = min(y), max(y)
+    for _ in range(50):
+        cut = (low + high) / 2
+        below, above = [v for v in y if v < cut], [v for v in y if v >= cut]
+        if not below or not above or (sum(below) / len(below), sum(above) / len(above)) == (low, high):
+            break
+        low, high = sum(below) / len(below), sum(above) / len(above)
+    return [v >= cut for v in y], cut, y
+
+
+def test_ratio_steps_agree_with_a_plain_version():
+    rng = random.Random(8)
+    for _ in range(200):
+        html = "".join(rng.choice([
+            lambda: f"<p>{PROSE * rng.randrange(1, 6)}</p>", lambda: f"<div><a href=x>{PROSE}</a></div>", lambda: "<p>Short.</p>",
+            lambda: "<ul>" + "<li><a href=y>item</a></li>" * rng.randrange(1, 5) + "</ul>",
+            lambda: f"<div><p>{PROSE}</p><p><b>{PROSE}</b> <i>x</i></p></div>"])() for _ in range(rng.randrange(1, 14)))
+        lines, _, _ = main_text.lines_of(html)
+        up, cut, y = plain_kept(lines)
+        got = main_text.smooth(main_text.ratios(lines))
+        assert np.allclose(got, y)
+        border = main_text.threshold(got)
+        assert border == pytest.approx(cut)
+        assert all((g >= border) == u for g, u in zip(got, up) if abs(g - border) > 1e-9)
+        # every unlinked line that is high before and after smoothing is in the text
+        text = main_text.content(html).split("\n")
+        assert all(line[0] in text for line, u, r in zip(lines, up, main_text.ratios(lines))
+                   if u and r >= border and 2 * line[2] < len(line[0]))
+
+
+def test_every_page_goes_through_the_clustering(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("html").collect()]
+    calls = []
+    monkeypatch.setattr(main_text, "threshold", lambda x, f=main_text.threshold: calls.append(len(x)) or f(x))
+    texts = [main_text.content(h or "") for h in pages]
+    assert len(calls) == sum(bool(main_text.lines_of(h or "")[0]) for h in pages) == sum(map(bool, texts)) > 0
+
+
+def test_large_pages_take_linear_time():
+    import time
+    start = time.time()
+    for html, n in (("<div>" * 50_000 + "x", 1), ("<article><p>aa bb cc</p></article>" * 20_000, 179_999),
+                    ("<article>" * 20_000 + "x y z", 5), ("<p>a" * 50_000, 99_999)):
+        assert len(main_text.content(html)) == n
+    assert time.time() - start < 30
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "<p>" + "w " * 100_000, 3), (2, "<p>a", None)], "page_id long, html string, n_chars int")
     got = sorted((r.page_id, r.n_chars) for r in main_text.extract(df).collect())
