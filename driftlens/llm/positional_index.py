@@ -8,12 +8,13 @@ written to the shared folder; searching reads it without any shuffle.
 Test items are cut into windows. In a segment a window starts from its rarest term:
 the positions of that term, moved back by the term's offset, are the candidate
 starts, and the lists of the other terms, rarest first, are intersected with them at
-their own offsets. With ``slop`` 0 a surviving start is an exact phrase match; with
-more, every term may lie up to ``slop`` places off, counted from the rarest one (a
-proximity match).
+their own offsets. With ``slop`` 0 a surviving start is an exact phrase match. With more it is a
+proximity match: a place of the document such that every term lies, inside the document,
+at most ``slop`` places from where the phrase starting there has it. All starts near a
+place of the rarest term are tried, so which term that is makes no difference.
 
 Test sets over ``BLOCK_WORDS`` words are searched in blocks, so what a task holds
-does not grow with them."""
+does not grow with them; a further block returns only its hits."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,14 @@ BLOCK_WORDS = 400_000       # test words broadcast at once
 GAP = 64                    # free places between documents, more than any slop
 _CANDIDATES = 1 << 20       # starts intersected at once
 
-INDEX = "doc_ids binary, n_words binary, terms binary, heads binary, positions binary"
-MATCHES = ("doc_id long, n_words long, items array<long>, span_starts array<long>, span_ends array<long>")
+INDEX = "segment long, doc_ids binary, n_words binary, terms binary, heads binary, positions binary"
+MATCHES = ("segment long, row int, doc_id long, n_words long, items array<long>, span_starts array<long>, "
+           "span_ends array<long>")
 
 
 def _segments(terms: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = TaskContext.get().partitionId() << 32
         for b in W.chunks(batches, "text", SEGMENT_BYTES):
             n = b.num_rows
             row, _, _, h = W.split_words(*W.utf8(b.column("text")), "alnum")
@@ -54,9 +58,11 @@ def _segments(terms: np.ndarray | None):
             head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else order
             one = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [one(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)), one(count.astype(np.int32)),
-                 one(h[head]), one(np.append(head, len(h)).astype(np.int32)), one(place.astype(np.int32))],
-                names=["doc_ids", "n_words", "terms", "heads", "positions"])
+                [pa.array([segment]), one(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)),
+                 one(count.astype(np.int32)), one(h[head]), one(np.append(head, len(h)).astype(np.int32)),
+                 one(place.astype(np.int32))],
+                names=["segment", "doc_ids", "n_words", "terms", "heads", "positions"])
+            segment += 1
     return run
 
 
@@ -81,7 +87,8 @@ def windows(items: list[tuple[int, np.ndarray]], size: int = WINDOW):
 
 
 def find(terms, heads, places, win, length, slop: int = 0):
-    """(window, start) of all matches in one segment's postings."""
+    """(window, start) of all matches in one segment's postings. With ``slop`` a start may
+    lie between documents; the caller knows where they begin and end."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(terms) or not len(win):
         return none
@@ -97,7 +104,7 @@ def find(terms, heads, places, win, length, slop: int = 0):
     count = np.where(inside, np.diff(heads)[at], np.iinfo(np.int64).max)
     order = np.argsort(count, axis=1, kind="stable")
     rarest = np.take_along_axis(at, order[:, :1], 1)[:, 0]
-    todo = count.min(axis=1)
+    todo = count.min(axis=1) * (2 * slop + 1)
     part = np.cumsum(todo) // _CANDIDATES
     found_w, found_s = [], []
     for p in np.unique(part):
@@ -105,7 +112,7 @@ def find(terms, heads, places, win, length, slop: int = 0):
         n = todo[w]
         who = np.repeat(w, n)
         step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        start = places[heads[rarest[who]] + step] - order[who, 0]
+        start = places[heads[rarest[who]] + step // (2 * slop + 1)] - order[who, 0] + step % (2 * slop + 1) - slop
         ok = start >= 0
         who, start = who[ok], start[ok]
         for r in range(1, win.shape[1]):
@@ -120,10 +127,13 @@ def find(terms, heads, places, win, length, slop: int = 0):
                 break
         found_w.append(alive[who])
         found_s.append(start)
-    return np.concatenate(found_w), np.concatenate(found_s)
+    w, s = np.concatenate(found_w), np.concatenate(found_s)
+    if slop:  # one start may be near several places of the rarest term
+        w, s = np.unique(np.stack([w, s], axis=1), axis=0).T
+    return w, s
 
 
-def _matches(held, slop: int):
+def _matches(held, slop: int, hits_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, win, length = held.value
         for b in batches:
@@ -135,6 +145,8 @@ def _matches(held, slop: int):
                 base = np.append(0, np.cumsum(n_words + GAP))
                 # a row's words start behind the gaps of the rows before it
                 doc = np.searchsorted(base, start, side="right") - 1
+                ok = start - base[doc] < np.append(n_words, 0)[doc]
+                w, start, doc = w[ok], start[ok], doc[ok]
                 items = [[] for _ in ids]
                 pairs = np.unique(np.stack([doc, owner[w]], axis=1), axis=0) if len(w) else np.zeros((0, 2), np.int64)
                 for d, i in pairs.tolist():
@@ -151,10 +163,12 @@ def _matches(held, slop: int):
                             starts[d].append(s)
                             ends[d].append(e)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(n_words), pa.array(items, longs), pa.array(starts, longs),
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), seg["segment"], np.int64)), pa.array(np.arange(len(ids), dtype=np.int32)),
+                     pa.array(ids), pa.array(n_words), pa.array(items, longs), pa.array(starts, longs),
                      pa.array(ends, longs)],
-                    names=["doc_id", "n_words", "items", "span_starts", "span_ends"])
+                    names=["segment", "row", "doc_id", "n_words", "items", "span_starts", "span_ends"])
+                yield out.filter(pa.array([bool(x) for x in items])) if hits_only else out
     return run
 
 
@@ -174,8 +188,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Null
     and empty texts have no words and match nothing; null or wordless items match
-    nothing; repeated items each count. Document ids must be unique and not null
-    (rows with a null id are left out). Other columns are ignored."""
+    nothing; repeated items each count. Every row with an id is a document of its own, rows
+    of the same id too; rows with a null id are left out. Other columns are ignored.
+    ``slop`` and ``window`` together must not exceed the gap between documents."""
+    if not 0 <= slop <= GAP - window:
+        raise ValueError(f"slop {slop}: 0 to {GAP - window}, for windows of {window} words")
     require_columns(docs, [id_col, text_col], "contamination documents")
     require_columns(benchmark, [item_col, text_col], "contamination benchmark")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
@@ -194,15 +211,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     first = block(0)
     terms = np.unique(np.concatenate([h for _, h in first])) if blocks == 1 and total else None
     index = build_index(src, terms)
-    found = None
+    parts = []
     for i in range(blocks):
         held = sc.broadcast(windows(first if i == 0 else block(i), window))
-        part = index.mapInArrow(_matches(held, slop), MATCHES)
-        found = part if found is None else found.unionAll(part)
-    spans = F.arrays_zip("span_starts", "span_ends")
+        parts.append(index.mapInArrow(_matches(held, slop, i > 0), MATCHES))
+    found = parts[0]
     if blocks > 1:
-        found = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        for part in parts[1:]:
+            found = found.unionAll(part)
+        spans = F.arrays_zip("span_starts", "span_ends")
+        # only what several blocks say of one row is put together; the first block says something of every row
+        found = found.groupBy("segment", "row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
         # join overlapping ranges of different blocks
         joined = F.aggregate("spans", F.array().cast("array<struct<span_starts:bigint,span_ends:bigint>>"), lambda acc, s: F.when(

@@ -222,15 +222,59 @@ def test_contamination_of_nothing(spark):
     assert empty.collect() == []
 
 
-def test_proximity_matches(spark):
-    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c x d e f g h i j"), (3, "b a c d e f g h i j"),
-                                  (4, "a b c x y z d e f g h i j")], "doc_id long, text string")
-    hit = lambda slop: {r.doc_id for r in positional_index.contamination(docs, items, slop=slop).collect() if r.n_hit}
-    assert hit(0) == {1}
-    assert hit(1) == {1, 2}
-    assert hit(2) == {1, 2, 3}
-    assert hit(3) == {1, 2, 3, 4}
+def brute_proximity(docs, items, slop, size=10):
+    """{doc: (hit words, items)}: every start inside a document from which all words of a
+    window are at most ``slop`` places from their own."""
+    out = {}
+    for i, t in docs:
+        w = python_words(t, "alnum")
+        hit, found = set(), set()
+        for item, text in items:
+            v = python_words(text, "alnum")
+            m = min(size, len(v))
+            for k in range(len(v) - m + 1 if m else 0):
+                for s in range(len(w)):
+                    if all(v[k + j] in w[max(s + j - slop, 0):s + j + slop + 1] for j in range(m)):
+                        found.add(item)
+                        hit.update(range(s, min(s + m, len(w))))
+        out[i] = (len(hit), sorted(found))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 3, 20])
+@pytest.mark.parametrize("words,segment", [(400_000, 1 << 20), (30, 100)])
+def test_proximity_equals_brute_force(spark, monkeypatch, slop, words, segment):
+    """Also with other documents in the same segment, and at the heads of documents."""
+    monkeypatch.setattr(positional_index, "BLOCK_WORDS", words)
+    monkeypatch.setattr(positional_index, "SEGMENT_BYTES", segment)
+    rng = random.Random(slop)
+    items = [(1, "a b c d e f g h i j"), (2, "x y"), (3, "a b a b a b c c"), (4, "z"), (5, "k l m n o p q r s t u v a b")]
+    docs = [(1, "a b c d e f g h i j"), (2, "a b c x d e f g h i j"), (3, "b a c d e f g h i j"), (4, "a b c x y z d e f g h i j"),
+            (5, "a b c d e f g h j i"), (6, "a b c d e f g h j i k a b c d e f g h i"), (7, "x y z"),
+            (8, "a b c d e f g h i j k a b c d e f g h i"), (9, ""), (10, None), (11, "y"), (12, "j"), (13, "b c d e f g h i j")]
+    docs += [(20 + i, " ".join(rng.choice("abcdefghijxyz") for _ in range(rng.randrange(40)))) for i in range(30)]
+    got = positional_index.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1),
+                                         spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    rows = {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()}
+    assert rows == brute_proximity(docs, items, slop)
+
+
+def test_slop_beyond_the_gap_is_refused(spark):
+    docs, items = (spark.createDataFrame([(1, "a")], f"{c} long, text string") for c in ("doc_id", "item_id"))
+    for slop in (-1, positional_index.GAP - 9, positional_index.GAP):
+        with pytest.raises(ValueError, match="slop"):
+            positional_index.contamination(docs, items, slop=slop)
+
+
+@pytest.mark.parametrize("words", [400_000, 10])
+def test_rows_of_one_id_are_documents_of_their_own(spark, monkeypatch, words):
+    monkeypatch.setattr(positional_index, "BLOCK_WORDS", words)
+    docs = [(1, "a b c d e f g h i j"), (1, "x"), (1, "a b c d e f g h i j"), (2, "k l m n o p q r s t"), (2, None)]
+    items = [(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t"), (3, "u v w"), (4, "x y z")]
+    got = positional_index.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(2),
+                                         spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == [
+        (1, 1, 0, []), (1, 10, 10, [1]), (1, 10, 10, [1]), (2, 0, 0, []), (2, 10, 10, [2])]
 
 
 # ---- line templates
