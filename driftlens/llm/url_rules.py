@@ -2,9 +2,11 @@
 operations only.
 
 Given rules (host, path) come first: the longest one that fits decides. For the other
-urls Spark's FP-growth mines token combinations of labelled urls that foretell a block;
-rules pruned by support and confidence, and by any more general rule that is as sure,
-are indexed by their rarest token. Distinct token sets, not pages, are matched."""
+urls Spark's FP-growth mines the token combinations of the blocked labelled urls; how sure
+they foretell a block is counted over all labelled urls, by their rarest token. Rules
+pruned by support and confidence, and by any more general rule that is as sure, are
+indexed by their rarest token too. Distinct token sets, not pages, are matched. Support is
+a number of rows: the same labels give the same rule in a table of any size."""
 
 from __future__ import annotations
 
@@ -17,9 +19,7 @@ from pyspark.sql import functions as F
 from ..checks import broadcast_if_bounded, require_columns
 from .scratch import materialise
 
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
-MIN_ROWS = 20            # labelled urls behind a rule, however few there are in all
-BLOCK_ITEM = "=block"
+MIN_ROWS, MIN_CONFIDENCE = 20, 0.5   # blocked urls behind a rule, and their share of the urls that it fits
 MAX_RULES = 1_000_000    # broadcast up to this many
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,27 +70,36 @@ def tokens() -> F.Column:
     return F.array_sort(F.array_distinct(F.concat(some, words, keys, mark)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def _with_anchor(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``sets`` (antecedent) with the rarest of their tokens by ``counts`` (token, count)."""
+    rarest = (sets.select("antecedent", F.explode("antecedent").alias("token")).join(counts, "token")
+              .groupBy("antecedent").agg(F.min(F.struct("count", "token")).alias("m")))
+    return sets.join(rarest.select("antecedent", F.col("m.token").alias("anchor")), "antecedent")
+
+
+def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, confidence, support, anchor) of the block rules of ``labelled``
-    (tokens array<string>, block boolean); a null label or an empty token set teaches
-    nothing. The relative support bounds the number of frequent tokens, and so what
-    FP-growth holds, whatever the size of the input."""
-    schema = "antecedent array<string>, confidence double, support double, anchor string"
-    items = labelled.where("block is not null and size(tokens) > 0").select(
-        F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens")).alias("items"))
-    items = materialise(items)
-    n = items.count()
-    if n < MIN_ROWS:
+    (tokens array<string>, block boolean): token sets that ``min_rows`` blocked urls or
+    more hold (support), and that foretell a block with ``min_confidence``. A null label
+    or an empty token set teaches nothing."""
+    schema = "antecedent array<string>, confidence double, support long, anchor string"
+    items = materialise(labelled.where("block is not null and size(tokens) > 0").groupBy("tokens").agg(
+        F.count("*").alias("n"), F.count_if("block").alias("n_block")))
+    n = items.agg(F.sum("n_block")).first()[0] or 0
+    if n < min_rows:
         return labelled.sparkSession.createDataFrame([], schema)
-    fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_ROWS / n)), minConfidence=min_confidence).fit(items)
-    rules = materialise(fitted.associationRules.where(F.col("consequent")[0] == BLOCK_ITEM)
-                        .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+    blocked = items.select("tokens", F.explode(F.array_repeat(F.lit(1), F.col("n_block").cast("int")))).select("tokens")
+    # half a row less, so that rounding does not ask for one row more
+    fitted = FPGrowth(itemsCol="tokens", minSupport=(min_rows - 0.5) / n, minConfidence=1.0).fit(blocked)
+    often = materialise(fitted.freqItemsets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("support")))
+    counts = items.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("count"))
+    often = materialise(_with_anchor(often, counts))
+    fits = (items.withColumn("anchor", F.explode("tokens")).join(broadcast_if_bounded(often, MAX_RULES), "anchor")
+            .where(F.size(F.array_except("antecedent", "tokens")) == 0)
+            .groupBy("antecedent", "support", "anchor").agg(F.sum("n").alias("n")))
+    rules = materialise(fits.withColumn("confidence", F.col("support") / F.col("n")).where(
+        F.col("confidence") >= min_confidence).select("antecedent", "confidence", "support", "anchor"))
     # a rule falls to a more general one that is as sure; both hold the general one's anchor
-    counts = items.select(F.explode("items").alias("token")).groupBy("token").count()
-    rarest = (rules.select("antecedent", F.explode("antecedent").alias("token")).join(counts, "token")
-              .groupBy("antecedent").agg(F.min(F.struct("count", "token")).alias("m"))
-              .select("antecedent", F.col("m.token").alias("anchor")))
-    rules = materialise(rules.join(rarest, "antecedent").select("antecedent", "confidence", "support", "anchor"))
     general = rules.select(F.col("antecedent").alias("g"), F.col("confidence").alias("gc"), F.col("anchor").alias("token"))
     spread = rules.withColumn("token", F.explode("antecedent"))
     weaker = (spread.join(broadcast_if_bounded(general, MAX_RULES), "token")
@@ -111,7 +120,7 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url",
-          label_id: str = "doc_id", min_support: float = MIN_SUPPORT,
+          label_id: str = "doc_id", min_rows: int = MIN_ROWS,
           min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """One row per page: page_id, host, path, rule (given rule that decided, else null),
     verdict (allow or block), mined (antecedent of the mined rule that fits, else null)
@@ -125,7 +134,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str =
     src = materialise(src.select("page_id", "host", "path", tokens().alias("tokens")))
     known = labels.select(F.col(label_id).alias("page_id"), "block").where("block is not null and page_id is not null").groupBy(
         "page_id").agg(F.max("block").alias("block"))
-    mined = mine(src.join(known, "page_id").select("tokens", "block"), min_support, min_confidence)
+    mined = mine(src.join(known, "page_id").select("tokens", "block"), min_rows, min_confidence)
     sets = src.select("tokens").where(F.size("tokens") > 0).distinct()
     blocked = materialise(match(sets, materialise(mined)))
     out = src.join(broadcast_if_bounded(blocked, MAX_RULES), "tokens", "left")

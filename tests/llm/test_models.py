@@ -516,8 +516,7 @@ def test_given_rules_and_parts(spark):
     assert url_rules.judge(pages.limit(0), none, rules).collect() == []
 
 
-def test_mined_rules_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(url_rules, "MIN_ROWS", 5)
+def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(12)
     rows = []
     for i in range(200):
@@ -528,13 +527,12 @@ def test_mined_rules_equal_brute_force(spark, monkeypatch):
     toks = {r.page_id: frozenset(r.t) for r in url_rules.with_parts(pages).select("page_id", url_rules.tokens().alias("t")).collect()}
     known = [(toks[i], b) for i, _, b in rows if b is not None]
     sets = {frozenset(c) for t, _ in known for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
-    need = max(url_rules.MIN_SUPPORT, 5 / len(known)) * len(known)
     conf = {}
     for s in sets:
         hit = [b for t, b in known if s <= t]
-        if sum(hit) >= need and sum(hit) / len(hit) >= url_rules.MIN_CONFIDENCE:
+        if sum(hit) >= 5 and sum(hit) / len(hit) >= url_rules.MIN_CONFIDENCE:
             conf[s] = sum(hit) / len(hit)
-    got = {r.page_id: (r.verdict, r.confidence) for r in url_rules.judge(pages, labels, []).collect()}
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_rules.judge(pages, labels, [], min_rows=5).collect()}
     assert conf
     for i, _, _ in rows:
         best = max((c for s, c in conf.items() if s <= toks[i]), default=None)
@@ -542,6 +540,49 @@ def test_mined_rules_equal_brute_force(spark, monkeypatch):
         assert got[i][1] == (pytest.approx(best) if best else None)
 
 
+@pytest.mark.parametrize("others", [0, 1000, 30_000])
+def test_a_rule_needs_rows_not_a_share(spark, others):
+    """Twenty blocked urls of a host are a rule among any number of other labels, nineteen none."""
+    bad = [(i, f"http://bad.net/x{'abcdefghijklmnopqrst'[i]}/y", True) for i in range(20)]
+    few = [(100 + i, f"http://few.net/z{'abcdefghijklmnopqrs'[i]}/y", True) for i in range(19)]
+    rows = [*bad, *few, (200, "http://bad.net/new", None), (201, "http://few.net/new", None), (202, "http://c.net/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    more = spark.range(1000, 1000 + others).select(
+        "id", F.concat(F.lit("http://ok.net/p/"), F.col("id") % 50), F.lit(False))
+    df = df.unionAll(more)
+    got = {r.page_id: r.verdict for r in url_rules.judge(df.select("page_id", "url"), df.selectExpr("page_id AS doc_id", "block"),
+                                                        []).where("page_id < 1000").collect()}
+    assert got[200] == "block" and got[201] == ("block" if not others else "allow") and got[0] == "block"
+
+
+def test_given_rules_equal_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF_SMALL}/pages.parquet')")
+    want = con.execute("""
+      WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+      p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                   AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+      rules(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                                ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+      SELECT page_id, host, path, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
+      FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL""").fetchall()
+    from driftlens.llm.queries import op10_url_filter
+    got = {r.page_id: r for r in op10_url_filter(spark, SF_SMALL).collect()}
+    assert len(got) == len(want) and sum(w[3] is not None for w in want) > 10
+    for page, host, path, rule, verdict in want:
+        assert (got[page].host, got[page].path, got[page].rule) == (host, path, rule)
+        assert rule is None or got[page].verdict == verdict
+
+
+def test_urls_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "http://a.org/x", "h", "p", "b")] * 2 + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, tokens string")
+    got = url_rules.judge(df, spark.createDataFrame([(1, True)], "doc_id long, block boolean"), []).collect()
+    assert sorted((r.page_id or 0, r.host, r.path, r.verdict) for r in got) == [
+        (0, "", "", "allow"), (1, "a.org", "/x", "allow"), (1, "a.org", "/x", "allow")]
+
+
 def test_url_filter_stays_in_the_jvm(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     labels = spark.range(len(URLS)).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).alias("block"))
