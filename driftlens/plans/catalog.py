@@ -428,6 +428,7 @@ from ..operators import mllib as ML  # noqa: E402
 from ..operators import naive_bayes as NB  # noqa: E402
 from ..operators import nb_long as NL  # noqa: E402
 from ..operators import split as SP  # noqa: E402
+from ..operators import subwords as SW  # noqa: E402
 from ..operators import tokens as TK  # noqa: E402
 
 
@@ -479,6 +480,26 @@ def q_truncation_report(spark, sf_dir):
     return r6(TK.truncation_report(TK.token_windows(views.texts(spark, sf_dir))))
 
 
+def _vocabulary(spark, sf_dir):
+    """The words of the benchmark as pieces, and their characters."""
+    bench = read_table(spark, sf_dir, "benchmark", ["text"])
+    return SW.vocabulary_of(bench.select(F.explode(TK.tokenize("text")).alias("word")).distinct())
+
+
+@register("subword_window")
+def q_subword_window(spark, sf_dir):
+    """Every text as a window of 128 subwords, two of them marks."""
+    voc = _vocabulary(spark, sf_dir)
+    w = SW.spelled(SW.subword_windows(views.texts(spark, sf_dir), voc, keep=("row_id", "dataset")), voc)
+    return w.select("row_id", "dataset", "n_subwords", "n_unknown", "n_kept", "truncated",
+                    F.array_join("pieces", " ").alias("window"))
+
+
+@register("subword_report")
+def q_subword_report(spark, sf_dir):
+    return r6(SW.subword_report(SW.subword_windows(views.texts(spark, sf_dir), _vocabulary(spark, sf_dir), keep=("dataset",))))
+
+
 @register("nb_model")
 def q_nb_model(spark, sf_dir):
     return r6(_nb_model(spark, sf_dir).long_table("label"))

@@ -542,6 +542,48 @@ FROM documents GROUP BY source
 """
 
 
+# ---- subword windows ----------------------------------------------------------------------
+
+# The longest piece that starts the rest of a word is taken until nothing is left; a word with a
+# rest that no piece starts stays unfinished and is unknown.
+SUBWORD_CTE = f"""
+words(word) AS (SELECT DISTINCT unnest({TOK}) FROM benchmark),
+voc(piece) AS MATERIALIZED (SELECT word FROM words UNION SELECT unnest(string_split(word, '')) FROM words),
+longest AS (SELECT max(length(piece)) AS n FROM voc),
+toks AS MATERIALIZED (
+  SELECT row_id, dataset, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+|[^\\p{{Z}}\\p{{Cc}}\\p{{L}}\\p{{N}}]') AS ws FROM texts),
+w0 AS (SELECT DISTINCT unnest(ws) AS word FROM toks),
+cut(word, rest, parts) AS (
+  SELECT word, word, CAST([] AS VARCHAR[]) FROM w0 WHERE length(word) <= 100
+  UNION ALL
+  SELECT word, substr(rest, m + 1), list_append(parts, CASE WHEN len(parts) > 0 THEN '##' ELSE '' END || substr(rest, 1, m))
+  FROM (SELECT word, rest, parts, max(l) AS m
+        FROM (SELECT word, rest, parts, unnest(range(1, least(length(rest), (SELECT n FROM longest)) + 1)) AS l FROM cut WHERE rest <> '') c
+        JOIN voc ON voc.piece = substr(c.rest, 1, l) GROUP BY word, rest, parts)),
+done AS MATERIALIZED (
+  SELECT w0.word, coalesce(any_value(parts) FILTER (rest = ''), ['[UNK]']) AS parts, count(*) FILTER (rest = '') = 0 AS lost
+  FROM w0 LEFT JOIN cut USING (word) GROUP BY w0.word),
+each AS (SELECT row_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM toks),
+doc AS (SELECT row_id, flatten(list(parts ORDER BY place)) AS parts, count(*) FILTER (lost) AS n_unknown FROM each JOIN done USING (word) GROUP BY row_id),
+sub AS (SELECT row_id, dataset, coalesce(doc.parts, []) AS parts, coalesce(n_unknown, 0) AS n_unknown FROM toks LEFT JOIN doc USING (row_id))
+"""
+
+ORACLE["subword_window"] = _w(TEXTS_CTE, SUBWORD_CTE).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT row_id, dataset, CAST(len(parts) AS BIGINT) AS n_subwords, n_unknown, CAST(len(parts[1:126]) + 2 AS INTEGER) AS n_kept,
+       len(parts) > 126 AS truncated,
+       array_to_string(list_concat(['[CLS]'], parts[1:126], ['[SEP]'],
+                                   ['[PAD]' FOR x IN range(126 - len(parts[1:126]))]), ' ') AS window
+FROM sub
+"""
+
+ORACLE["subword_report"] = _w(TEXTS_CTE, SUBWORD_CTE).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT dataset, count(*) AS n_rows, CAST(sum(CAST(len(parts) > 126 AS BIGINT)) AS BIGINT) AS n_truncated,
+       CAST(sum(len(parts)) AS BIGINT) AS subwords_total, CAST(sum(least(len(parts), 126)) AS BIGINT) AS subwords_kept,
+       CAST(sum(n_unknown) AS BIGINT) AS n_unknown, round(avg(CAST(len(parts) > 126 AS DOUBLE)), 6) AS share_truncated
+FROM sub GROUP BY dataset
+"""
+
+
 # ---- training in epochs -------------------------------------------------------------------
 
 def _h60(text: str) -> str:
