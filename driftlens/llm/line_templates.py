@@ -58,9 +58,9 @@ def _leaf() -> F.Column:
 def copy_groups(held: DataFrame) -> DataFrame:
     """(doc_id, witness) of the documents that have copies: the smallest id of their group.
     ``held`` has the distinct (doc_id, leaf) of all documents."""
-    often = held.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("doc_id").alias("hub")).where("docs > 1")
+    often = materialise(held.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("doc_id").alias("hub")).where("docs > 1"))
     size = held.groupBy("doc_id").agg(F.count("*").alias("size"))
-    shared = materialise(held.join(often, "leaf").select("doc_id", "leaf", "hub"))
+    shared = materialise(held.join(broadcast_if_bounded(often, BROADCAST_ROWS), "leaf").select("doc_id", "leaf", "hub"))
     # k leaves in common are at least COPY_SIMILARITY of either set
     able = shared.groupBy("doc_id").agg(F.count("*").alias("n")).join(size, "doc_id").where(
         F.col("n") >= COPY_SIMILARITY * F.col("size")).select("doc_id", "size")
