@@ -380,6 +380,42 @@ def q_csv_roundtrip(spark, sf_dir):
         remove_path(spark, path)
 
 
+@register("page_source")
+def q_page_source(spark, sf_dir):
+    """The documents landed as a file per page of 100, read back through the page source."""
+    from ..session import cut_lineage, ensure_checkpoint_dir, remove_path
+    from ..sources.page_source import read_pages
+    path = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    D.document_envelopes(spark, sf_dir, PAGE_SIZE).write.partitionBy("page").text(path)
+    try:
+        rows = read_pages(spark, path, "id long, text string, lang string", PAGE_SIZE)
+        return cut_lineage(rows.select("row_index", "page", "pos", "id", "lang", "text"))
+    finally:
+        remove_path(spark, path)
+
+
+@register("csv_quarantine")
+def q_csv_quarantine(spark, sf_dir):
+    """Documents exported as CSV, some with a length that is no number and some without a
+    language, split into rows and rejects with their reasons."""
+    from ..session import cut_lineage, ensure_checkpoint_dir, remove_path
+    from ..sources import files as FS
+    path = f"{ensure_checkpoint_dir(spark)}/quarantine-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "n_chars"])
+    bad = F.col("n_chars").cast("string")
+    cells = docs.select("doc_id", "text", F.when(F.pmod("doc_id", F.lit(5)) == 0, "NA").otherwise(F.col("lang")).alias("lang"),
+                        F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(bad, F.lit(" characters"))).otherwise(bad).alias("n_chars"))
+    FS.write_csv(cells, f"{path}/in")
+    try:
+        q = FS.quarantine_csv(spark, f"{path}/in", "doc_id long, text string, lang string, n_chars long", f"{path}/out",
+                              required=["doc_id", "lang"])
+        both = q.rows.withColumn("reason", F.lit(None).cast("string")).unionByName(q.rejects.drop(FS.RECORD))
+        return cut_lineage(both.select("doc_id", "lang", "n_chars", "reason", F.lit(q.counts["kept"]).alias("n_kept"),
+                                       F.lit(q.counts["rejected"]).alias("n_rejected")))
+    finally:
+        remove_path(spark, path)
+
+
 @register("load_report")
 def q_load_report(spark, sf_dir):
     """What the load of the texts counts while it writes them."""

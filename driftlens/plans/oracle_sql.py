@@ -542,6 +542,17 @@ FROM documents GROUP BY source
 """
 
 
+ORACLE["page_source"] = ORACLE["json_envelope"]
+
+ORACLE["csv_quarantine"] = """
+WITH c AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang,
+         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS n_chars FROM documents),
+r AS (SELECT *, CASE WHEN n_chars IS NULL THEN 'damaged' WHEN lang IS NULL THEN 'missing lang' END AS reason FROM c)
+SELECT *, count(*) FILTER (reason IS NULL) OVER () AS n_kept, count(*) FILTER (reason IS NOT NULL) OVER () AS n_rejected FROM r
+"""
+
+
 # ---- subword windows ----------------------------------------------------------------------
 
 # The longest piece that starts the rest of a word is taken until nothing is left; a word with a
