@@ -416,6 +416,29 @@ def q_csv_quarantine(spark, sf_dir):
         remove_path(spark, path)
 
 
+@register("sketch_report")
+def q_sketch_report(spark, sf_dir):
+    """Users and values of every event type from stored daily sketches, merged without the
+    events, and whether they are within the stated errors of the exact figures."""
+    from ..operators import sketches as SK
+    from ..session import write_scratch
+    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"]).select(
+        F.col("event_type").alias("dataset"), F.to_date("ts").alias("day"), F.col("user_id").alias("label"), "value")
+    stored = write_scratch(SK.daily_sketches(ev, "label", "value"))
+    got = SK.read_sketches(SK.merge_sketches(stored))
+    exact = ev.groupBy("dataset").agg(F.countDistinct("label").alias("users"), F.count("value").alias("n_values"))
+    # the rank of an estimated quantile among the exact values
+    ranks = ev.join(F.broadcast(got.select("dataset", "q25", "q50", "q75")), "dataset").groupBy("dataset").agg(
+        *[F.struct(F.avg((F.col("value") < F.col(q)).cast("double")).alias("below"),
+                   F.avg((F.col("value") <= F.col(q)).cast("double")).alias("upto")).alias(q) for q in ("q25", "q50", "q75")])
+    near = [(F.col(f"r.{q}.below") <= p + SK.RANK_ERROR) & (F.col(f"r.{q}.upto") >= p - SK.RANK_ERROR)
+            for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+    out = got.join(exact, "dataset").join(ranks.select("dataset", F.struct("q25", "q50", "q75").alias("r")), "dataset")
+    return r6(out.select("dataset", "n", "least", "most",
+                         (F.abs(F.col("n_distinct") - F.col("users")) <= F.greatest(SK.DISTINCT_ERROR * F.col("users"), F.lit(1)))
+                         .alias("distinct_ok"), (near[0] & near[1] & near[2]).alias("quantiles_ok")))
+
+
 @register("load_report")
 def q_load_report(spark, sf_dir):
     """What the load of the texts counts while it writes them."""

@@ -542,6 +542,12 @@ FROM documents GROUP BY source
 """
 
 
+ORACLE["sketch_report"] = """
+SELECT event_type AS dataset, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most,
+       TRUE AS distinct_ok, TRUE AS quantiles_ok
+FROM events GROUP BY event_type
+"""
+
 ORACLE["page_source"] = ORACLE["json_envelope"]
 
 ORACLE["csv_quarantine"] = """
