@@ -31,6 +31,7 @@ from ..operators import nb_long as NL
 from ..operators import shift as S
 from ..operators import split as SP
 from ..operators.observed import write_counted, write_observed
+from ..session import scratch_scope
 from ..sources.files import write_parquet
 from ..sources.lookup import issue_lists, issue_scan, ranked_lookup, read_json_arrays
 from ..sources.paging import assemble_pages, read_landed_pages
@@ -215,19 +216,20 @@ def run(spark: SparkSession, sf_dir: str | None, out_dir: str, stages=STAGES, re
         if resume and _up_to_date(spark, sf_dir, out_dir, st, landed, report_params):
             done[st] = None
             continue
-        if st == "ingest":
-            if landed is None:
-                ingest(spark, sf_dir, out_dir)
+        with scratch_scope(spark):   # a stage has written its outputs when it returns
+            if st == "ingest":
+                if landed is None:
+                    ingest(spark, sf_dir, out_dir)
+                else:
+                    ingest_landed(spark, out_dir, **landed)
+            elif st == "train":
+                train(spark, out_dir)
+            elif st == "predict":
+                predict(spark, out_dir)
+            elif st == "analyze":
+                analyze(spark, out_dir)
             else:
-                ingest_landed(spark, out_dir, **landed)
-        elif st == "train":
-            train(spark, out_dir)
-        elif st == "predict":
-            predict(spark, out_dir)
-        elif st == "analyze":
-            analyze(spark, out_dir)
-        else:
-            report(spark, out_dir, **report_params)
+                report(spark, out_dir, **report_params)
         done[st] = out_dir
     return done
 

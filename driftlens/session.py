@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,12 +92,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: list[list[str]] = []   # scratch paths made inside the open scopes
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, removed by the scope that it is made in."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove the scratch tables made inside once the block is left: for work whose result
+    has been written or collected by then. A table that shall outlive an inner scope is
+    written after it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_path(spark, path)
+
+
 def write_scratch(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the checkpoint folder and read back: like
     ``cut_lineage``, but with column pruning and pushed filters for tables that are
     read several times."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "scratch")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,7 @@ from driftlens.operators import observed as OB
 from driftlens.plans import manifest as MF
 from driftlens.plans import pipeline as P
 from driftlens.plans import views
+from driftlens.session import ensure_checkpoint_dir, scratch_path, scratch_scope
 from driftlens.sources import positions as PO
 from tests.conftest import SF_SMALL
 
@@ -70,6 +71,22 @@ def test_outputs_that_do_not_belong_together_are_refused(spark, tmp_dir):
     P.run(spark, SF_SMALL, out, stages=("train", "predict"))
 
 
+def test_a_run_leaves_no_scratch_tables(spark, tmp_dir):
+    shared = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
+    folder = shared.removeprefix("file:")
+    before = {f for f in os.listdir(folder) if f.startswith("scratch-")}
+    P.run(spark, SF_SMALL, f"{tmp_dir}/out", stages=("ingest", "train", "predict"))
+    assert {f for f in os.listdir(folder) if f.startswith("scratch-")} <= before
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        path = scratch_path(spark, "scratch")
+        spark.range(3).write.parquet(path)
+        with scratch_scope(spark):
+            spark.range(3).write.parquet(scratch_path(spark, "scratch"))
+        assert os.path.isdir(path.removeprefix("file:"))
+        1 / 0
+    assert {f for f in os.listdir(folder) if f.startswith("scratch-")} <= before
+
+
 def test_counts_of_a_run(spark, tmp_dir):
     out = f"{tmp_dir}/out"
     P.run(spark, SF_SMALL, out, stages=("ingest", "train", "predict"))
