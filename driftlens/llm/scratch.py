@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import scratch_path
 
-from ..session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["materialise", "scratch_path"]
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     Cuts the lineage, so a lost executor costs no recomputation of what came
-    before, and the result can be read several times with column pruning."""
+    before, and the result can be read several times with column pruning. An open
+    ``session.scratch_scope`` removes the table when it is left."""
     spark = df.sparkSession
     path = scratch_path(spark, "llm")
     w = df.write
