@@ -12,6 +12,7 @@ from driftlens.checks import broadcast_if_bounded
 from driftlens.llm import line_templates, pieces, positional_index, superminhash, toxicity
 from driftlens.llm.queries import held_out
 from driftlens.llm.scratch import materialise
+from driftlens.session import scratch_path, scratch_scope
 from driftlens.sources.tables import read_table
 
 #: Ids are broadcast up to this many (8 bytes each), and sorted and merged beyond.
@@ -69,7 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages leave. What a stage made on its way is removed once
+    its result is written; the results themselves stay, as the folder's owner decides."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
+        with scratch_scope(spark):
+            left = stage(spark, docs, sf_dir)
+            left.write.parquet(path)
+        docs = spark.read.schema(left.schema).parquet(path)
     return docs
