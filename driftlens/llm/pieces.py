@@ -30,6 +30,8 @@ MARK = 0x2581
 KEPT_UNITS = 200_000   # encoded units kept by a task; beyond, it starts anew
 PAIR_SLOTS = 1 << 19   # table of pair verdicts; emptied when half full
 CHUNK_BYTES = 1 << 20
+PAIR_BITS = 1 << 20    # table of neighbouring characters
+LONG, SPAN, OVERLAP = 512, 256, 64   # units longer than LONG are encoded in overlapping spans
 _BATCH = 1 << 18       # lattice cells at once
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -39,6 +41,10 @@ def _value(cp: np.ndarray) -> np.ndarray:
     return W.mix(cp.astype(np.uint64) + np.uint64(0x51ED270B))
 
 
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x.astype(np.uint64) * _P ^ y.astype(np.uint64)) * _P >> np.uint64(64 - PAIR_BITS.bit_length() + 1)).astype(np.int64)
+
+
 def load_vocabulary(path: str = DEFAULT_MODEL) -> dict:
     """Plain arrays of a SentencePiece model; bounded by the vocabulary."""
     import sentencepiece
@@ -65,6 +71,9 @@ def load_vocabulary(path: str = DEFAULT_MODEL) -> dict:
         size[i] = len(texts[i])
         cps[i, :size[i]] = [ord(c) for c in texts[i]]
     v = _value(cps)
+    inner = np.arange(longest - 1)[None, :] < (size - 1)[:, None]
+    pairs = np.zeros(PAIR_BITS, bool)    # by a hash: two characters that stand together in some piece
+    pairs[_pair(cps[:, :-1], cps[:, 1:])[inner]] = True
     pw = W.powers(_P, longest)
     h = np.zeros(n, np.uint64)
     for k in range(longest):  # the first character has the highest power
@@ -74,7 +83,7 @@ def load_vocabulary(path: str = DEFAULT_MODEL) -> dict:
     lens = np.array([len(r) for r in raw], np.int64)
     return {"keys": h[by], "ids": by.astype(np.int64), "rank": rank, "size": size, "hash": h, "longest": longest,
             "singles": np.sort(cps[plain[size[plain] == 1], 0]), "used": np.unique(cps[plain])[1:],
-            "powers": pw, "byte_id": byte_id, "cps": cps, "raw": np.frombuffer(b"".join(raw), np.uint8),
+            "pairs": pairs, "powers": pw, "byte_id": byte_id, "cps": cps, "raw": np.frombuffer(b"".join(raw), np.uint8),
             "raw_at": np.append(0, np.cumsum(lens)), "unknown": sp.unk_id()}
 
 
@@ -239,6 +248,40 @@ class Encoder:
         keep = np.arange(length)[None, :] >= (length - count)[:, None]
         return count, ids[keep].astype(np.int32)
 
+    def encode_long(self, cp: np.ndarray, start: int, size: int, shift: int | None = None) -> np.ndarray | None:
+        """Ids of one long unit from spans that overlap and advance together, None if they
+        do not fit. Neighbouring spans are joined at a place where both have a border and
+        the piece after it may follow the piece before it: then every neighbouring pair of
+        the whole is admissible, and there is only one such path. Spans of a repeated
+        pattern may never fit, as each begins it anew; they are tried again, begun ``shift``
+        places later, where the first one has a border."""
+        cut = np.arange(0, size, SPAN)
+        low, high = np.maximum(cut - OVERLAP, 0), np.minimum(cut + SPAN + OVERLAP, size)
+        low[1:] = np.minimum(low[1:] + (shift or 0), cut[1:])
+        count, ids = self.encode_units(cp, start + low, high - low)
+        span = np.repeat(np.arange(len(cut)), count)
+        n = self.size[ids]
+        end = np.cumsum(n)
+        first = np.append(0, np.cumsum(count))[:-1]
+        end = end - np.repeat(end[first] - n[first] - low, count)
+        begin = end - n
+        # borders of a span near its end, and of the next span near its start, by (join, place)
+        left = np.flatnonzero((span < len(cut) - 1) & (end >= cut[np.minimum(span + 1, len(cut) - 1)] - OVERLAP))
+        right = np.flatnonzero((span > 0) & (begin <= cut[span] + OVERLAP))
+        key = lambda join, place: join * (size + 1) + place
+        _, a, b = np.intersect1d(key(span[left] + 1, end[left]), key(span[right], begin[right]), return_indices=True)
+        a, b = left[a], right[b]
+        ok = self.follows(ids[a], ids[b])
+        join, place = span[b][ok], begin[b][ok]
+        order = np.lexsort((np.abs(place - cut[join]), join))
+        join, place = join[order], place[order]
+        near = np.append(True, join[1:] != join[:-1]) if len(join) else np.zeros(0, bool)
+        if int(near.sum()) != len(cut) - 1:
+            after = end[(span == 0) & (end >= low[1])] - low[1] if shift is None else end[:0]
+            return self.encode_long(cp, start, size, int(after.min())) if len(after) else None
+        border = np.concatenate([[0], place[near], [size]])
+        return ids[(begin >= border[span]) & (end <= border[span + 1])]
+
     def encode_units(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray):
         """(counts, ids in order) of units given by their place in ``cp``; a unit of one
         character that the vocabulary lacks becomes its UTF-8 bytes."""
@@ -249,6 +292,11 @@ class Encoder:
             ids = self.byte_id[list(chr(int(cp[start[u]])).encode("utf-8"))]
             parts.append((np.array([u]), np.array([len(ids)]), ids))
         plain = np.flatnonzero(~strange)
+        for u in plain[size[plain] > LONG].tolist():
+            ids = self.encode_long(cp, int(start[u]), int(size[u]))
+            if ids is not None:
+                parts.append((np.array([u]), np.array([len(ids)]), ids))
+                plain = plain[plain != u]
         plain = plain[np.argsort(-size[plain], kind="stable")]
         i = 0
         while i < len(plain):  # rows of a matrix have at least half the longest one's size
@@ -282,6 +330,7 @@ class Encoder:
         alone = ~self.in_use[cp]
         head = mark.copy()
         head[1:] &= ~mark[:-1]
+        head[1:] |= ~self.pairs[_pair(cp[:-1], cp[1:])]   # no piece holds both: no merge can join them
         head |= alone
         head[1:] |= alone[:-1]
         head[at[:-1][some]] = True

@@ -287,6 +287,52 @@ def test_decode_of_any_ids(spark):
     assert got == ["é" + sp.id_to_piece(400).replace("▁", " "), "", "", sp.decode([28705, 28705, 500])]
 
 
+def long_units(rng):
+    syllables = ["the", "a", "b", "ing", "er", "st", "é", "ñ", "q", "z", "Q", "0", "1", ".", "-", "日", "ti", "on", "=="]
+    yield from ("".join(rng.choice(syllables) for _ in range(rng.randrange(300, 4000))) for _ in range(40))
+    yield from ("a" * 5000, "=" * 3000 + "a" * 3000, "ab" * 2000, "the" * 2000, " " * 3000, "x" * 511, "x" * 512, "x" * 513)
+    yield "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(5000))
+    yield "".join(rng.choice("ab") for _ in range(20_000)) + " word " + "".join(rng.choice("abcdefgh") for _ in range(3000))
+
+
+def test_long_units_equal_the_library(spark):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    enc = pieces.Encoder(pieces.load_vocabulary())
+    texts = list(long_units(random.Random(6)))
+    at, ids = enc.encode(*W.utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == sp.encode(t), t[:50]
+
+
+def test_unspaced_text_is_not_much_slower(spark):
+    """A text without a space takes at most ten times as long as one with spaces, and spans
+    that do not fit still give the library's ids."""
+    import time
+    texts = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect() if r.text]
+    spaced = " ".join(texts)[:400_000]
+
+    def seconds(t):
+        enc, start = pieces.Encoder(vocabulary), time.time()
+        enc.encode(*W.utf8(pa.array([t])))
+        return time.time() - start
+
+    vocabulary = pieces.load_vocabulary()
+    bare = "".join(spaced.split())
+    rng = random.Random(1)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x5800)) for _ in range(100_000))
+    for t in (bare, chinese):
+        assert seconds(t) / len(t) < 10 * seconds(spaced) / len(spaced) + 1e-7
+
+
+def test_spans_that_do_not_fit(monkeypatch):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    monkeypatch.setattr(pieces.Encoder, "encode_long", lambda *_: None)
+    enc, t = pieces.Encoder(pieces.load_vocabulary()), "theingst" * 100
+    assert enc.encode(*W.utf8(pa.array([t])))[1].tolist() == sp.encode(t)
+
+
 # ---- pages
 
 PROSE = "Plain words follow one another here without any mark. "
