@@ -42,17 +42,18 @@ def load_rows(seen: Observation, datasets) -> list[tuple]:
     return [(d, *[got[f"{n}_{i}"] for n in names]) for i, d in enumerate(datasets)]
 
 
-def write_observed(df: DataFrame, path: str, datasets, partition_by=None, **names) -> DataFrame:
-    """Write ``df`` as Parquet and return its load report, one row per dataset."""
+def write_observed(df: DataFrame, path: str, datasets, partition_by=None, write=write_parquet, **names) -> DataFrame:
+    """Write ``df`` (as Parquet, or by ``write(rows, path, partition_by=...)``) and return its
+    load report, one row per dataset."""
     rows, seen = observe_load(df, datasets, **names)
-    write_parquet(rows, path, partition_by=partition_by)
+    write(rows, path, partition_by=partition_by)
     return df.sparkSession.createDataFrame(load_rows(seen, datasets), REPORT)
 
 
-def write_counted(df: DataFrame, path: str, partition_by=None, **conditions: Column) -> dict:
-    """Write ``df`` as Parquet and return how many of its rows meet each condition."""
+def write_counted(df: DataFrame, path: str, partition_by=None, write=write_parquet, **conditions: Column) -> dict:
+    """Write ``df`` and return how many of its rows meet each condition."""
     seen = Observation()
-    write_parquet(df.observe(seen, *[_count(c).alias(n) for n, c in conditions.items()]), path, partition_by=partition_by)
+    write(df.observe(seen, *[_count(c).alias(n) for n, c in conditions.items()]), path, partition_by=partition_by)
     return dict(seen.get)
 
 

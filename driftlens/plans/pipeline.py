@@ -32,6 +32,7 @@ from ..operators import shift as S
 from ..operators import split as SP
 from ..operators.observed import write_counted, write_observed
 from ..session import scratch_scope
+from ..sources.bucketed import read_bucketed, write_bucketed
 from ..sources.files import write_parquet
 from ..sources.lookup import issue_lists, issue_scan, ranked_lookup, read_json_arrays
 from ..sources.paging import assemble_pages, read_landed_pages
@@ -66,9 +67,15 @@ def _inputs(spark: SparkSession, out_dir: str, stage: str) -> str:
     return ",".join(f"{r}={m.run_id}" for r, m in found.items())
 
 
+def _by_row(df: DataFrame, path: str, partition_by=None) -> None:
+    """Texts, split and predictions lie by the hash of row_id: what joins them shuffles nothing."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed(df, path, "row_id", buckets, partition_by or ())
+
+
 def _texts_written(texts: DataFrame, out_dir: str) -> dict:
     """Write the texts with their load report; both come from one pass."""
-    seen = write_observed(texts, _p(out_dir, "texts"), DATASETS, partition_by=["dataset"])
+    seen = write_observed(texts, _p(out_dir, "texts"), DATASETS, partition_by=["dataset"], write=_by_row)
     write_parquet(seen.coalesce(1), _p(out_dir, "load_report"))
     return {r.dataset: r.n_rows for r in seen.collect()}
 
@@ -124,11 +131,11 @@ def _landed_key(spark: SparkSession, pages=None, row_ddl="text string, label str
 def train(spark: SparkSession, out_dir: str) -> None:
     inputs = _inputs(spark, out_dir, "train")
     MF.forget(spark, out_dir, "train")
-    texts = spark.read.parquet(_p(out_dir, "texts"))
+    texts = read_bucketed(spark, _p(out_dir, "texts"))
     ind = C.drop_missing(texts.filter(F.col("dataset") == DATASETS[0]), ["text", "gold"])
     plan = SP.plan_split(ind, "gold", "row_id")
     split = plan.assign(ind)
-    counts = write_counted(split.select("row_id", "gold", "split"), _p(out_dir, "split"),
+    counts = write_counted(split.select("row_id", "gold", "split"), _p(out_dir, "split"), write=_by_row,
                            train=F.col("split") == "train", val=F.col("split") == "val")
     train_rows = split.filter(F.col("split") == "train")
     write_parquet(LI.label_index(ind, "gold"), _p(out_dir, "label_index"))
@@ -143,19 +150,25 @@ def train(spark: SparkSession, out_dir: str) -> None:
     MF.record(spark, out_dir, "train", inputs, {"max_classes": NB.MAX_CLASSES}, counts)
 
 
-def predict(spark: SparkSession, out_dir: str) -> None:
-    """Score every text with the saved model; the inputs are kept, the split attached."""
-    inputs = _inputs(spark, out_dir, "predict")
-    MF.forget(spark, out_dir, "predict")
-    texts = spark.read.parquet(_p(out_dir, "texts"))
+def predicted(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Every text with the saved model's prediction and its split. Texts and split lie by
+    row_id, the scores are summed where the texts lie, so no row of them is shuffled (but
+    for the rare words of a model above its broadcast bound)."""
+    texts = read_bucketed(spark, _p(out_dir, "texts"))
     if spark.read.parquet(_p(out_dir, "model_kind")).first().wide:
         scored = NB.score_nb(NB.load_nb(spark, _p(out_dir, "model")), texts)
     else:
         scored = NL.score_nb_long(NL.load_nb_long(spark, _p(out_dir, "model")), texts)
     scored = scored.select("row_id", "pred_label", "pred_confidence")
-    split = spark.read.parquet(_p(out_dir, "split")).select("row_id", "split")
-    out = texts.join(scored, "row_id").join(split, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("ood")))
-    counts = write_counted(out, _p(out_dir, "predictions"), partition_by=["dataset"], rows=F.lit(True),
+    split = read_bucketed(spark, _p(out_dir, "split")).select("row_id", "split")
+    return texts.join(scored, "row_id").join(split, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("ood")))
+
+
+def predict(spark: SparkSession, out_dir: str) -> None:
+    """Score every text with the saved model; the inputs are kept, the split attached."""
+    inputs = _inputs(spark, out_dir, "predict")
+    MF.forget(spark, out_dir, "predict")
+    counts = write_counted(predicted(spark, out_dir), _p(out_dir, "predictions"), partition_by=["dataset"], rows=F.lit(True),
                            correct=F.col("gold").eqNullSafe(F.col("pred_label")))
     MF.record(spark, out_dir, "predict", inputs, {}, counts)
 
