@@ -537,6 +537,105 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def plain_densest(pairs, size):
+    best = (0.0, 0, 0, 0)
+    for i in range(len(pairs)):
+        for j in range(i, len(pairs)):
+            score = 2 * (j - i + 1) / (size + pairs[j][0] - pairs[i][0] + 1)
+            if score > best[0]:
+                best = (score, j - i + 1, pairs[i][0], pairs[j][0] + 1)
+    return best
+
+
+def test_densest_run_equals_all_runs():
+    rng = random.Random(4)
+    for _ in range(400):
+        at = sorted(rng.sample(range(80), rng.randrange(0, 25)))
+        pairs, size = [(p, 0) for p in at], rng.randrange(1, 30)
+        assert licenses.densest(pairs, size) == plain_densest(pairs, size)
+    long = [(3 * i, 0) for i in range(20_000)]
+    assert licenses.densest(long, 20_000)[1] == 20_000
+
+
+def brute_scan(text, templates):
+    """All stretches aligned, without the bounds that leave most of them out."""
+    h = W.split_words(*W.utf8(pa.array([text])), "alnum")[3]
+    found = []
+    for name, words, need in licenses._prepared(templates):
+        m = len(words)
+        width, step = m + m // 4 + licenses.SLACK, max(1, m // 4)
+        for s in range(0, max(1, len(h) - width + step), step):
+            pairs = licenses.align(h[s:s + width].tolist(), words)
+            score, matched, a, b = plain_densest(pairs, m)
+            if score >= licenses.SCORE and matched >= licenses.COVERAGE * m and need <= {words[q] for p, q in pairs if a <= p < b}:
+                found.append((name, score, s + a, s + b, m))
+    out = []
+    for name, score, a, b, _ in sorted(set(found), key=lambda f: (-f[1] * f[4], -f[1], f[2], f[0])):
+        if all(b <= x or a >= y for _, _, x, y in out):
+            out.append((name, score, a, b))
+    return sorted(out, key=lambda f: f[2])
+
+
+def test_scan_equals_a_scan_of_every_stretch(spark):
+    rng = random.Random(9)
+    some = [t for t in licenses.TEMPLATES if len(t[1]) < 260]
+    v = " ".join(t[1] for t in some).split()
+    docs = []
+    for i in range(40):
+        w = [rng.choice(v) for _ in range(rng.randrange(120))]
+        for t in rng.sample(some, rng.randrange(3)):
+            words = t[1].split()
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] = rng.choice(["foo", "2.0", "3"])
+            k = rng.randrange(len(w) + 1)
+            w[k:k] = words
+        docs.append((i, " ".join(w)))
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates=some).collect()
+    for r in got:
+        want = brute_scan(dict(docs)[r.doc_id], some)
+        assert list(zip(r.licenses, r.scores, r.span_starts, r.span_ends)) == want
+    assert sum(len(r.licenses) for r in got) > 20
+
+
+@pytest.mark.parametrize("text,found", [
+    ("licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+    (licenses._GNU_GRANT.format("General Public License") + ", version 2 of the License, and no later version.", ["GPL-2.0-only"]),
+    (licenses._GNU_GRANT.format("General Public License") + ", either version 2 of the License, or (at your option) any later "
+     "version.", ["GPL-2.0"]),
+    ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]), ("Licensed under CC BY-NC-SA 2.5.", ["CC-BY-NC-SA-2.5"]),
+    ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+    (licenses._BSD + licenses._AS_IS, ["BSD-2-Clause"]), (licenses._BSD, ["BSD-2-Clause"]),
+    (licenses._BSD + licenses._BSD_THIRD + licenses._AS_IS, ["BSD-3-Clause"]),
+    (licenses._BSD.replace("1. ", "* ").replace("2. ", "* "), ["BSD-2-Clause"]),
+    ("# SPDX-License-Identifier: MIT", ["MIT"]),
+    ("a b // spdx-license-identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR Apache-2.0\nrest", ["Apache-2.0", "GPL-2.0-only"]),
+    ("SPDX-License-Identifier:\nnothing", []), ("version 2 of the general plan", []),
+])
+def test_relatives_are_told_apart(spark, text, found):
+    df = spark.createDataFrame([(1, text), (1, text), (2, "before it all and " + text + " and after it")], "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    assert len(got) == 3
+    for r in got:
+        assert sorted(x for x in r.licenses if x != "all-rights-reserved") == found
+
+
+def test_templates_from_a_table(spark):
+    long = " ".join(f"clause{i % 400} word{i}" for i in range(3000))
+    table = spark.createDataFrame([("Long-1.0", long, ["word7"]), ("None", None, None), ("Empty", "...", None)],
+                                  "license string, text string, required array<string>")
+    templates = licenses.read_templates(table)
+    words = long.split()
+    edited = [w for i, w in enumerate(words) if i % 50]
+    df = spark.createDataFrame([(1, "x y " + long + " z"), (2, " ".join(edited)), (3, long.replace("word7 ", "")), (4, None)],
+                               "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, templates=templates).collect()}
+    assert got[1].licenses == ["Long-1.0"] and (got[1].span_starts, got[1].span_ends) == ([2], [6002])
+    assert got[2].licenses == ["Long-1.0"] and got[3].licenses == [] and got[4].licenses == []
+    assert licenses.scan(df, templates=[]).where("size(licenses) > 0").count() == 0
+
+
 # ---- urls
 
 URLS = ["http://A.Example.ORG/es/1?q=1", "https://example.org/en/12", "https://example.org/en/2", "x://com/fr/", "ftp://a.com/de/x#y",
