@@ -25,6 +25,9 @@ from .scratch import materialise
 
 ORDER = 4
 PER_LANGUAGE = 300   # distinct sample texts of a language, about
+MAX_LANGUAGES = 1_000
+MODEL_BYTES = 1 << 30   # of prices, in the driver and every worker
+STEP = 16            # languages priced at once
 UNKNOWN = "und"
 _PAD = 0x20          # stands before a text
 
@@ -92,29 +95,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["lang", "gram", "n"])
 
 
+def _check_size(languages: int, grams_: int) -> None:
+    cells = (ORDER + 1) * languages * grams_     # at most, as no order has more grams than the highest
+    if cells * 4 > MODEL_BYTES:
+        raise ValueError(f"{languages} languages with {grams_} different grams: up to {cells * 4} bytes of prices in every "
+                         f"worker, at most {MODEL_BYTES} allowed; take fewer sample texts per language")
+
+
 def price(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict:
-    """Code lengths in bits from full-order gram counts (lang: index of the language)."""
+    """Code lengths in bits from full-order gram counts (lang: index of the language). The
+    tables have 4 bytes for every gram and language; languages are priced ``STEP`` at a
+    time, so that no other array is larger."""
     k = len(languages)
-    orders = []
-    below_keys, below = np.zeros(0, np.uint64), np.zeros((0, k))
+    shape = []
     for order in range(ORDER + 1):
         key, at = np.unique(gram & _mask(order), return_inverse=True)
-        count = np.zeros((len(key), k))
-        np.add.at(count, (at, lang), n)
         context, of = np.unique(key >> np.uint64(8), return_inverse=True)
-        total, kinds = np.zeros((len(context), k)), np.zeros((len(context), k))
-        np.add.at(total, of, count)
-        np.add.at(kinds, of, count > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            own = -np.log2(count / (total + kinds)[of])
-        lower = np.full((len(key), k), 8.0) if order == 0 else below[
-            np.searchsorted(below_keys, key & _mask(order - 1))]
-        bits = np.where(count > 0, own, escape[of] + lower)
-        orders.append((key, bits, context, escape))
-        below_keys, below = key, bits
-    return {"languages": languages, "orders": [(k_, b.astype(np.float32), c, e.astype(np.float32))
-                                                for k_, b, c, e in orders]}
+        shape.append((key, at, context, of))
+    tables = [(key, np.empty((len(key), k), np.float32), context, np.empty((len(context), k), np.float32))
+              for key, _, context, _ in shape]
+    for lo in range(0, k, STEP):
+        hi = min(lo + STEP, k)
+        mine = (lang >= lo) & (lang < hi)
+        below = np.zeros((0, hi - lo))
+        for order, (key, at, context, of) in enumerate(shape):
+            count = np.zeros((len(key), hi - lo))
+            np.add.at(count, (at[mine], lang[mine] - lo), n[mine])
+            total, kinds = np.zeros((len(context), hi - lo)), np.zeros((len(context), hi - lo))
+            np.add.at(total, of, count)
+            np.add.at(kinds, of, count > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                own = -np.log2(count / (total + kinds)[of])
+            lower = np.full((len(key), hi - lo), 8.0) if order == 0 else below[
+                np.searchsorted(shape[order - 1][0], key & _mask(order - 1))]
+            below = np.where(count > 0, own, escape[of] + lower)
+            tables[order][1][:, lo:hi], tables[order][3][:, lo:hi] = below, escape
+    return {"languages": languages, "orders": tables}
 
 
 class Model:
@@ -156,20 +173,25 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """Price tables from about ``per_language`` distinct texts of each non-null value of
     ``lang_col`` (a share by a hash of the text, so copies count once and every run
-    takes the same). Null and empty texts teach nothing."""
+    takes the same). Null and empty texts teach nothing. More than ``MAX_LANGUAGES`` values
+    (a dirty column), or a model beyond ``MODEL_BYTES``, raise before they reach the driver."""
     require_columns(docs, [text_col, lang_col], "language fit")
     src = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(
         "lang is not null and text <> ''").withColumn("name", F.xxhash64("text"))
     names = materialise(src.select("lang", "name").distinct())
-    sizes = {r[0]: r[1] for r in names.groupBy("lang").count().collect()}  # a row per language
+    sizes = {r[0]: r[1] for r in names.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different values in {lang_col!r}: no column of languages")
     if not sizes:
         return price([], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     taken = names.where(F.pmod(F.xxhash64("name"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     # about per_language names for each language, so it may be broadcast
     sample = src.join(F.broadcast(taken), ["lang", "name"]).groupBy("lang", "name").agg(F.first("text").alias("text"))
-    counts = (sample.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = materialise(sample.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long")
+                         .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # sized before anything but a number reaches the driver
+    _check_size(len(sizes), counts.agg(F.countDistinct("gram")).first()[0])
     t = counts.toArrow()
     languages = sorted(sizes)
     code = {x: i for i, x in enumerate(languages)}

@@ -234,6 +234,50 @@ def test_prices_equal_a_plain_tree():
             assert got[r, i] == pytest.approx(want, rel=1e-5)
 
 
+def test_three_hundred_languages(spark):
+    """Languages of one syllable set each: the model's tables have 4 bytes per gram and language."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sets = [["".join(rng.choices(letters, k=2)) for _ in range(12)] for _ in range(300)]
+    word = lambda i: "".join(rng.choices(sets[i], k=3))
+    rows = [(i, " ".join(word(i % 300) for _ in range(12)), f"l{i % 300:03d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where("doc_id < 1200"), per_language=4)
+    assert len(model["languages"]) == 300
+    size = sum(p.nbytes + e.nbytes for _, p, _, e in model["orders"])
+    assert all(p.dtype == np.float32 for _, p, _, _ in model["orders"])
+    assert size == sum(4 * 300 * (len(k) + len(c)) for k, _, c, _ in model["orders"]) < language.MODEL_BYTES
+    got = language.predict(df.where("doc_id >= 1200"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_models_too_large_are_refused(spark, monkeypatch):
+    df = spark.createDataFrame([(f"text {i} of it", f"l{i}") for i in range(40)], "text string, lang string")
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 39)
+    with pytest.raises(ValueError, match="more than 39"):
+        language.fit(df)
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 40)
+    monkeypatch.setattr(language, "MODEL_BYTES", 1000)
+    with pytest.raises(ValueError, match="fewer sample texts"):
+        language.fit(df)
+
+
+def test_prices_do_not_depend_on_the_step(monkeypatch):
+    rng = np.random.default_rng(3)
+    lang, gram, n = rng.integers(0, 7, 900), rng.integers(0, 3**5, 900).astype(np.uint64) * np.uint64(16843009), rng.integers(1, 9, 900)
+    names = list("abcdefg")
+    whole = language.price(names, lang, gram, n)["orders"]
+    monkeypatch.setattr(language, "STEP", 3)
+    for a, b in zip(whole, language.price(names, lang, gram, n)["orders"]):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    df = spark.createDataFrame([("same words here", "b"), ("same words here", "a"), ("same words here", "c")], "text string, lang string")
+    got = language.predict(df, language.fit(df)).collect()
+    assert [r.lang_pred for r in got] == ["a"] * 3 and [round(r.score, 6) for r in got] == [round(1 / 3, 6)] * 3
+
+
 def test_language_prediction(spark):
     rng = random.Random(8)
     syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["ción", "ñez", "ll"]}
