@@ -137,6 +137,7 @@ def test_load_report_counts_while_writing(spark, tmp_dir):
 
 
 def test_load_report_is_one_scan(spark):
+    spark.catalog.clearCache()  # other tests may have cached the texts
     rows, _ = OB.observe_load(views.texts(spark, SF_SMALL), DATASETS)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "CollectMetrics" in plan
