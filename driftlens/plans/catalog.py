@@ -410,8 +410,8 @@ def q_csv_quarantine(spark, sf_dir):
         q = FS.quarantine_csv(spark, f"{path}/in", "doc_id long, text string, lang string, n_chars long", f"{path}/out",
                               required=["doc_id", "lang"])
         both = q.rows.withColumn("reason", F.lit(None).cast("string")).unionByName(q.rejects.drop(FS.RECORD))
-        return cut_lineage(both.select("doc_id", "lang", "n_chars", "reason", F.lit(q.counts["kept"]).alias("n_kept"),
-                                       F.lit(q.counts["rejected"]).alias("n_rejected")))
+        return cut_lineage(both.select("doc_id", "lang", "n_chars", "reason", F.lit(q.counts["kept"]).cast("long").alias("n_kept"),
+                                       F.lit(q.counts["rejected"]).cast("long").alias("n_rejected")))
     finally:
         remove_path(spark, path)
 
