@@ -96,7 +96,7 @@ def test_stages_take_odd_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_whole_table(spark, name):
-    table = {"op1": "embeddings", "op7": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op1": "embeddings", "op12": "embeddings", "op7": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
     key = {"embeddings": "vec_id", "pages": "page_id"}.get(table, "doc_id")
     got = QUERIES[name](spark, SF_SMALL).select(key).collect()
     want = spark.read.parquet(f"{SF_SMALL}/{table}.parquet").select(key).collect()
