@@ -32,10 +32,10 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checks import require_columns
+from . import words as W
 
 SIGMA = 1.0          # lines
 SILENT = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "math", "canvas",
@@ -449,13 +449,15 @@ def extract(pages: DataFrame, html_col: str = "html", keep=None) -> DataFrame:
     out = T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType()),
                                                            T.StructField("n_chars", T.LongType())])
 
+    src, column = W.with_text(pages, names, html_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                texts = [content(h.as_py() or "") for h in b.column("__html")]
+                texts = [content(h.as_py() or "") for h in b.column(column)]
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c) for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=[*names, "text", "n_chars"])
 
-    return pages.select(*[F.col(c) for c in names], F.col(html_col).cast("string").alias("__html")).mapInArrow(run, out)
+    return src.mapInArrow(run, out)

@@ -529,6 +529,9 @@ def test_extract(spark):
     got = sorted((r.page_id, r.n_chars) for r in main_text.extract(df).collect())
     assert got == [(1, 0), (2, 1), (2, 199_999)]
     assert main_text.extract(df.limit(0)).collect() == []
+    clash = df.selectExpr("*", "'kept' AS __html", "'too' AS __text")
+    rows = main_text.extract(clash).collect()
+    assert len(rows) == 3 and {(r["__html"], r["__text"]) for r in rows} == {("kept", "too")}
 
 
 def test_smoothing_and_threshold():
