@@ -107,6 +107,9 @@ def subword_windows(df: DataFrame, vocabulary: DataFrame, text: str = "text", le
                           T.StructField("n_subwords", T.LongType()), T.StructField("n_unknown", T.LongType()),
                           T.StructField("n_kept", T.IntegerType()), T.StructField("truncated", T.BooleanType())])
     names = [c for c in (keep or df.columns) if c not in added.names]
+    own = "__words"
+    while own in names:
+        own += "_"
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ def subword_windows(df: DataFrame, vocabulary: DataFrame, text: str = "text", le
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                lists = b.column("__words")
+                lists = b.column(own)
                 size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 coded = lists.flatten().dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
@@ -149,7 +152,7 @@ def subword_windows(df: DataFrame, vocabulary: DataFrame, text: str = "text", le
                      pa.array(kept + 2), pa.array(np.diff(total) > length - 2)], names=[*names, *added.names])
 
     schema = T.StructType([df.schema[c] for c in names] + list(added))
-    return df.select(*names, words.alias("__words")).mapInArrow(run, schema)
+    return df.select(*names, words.alias(own)).mapInArrow(run, schema)
 
 
 def spelled(windows: DataFrame, vocabulary: DataFrame, ids: str = "ids", name: str = "pieces") -> DataFrame:

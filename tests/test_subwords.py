@@ -103,6 +103,8 @@ def test_refused_vocabularies(spark):
     with pytest.raises(ValueError, match="gap"):
         S.spelled(df, voc(*marks, ("a", True, 9)))
     assert S.subword_windows(df.limit(0), voc(*marks)).count() == 0
+    clash = S.subword_windows(df.selectExpr("*", "'kept' AS __words"), voc(*marks)).first()
+    assert clash["__words"] == "kept" and clash.n_unknown == 1
 
 
 def test_words_agree_with_the_word_windows(spark):
