@@ -10,15 +10,22 @@ A document of N known tokens has the score ``prior + N * unseen + sum of gains``
 gains come from an equi-join on the token and partial sums per (document, class); the
 classes without a gain enter only through the best and the total of
 ``prior + N * unseen``, which depend on N alone. The best class is the larger of the two
-maxima, ties to the smaller label, and the confidence is its softmax over all classes."""
+maxima, ties to the smaller label, and the confidence is its softmax over all classes.
+
+Where a few different texts hold tokens that most classes saw, that join has nearly a row
+for every (text, class). Then the classes are dealt into blocks, the texts into chunks, and
+each pair of them is one group that prices its classes as vectors; a text's best class and
+its total come from one row per block."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +41,10 @@ from .tokens import tokenize
 MAX_CLASSES = 5_000_000
 MAX_BROADCAST_LABELS = 1_000_000
 MAX_TEXTS = 1_000_000       # scores of distinct texts are broadcast up to so many
+BLOCK_CLASSES, BLOCK_PAIRS = 16_384, 1_000_000  # classes, and (token, class) pairs, of one block on average
+CHUNK_WORDS = 500_000       # words of the texts that meet a block at once, on average
+BLOCK_COST = 1_000          # gains that cost as much as one text in one block
+TIE = 1e-9                  # scores nearer than this are equal
 _KNOWN, _DOCUMENT = -1, -2  # numbers that stand for "known tokens" and "documents" beside the classes
 
 
@@ -138,6 +149,94 @@ def _best(prices):
     return run
 
 
+def _known_words(model: LongNB, src: DataFrame) -> DataFrame:
+    """(number, id, known, touched, words) of every row of ``src`` (id, text), ids unique: its
+    known tokens, the classes that saw them (a class once for each different token), and
+    the different ones with their counts in order."""
+    vocabulary = broadcast_if_bounded(model.table.select("token", "n_classes"), MAX_BROADCAST_LABELS)
+    tokens = src.select("id", F.explode(tokenize("text")).alias("token")).groupBy("id", "token").agg(
+        F.count(F.lit(1)).alias("times"))
+    found = tokens.join(vocabulary, "token").select("id", "token", "times", "n_classes")
+    none = F.lit(0).cast("long")
+    rows = found.unionAll(src.select("id", F.lit(None).cast("string"), none, none))
+    words = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "times")))  # nulls are left out
+    texts = rows.groupBy("id").agg(F.sum("times").alias("known"), F.sum("n_classes").alias("touched"),
+                                   F.sort_array(words).alias("words"))
+    return write_scratch(texts.withColumn("number", F.monotonically_increasing_id()))
+
+
+def _score_block(model: pa.Table, texts: pa.Table) -> pa.Table:
+    """(number, top, class, mass) of each text over one block of classes: the best score,
+    the smallest class that has it, and the sum of exp(score - top). ``model`` has a row
+    (class, null, prior, unseen) per class and a row (class, token, gain, null) per pair."""
+    found = [], [], [], []
+    if model.num_rows and texts.num_rows:
+        token = model.column("token").combine_chunks()
+        one = token.is_null().to_numpy(zero_copy_only=False)
+        number, value = model.column("class").to_numpy(), model.column("value").to_numpy()
+        order = np.argsort(number[one])
+        classes, prior = number[one][order], value[one][order]
+        unseen = model.column("unseen").to_numpy()[one][order]
+        pairs = pc.dictionary_encode(token.drop_null())
+        code = pairs.indices.to_numpy()
+        by = np.argsort(code, kind="stable")
+        places, gain = np.searchsorted(classes, number[~one])[by], value[~one][by]
+        ends = np.searchsorted(code[by], np.arange(len(pairs.dictionary) + 1))
+        at = {w: slice(ends[i], ends[i + 1]) for i, w in enumerate(pairs.dictionary.to_pylist())}
+        base, known = prior, None
+        for text in texts.select(["number", "known", "words"]).sort_by("known").to_pylist():
+            if text["known"] != known:
+                known = text["known"]
+                base = prior + known * unseen
+            score = base.copy()
+            for w in text["words"]:
+                if w["token"] in at:
+                    own = at[w["token"]]
+                    score[places[own]] += w["times"] * gain[own]
+            top = score.max()
+            for column, x in zip(found, (text["number"], top, classes[np.argmax(score >= top - TIE)],
+                                         np.exp(score - top).sum())):
+                column.append(x)
+    return pa.table([pa.array(x, kind) for x, kind in zip(found, (pa.int64(), pa.float64(), pa.int32(), pa.float64()))],
+                    names=["number", "top", "class", "mass"])
+
+
+def _score_blocks(model: LongNB, texts: DataFrame, blocks: int, chunks: int) -> DataFrame:
+    """(id, class, confidence) of ``_known_words``: every chunk of texts meets every block
+    of classes in a group of its own, both of bounded size."""
+    spark = texts.sparkSession
+    block = (F.col("class") % blocks).cast("int").alias("block")
+    pairs = model.table.select("token", F.inline("gains")).select(
+        block, "class", "token", F.col("gain").alias("value"), F.lit(None).cast("double").alias("unseen"))
+    rows = pairs.unionAll(model.classes.select(
+        block, "class", F.lit(None).cast("string"), F.col("log_prior"), F.col("unseen")))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    met = texts.select("number", "known", "words", F.pmod("number", F.lit(chunks)).cast("int").alias("chunk"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sides = [x.repartition(blocks * chunks, "block", "chunk").groupBy("block", "chunk") for x in (rows, met)]
+    parts = sides[0].cogroup(sides[1]).applyInArrow(_score_block, "number long, top double, class int, mass double")
+    best = parts.groupBy("number").agg(F.max("top").alias("most"), F.collect_list(F.struct("top", "class", "mass")).alias("parts"))
+    mass = F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + p["mass"] * F.exp(p["top"] - F.col("most")))
+    first = F.array_min(F.transform(F.filter("parts", lambda p: p["top"] >= F.col("most") - TIE), lambda p: p["class"]))
+    best = best.select("number", first.alias("class"), (1.0 / F.greatest(mass, F.lit(1.0))).alias("confidence"))
+    return texts.select("number", "id").join(best, "number").select("id", "class", "confidence")
+
+
+def _score_distinct(model: LongNB, texts: DataFrame, label_col: str, conf_col: str, max_bytes: int) -> DataFrame:
+    """(_text, label, confidence) of different texts: by blocks of classes where the join
+    of their tokens would have more rows than the blocks cost."""
+    src = _known_words(model, texts.select(F.col("_text").alias("id"), F.col("_text").alias("text")))
+    size = src.agg(F.count(F.lit(1)).alias("texts"), F.sum("touched").alias("touched"),
+                   F.sum(F.size("words")).alias("words")).first()
+    n, pairs = model.classes.count(), model.table.agg(F.sum("n_classes")).first()[0] or 0
+    blocks = max(math.ceil(n / BLOCK_CLASSES), math.ceil(pairs / BLOCK_PAIRS), 1)
+    if (size.touched or 0) <= BLOCK_COST * blocks * size.texts:
+        return score_nb_long(model, texts, "_text", "_text", (), label_col, conf_col, False, max_bytes)
+    found = _score_blocks(model, src, blocks, max(math.ceil(size.words / CHUNK_WORDS), 1))
+    named = found.join(broadcast_if_bounded(model.classes.select("class", "label"), MAX_BROADCAST_LABELS), "class")
+    return named.select(F.col("id").alias("_text"), F.col("label").alias(label_col), F.col("confidence").alias(conf_col))
+
+
 def score_nb_long(model: LongNB, docs: DataFrame, text: str = "text", id_col: str = "row_id", keep=(),
                   label_col: str = "pred_label", conf_col: str = "pred_confidence", distinct_texts: bool = False,
                   max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -147,12 +246,11 @@ def score_nb_long(model: LongNB, docs: DataFrame, text: str = "text", id_col: st
     The whole model is broadcast if its stored size fits ``max_bytes``. Otherwise the
     tokens frequent in training are, and only the rows of the others go through a
     sort-merge join. ``distinct_texts`` scores each different text once, for short
-    texts of which many are equal. A model without classes predicts null."""
+    texts of which many are equal, by blocks of classes if most classes saw their tokens. A model without classes predicts null."""
     keys = [id_col, *keep]
     if distinct_texts:
         held = docs.select(*keys, F.coalesce(text, F.lit("")).alias("_text"))
-        scored = score_nb_long(model, held.select("_text").distinct(), "_text", "_text", (), label_col, conf_col,
-                               False, max_bytes)
+        scored = _score_distinct(model, held.select("_text").distinct(), label_col, conf_col, max_bytes)
         return held.join(broadcast_if_bounded(write_scratch(scored), MAX_TEXTS), "_text").drop("_text")
     prices = _prices(model)
     if not prices.shape[1]:

@@ -78,6 +78,21 @@ def test_models_beyond_the_broadcast_bound(spark, max_bytes):
     same(scored(spark, train, docs, max_bytes=max_bytes), dense(train, docs))
 
 
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_CLASSES": 150, "BLOCK_PAIRS": 700, "CHUNK_WORDS": 60, "BLOCK_COST": 10}])
+def test_words_that_all_classes_saw_meet_texts_in_blocks(spark, monkeypatch, sizes):
+    def joined(prices):
+        raise AssertionError("a row for every (text, class)")
+
+    monkeypatch.setattr(NL, "_best", joined)
+    for name, size in sizes.items():
+        monkeypatch.setattr(NL, name, size)
+    rng = random.Random(4)
+    text = lambda: " ".join(["all", "All", f"w{rng.randrange(3)}", f"x{rng.randrange(40)}"][rng.randrange(2):])
+    train = [(i, f"c{i % 2000:05d}", text()) for i in range(5000)] + [(-1, "c00007", None), (-2, "d", ""), (-3, None, "never")]
+    docs = [(i, text()) for i in range(60)] + [(60, None), (61, ""), (62, "unknown never"), (63, "all " * 300), (64, "w1 w1 x3 zz")]
+    same(scored(spark, train, docs, distinct_texts=True), dense(train, docs))
+
+
 def test_ties_go_to_the_smaller_label(spark):
     train = [(1, "b", "x y"), (2, "a", "x y"), (3, "c", "z")]
     got = scored(spark, train, [(1, "x"), (2, ""), (3, "z"), (4, "x z"), (5, "y y y")])
