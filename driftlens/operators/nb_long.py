@@ -44,7 +44,6 @@ MAX_TEXTS = 1_000_000       # scores of distinct texts are broadcast up to so ma
 BLOCK_CLASSES, BLOCK_PAIRS = 16_384, 1_000_000  # classes, and (token, class) pairs, of one block on average
 CHUNK_WORDS = 500_000       # words of the texts that meet a block at once, on average
 BLOCK_COST = 1_000          # gains that cost as much as one text in one block
-TIE = 1e-9                  # scores nearer than this are equal
 _KNOWN, _DOCUMENT = -1, -2  # numbers that stand for "known tokens" and "documents" beside the classes
 
 
@@ -152,14 +151,14 @@ def _best(prices):
 def _known_words(model: LongNB, src: DataFrame) -> DataFrame:
     """(number, id, known, touched, words) of every row of ``src`` (id, text), ids unique: its
     known tokens, the classes that saw them (a class once for each different token), and
-    the different ones with their counts in order."""
+    the different ones with their counts, by their first places in the text."""
     vocabulary = broadcast_if_bounded(model.table.select("token", "n_classes"), MAX_BROADCAST_LABELS)
-    tokens = src.select("id", F.explode(tokenize("text")).alias("token")).groupBy("id", "token").agg(
-        F.count(F.lit(1)).alias("times"))
-    found = tokens.join(vocabulary, "token").select("id", "token", "times", "n_classes")
+    tokens = src.select("id", F.posexplode(tokenize("text")).alias("at", "token")).groupBy("id", "token").agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).alias("times"))
+    found = tokens.join(vocabulary, "token").select("id", "at", "token", "times", "n_classes")
     none = F.lit(0).cast("long")
-    rows = found.unionAll(src.select("id", F.lit(None).cast("string"), none, none))
-    words = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "times")))  # nulls are left out
+    rows = found.unionAll(src.select("id", F.lit(0), F.lit(None).cast("string"), none, none))
+    words = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token", "times")))  # nulls are left out
     texts = rows.groupBy("id").agg(F.sum("times").alias("known"), F.sum("n_classes").alias("touched"),
                                    F.sort_array(words).alias("words"))
     return write_scratch(texts.withColumn("number", F.monotonically_increasing_id()))
@@ -188,13 +187,14 @@ def _score_block(model: pa.Table, texts: pa.Table) -> pa.Table:
             if text["known"] != known:
                 known = text["known"]
                 base = prior + known * unseen
-            score = base.copy()
+            gains = np.zeros(len(classes))  # summed first, as the join sums them: equal scores stay equal
             for w in text["words"]:
                 if w["token"] in at:
                     own = at[w["token"]]
-                    score[places[own]] += w["times"] * gain[own]
+                    gains[places[own]] += w["times"] * gain[own]
+            score = base + gains
             top = score.max()
-            for column, x in zip(found, (text["number"], top, classes[np.argmax(score >= top - TIE)],
+            for column, x in zip(found, (text["number"], top, classes[score.argmax()],
                                          np.exp(score - top).sum())):
                 column.append(x)
     return pa.table([pa.array(x, kind) for x, kind in zip(found, (pa.int64(), pa.float64(), pa.int32(), pa.float64()))],
@@ -217,7 +217,7 @@ def _score_blocks(model: LongNB, texts: DataFrame, blocks: int, chunks: int) ->
     parts = sides[0].cogroup(sides[1]).applyInArrow(_score_block, "number long, top double, class int, mass double")
     best = parts.groupBy("number").agg(F.max("top").alias("most"), F.collect_list(F.struct("top", "class", "mass")).alias("parts"))
     mass = F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + p["mass"] * F.exp(p["top"] - F.col("most")))
-    first = F.array_min(F.transform(F.filter("parts", lambda p: p["top"] >= F.col("most") - TIE), lambda p: p["class"]))
+    first = F.array_min(F.transform(F.filter("parts", lambda p: p["top"] == F.col("most")), lambda p: p["class"]))
     best = best.select("number", first.alias("class"), (1.0 / F.greatest(mass, F.lit(1.0))).alias("confidence"))
     return texts.select("number", "id").join(best, "number").select("id", "class", "confidence")
 
